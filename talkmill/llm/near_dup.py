@@ -2,44 +2,47 @@
 
 1. Each text becomes the set of hashes of its word shingles. Equal sets are
    collapsed to their smallest doc_id, so exact copies cost one row.
-2. A set keeps its ``k`` smallest hashes. Inverted lists of retained values
-   generate overlaps. Values are ordered by a bounded histogram of how common
-   they are; a set only enters the lists of its rarest values, just enough that
-   two linked sets must meet in at least ``ell`` lists (prefix filter). The order
-   affects cost only, never the result.
+2. A set keeps its ``K`` smallest hashes. Inverted lists of retained values
+   generate overlaps; a list's key is a run of two neighbouring retained values,
+   so that a common shingle alone brings nothing together.
 3. In each list every set first meets a few leaders (the smallest under several
    hash orders), which costs linear work however long a list is. Then lists that
    still hold several components compare members of different components. No
-   pair inside a component is made.
+   pair inside a component is made, nor one that shares too few lists. In long
+   lists (many copies with edits of their own) those outside the main component
+   are compared with all members by matrix products over blocks of bounded size,
+   which return verified links only.
 4. Pairs are filtered by the overlap in the sketch of their union and then
    verified on whole sets.
 
-A pair at the threshold itself is lost only if fewer than ``min_overlap`` of the
-``k`` smallest hashes of its union are shared: probability under 1e-9 for the
-defaults (binomial tail, k = 48, share 0.8). Sets of at most ``0.8 k`` hashes
-are treated exactly.
+Two linked sets share ``SHARED_LISTS`` lists at least (fewer if they are tiny), so
+documents and pairs with fewer are out. A pair at the threshold 0.8 has fewer with
+probability under 1e-10 (runs of two among 48 draws), and one with fewer than
+``MIN_OVERLAP`` shared values in its union sketch under 1e-9. For sets that fit
+into the sketch whole neither can happen.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.bytewords import NOT_SPACE, U64, find_words, shingle_sets
+from talkmill.llm.bytewords import NOT_SPACE, U64, find_words, mix, shingle_sets
 from talkmill.llm.components import connected_components
 from talkmill.llm.shared import materialise, slices
 
 K = 48
 MIN_OVERLAP = 20
-LEADERS = 4
 SHARED_LISTS = 4
-HISTOGRAM = 1 << 16
+LEADERS = 4
+#: Lists with more members are compared in blocks of so many bytes of sets.
+LONG, BLOCK_BYTES = 32, 2_000_000
 
 
 def _sets(width: int, whole: bool):
@@ -61,39 +64,43 @@ def _sets(width: int, whole: bool):
     return run
 
 
-def _least_overlap(n: int, threshold: float) -> int:
-    """Retained values that a linked partner must share with a set of ``n``."""
-    return math.ceil(threshold * n - 1e-9) if n <= threshold * K else MIN_OVERLAP
-
-
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(HISTOGRAM, np.int64)
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_shingles, sketch) to a row for each run of two retained values."""
     for batch in batches:
-        values = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U64)
-        counts += np.bincount((values & U64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], names=["bucket", "n"])
-
-
-def _postings(order, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = order.value
-        for batch in batches:
-            values, docs, sizes, ells = [], [], [], []
-            for doc, n, sketch in zip(batch.column("doc_id").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("sketch").to_pylist(), strict=True):
-                s = np.frombuffer(sketch, U64)
-                least = _least_overlap(n, threshold)
-                ell = min(SHARED_LISTS, least)
-                rare = np.lexsort((s, common[(s & U64(HISTOGRAM - 1)).astype(np.int64)]))[: len(s) - least + ell]
-                values.append(s[rare])
-                docs.append(np.full(len(rare), doc, np.int64))
-                sizes.append(np.full(len(rare), n, np.int64))
-                ells.append(np.full(len(rare), ell, np.int32))
-            if values:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ells))],
-                    names=["v", "doc", "n", "ell"],
-                )
+        sketches = batch.column("sketch").to_pylist()
+        s = np.frombuffer(b"".join(sketches), U64)
+        size = np.array([len(x) // 8 for x in sketches], np.int64)
+        runs = np.maximum(size - 1, 0)
+        row = np.repeat(np.arange(len(size)), runs)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs)
+        at = np.repeat(np.cumsum(size) - size, runs) + nth
+        key = mix(s[at] * U64(3) + s[at + 1])
+        ids, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n_shingles"))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(n[row])], names=["v", "doc", "n"])
+
+
+def _compare(percent: int):
+    """Links between two blocks of sets, across components."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        xs, ys = ([np.frombuffer(h, U64) for h in side] for side in (left["hashes"], right["hashes2"]))
+        shared = np.zeros((len(xs), len(ys)), np.float32)
+        if len(xs) and len(ys):
+            known = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+            at = [[np.searchsorted(known, s[np.isin(s, known, assume_unique=True)]) for s in side] for side in (xs, ys)]
+            for begin in range(0, len(known), 4096):
+                dense = []
+                for side in at:
+                    m = np.zeros((len(side), 4096), np.float32)
+                    for i, columns in enumerate(side):
+                        a, b = np.searchsorted(columns, (begin, begin + 4096))
+                        m[i, columns[a:b] - begin] = 1
+                    dense.append(m)
+                shared += dense[0] @ dense[1].T
+        n, m = np.array([len(x) for x in xs], np.float64), np.array([len(y) for y in ys], np.float64)
+        union = n[:, None] + m[None, :] - shared
+        i, j = np.nonzero((100.0 * shared >= percent * union) & (left["component"].to_numpy()[:, None] != right["component2"].to_numpy()[None, :]))
+        return pd.DataFrame({"a": left["doc"].to_numpy()[i], "b": right["doc2"].to_numpy()[j]})
 
     return run
 
@@ -154,60 +161,104 @@ class NearDup:
         tried = materialise(self._meet_leaders(lists), "pairs")
         edges = materialise(self._linked(tried), "links")
         found = connected_components(edges)
-        more = materialise(self._meet_others(lists, found, tried), "pairs")
-        found = connected_components(edges.union(self._linked(more)))
+        more = self._meet_others(lists, found, tried)
+        found = connected_components(edges.union(more))
         names = self.classes.select("sig", F.col("doc_id").alias("node")).join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
         linked = some.select("doc_id", "n_shingles", "sig").join(names, "sig").select("doc_id", "n_shingles", "component_id")
         alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return linked.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
 
     def _lists(self) -> DataFrame:
-        """Inverted lists with two members at least: (v, doc, n, ell)."""
-        spark = self.docs.sparkSession
-        counts = np.zeros(HISTOGRAM, np.int64)
-        # At most HISTOGRAM rows come to the driver, whatever the input.
-        for bucket, n in self.classes.select("sketch").mapInArrow(_histogram, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).toPandas().itertuples(index=False):
-            counts[bucket] = n
-        order = spark.sparkContext.broadcast(counts)
-        postings = self.classes.mapInArrow(_postings(order, self.threshold), "v long, doc long, n long, ell int")
+        """Inverted lists with two members at least, of sets that are in enough of them: (v, doc, n)."""
+        postings = self.classes.select("doc_id", "n_shingles", "sketch").mapInArrow(_postings, "v long, doc long, n long")
         several = postings.groupBy("v").count().where("count > 1")
-        return materialise(postings.join(several, "v", "left_semi"), "lists")
+        lists = self._busy(materialise(postings.join(several, "v", "left_semi"), "lists"))
+        return materialise(lists.join(lists.groupBy("v").count().where("count > 1"), "v", "left_semi"), "lists")
+
+    def _least_lists(self, n: str) -> str:
+        """Lists that a set of n shingles shares with any set it is linked to.
+
+        Of a linked pair in whole, at most a quarter as many shingles differ as
+        are shared, and each separates one run of shared ones.
+        """
+        shared = f"ceil({self.percent} * {n} / 100)"
+        return f"least({SHARED_LISTS}, greatest(1, {shared} - floor({shared} * {100 - self.percent} / {self.percent}) - 1))"
+
+    def _busy(self, lists: DataFrame) -> DataFrame:
+        enough = lists.groupBy("doc", "n").count().where(F.expr(f"count >= {self._least_lists('n')}"))
+        return lists.join(enough.select("doc"), "doc", "left_semi")
 
     def _near_in_size(self, n: str, m: str):
         return F.expr(f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})")
 
     def _meet_leaders(self, lists: DataFrame) -> DataFrame:
-        me = F.struct("doc", "n", "ell")
+        me = F.struct("doc", "n")
         picks = [F.min_by(me, F.xxhash64("doc", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
         leaders = lists.groupBy("v").agg(*picks).select("v", F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)])).alias("leaders"))
-        met = lists.join(leaders, "v").select("doc", "n", "ell", F.explode("leaders").alias("other"))
-        met = met.select("doc", "n", "ell", F.col("other.doc").alias("doc2"), F.col("other.n").alias("n2"), F.col("other.ell").alias("ell2"))
+        met = lists.join(leaders, "v").select("doc", "n", F.explode("leaders").alias("other"))
+        met = met.select("doc", "n", F.col("other.doc").alias("doc2"), F.col("other.n").alias("n2"))
         return self._pairs(met.where("doc <> doc2").where(self._near_in_size("n", "n2")))
 
     def _meet_others(self, lists: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs across components, of lists that hold more than one, not tried before."""
+        """Links across components, of lists that hold more than one, not tried before."""
         lists = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         lists = materialise(lists, "lists")
-        mixed = lists.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("v")
-        lists = lists.join(mixed, "v")
-        other = lists.select("v", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("ell").alias("ell2"), F.col("component").alias("component2"))
+        mixed = lists.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
+        lists = materialise(self._busy(materialise(lists.join(mixed, "v"), "lists")), "lists")
+        # Lists get a pivot: the doc in as many lists as can be, so that lists of one group have the same.
+        lists = lists.join(lists.groupBy("doc").agg(F.count("*").alias("seen")), "doc")
+        about = lists.groupBy("v").agg(F.count("*").alias("members"), F.max_by("doc", F.struct("seen", "doc")).alias("pivot"))
+        lists = materialise(lists.drop("seen").join(about, "v"), "lists")
+        long = lists.where(f"members > {LONG}")
+        in_long = long.groupBy("doc").agg(F.count("*").alias("longs"))
+        short = lists.where(f"members <= {LONG}").join(in_long, "doc", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
+        met = self._cross(short).join(tried, ["a", "b"], "left_anti")
+        # A pair without a short list in common shares enough long ones.
+        far = materialise(self._busy(long).select("pivot", "doc", "component").distinct(), "members")
+        return self._linked(met).union(self._blocks(self._whole(far.select(F.col("doc").alias("doc_id"))), far))
+
+    def _cross(self, lists: DataFrame) -> DataFrame:
+        """Pairs of (v, doc, n, longs, component) across components, of enough lists.
+
+        ``longs``: how many longer lists the doc is in, which may count too.
+        """
+        lists = lists.select("v", "doc", "n", "longs", "component")
+        other = lists.select("v", *[F.col(c).alias(f"{c}2") for c in lists.columns[1:]])
         met = lists.join(other, "v").where("component < component2").where(self._near_in_size("n", "n2"))
-        return self._pairs(met).join(tried, ["a", "b"], "left_anti")
-
-    def _pairs(self, met: DataFrame) -> DataFrame:
-        """Pairs that meet in as many lists as linked sets must."""
-        keys = [F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"), F.least("ell", "ell2").alias("ell")]
-        # A pair met from both sides in one list counts twice: more pairs pass, none is lost.
-        return met.select(*keys).groupBy("a", "b", "ell").count().where("count >= ell").select("a", "b")
+        return self._pairs(met, f"{self._least_lists('least(n, n2)')} - least(longs, longs2)")
+
+    def _blocks(self, whole: DataFrame, members: DataFrame) -> DataFrame:
+        """Links of (pivot, doc, component) between a pivot's members, those of its main component aside."""
+        sizes = members.groupBy("pivot", "component").count()
+        main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+        rows = members.join(whole.toDF("doc", "hashes"), "doc").join(main, "pivot").withColumn("aside", F.expr("component <> main"))
+        rows = materialise(rows.select("pivot", "doc", "component", "aside", "hashes"), "members")
+        mass = F.octet_length("hashes") + 64
+        blocks = lambda x: F.ceil(F.sum(x) / F.lit(BLOCK_BYTES)).cast("int")
+        deal = rows.groupBy("pivot").agg(blocks(mass).alias("rights"), blocks(F.when(F.col("aside"), mass).otherwise(0)).alias("lefts")).where("lefts > 0")
+        rows = rows.join(deal, "pivot")
+        own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = rows.where("aside").withColumn("l", own("lefts")).withColumn("r", every("rights"))
+        right = rows.withColumn("r", own("rights")).withColumn("l", every("lefts"))
+        keep = ["pivot", "l", "r", "doc", "component", "hashes"]
+        return left.select(keep).groupBy("pivot", "l", "r").cogroup(right.select(keep).toDF(*[f"{c}2" for c in keep]).groupBy("pivot2", "l2", "r2")).applyInPandas(_compare(self.percent), "a long, b long")
+
+    def _whole(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, hashes): the whole sets of some documents."""
+        return self.docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(self.width, True), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+
+    def _pairs(self, met: DataFrame, least: str = "1") -> DataFrame:
+        """Distinct pairs that met in enough lists."""
+        keys = [F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"), F.expr(least).alias("least")]
+        return met.select(*keys).groupBy("a", "b", "least").count().where("count >= least").select("a", "b")
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         sketches = self.classes.select("doc_id", "sketch")
         a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"))
         b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
         likely = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(self.threshold), "a long, b long"), "likely")
-        needed = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        whole = self.docs.join(needed, "doc_id", "left_semi").mapInArrow(_sets(self.width, True), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
-        whole = materialise(whole, "sets")
+        whole = materialise(self._whole(likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))), "sets")
         a = whole.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a"))
         b = whole.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b"))
         return likely.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
