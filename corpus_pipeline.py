@@ -1,21 +1,57 @@
-"""The corpus pipeline; stages are added as their operators land."""
+"""The corpus pipeline: quality, near-duplicates, benchmark leaks, then token ids.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller
+writes as Parquet and reads again as the next stage's docs. All but the last return the
+columns of ``documents`` and only drop rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from talkmill.llm.decontam import drop_contaminated
 from talkmill.llm.near_dup import near_dup
+from talkmill.llm.pu_quality import drop_bad
+from talkmill.llm.registry import tokenizer_file
+from talkmill.llm.shared import materialise, read_table
+from talkmill.llm.spm_fst import encode
 from talkmill.shipping import ship
 
 
-def drop_near_duplicates(spark, docs, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier rejects."""
     ship(spark)
-    kept = near_dup(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return drop_bad(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the one of the smallest doc_id, of each near-duplicate group."""
+    ship(spark)
+    groups = near_dup(docs, width=5, percent=80)
+    return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which ten consecutive words of a benchmark item occur."""
+    ship(spark)
+    return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, checked by decoding them again."""
+    ship(spark)
+    return encode(docs, tokenizer_file("piece_bpe_32k.model"))
+
 
+STAGES = [("quality classifier", quality), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminate), ("SentencePiece encoding and decoding", tokenize)]
 
-STAGES = [("MinHash near-dedup", drop_near_duplicates)]
+#: The classifier and the encoder are beyond SQL; tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
