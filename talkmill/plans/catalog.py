@@ -8,3 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from talkmill.plans import evaluation, labelling, text_queries, tables, windows  # noqa: F401
+
+
+load()
