@@ -43,6 +43,7 @@ SHARED_LISTS = 4
 LEADERS = 4
 #: Lists with more members are compared in blocks of so many bytes of sets.
 LONG, BLOCK_BYTES = 32, 2_000_000
+MOST_BITS = 1 << 24
 
 
 def _sets(width: int, whole: bool):
@@ -245,8 +246,18 @@ class NearDup:
         return left.select(keep).groupBy("pivot", "l", "r").cogroup(right.select(keep).toDF(*[f"{c}2" for c in keep]).groupBy("pivot2", "l2", "r2")).applyInPandas(_compare(self.percent), "a long, b long")
 
     def _whole(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, hashes): the whole sets of some documents."""
-        return self.docs.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(self.width, True), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+        """(doc_id, hashes): the whole sets of some documents.
+
+        A bit set of the ids, of at most MOST_BITS bits, is broadcast first, so
+        that texts of other documents are hardly shuffled.
+        """
+        ids = materialise(ids.distinct(), "ids")
+        bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, (16 * ids.count()).bit_length()))
+        bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
+        docs = self.docs.withColumn("bit", bit).withColumn("word", F.expr("bit div 64")).join(F.broadcast(words), "word")
+        docs = docs.where("(shiftrightunsigned(mask, cast(bit % 64 as int)) & 1) = 1").select("doc_id", "text")
+        return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.width, True), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
     def _pairs(self, met: DataFrame, least: str = "1") -> DataFrame:
         """Distinct pairs that met in enough lists."""
