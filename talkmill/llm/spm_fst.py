@@ -11,17 +11,20 @@ pieces in which every two neighbours are themselves the encoding of their
 concatenation. The pair automaton has a state for the last piece; an arc to a
 piece that may not follow weighs infinity. Its arcs are made when first met, by
 merging the pair, and remembered. So the shortest path is exactly the
-library's encoding.
+library's encoding, and as only one path to each position of an input is finite,
+the search keeps one state a position and stops at the first finite arc.
 
-Paths are composed pre-token by pre-token (no piece crosses the cut before a
-word's blanks; the pair automaton is checked only inside) and distinct
-pre-tokens are remembered by each worker, up to ``MOST_WORDS``.
+No piece crosses the cut before a word's blanks, so inputs are composed pre-token by
+pre-token. New pre-tokens of some texts are taken in sorted order and share the
+search of their common prefixes; encodings are remembered by each worker, up to
+``MOST_WORDS``.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 from talkmill.llm.pieces import SPACE, Pieces, load_pieces, normalise
 from talkmill.llm.shared import slices
 
-MOST_WORDS = 400_000
-MOST_PAIRS = 2_000_000
+MOST_WORDS = 300_000
+MOST_PAIRS = 1_000_000
+SLICE_BYTES = 4_000_000
+#: Above any symbol number; pairs are kept under one number.
+_SYMBOLS = 1 << 22
 PRE_TOKEN = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 _coders: dict[str, Transducer] = {}
@@ -44,13 +50,49 @@ class Transducer:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        # Arcs into each state: pieces by their last character, and the longest such piece.
-        self.by_last: dict[str, int] = {}
-        for p in pieces.ids:
-            self.by_last[p[-1]] = max(self.by_last.get(p[-1], 0), len(p))
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self._compile()
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
+    def _compile(self) -> None:
+        """The piece transducer: a state for each beginning of a piece.
+
+        ``step[state]`` maps a character to the next state (the longest end of the
+        text read so far that begins a piece), and ``arcs[state]`` lists the pieces
+        that end here, (id, length), longest first.
+        """
+        step: list[dict[str, int]] = [{}]
+        own: list[tuple[int, int] | None] = [None]
+        for piece, symbol in self.pieces.ids.items():
+            state = 0
+            for char in piece:
+                following = step[state].get(char)
+                if following is None:
+                    following = step[state][char] = len(step)
+                    step.append({})
+                    own.append(None)
+                state = following
+            own[state] = (symbol, len(piece))
+        fail, arcs = [0] * len(step), [()] * len(step)
+        queue = list(step[0].values())
+        for state in queue:
+            arcs[state] = ((own[state],) if own[state] else ()) + arcs[fail[state]]
+            for char, following in step[state].items():
+                back = fail[state]
+                while back and char not in step[back]:
+                    back = fail[back]
+                fail[following] = step[back].get(char, 0)
+                queue.append(following)
+        self.step, self.fail, self.arcs = step, fail, arcs
+
+    def _next(self, state: int, char: str) -> int:
+        """A transition that isn't in the table yet."""
+        back = state
+        while back and char not in self.step[back]:
+            back = self.fail[back]
+        following = self.step[state][char] = self.step[back].get(char, 0)
+        return following
+
     def merges(self, text: str) -> list[str]:
         """The merge order's own segmentation: best score first, leftmost among equals."""
         parts, scores = list(text), self.pieces.scores
@@ -65,64 +107,85 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def may_follow(self, left: str, right: str) -> bool:
-        """Whether the pair automaton has a finite arc from ``left`` to ``right``."""
-        key = (left, right)
-        known = self.pairs.get(key)
+    def _may_follow(self, left: int, right: int) -> bool:
+        """Whether the pair automaton has a finite arc between two symbols."""
+        a, b = self._text(left), self._text(right)
+        if len(self.pairs) > MOST_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left * _SYMBOLS + right] = self.merges(a + b) == [a, b]
+        return known
+
+    def _text(self, symbol: int) -> str:
+        return self.pieces.names[symbol] if symbol >= 0 else chr(-symbol - 1)
+
+    def shortest_paths(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """(word, symbols) of the only finite path of each word; symbols outside the vocabulary are -ord - 1.
+
+        Words come back sorted; the search of a prefix that a word has in common with the one before isn't repeated.
+        """
+        step, all_arcs, pairs = self.step, self.arcs, self.pairs
+        states, last, start = [0], [0], [0]  # by position: piece state, last symbol of its path, where that begins
+        previous = ""
+        for word in sorted(words):
+            same, n = 0, min(len(previous), len(word))
+            while same < n and previous[same] == word[same]:
+                same += 1
+            del states[same + 1 :], last[same + 1 :], start[same + 1 :]
+            state = states[same]
+            for i in range(same, len(word)):
+                char = word[i]
+                following = step[state].get(char)
+                state = self._next(state, char) if following is None else following
+                for symbol, length in all_arcs[state]:
+                    j = i + 1 - length
+                    if j:
+                        finite = pairs.get(last[j] * _SYMBOLS + symbol)
+                        if finite or finite is None and self._may_follow(last[j], symbol):
+                            break
+                    elif length == 1 or self._alone(symbol):
+                        break
+                else:
+                    symbol, j = -ord(char) - 1, i
+                states.append(state)
+                last.append(symbol)
+                start.append(j)
+            previous = word
+            path, at = [], len(word)
+            while at:
+                path.append(last[at])
+                at = start[at]
+            path.reverse()
+            yield word, path
+
+    def _alone(self, symbol: int) -> bool:
+        """Whether a piece is the encoding of its own text."""
+        known = self.pairs.get(symbol)
         if known is None:
-            if len(self.pairs) > MOST_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merges(left + right) == [left, right]
+            text = self._text(symbol)
+            known = self.pairs[symbol] = self.merges(text) == [text]
         return known
 
-    def shortest_path(self, word: str) -> list[str]:
-        """Pieces of the least-weight path; characters outside the vocabulary stand alone."""
-        ids, by_last, may_follow = self.pieces.ids, self.by_last, self.may_follow
-        # best[i]: last piece -> (weight, where the piece begins, piece before it)
-        best: list[dict[str, tuple[int, int, str]]] = [{"": (0, 0, "")}]
-        for i, char in enumerate(word, 1):
-            here: dict[str, tuple[int, int, str]] = {}
-            for n in range(min(i, by_last.get(char, 1)), 0, -1):
-                piece = word[i - n : i]
-                if n > 1 and piece not in ids:
-                    continue
-                for before, (weight, _, _) in best[i - n].items():
-                    if (before == "" or may_follow(before, piece)) and (piece not in here or weight + 1 < here[piece][0]):
-                        here[piece] = (weight + 1, i - n, before)
-            best.append(here)
-        at = len(word)
-        piece = min(best[at], key=lambda p: (best[at][p][0], p)) if best[at] else ""
-        out = []
-        while at:
-            out.append(piece)
-            _, at, piece = best[at][piece]
-        return out[::-1]
-
-    def word_ids(self, word: str) -> bytes:
+    def _ids(self, path: list[int]) -> bytes:
         out: list[int] = []
-        for piece in self.shortest_path(word):
-            known = self.pieces.ids.get(piece)
-            if known is not None:
-                out.append(known)
+        for symbol in path:
+            if symbol >= 0:
+                out.append(symbol)
             elif self.pieces.byte_ids:
-                out += [self.pieces.byte_ids[b] for b in piece.encode()]
+                out += [self.pieces.byte_ids[b] for b in chr(-symbol - 1).encode()]
             elif not out or out[-1] != self.pieces.unknown:
                 out.append(self.pieces.unknown)
-        return np.array(out, "<u4").tobytes()
+        return array("I", out).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        words = PRE_TOKEN.findall(normalise(text, self.pieces))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, each as little-endian unsigned 32-bit integers."""
+        split = [PRE_TOKEN.findall(normalise(t, self.pieces)) for t in texts]
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
         known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > MOST_WORDS:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.word_ids(w)
-            return b"".join([known[w] for w in words])
+        new = set().union(*split).difference(known)
+        for w, path in self.shortest_paths(new):
+            known[w] = self._ids(path)
+        return [b"".join([known[w] for w in words]) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse: bytes joined, SPACE to blank, the blank in front removed."""
@@ -164,9 +227,9 @@ def encode(docs: DataFrame, model_path: str, digest: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = coder(model_path)
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [fst.encode(t) for t in texts]
+            ids = fst.encode(texts)
             lossless = [fst.decode(np.frombuffer(x, "<u4")) == t for x, t in zip(ids, texts, strict=True)]
             values = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), values, pa.array(lossless)], names=["doc_id", "n_tokens", name, "lossless"])

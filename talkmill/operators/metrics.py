@@ -6,11 +6,12 @@ which every metric is arithmetic over the label domain.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.nulls import differs, ratio, same
 from talkmill.operators.aggregate import domain_table
+from talkmill.operators.ordering import average_rank_table
 
 PARSE_FAIL = "PARSE_FAIL"
 
@@ -95,9 +96,7 @@ def kappa(table: DataFrame, keys: list[str], domain: list[str], quadratic: bool
 
 def auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """ROC AUC from average ranks; ranks come from counts of distinct scores, not from a sort of all rows."""
-    tied = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("t"), F.sum(positive.cast("long")).alias("p"))
-    w = Window.partitionBy(*keys).orderBy(score)
-    ranked = tied.withColumn("rank", F.sum("t").over(w) - (F.col("t") - 1) / 2.0)
+    ranked = average_rank_table(df, keys, score, F.sum(positive.cast("long")).alias("p"))
     out = ranked.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum(F.col("t") - F.col("p")).alias("n_neg"), F.sum(F.col("p") * F.col("rank")).alias("r"))
     value = ratio(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0, F.col("n_pos") * F.col("n_neg"))
     return out.select(*keys, "n_pos", "n_neg", value.alias("auc"))

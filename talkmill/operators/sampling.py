@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.operators.ordering import number_by_hash
+
 
 def hash_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
@@ -37,7 +39,8 @@ def quota_sample(df: DataFrame, group: str, key: str, quotas: dict[str, int], se
     table = df.sparkSession.createDataFrame(list(quotas.items()), f"`{group}` string, quota int")
     rows = df.join(F.broadcast(table), group)
     w = Window.partitionBy(group).orderBy(hash_order(key, seed), key)
-    rows = rows.withColumn("_r", F.row_number().over(w)).where("_r <= quota").drop("_r", "quota")
+    # The literal bound lets Spark drop rows before the shuffle.
+    rows = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(quotas.values(), default=0)).where("_r <= quota").drop("_r", "quota")
     # At most the sum of the quotas is left, so one task may number them.
     return rows.withColumn("position", F.row_number().over(Window.orderBy(hash_order(key, seed + 1), key)))
 
@@ -61,7 +64,7 @@ def proportional_allocation(df: DataFrame, group: str, total: int, floor: int =
 def proportional_sample(df: DataFrame, group: str, key: str, total: int, seed: int = 42, floor: int = 0) -> DataFrame:
     table = proportional_allocation(df, group, total, floor).select(group, "alloc")
     w = Window.partitionBy(group).orderBy(hash_order(key, seed), key)
-    return df.join(F.broadcast(table), group).withColumn("_r", F.row_number().over(w)).where("_r <= alloc").drop("_r", "alloc")
+    return df.join(F.broadcast(table), group).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= total).where("_r <= alloc").drop("_r", "alloc")
 
 
 def sample_excluding(df: DataFrame, taken: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -70,5 +73,5 @@ def sample_excluding(df: DataFrame, taken: DataFrame, key: str, n: int, seed: in
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold`` 0 to k - 1: every class is dealt evenly in hash order."""
-    w = Window.partitionBy(label).orderBy(hash_order(key, seed), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    numbered = number_by_hash(df, [label], hash_order(key, seed), key, "_nth_of_class")
+    return numbered.withColumn("fold", F.pmod(F.col("_nth_of_class") - 1, F.lit(k)).cast("int")).select(*df.columns, "fold")

@@ -6,10 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.nulls import ratio, same
+from talkmill.operators.ordering import average_rank_table
 
 
 def chi2_tail(stat: float) -> float:
@@ -115,9 +116,7 @@ def two_by_two_test(cells: DataFrame) -> DataFrame:
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> DataFrame:
     """U of the first sample, and z with tie correction and continuity; ranks from distinct values."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    tied = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("t"), F.sum(first.cast("long")).alias("p"))
-    tied = tied.withColumn("rank", F.sum("t").over(w) - (F.col("t") - 1) / 2.0)
+    tied = average_rank_table(df, keys, value, F.sum(first.cast("long")).alias("p"))
     out = tied.groupBy(*keys).agg(F.sum("p").alias("n1"), F.sum(F.col("t") - F.col("p")).alias("n2"), F.sum(F.col("p") * F.col("rank")).alias("r1"), F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -129,8 +128,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> D
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """Adds average ranks, computed on distinct values and joined back."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_t"))
-    ranks = counts.select(value, (F.sum("_t").over(Window.orderBy(value)) - (F.col("_t") - 1) / 2.0).alias(name))
+    ranks = average_rank_table(df, [], value).select(value, F.col("rank").alias(name))
     return df.join(ranks, value, "left")
 
 
