@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkmill.functions import text as T
 from talkmill.operators import batching, governance, policy, requests
 from talkmill.operators import metrics as M
 from talkmill.plans.catalog import query
 from talkmill.plans.common import LAB, WIDE
+from talkmill.shipping import ship
+from talkmill.sources import provider, sinks
 from talkmill.sources.adapters import FOCUS, LABELS, table, wide_predictions
 
 _FUSE = f"""{WIDE}, g AS (SELECT call_id, call_id % 3 = 0 AS has_focus, a3 AS gate_label FROM wide WHERE call_id % 4 > 0), r AS (SELECT call_id, a5 AS refined_label FROM wide WHERE call_id % 5 > 0)"""
@@ -154,3 +157,32 @@ def voice_effect(spark, d):
     kind = M.change_class(F.col("gold"), F.col("a5"), F.col("d5"))
     both = F.col("a5").isNotNull() & F.col("d5").isNotNull()
     return wide_predictions(spark, d).select("call_id", (both & (kind == "improved")).alias("saved"), (both & (kind == "worsened")).alias("ruined"))
+
+
+@query("SELECT md5('{\"custom_id\":\"' || conv_id || '::A::N' || turn || '\",\"method\":\"POST\",\"url\":\"/v1/chat\",\"body\":{\"model\":\"m\",\"temperature\":0,\"messages\":[{\"role\":\"user\",\"content\":\"' || role || '\"}]}}') AS line_md5, conv_id, turn FROM conversations")
+def request_lines(spark, d):
+    rows = table(spark, d, "conversations").withColumns({"custom_id": requests.custom_id(F.col("conv_id").cast("string"), F.lit("A"), F.concat(F.lit("N"), F.col("turn").cast("string"))), "prompt": F.col("role")})
+    lines = sinks.request_lines(rows, "m", "/v1/chat")
+    back = F.get_json_object("value", "$.custom_id")
+    return lines.select(F.md5(F.col("value").cast("binary")).alias("line_md5"), F.split_part(back, F.lit("::"), F.lit(1)).cast("long").alias("conv_id"), F.regexp_extract(back, r"N(\d+)$", 1).cast("long").alias("turn"))
+
+
+@query("SELECT md5('{\"messages\":[' || string_agg('{\"role\":\"' || role || '\",\"content\":\"turn ' || turn || '\"}', ',' ORDER BY turn) || '],\"audios\":[]}') AS line_md5 FROM conversations GROUP BY conv_id")
+def chat_lines(spark, d):
+    rows = table(spark, d, "conversations").withColumn("content", F.concat(F.lit("turn "), F.col("turn").cast("string")))
+    return sinks.chat_lines(rows, ["conv_id"], "turn", "role", "content").select(F.md5(F.col("value").cast("binary")).alias("line_md5"))
+
+
+@query(f"SELECT o_orderkey, {LAB}[('0x' || md5('order ' || o_orderkey)[1:8])::BIGINT % 7 + 1] AS label FROM orders WHERE o_orderkey % 10 = 0")
+def provider_labels(spark, d):
+    ship(spark)
+    asked = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").cast("string").alias("custom_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("prompt"))
+    got = provider.label(asked, provider.OfflineProvider(LABELS, fail_every=50))
+    return got.select(F.col("custom_id").cast("long").alias("o_orderkey"), T.parse_tagged(F.col("response"), "c", LABELS)["label"].alias("label"))
+
+
+@query(f"WITH {WIDE}, th AS (SELECT unnest([0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS threshold), s AS (SELECT threshold, 2 * count(*) FILTER (WHERE proba >= threshold AND gold = 'complaint') / (count(*) FILTER (WHERE proba >= threshold) + count(*) FILTER (WHERE gold = 'complaint')) AS f1 FROM wide, th GROUP BY threshold) SELECT threshold, round(f1, 6) AS f1 FROM s ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold(spark, d):
+    swept = M.threshold_sweep(wide_predictions(spark, d), "proba", F.col("gold") == FOCUS, [0.2, 0.4, 0.6, 0.8])
+    best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("b")
+    return swept.agg(best).select("b.threshold", F.round("b.f1", 6).alias("f1"))

@@ -126,3 +126,20 @@ def prompt_leak_check(spark, d):
 def probability_entropy(spark, d):
     p = (F.col("o_orderkey") % 9 + 0.5) / 10
     return table(spark, d, "orders").select("o_orderkey", F.round(T.entropy(F.array(p, 1 - p)), 9).alias("h"))
+
+
+@query(
+    f"""SELECT event_id, {_K} % 5 AS digit, {LAB}[{_K} % 7 + 1] AS anywhere, CASE WHEN {_K} % 2 = 0 THEN 'service_use' ELSE {LAB}[{_K} % 7 + 1] END AS tail, CASE WHEN {_K} % 3 = 0 THEN 'KEEP' ELSE 'REVERT' END AS verdict FROM events WHERE {_K} % 7 < 5"""
+)
+def fallback_parsers(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), k % 7 + 1)
+    digit = F.concat(F.lit("rated 7 or "), (k % 5).cast("string"), F.lit(" of 9"))
+    said = F.concat(label, F.lit(" " * 60), F.when(k % 2 == 0, F.lit("service_use")).otherwise(F.lit("")))
+    verdict = F.concat(F.lit("So I would "), F.when(k % 3 == 0, "Keep").otherwise("revert"), F.lit(" it."))
+    return table(spark, d, "events").where(k % 7 < 5).select("event_id", T.first_digit(digit).alias("digit"), T.contained_label(said, LABELS).alias("anywhere"), T.tail_label(said, LABELS).alias("tail"), T.keep_or_revert(verdict))
+
+
+@query(r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\f\r]'), lambda w: ceil(length(w) / 4.0)::INTEGER)), 0)::INTEGER AS n_tokens FROM documents WHERE lang = 'en'")
+def token_length(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.approximate_tokens(F.col("text")).alias("n_tokens"))
