@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +32,26 @@ def expand_windows(pool: DataFrame, sizes: tuple[int, ...] = SIZES) -> DataFrame
     return pool.withColumn("cell", F.explode(F.array_compact(F.array(*cells)))).select("*", "cell.*").drop("cell")
 
 
+def with_group_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds _n, _v (not null), _m, _s (population) of the group.
+
+    Partial aggregates are joined back, so that a group of any size is shared by many tasks.
+    """
+    x = F.col(value)
+    names = [f"_k{i}" for i in range(len(keys))]
+    stats = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("_n"), F.count(x).alias("_v"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)])
+    return rows.join(stats, same, "left").drop(*names)
+
+
 def z_within(rows: DataFrame, keys: list[str], value: str, fallback_keys: list[str], least: int = 2) -> DataFrame:
     """z-score in the group (population deviation), else against the sample deviation of ``fallback_keys``."""
-    own, far = Window.partitionBy(*keys), Window.partitionBy(*fallback_keys)
     x = F.col(value)
-    ok = (F.count(F.lit(1)).over(own) >= least) & (F.count(x).over(own) >= least) & (F.stddev_pop(x).over(own) > 0)
-    stats = rows.groupBy(*fallback_keys).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_std"))
-    del far
-    out = rows.withColumns({"_ok": F.coalesce(ok, F.lit(False)), "_own_mean": F.avg(x).over(own), "_own_std": F.stddev_pop(x).over(own)}).join(stats, fallback_keys, "left")
-    z = F.when(F.col("_ok"), (x - F.col("_own_mean")) / F.nullif("_own_std", F.lit(0.0))).otherwise((x - F.col("_mean")) / F.nullif("_std", F.lit(0.0)))
-    return out.withColumns({"z": z, "norm_source": F.when(F.col("_ok"), "within_window").otherwise("global_fallback")}).drop("_ok", "_own_mean", "_own_std", "_mean", "_std")
+    ok = F.coalesce((F.col("_n") >= least) & (F.col("_v") >= least) & (F.col("_s") > 0), F.lit(False))
+    far = rows.groupBy(*fallback_keys).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_std"))
+    out = with_group_stats(rows, keys, value).join(far, fallback_keys, "left")
+    z = F.when(ok, (x - F.col("_m")) / F.nullif("_s", F.lit(0.0))).otherwise((x - F.col("_mean")) / F.nullif("_std", F.lit(0.0)))
+    return out.withColumns({"z": z, "norm_source": F.when(ok, "within_window").otherwise("global_fallback")}).drop("_n", "_v", "_m", "_s", "_mean", "_std")
 
 
 def population_stats(rows: DataFrame, group: str, metrics: list[str], unknown: str = "UNKNOWN") -> DataFrame:
@@ -56,11 +69,10 @@ def z_population(rows: DataFrame, keys: list[str], value: str, group: str, stats
     or unknown use 'ALL'. With ``shrink``, groups of 2 to least - 1 rows share one z of
     their mean.
     """
-    own = Window.partitionBy(*keys)
     x = F.col(value)
     known = stats.where(F.col(group) != "ALL").select(group, F.col("mean").alias("_pm"), F.col("std").alias("_ps"))
     total = stats.where(F.col(group) == "ALL").select(F.lit(1).alias("_one"), F.col("mean").alias("_am"), F.col("std").alias("_as"))
-    out = rows.withColumns({"_n": F.count(F.lit(1)).over(own), "_v": F.count(x).over(own), "_m": F.avg(x).over(own), "_s": F.stddev_pop(x).over(own), "_one": F.lit(1)})
+    out = with_group_stats(rows, keys, value).withColumn("_one", F.lit(1))
     out = out.join(known, group, "left").join(total, "_one", "left")
     mean, std = F.coalesce("_pm", "_am"), F.nullif(F.coalesce("_ps", "_as"), F.lit(0.0))
     within = (F.col("_n") >= least) & (F.col("_v") >= 2) & (F.col("_s") > 0)
