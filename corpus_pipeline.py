@@ -13,33 +13,32 @@ from talkmill.llm.decontam import drop_contaminated
 from talkmill.llm.near_dup import near_dup
 from talkmill.llm.pu_quality import drop_bad
 from talkmill.llm.registry import tokenizer_file
-from talkmill.llm.shared import materialise, read_table
+from talkmill.llm.shared import materialise, prepare, read_table
 from talkmill.llm.spm_fst import encode
-from talkmill.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality classifier rejects."""
-    ship(spark)
+    prepare(spark)
     return drop_bad(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one of the smallest doc_id, of each near-duplicate group."""
-    ship(spark)
+    prepare(spark)
     groups = near_dup(docs, width=5, percent=80)
     return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which ten consecutive words of a benchmark item occur."""
-    ship(spark)
+    prepare(spark)
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, checked by decoding them again."""
-    ship(spark)
+    prepare(spark)
     return encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

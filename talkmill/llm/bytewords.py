@@ -35,7 +35,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) <= n:
         step = _BASE if kind == "up" else _INVERSE
-        filled = np.full(max(n + 1, 1 << 21), step, U64)
+        filled = np.full(max(n + 1, 1 << 20), step, U64)
         filled[0] = 1
         have = _powers[kind] = np.multiply.accumulate(filled)
     return have

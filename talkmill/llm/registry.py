@@ -13,14 +13,13 @@ from talkmill.llm.decontam import contamination
 from talkmill.llm.lm import score_texts
 from talkmill.llm.near_dup import near_dup
 from talkmill.llm.pu_quality import score_quality
-from talkmill.llm.shared import read_table
+from talkmill.llm.shared import prepare, read_table
 from talkmill.llm.sharding import rendezvous_shards
 from talkmill.llm.spm_fst import encode
 from talkmill.llm.token_counts import count_tokens
 from talkmill.llm.token_files import read_digests, write_token_files
 from talkmill.llm.topk import top_k
 from talkmill.llm.url_filter import filter_urls
-from talkmill.shipping import ship
 
 SHARDS = [1.0] * 40
 
@@ -31,7 +30,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return near_dup(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
@@ -44,38 +43,38 @@ def op3_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return encode(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), digest=True)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     folder, manifest = write_token_files(read_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
     return read_digests(folder, manifest)
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return top_k(read_table(spark, sf_dir, "embeddings"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return score_texts(read_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 

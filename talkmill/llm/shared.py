@@ -17,6 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkmill.shipping import ship
+
+
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package importable on executors; unless the user chose otherwise, send texts to Python in small batches."""
+    ship(spark)
+    if spark.conf.get(ROWS_A_BATCH) == "10000":
+        spark.conf.set(ROWS_A_BATCH, "2000")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode."""
@@ -65,7 +77,7 @@ def fold_of(column: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece has about ``max_bytes`` of text; rows stay whole."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
