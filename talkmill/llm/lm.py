@@ -35,7 +35,7 @@ from talkmill.llm.bytewords import NOT_SPACE, U64, find_words, mix
 from talkmill.llm.shared import fold_of, materialise, slices
 
 FOLDS, TEST_FOLD, DEV_FOLD = 7, 2, 3
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 KEYS_A_RANGE = 1_500_000
 #: A block's row for one range has so many keys at least, on average.
 LEAST_KEYS_A_ROW = 256
@@ -52,34 +52,60 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, fold, text) to one row a block."""
-    ids, folds, lengths, hashes, held = [], [], [], [], 0
+BLOCK_SCHEMA = "block long, dev boolean, ids binary, folds binary, lengths binary, words binary, tokens binary, n_words long, n_tokens long"
+
+
+class _Pile:
+    """Documents waiting to become a block."""
+
+    def __init__(self, dev: bool) -> None:
+        self.dev = dev
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
 
-    def block() -> pa.RecordBatch:
-        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-        values = [uuid.uuid4().int >> 65, _pack(np.concatenate(ids)), _pack(np.concatenate(folds)), _pack(np.concatenate(lengths)), words.tobytes(), _pack(tokens.astype("<u4")), len(words), len(tokens)]
-        kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["block", "ids", "folds", "lengths", "words", "tokens", "n_words", "n_tokens"])
+    def add(self, ids: np.ndarray, folds: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
+        if len(ids):
+            self.parts.append((ids, folds, lengths, hashes))
+            self.held += len(hashes)
 
+    def block(self) -> pa.RecordBatch:
+        ids, folds, lengths, hashes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.clear()
+        words, tokens = np.unique(hashes, return_inverse=True)
+        values = [uuid.uuid4().int >> 65, self.dev, _pack(ids), _pack(folds), _pack(lengths), words.tobytes(), _pack(tokens.astype("<u4")), len(words), len(tokens)]
+        kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["block", "dev", "ids", "folds", "lengths", "words", "tokens", "n_words", "n_tokens"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, fold, text) to one row a block; documents of DEV_FOLD have blocks of their own."""
+    piles = _Pile(False), _Pile(True)
     for batch in slices(batches):
         words = find_words(batch.column("text"), NOT_SPACE)
         per = words.per_text
         h = np.full(len(words.start) + len(per), END, U64)
         h[np.arange(len(words.start)) + np.repeat(np.arange(len(per)), per)] = words.hashes()
-        ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8"))
-        folds.append(batch.column("fold").to_numpy(zero_copy_only=False).astype("<i4"))
-        lengths.append((per + 1).astype("<i8"))
-        hashes.append(h)
-        held += len(h)
-        if held >= BLOCK_TOKENS:
-            yield block()
-            ids, folds, lengths, hashes, held = [], [], [], [], 0
-    if held:
-        yield block()
-
-
-BLOCK_SCHEMA = "block long, ids binary, folds binary, lengths binary, words binary, tokens binary, n_words long, n_tokens long"
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8")
+        folds = batch.column("fold").to_numpy(zero_copy_only=False).astype("<i4")
+        lengths = (per + 1).astype("<i8")
+        for pile in piles:
+            own = (folds == DEV_FOLD) == pile.dev
+            pile.add(ids[own], folds[own], lengths[own], h[np.repeat(own, lengths)])
+            if pile.held >= BLOCK_TOKENS:
+                yield pile.block()
+    for pile in piles:
+        if pile.held:
+            yield pile.block()
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
 class Block:
@@ -119,23 +145,23 @@ def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 def _ask(word_ranges: int, pair_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                for kind, keys, numbers, ranges in ((0, block.words, block.tokens, word_ranges), (1, block.pairs, block.pair, pair_ranges)):
-                    train, dev = block.counts(numbers, len(keys))
-                    cuts = _cuts(keys, ranges)
-                    spans = [(p, cuts[p], cuts[p + 1]) for p in range(ranges) if cuts[p] < cuts[p + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([kind * word_ranges + p for p, _, _ in spans], pa.int64()),
-                            pa.array([row["block"]] * len(spans), pa.int64()),
-                            pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
-                            pa.array([_pack(train[a:b].astype("<u4")) for _, a, b in spans], pa.binary()),
-                            pa.array([_pack(dev[a:b].astype("<u4")) for _, a, b in spans], pa.binary()),
-                        ],
-                        names=["range", "block", "keys", "train", "dev"],
-                    )
+        for row in _rows(batches):
+            block = Block(row)
+            for kind, keys, numbers, ranges in ((0, block.words, block.tokens, word_ranges), (1, block.pairs, block.pair, pair_ranges)):
+                train, dev = block.counts(numbers, len(keys))
+                cuts = _cuts(keys, ranges)
+                spans = [(p, cuts[p], cuts[p + 1]) for p in range(ranges) if cuts[p] < cuts[p + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([kind * word_ranges + p for p, _, _ in spans], pa.int64()),
+                        pa.array([row["block"]] * len(spans), pa.int64()),
+                        pa.array([row["dev"]] * len(spans), pa.bool_()),
+                        pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                        pa.array([_pack(train[a:b].astype("<u4")) for _, a, b in spans], pa.binary()),
+                        pa.array([_pack(dev[a:b].astype("<u4")) for _, a, b in spans], pa.binary()),
+                    ],
+                    names=["range", "block", "is_dev", "keys", "train", "dev"],
+                )
 
     return run
 
@@ -150,19 +176,21 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     rest = train - dev
     first = [1] + [0] * (len(rows) - 1)
     total = lambda x: [int(x) * f for f in first]  # noqa: E731  the range's totals, in one of its rows
+    # Only blocks of DEV_FOLD ever look at its counts.
+    devs = [_pack(dev[s]) if own else b"" for s, own in zip(spans, rows["is_dev"], strict=True)]
     return pd.DataFrame(
-        {"block": rows["block"], "range": rows["range"], "train": [_pack(train[s]) for s in spans], "dev": [_pack(dev[s]) for s in spans], "n": total(train.sum()), "v": total((train > 0).sum()), "n_rest": total(rest.sum()), "v_rest": total((rest > 0).sum())}
+        {"block": rows["block"], "is_dev": rows["is_dev"], "range": rows["range"], "train": [_pack(train[s]) for s in spans], "dev": devs, "n": total(train.sum()), "v": total((train > 0).sum()), "n_rest": total(rest.sum()), "v_rest": total((rest > 0).sum())}
     )
 
 
-def _answered(row: dict, block: Block, word_ranges: int) -> list[np.ndarray]:
-    """Counts of the block's words, and of its bigrams: in training, and of DEV_FOLD."""
+def _answered(row: dict, block: Block, word_ranges: int, columns: tuple[str, ...] = ("train", "dev")) -> list[np.ndarray]:
+    """Counts of the block's words, and of its bigrams: in training, and of DEV_FOLD if asked for."""
     answers = sorted(row["answers"], key=lambda a: a["range"])
     out = []
     for words in (True, False):
         own = [a for a in answers if (a["range"] < word_ranges) == words]
-        out += [np.concatenate([_unpack(a[c], "<u8") for a in own]).astype(np.float64) for c in ("train", "dev")]
-    assert len(out[0]) == len(block.words) and len(out[2]) == len(block.pairs)
+        out += [np.concatenate([_unpack(a[c], "<u8") for a in own]).astype(np.float64) for c in columns]
+    assert len(out[0]) == len(block.words) and len(out[-1]) == len(block.pairs)
     return out
 
 
@@ -180,17 +208,16 @@ def _histogram(word_ranges: int, n_rest: int, docs_rest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3, CELLS))
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                w, w_dev, p, p_dev = _answered(row, block, word_ranges)
-                at = np.flatnonzero(block.fold_of_token == DEV_FOLD)
-                of_context = np.append(w - w_dev, docs_rest)[block.context[at]]
-                p2 = (p - p_dev)[block.pair[at]] / np.maximum(of_context, 1)
-                p1 = (w - w_dev)[block.tokens[at]] / max(n_rest, 1)
-                cell = (bucket_of(of_context) * (BINS + 1) + _bin(p2)) * (BINS + 1) + _bin(p1)
-                for i, x in enumerate((None, p2, p1)):
-                    sums[i] += np.bincount(cell, x, CELLS)
+        for row in _rows(batches):
+            block = Block(row)
+            w, w_dev, p, p_dev = _answered(row, block, word_ranges)
+            at = np.flatnonzero(block.fold_of_token == DEV_FOLD)
+            of_context = np.append(w - w_dev, docs_rest)[block.context[at]]
+            p2 = (p - p_dev)[block.pair[at]] / np.maximum(of_context, 1)
+            p1 = (w - w_dev)[block.tokens[at]] / max(n_rest, 1)
+            cell = (bucket_of(of_context) * (BINS + 1) + _bin(p2)) * (BINS + 1) + _bin(p1)
+            for i, x in enumerate((None, p2, p1)):
+                sums[i] += np.bincount(cell, x, CELLS)
         used = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(s[used]) for s in sums]], names=["cell", "n", "p2", "p1"])
 
@@ -215,27 +242,26 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, p2: np.ndarray, p1: np.ndarr
 
 def _score(word_ranges: int, n: int, v: int, docs: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                w, _, p, _ = _answered(row, block, word_ranges)
-                sums = lambda x: np.add.reduceat(x, block.start)
-                of_word = w[block.tokens]
-                of_context = np.append(w, docs)[block.context]
-                mix3 = weights[bucket_of(of_context)]
-                chance = mix3[:, 0] * p[block.pair] / np.maximum(of_context, 1) + mix3[:, 1] * of_word / max(n, 1) + mix3[:, 2] / (v + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(block.ids),
-                        pa.array(block.folds == TEST_FOLD),
-                        pa.array(block.lengths),
-                        pa.array(sums((of_word > 0).astype(np.int64))),
-                        pa.array(np.full(len(block.ids), n, np.int64)),
-                        pa.array(sums(np.log10((of_word + 1) / (n + v + 1)))),
-                        pa.array(sums(np.log10(chance))),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in _rows(batches):
+            block = Block(row)
+            w, p = _answered(row, block, word_ranges, ("train",))
+            sums = lambda x: np.add.reduceat(x, block.start)
+            of_word = w[block.tokens]
+            of_context = np.append(w, docs)[block.context]
+            mix3 = weights[bucket_of(of_context)]
+            chance = mix3[:, 0] * p[block.pair] / np.maximum(of_context, 1) + mix3[:, 1] * of_word / max(n, 1) + mix3[:, 2] / (v + 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block.ids),
+                    pa.array(block.folds == TEST_FOLD),
+                    pa.array(block.lengths),
+                    pa.array(sums((of_word > 0).astype(np.int64))),
+                    pa.array(np.full(len(block.ids), n, np.int64)),
+                    pa.array(sums(np.log10((of_word + 1) / (n + v + 1)))),
+                    pa.array(sums(np.log10(chance))),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return run
 
@@ -259,18 +285,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     in_train = docs.select(fold_of("doc_id", FOLDS).alias("fold")).agg(F.sum(F.expr(f"cast(fold <> {TEST_FOLD} as long)")), F.sum(F.expr(f"cast(fold = {DEV_FOLD} as long)"))).first()
     n_docs, n_dev_docs = in_train[0] or 0, in_train[1] or 0
     word_ranges, pair_ranges = (_ranges(keys, sizes[0]) for keys in sizes[1:])
-    asked = blocks.mapInArrow(_ask(word_ranges, pair_ranges), "range long, block long, keys binary, train binary, dev binary")
-    answers = asked.groupBy("range").applyInPandas(_answer, "block long, range long, train binary, dev binary, n long, v long, n_rest long, v_rest long")
+    asked = blocks.mapInArrow(_ask(word_ranges, pair_ranges), "range long, block long, is_dev boolean, keys binary, train binary, dev binary")
+    answers = asked.groupBy("range").applyInPandas(_answer, "block long, is_dev boolean, range long, train binary, dev binary, n long, v long, n_rest long, v_rest long")
     answers = materialise(answers, "answers")
     n, v, n_rest, v_rest = (x or 0 for x in answers.where(F.col("range") < word_ranges).agg(*[F.sum(c) for c in ("n", "v", "n_rest", "v_rest")]).first())
-    own = answers.groupBy("block").agg(F.collect_list(F.struct("range", "train", "dev")).alias("answers"))
-    full = blocks.join(own, "block")
-    cells = full.mapInArrow(_histogram(word_ranges, n_rest, n_docs - n_dev_docs), "cell long, n double, p2 double, p1 double")
+    joined = lambda b, a, *c: b.join(a.groupBy("block").agg(F.collect_list(F.struct("range", *c)).alias("answers")), "block")
+    cells = joined(blocks.where("dev"), answers.where("is_dev"), "train", "dev").mapInArrow(_histogram(word_ranges, n_rest, n_docs - n_dev_docs), "cell long, n double, p2 double, p1 double")
     cells = cells.groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("n", "p2", "p1")]).orderBy("cell").toPandas()
     weights = learn_weights(cells["cell"].to_numpy(), cells["n"].to_numpy(), (cells["p2"] / cells["n"]).to_numpy(), (cells["p1"] / cells["n"]).to_numpy(), 1 / (v_rest + 1)) if len(cells) else np.tile([1 / 3] * 3, (BUCKETS, 1))
     if not n:
         weights = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    return full.mapInArrow(_score(word_ranges, n, v, n_docs, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined(blocks, answers, "train").mapInArrow(_score(word_ranges, n, v, n_docs, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _ranges(keys: int, blocks: int) -> int:
