@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from talkmill.llm.pieces import SPACE, Pieces, load_pieces, normalise
 from talkmill.llm.shared import slices
 
-MOST_WORDS = 300_000
+MOST_WORDS = 200_000
 MOST_PAIRS = 1_000_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 3_000_000
 #: Above any symbol number; pairs are kept under one number.
 _SYMBOLS = 1 << 22
 PRE_TOKEN = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -233,6 +233,7 @@ def encode(docs: DataFrame, model_path: str, digest: bool = False) -> DataFrame:
             lossless = [fst.decode(np.frombuffer(x, "<u4")) == t for x, t in zip(ids, texts, strict=True)]
             values = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), values, pa.array(lossless)], names=["doc_id", "n_tokens", name, "lossless"])
+        fst.words.clear()  # an idle worker holds no texts' words
 
     name = "ids_crc32" if digest else "ids"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
