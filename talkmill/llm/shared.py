@@ -49,7 +49,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    # Small row groups: a writing task buffers one in memory.
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(nullable(df.schema)).parquet(path)
 
 
@@ -90,6 +91,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # workers outlive their task
 
 
 def set_quiet_threads() -> None:
