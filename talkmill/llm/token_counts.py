@@ -2,24 +2,25 @@
 
 A text is normalised and cut before every run of blanks that starts a word; no
 piece crosses such a cut, so a text's best segmentation is that of its
-pre-tokens. The distinct pre-tokens of a batch go into a trie. The Viterbi
+pre-tokens. The distinct new pre-tokens of a batch are inserted into a trie in
+sorted order, so that only the path to the latest one has to be held. The Viterbi
 forward score of a prefix, the best sum of unigram scores over its
 segmentations, is computed once, when its node is made, from the nodes above it;
-the number of tokens on that path is kept beside it, and for each
-pre-token at its terminal node. Texts then add up terminal counts.
+the number of tokens on that path is kept beside it. The count at the terminal
+node is stored for each pre-token. Texts then add up stored counts.
 
 The pieces' unigram scores are ``-ln(rank + RANK_SHIFT)``, Zipf's law over the
 vocabulary's order, since the file's own scores are merge ranks. A character
 that no piece covers costs one token for each of its UTF-8 bytes.
 
-No shuffle; each Python worker keeps one trie of at most ``MOST_NODES`` nodes and
-starts a new one beyond that.
+No shuffle; each Python worker remembers at most about ``MOST_WORDS`` pre-tokens
+and starts anew beyond that.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -30,7 +31,8 @@ from talkmill.llm.pieces import SPACE, Pieces, load_pieces, normalise
 from talkmill.llm.shared import slices
 
 RANK_SHIFT = 10.0
-MOST_NODES = 1_500_000
+MOST_WORDS = 300_000
+SLICE_BYTES = 3_000_000
 PRE_TOKEN = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: A byte of a character outside the vocabulary costs as much as a piece of this rank.
 BYTE_RANK = 1_000_000
@@ -44,57 +46,54 @@ def zipf_scores(pieces: Pieces) -> dict[str, float]:
 
 
 class Trie:
-    """Distinct pre-tokens, with forward scores and token counts of every prefix."""
-
-    def __init__(self, scores: dict[str, float], most_nodes: int = MOST_NODES) -> None:
-        self.scores, self.longest, self.most = scores, max(map(len, scores), default=1), most_nodes
+    """Forward scores and token counts along the path of the latest pre-token; counts of all."""
+
+    def __init__(self, scores: dict[str, float], most_words: int = MOST_WORDS) -> None:
+        # Every end of a piece, with the piece's score or minus infinity: read backwards, it tells where to stop.
+        self.ends: dict[str, float] = {}
+        for p in scores:
+            for n in range(1, len(p)):
+                self.ends.setdefault(p[n:], -math.inf)
+        self.ends |= scores
         self.byte_score = -math.log(BYTE_RANK)
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
-        self.forward, self.tokens = [0.0], [0]
+        self.most = most_words
         self.terminal: dict[str, int] = {}
 
-    def insert(self, word: str) -> int:
-        """The token count of ``word``; makes the nodes of prefixes not seen before."""
-        children, forward, tokens = self.children, self.forward, self.tokens
-        path, node = [0], 0
-        for i, char in enumerate(word):
-            below = children.get((node, char))
-            if below is None:
-                n = len(char.encode())
-                best, count = forward[node] + n * self.byte_score, tokens[node] + n
-                for j in range(max(0, i + 1 - self.longest), i + 1):
-                    score = self.scores.get(word[j : i + 1])
-                    if score is not None:
-                        above = path[j]
-                        score += forward[above]
-                        # Equal scores: the fewer tokens.
-                        if score > best or score == best and tokens[above] + 1 < count:
-                            best, count = score, tokens[above] + 1
-                below = children[node, char] = len(forward)
+    def insert(self, words: Iterable[str]) -> None:
+        """Make the nodes of new prefixes and store the terminal counts."""
+        ends, terminal = self.ends, self.terminal
+        forward, tokens, previous = [0.0], [0], ""
+        for word in sorted(words):
+            same, n = 0, min(len(previous), len(word))
+            while same < n and previous[same] == word[same]:
+                same += 1
+            del forward[same + 1 :], tokens[same + 1 :]
+            for i in range(same + 1, len(word) + 1):
+                width = len(word[i - 1].encode())
+                best, count = forward[i - 1] + width * self.byte_score, tokens[i - 1] + width
+                j = i - 1
+                while j >= 0:
+                    score = ends.get(word[j:i])
+                    if score is None:
+                        break
+                    score += forward[j]
+                    # Equal scores: the fewer tokens.
+                    if score > best or score == best and tokens[j] + 1 < count:
+                        best, count = score, tokens[j] + 1
+                    j -= 1
                 forward.append(best)
                 tokens.append(count)
-            node = below
-            path.append(node)
-        count = self.terminal[word] = tokens[node]
-        return count
-
-    def count(self, text: str) -> tuple[int, int]:
-        """Tokens and pre-tokens of a normalised text."""
-        words = PRE_TOKEN.findall(text)
+            terminal[word] = tokens[-1]
+            previous = word
+
+    def count(self, texts: list[str]) -> list[tuple[int, int]]:
+        """Tokens and pre-tokens of normalised texts."""
+        if len(self.terminal) > self.most:
+            self.terminal.clear()
+        split = [PRE_TOKEN.findall(t) for t in texts]
+        self.insert(set().union(*split).difference(self.terminal))
         terminal = self.terminal
-        try:
-            return sum([terminal[w] for w in words]), len(words)
-        except KeyError:
-            for w in sorted(set(words)):  # sorted: neighbours share their prefixes
-                if w not in terminal:
-                    self.insert(w)
-            total = sum([terminal[w] for w in words])
-            if len(self.forward) > self.most:
-                self.clear()
-            return total, len(words)
+        return [(sum([terminal[w] for w in words]), len(words)) for words in split]
 
 
 def trie_for(path: str) -> tuple[Trie, Pieces]:
@@ -114,9 +113,10 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, pieces = trie_for(model_path)
-        for batch in slices(batches):
-            counts = [trie.count(normalise(t, pieces)) if t else (0, 0) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, max_bytes=SLICE_BYTES):
+            counts = trie.count([normalise(t or "", pieces) for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c[1] for c in counts], pa.int64()), pa.array([c[0] for c in counts], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
+        trie.terminal.clear()  # an idle worker holds no texts' words
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

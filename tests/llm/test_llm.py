@@ -159,11 +159,12 @@ def test_token_counts_against_the_library(spark):
     assert token_counts.count_tokens(docs(spark, AWKWARD).limit(0), MODEL).count() == 0
 
 
-def test_trie_starts_anew_when_full():
+def test_counts_start_anew_when_full():
     pieces = load_pieces(MODEL)
-    small, large = token_counts.Trie(token_counts.zipf_scores(pieces), 50), token_counts.Trie(token_counts.zipf_scores(pieces))
+    small, large = token_counts.Trie(token_counts.zipf_scores(pieces), 2), token_counts.Trie(token_counts.zipf_scores(pieces))
     for text in ["▁hello▁world", "▁other▁words▁are▁here▁now", "▁hello▁again"] * 3:
-        assert small.count(text) == large.count(text)
+        assert small.count([text]) == large.count([text])
+    assert len(small.terminal) < len(large.terminal)
 
 
 def test_sentencepiece_equals_the_library(spark):
