@@ -80,24 +80,48 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(n[row])], names=["v", "doc", "n"])
 
 
+def _shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of xs has in common with each of ys.
+
+    Values of few sets are counted pair by pair, the others by matrix products.
+    """
+    shared = np.zeros((len(xs), len(ys)), np.float32)
+    if not len(xs) or not len(ys):
+        return shared
+    known = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    sides = []
+    for side in (xs, ys):
+        own = [np.searchsorted(known, s[np.isin(s, known, assume_unique=True)]) for s in side]
+        row, column = np.repeat(np.arange(len(own)), [len(c) for c in own]), np.concatenate(own)
+        order = np.argsort(column, kind="stable")
+        sides.append((row[order], column[order], np.bincount(column, minlength=len(known))))
+    (row_x, column_x, often_x), (row_y, _, often_y) = sides
+    rare = often_x * often_y <= 64
+    one = rare[column_x]
+    times = often_y[column_x[one]]
+    first = (np.cumsum(often_y) - often_y)[column_x[one]]
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    pairs = np.repeat(row_x[one], times) * len(ys) + row_y[np.repeat(first, times) + nth]
+    shared += np.bincount(pairs, minlength=shared.size).reshape(shared.shape)
+    place = np.cumsum(~rare) - 1
+    for begin in range(0, int((~rare).sum()), 4096):
+        dense = []
+        for (row, column, _), n in zip(sides, shared.shape, strict=True):
+            at = place[column]
+            use = ~rare[column] & (at >= begin) & (at < begin + 4096)
+            m = np.zeros((n, 4096), np.float32)
+            m[row[use], at[use] - begin] = 1
+            dense.append(m)
+        shared += dense[0] @ dense[1].T
+    return shared
+
+
 def _compare(percent: int):
     """Links between two blocks of sets, across components."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         xs, ys = ([np.frombuffer(h, U64) for h in side] for side in (left["hashes"], right["hashes2"]))
-        shared = np.zeros((len(xs), len(ys)), np.float32)
-        if len(xs) and len(ys):
-            known = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
-            at = [[np.searchsorted(known, s[np.isin(s, known, assume_unique=True)]) for s in side] for side in (xs, ys)]
-            for begin in range(0, len(known), 4096):
-                dense = []
-                for side in at:
-                    m = np.zeros((len(side), 4096), np.float32)
-                    for i, columns in enumerate(side):
-                        a, b = np.searchsorted(columns, (begin, begin + 4096))
-                        m[i, columns[a:b] - begin] = 1
-                    dense.append(m)
-                shared += dense[0] @ dense[1].T
+        shared = _shared(xs, ys)
         n, m = np.array([len(x) for x in xs], np.float64), np.array([len(y) for y in ys], np.float64)
         union = n[:, None] + m[None, :] - shared
         i, j = np.nonzero((100.0 * shared >= percent * union) & (left["component"].to_numpy()[:, None] != right["component2"].to_numpy()[None, :]))
