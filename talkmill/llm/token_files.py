@@ -24,6 +24,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -44,79 +46,140 @@ END_ID = 2
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 400, 20_000, 1 << 16
 #: Text bytes aimed at in one file.
 FILE_BYTES = 64_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+SLICE_BYTES = 2_000_000
+CHUNKS_A_CALL = 200
 #: The split of a byte-level vocabulary of this kind, before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_encoders: dict[str, Encoder] = {}
+#: White space beside the blank and the line feed.
+OTHER_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
     """Ids of texts, equal to those of the tokenizers library.
 
-    The library's pre-tokenizer cuts a text before any merge; each distinct piece is encoded by
-    the library once and remembered. Texts that hold an added token, or
-    tokenizer files of another kind, go to the library whole.
+    The library's pre-tokenizer always cuts before a lone blank, so a text is cut
+    there; each distinct chunk is encoded by the library once and remembered.
+    New chunks go to it in one call, and are told apart in its answer by the
+    tokens that begin with a blank. Texts with other white space beside a blank are cut by
+    the pre-tokenizer's pattern instead. Texts that hold an added token, or tokenizer
+    files of another kind, go to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, width: int) -> None:
         from tokenizers import Tokenizer
 
         set_quiet_threads()
+        self.kind = "<u2" if width == 2 else "<u4"
+        self.width = width
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.split = regex.compile(SPLIT).findall if self._splits_alike() else None
-        self.known: dict[str, bytes] = {}
-
-    def _splits_alike(self) -> bool:
+        self.cuts = self._cuts_alike()
+        self.split = regex.compile(SPLIT).findall
+        size = max(self.library.get_vocab(True).values()) + 1
+        self.blank_first = np.zeros(size, bool)
+        for token, i in self.library.get_vocab(True).items():
+            self.blank_first[i] = token.startswith("\u0120")
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _cuts_alike(self) -> bool:
         import json
 
         spec = json.loads(self.library.to_str())
         pre = spec.get("pre_tokenizer") or {}
         return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("post_processor") is None
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if self.split is None or any(a in t for a in self.added)]
+        """Each text's ids as little-endian unsigned integers of the given width."""
         out: list[bytes] = [b""] * len(texts)
+        whole, by_pattern, by_blank = [], [], []
+        for i, t in enumerate(texts):
+            if not self.cuts or any(a in t for a in self.added):
+                whole.append(i)
+            elif "\n " in t or " \n" in t or any(c in t for c in OTHER_BLANKS):
+                by_pattern.append((i, self.split(t)))
+            else:
+                chunks = t.split(" ")
+                if "" in chunks:
+                    by_pattern.append((i, self.split(t)))
+                else:
+                    by_blank.append((i, chunks))
         for i, e in zip(whole, self.library.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        skip = set(whole)
-        for i, text in enumerate(texts):
-            if i in skip:
-                continue
-            pieces = self.split(text)
-            try:
-                out[i] = b"".join([self.known[p] for p in pieces])
-            except KeyError:
-                self._learn(pieces)
-                out[i] = b"".join([self.known[p] for p in pieces])
+            out[i] = self._bytes(e.ids)
+        # A text's first chunk has no blank before it.
+        by_pattern += [(i, self.split(chunks.pop(0))) for i, chunks in by_blank]
+        self._learn_pieces(set().union(*[p for _, p in by_pattern]))
+        get = self.pieces.__getitem__
+        for i, found in by_pattern:
+            out[i] = b"".join(map(get, found))
+        # Two generations: what is asked for again moves to the younger one and stays.
+        if len(self.chunks) > CACHE_WORDS // 2:
+            self.older, self.chunks = self.chunks, {}
+        unknown: set[str] = set()
+        for _, chunks in by_blank:
+            unknown.update(compress(chunks, map(not_, map(self.chunks.get, chunks))))
+        self._learn_chunks(unknown)
+        get = self.chunks.__getitem__
+        for i, chunks in by_blank:
+            out[i] += b"".join(map(get, chunks))
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+    def _learn_pieces(self, wanted: set[str]) -> None:
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces.clear()
+        new = list(wanted.difference(self.pieces))
         for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-
-def encoder(path: str) -> Encoder:
+            self.pieces[p] = self._bytes(e.ids)
+
+    def _learn_chunks(self, wanted: set[str]) -> None:
+        new = wanted.difference(self.chunks)
+        again = new.intersection(self.older)
+        self.chunks.update({c: self.older[c] for c in again})
+        new -= again
+        # A word with a mark behind it is cut between the two.
+        marked = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
+        new.difference_update(marked)
+        new.update({c[:-1] for c in marked}.difference(self.chunks))
+        self._learn_pieces({".", ","})
+        new = list(new)
+        for i in range(0, len(new), CHUNKS_A_CALL):
+            self._encode_chunks(new[i : i + CHUNKS_A_CALL])
+        self.chunks.update({c: self.chunks[c[:-1]] + self.pieces[c[-1]] for c in marked})
+
+    def _encode_chunks(self, new: list[str]) -> None:
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids)
+        begins = np.flatnonzero(self.blank_first[ids])
+        if len(begins) != len(new):
+            raise RuntimeError("the tokenizer doesn't cut before blanks")
+        raw = ids.astype(self.kind).tobytes()
+        at = (begins * self.width).tolist() + [len(raw)]
+        self.chunks.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+
+
+def encoder(path: str, width: int) -> Encoder:
     """One encoder a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+    return _encoders[path, width]
 
 
-def _numbered(text: pa.Array) -> list[str]:
+def _texts(text: pa.Array) -> list[str]:
     return ["" if t is None else t for t in text.to_pylist()]
 
 
-def _sample_ids(path: str):
+def _sample_ids(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = encoder(path).encode(_numbered(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * SAMPLE_IDS] for x in ids], pa.binary())], names=["ids"])
+            ids = encoder(path, width).encode(_texts(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array([x[: width * SAMPLE_IDS] for x in ids], pa.binary())], names=["ids"])
 
     return run
 
@@ -124,9 +187,8 @@ def _sample_ids(path: str):
 def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int) -> bytes:
     """A zstandard dictionary from the ids of at most SAMPLE documents; b'' if they are too few."""
     chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    ids = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").limit(2 * SAMPLE).mapInArrow(_sample_ids(tokenizer_path), "ids binary").collect()
-    kind = "<u2" if width == 2 else "<u4"
-    samples = [np.frombuffer(r["ids"], "<u4").astype(kind).tobytes() for r in ids if len(r["ids"]) > 8]
+    ids = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").limit(2 * SAMPLE).mapInArrow(_sample_ids(tokenizer_path, width), "ids binary").collect()
+    samples = [r["ids"] for r in ids if len(r["ids"]) > 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(samples)).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -135,16 +197,14 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int) -> bytes:
 
 def _compress(tokenizer_path: str, width: int, dictionary, cuts):
     """(doc_id, text) to (part, doc_id, n, frame); part: how many cuts are not above doc_id."""
-    kind = "<u2" if width == 2 else "<u4"
+    end = END_ID.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary.value), write_content_size=True, write_checksum=True)
-        for batch in slices(batches):
-            n, frames = [], []
-            for ids in encoder(tokenizer_path).encode(_numbered(batch.column("text"))):
-                ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID))
-                n.append(len(ids))
-                frames.append(packer.compress(ids.astype(kind).tobytes()))
+        for batch in slices(batches, max_bytes=SLICE_BYTES):
+            ids = encoder(tokenizer_path, width).encode(_texts(batch.column("text")))
+            n = [len(x) // width + 1 for x in ids]
+            frames = [packer.compress(x + end) for x in ids]
             part = np.searchsorted(cuts.value, batch.column("doc_id").to_numpy(zero_copy_only=False), "right")
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["part", "doc_id", "n", "frame"])
 
@@ -180,7 +240,11 @@ class _File:
         self.out.write(np.array(self.index, INDEX).tobytes())
         self.out.write(FOOTER.pack(self.at, len(self.index), MAGIC))
         self.out.close()
-        self.fs.move(self.own, self.final)  # a repeated task writes the same bytes
+        # A repeated task writes the same bytes; not every file system replaces on a move.
+        if self.fs.get_file_info(self.final).type == pafs.FileType.File:
+            self.fs.delete_file(self.own)
+        else:
+            self.fs.move(self.own, self.final)
         return self.part, self.name, len(self.index), self.ids
 
 
