@@ -176,7 +176,7 @@ def chat_lines(spark, d):
 @query(f"SELECT o_orderkey, {LAB}[('0x' || md5('order ' || o_orderkey)[1:8])::BIGINT % 7 + 1] AS label FROM orders WHERE o_orderkey % 10 = 0")
 def provider_labels(spark, d):
     ship(spark)
-    asked = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").cast("string").alias("custom_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("prompt"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("custom_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("prompt"))
     got = provider.label(asked, provider.OfflineProvider(LABELS, fail_every=50))
     return got.select(F.col("custom_id").cast("long").alias("o_orderkey"), T.parse_tagged(F.col("response"), "c", LABELS)["label"].alias("label"))
 
