@@ -142,4 +142,4 @@ def fallback_parsers(spark, d):
 
 @query(r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\f\r]'), lambda w: ceil(length(w) / 4.0)::INTEGER)), 0)::INTEGER AS n_tokens FROM documents WHERE lang = 'en'")
 def token_length(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", T.approximate_tokens(F.col("text")).alias("n_tokens"))
+    return table(spark, d, "documents").select("doc_id", F.coalesce(T.approximate_tokens(F.col("text")), F.lit(0)).alias("n_tokens"))

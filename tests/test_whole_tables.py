@@ -23,3 +23,12 @@ def same_as(spark, folder, table, name, sql):
 
 def test_every_order_is_labelled(spark):
     same_as(spark, SF, "orders", "provider_labels", f"SELECT o_orderkey, {LAB}[('0x' || md5('order ' || o_orderkey)[1:8])::BIGINT % 7 + 1] AS label FROM orders")
+
+
+def test_every_document_has_a_token_length(spark, tmp_path):
+    sql = r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\f\r]'), lambda w: ceil(length(w) / 4.0)::INTEGER)), 0)::INTEGER AS n_tokens FROM documents"
+    same_as(spark, SF, "documents", "token_length", sql)
+    rows = [(0, None, "en"), (1, "", "en"), (2, "drei Wörter hier", "de"), (3, "안녕 a_b 🙂!", None), (4, None, None), (5, "abcde f", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_tokens"] for r in catalog.QUERIES["token_length"](spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 1 + 1 + 1 + 1 + 1, 3: 2 + 1 + 2, 4: 0, 5: 3}
