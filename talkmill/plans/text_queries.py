@@ -137,7 +137,7 @@ def fallback_parsers(spark, d):
     digit = F.concat(F.lit("rated 7 or "), (k % 5).cast("string"), F.lit(" of 9"))
     said = F.concat(label, F.lit(" " * 60), F.when(k % 2 == 0, F.lit("service_use")).otherwise(F.lit("")))
     verdict = F.concat(F.lit("So I would "), F.when(k % 3 == 0, "Keep").otherwise("revert"), F.lit(" it."))
-    return table(spark, d, "events").where(k % 7 < 5).select("event_id", T.first_digit(digit).alias("digit"), T.contained_label(said, LABELS).alias("anywhere"), T.tail_label(said, LABELS).alias("tail"), T.keep_or_revert(verdict))
+    return table(spark, d, "events").select("event_id", T.first_digit(digit).alias("digit"), T.contained_label(said, LABELS).alias("anywhere"), T.tail_label(said, LABELS).alias("tail"), T.keep_or_revert(verdict))
 
 
 @query(r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\f\r]'), lambda w: ceil(length(w) / 4.0)::INTEGER)), 0)::INTEGER AS n_tokens FROM documents WHERE lang = 'en'")
