@@ -77,7 +77,7 @@ class WuManber:
 class Benchmark:
     """Compiled patterns and the items that each one comes from."""
 
-    def __init__(self, rows: list[tuple[str, str]], window: int) -> None:
+    def __init__(self, rows: list[tuple[str | None, str]], window: int) -> None:
         self.items: dict[bytes, set[str]] = defaultdict(set)
         by_length: dict[int, dict[bytes, np.ndarray]] = defaultdict(dict)
         words = find_words(pa.array([text for _, text in rows], pa.string()), ALNUM)
@@ -87,7 +87,9 @@ class Benchmark:
             m = min(window, b - a)
             for begin in range(a, b - m + 1) if m else ():
                 name = words.bytes_of(begin, begin + m)
-                self.items[name].add(item)
+                named = self.items[name]  # a window of a null id has no item
+                if item is not None:
+                    named.add(item)
                 by_length[m][name] = h[begin : begin + m]
         self.machines = [WuManber(m, patterns) for m, patterns in sorted(by_length.items())]
 
@@ -108,10 +110,10 @@ class Benchmark:
 def compile_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
     """Broadcasts of compiled benchmark blocks, each of a checked size.
 
-    Rows with a null id or without words have no window and are left out.
+    Rows without words have no window and are left out. Windows of a null id count, the id does not.
     """
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(16)), F.lit(0))).first()[0]
     n = -(-total // (BLOCK_BYTES // 2))  # hashing deals evenly up to a factor of two
     out = []
@@ -153,7 +155,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     A null or empty text has no words and no hit. Items of fewer than ``window`` words
     are one window; items without words occur nowhere. Overlapping occurrences
     count a word once; a window of several items counts for all. Repeated rows
-    are judged alike. Empty tables give no hits.
+    are judged alike. An item with a null id is searched for like others, but is left out of
+    n_items and items_sha256. Empty tables give no hits.
     """
     judge = _judge(compile_blocks(benchmark, window))
 
