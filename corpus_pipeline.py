@@ -8,6 +8,7 @@ columns of ``documents`` and only drop rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from talkmill.llm.decontam import drop_contaminated
 from talkmill.llm.near_dup import near_dup
@@ -24,10 +25,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one of the smallest doc_id, of each near-duplicate group."""
+    """Keep one row, the first of the smallest doc_id, of each near-duplicate group.
+
+    Rows are told apart by a key of their own, so repeated rows and rows with a null
+    doc_id are linked by their text like others; a null doc_id comes last.
+    """
     prepare(spark)
-    groups = near_dup(docs, width=5, percent=80)
-    return docs.join(groups.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_dup(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    groups = materialise(groups.join(rows.select("_row", "doc_id"), "_row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("m._row")
+    return rows.join(groups.join(first, "_row", "left_anti").select("_row"), "_row", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import duckdb
-from pyspark.sql import functions as F
 
+import corpus_pipeline
 from talkmill.llm.decontam import contamination, drop_contaminated
 from talkmill.llm.sql import DECONTAM
 
@@ -26,3 +26,16 @@ def test_windows_of_items_without_an_id_count(spark):
     con.execute("CREATE TABLE benchmark (item_id VARCHAR, text VARCHAR)").executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     want = con.execute(f"SELECT doc_id, n_hit, contaminated FROM ({DECONTAM}) ORDER BY 1").fetchall()
     assert want == sorted((r["doc_id"], r["n_hit"], r["contaminated"]) for r in rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    near = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(near), " ".join([*near[:-1], "end"]), " ".join(f"x{i}" for i in range(60))
+    rows = [(5, a), (5, a), (4, b), (None, a), (None, c), (None, c), (9, "alone and else nothing here"), (7, None), (8, ""), (6, a), (6, c)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(4, b), (6, c), (9, "alone and else nothing here"), (7, None), (8, "")], key=repr)
+    nameless = corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null"), "").collect()
+    assert sorted(r["text"] for r in nameless) == sorted([a, c])
