@@ -311,6 +311,9 @@ def near_dup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     nothing and are kept. Texts of fewer than ``width`` words are one shingle.
     Rows with equal doc_id and text are all returned alike; a doc_id with several
     texts is outside the contract. A null doc_id links with nothing. An empty
-    table gives an empty result.
+    table gives an empty result. ``percent`` below 80 is refused: the sketches and lists
+    are sized for 80 and would lose links.
     """
+    if percent < 80:
+        raise ValueError(f"percent must be 80 at least, not {percent}: sketches would lose links")
     return NearDup(docs, width, percent).groups()

@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 
 import duckdb
+import pytest
 
 import corpus_pipeline
 from talkmill.llm.decontam import contamination, drop_contaminated
+from talkmill.llm.near_dup import near_dup
 from talkmill.llm.sql import DECONTAM
 
 
@@ -39,3 +41,9 @@ def test_one_row_of_each_group_stays(spark):
     assert got == sorted([(4, b), (6, c), (9, "alone and else nothing here"), (7, None), (8, "")], key=repr)
     nameless = corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null"), "").collect()
     assert sorted(r["text"] for r in nameless) == sorted([a, c])
+
+
+@pytest.mark.parametrize("percent", [50, 79])
+def test_thresholds_that_would_lose_links_are_refused(percent):
+    with pytest.raises(ValueError, match="80"):
+        near_dup(None, 5, percent)
