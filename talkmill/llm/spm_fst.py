@@ -1,20 +1,19 @@
-"""SentencePiece encoding and decoding by a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by a finite automaton of pieces.
 
-Three transducers are compiled from a model file: the normaliser (blanks to
-SPACE, one in front), the pieces (an arc reads a piece's characters and writes its id), and
-byte fallback (a character outside the vocabulary is read as its UTF-8 bytes).
-They are composed with each input and the shortest path in the tropical semiring
-is taken, each arc weighing one token.
+An Aho-Corasick automaton of the pieces is compiled from a model file. The
+normaliser (blanks to SPACE, one in front) is string replacement, and byte fallback
+(a character outside the vocabulary is read as its UTF-8 bytes) a lookup. No transducers
+are composed and no weights relaxed.
 
 Merge-based models need one more factor: their encoding is the only sequence of
 pieces in which every two neighbours are themselves the encoding of their
 concatenation. The pair automaton has a state for the last piece; an arc to a
-piece that may not follow weighs infinity. Its arcs are made when first met, by
-merging the pair, and remembered. So the shortest path is exactly the
-library's encoding, and as only one path to each position of an input is finite,
-the search keeps one state a position and stops at the first finite arc.
+piece that may not follow is refused. Its arcs are made when first met, by
+merging the pair, and remembered. So the path found is exactly the
+library's encoding, and as only one path to each position of an input is allowed,
+the search keeps one state a position and stops at the first allowed arc.
 
-No piece crosses the cut before a word's blanks, so inputs are composed pre-token by
+No piece crosses the cut before a word's blanks, so inputs are searched pre-token by
 pre-token. New pre-tokens of some texts are taken in sorted order and share the
 search of their common prefixes; encodings are remembered by each worker, up to
 ``MOST_WORDS``.
