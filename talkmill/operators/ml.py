@@ -46,7 +46,7 @@ def cross_validated(df: DataFrame, key: str, label: str, k: int = 5) -> DataFram
     return out
 
 
-def importances(df: DataFrame, columns: list[str], label: str, trees: int = 10, depth: int = 4) -> DataFrame:
+def importances(df: DataFrame, columns: list[str], label: str, trees: int = 200, depth: int = 4) -> DataFrame:
     """(feature, importance) of boosted trees, largest first."""
     model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=42).fit(assembled(df, columns))
     rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]

@@ -366,7 +366,7 @@ def label_distribution(spark, d):
 @query()
 def lr_gate(spark, d):
     e = table(spark, d, "embeddings").withColumn("y", (F.col("label") == 3).cast("double"))
-    return ml.cross_validated(ml.from_array(e, "embedding"), "vec_id", "y", k=3).select("vec_id", "fold", "y", F.round("proba", 4).alias("proba"))
+    return ml.cross_validated(ml.from_array(e, "embedding"), "vec_id", "y", k=5).select("vec_id", "fold", "y", F.round("proba", 4).alias("proba"))
 
 
 @query()
