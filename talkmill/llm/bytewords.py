@@ -82,7 +82,7 @@ class Words:
 
 def layout(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null counts as the empty text."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = texts if texts.type == pa.large_binary() else pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8) if n else np.zeros(1, np.int64)
     if not n or offsets[-1] == offsets[0]:

@@ -6,67 +6,91 @@ A file (``.tok``) holds documents in ascending doc_id order::
     frames   one zstandard frame a document: its ids, little-endian, compressed
              with the shared dictionary
     index    24 bytes a document: doc_id (signed), offset of the frame, ids
-    footer   8 bytes offset of the index, 8 bytes number of documents, 8 bytes magic
+    footer   8 bytes offset of the index, 8 bytes number of documents, 8 bytes how
+             many of them, at the front, have no doc_id, 8 bytes magic
 
 The dictionary lies beside the files. A reader checks its hash, reads footer and
 index, and can then fetch one short document without touching the others. Ids
 take two bytes where the vocabulary allows it, else four.
 
-The dictionary is trained on a bounded sample (``SAMPLE`` documents, the first by
-a hash of their id); it affects the size of the files only, never their content.
-Every document is written.
+The dictionary is trained on a bounded sample (see :func:`train_dictionary`); it
+affects the size of the files only, never their content. Every document is written.
 """
 
 from __future__ import annotations
 
-import os
+import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from talkmill.llm.bytewords import layout
+from talkmill.llm.chunks import Remembered
 from talkmill.llm.shared import fresh_path, materialise, set_quiet_threads, slices
 
-MAGIC = b"TOKFILE1"
-HEADER, FOOTER = struct.Struct("<8sIQ"), struct.Struct("<QQ8s")
+MAGIC = b"TOKFILE2"
+HEADER, FOOTER = struct.Struct("<8sIQ"), struct.Struct("<QQQ8s")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
 END_ID = 2
-SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 400, 20_000, 1 << 16
+SAMPLE, DICTIONARY_BYTES = 400, 1 << 16
+#: A sample document is cut into pieces of so many ids, of which so many are used.
+PIECE_IDS, MOST_PIECES = 1024, 4096
 #: Text bytes aimed at in one file.
-FILE_BYTES = 64_000_000
-CACHE_WORDS = 300_000
-SLICE_BYTES = 2_000_000
+FILE_BYTES = 128_000_000
+MOST_CHUNKS = 500_000
+SLICE_BYTES = 6_000_000
 CHUNKS_A_CALL = 200
-#: The split of a byte-level vocabulary of this kind, before its merges.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: White space beside the blank and the line feed.
-OTHER_BLANKS = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BYTE = np.arange(256)
+#: Printable ASCII, its letters, white space, and bytes that can't begin white space of any kind.
+_SOLID = (_BYTE > 0x20) & (_BYTE < 0x7F)
+_LETTER = np.isin(_BYTE, np.frombuffer(string.ascii_letters.encode(), np.uint8))
+_BLANK = np.isin(_BYTE, [9, 10, 11, 12, 13, 32])
+_FIRM = _SOLID | (_BYTE >= 0xC3) & ~np.isin(_BYTE, [0xE1, 0xE2, 0xE3, 0xEF])
+#: (byte, next byte) between which every split of this kind has a cut: a word's end, and the blank behind something.
+_CUT = _SOLID[:, None] & _BLANK[None, :] | _LETTER[:, None] & ((_BYTE < 128) & ~_LETTER)[None, :]
 
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+def find_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts begin. Cuts are sure ones of the pre-tokenizer's pattern only.
+
+    Its pattern never looks back, so a chunk that begins at a cut is split alike
+    alone and in its text. A blank before something solid begins a piece (of
+    white space, the pattern leaves the last); letters end before other ASCII; a lone line feed
+    is a piece. Wherever that isn't sure, there is no cut and the chunk is longer.
+    """
+    n = len(data)
+    cut = np.zeros(n, bool)
+    if n > 1:
+        cut[1:] = _CUT.ravel()[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        firm = _FIRM[data]
+        cut[:-1] |= (data[:-1] == 32) & firm[1:]
+        cut[2:] |= (data[1:-1] == 10) & _SOLID[data[:-2]] & firm[2:]
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Ids of texts, equal to those of the tokenizers library.
 
-    The library's pre-tokenizer always cuts before a lone blank, so a text is cut
-    there; each distinct chunk is encoded by the library once and remembered.
-    New chunks go to it in one call, and are told apart in its answer by the
-    tokens that begin with a blank. Texts with other white space beside a blank are cut by
-    the pre-tokenizer's pattern instead. Texts that hold an added token, or tokenizer
-    files of another kind, go to the library whole.
+    Texts are cut where the library's pre-tokenizer surely cuts; each distinct chunk is
+    encoded by the library once and remembered. New chunks that begin with their only
+    blank go to it together in one call, and are told apart in its answer by the tokens that
+    begin with a blank; if those are not as many as the chunks, and for other chunks,
+    each goes alone. Texts that hold an added token, or tokenizer files of another kind,
+    go to the library whole.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -74,18 +98,14 @@ class Encoder:
 
         set_quiet_threads()
         self.kind = "<u2" if width == 2 else "<u4"
-        self.width = width
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.cuts = self._cuts_alike()
-        self.split = regex.compile(SPLIT).findall
-        size = max(self.library.get_vocab(True).values()) + 1
-        self.blank_first = np.zeros(size, bool)
-        for token, i in self.library.get_vocab(True).items():
+        vocabulary = self.library.get_vocab(True)
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
             self.blank_first[i] = token.startswith("\u0120")
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.chunks = Remembered(self._learn, self.kind, MOST_CHUNKS)
 
     def _cuts_alike(self) -> bool:
         import json
@@ -94,74 +114,40 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec.get("post_processor") is None
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned integers of the given width."""
-        out: list[bytes] = [b""] * len(texts)
-        whole, by_pattern, by_blank = [], [], []
-        for i, t in enumerate(texts):
-            if not self.cuts or any(a in t for a in self.added):
-                whole.append(i)
-            elif "\n " in t or " \n" in t or any(c in t for c in OTHER_BLANKS):
-                by_pattern.append((i, self.split(t)))
-            else:
-                chunks = t.split(" ")
-                if "" in chunks:
-                    by_pattern.append((i, self.split(t)))
-                else:
-                    by_blank.append((i, chunks))
-        for i, e in zip(whole, self.library.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = self._bytes(e.ids)
-        # A text's first chunk has no blank before it.
-        by_pattern += [(i, self.split(chunks.pop(0))) for i, chunks in by_blank]
-        self._learn_pieces(set().union(*[p for _, p in by_pattern]))
-        get = self.pieces.__getitem__
-        for i, found in by_pattern:
-            out[i] = b"".join(map(get, found))
-        # Two generations: what is asked for again moves to the younger one and stays.
-        if len(self.chunks) > CACHE_WORDS // 2:
-            self.older, self.chunks = self.chunks, {}
-        unknown: set[str] = set()
-        for _, chunks in by_blank:
-            unknown.update(compress(chunks, map(not_, map(self.chunks.get, chunks))))
-        self._learn_chunks(unknown)
-        get = self.chunks.__getitem__
-        for i, chunks in by_blank:
-            out[i] += b"".join(map(get, chunks))
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids; a null text is empty."""
+        data, offsets = layout(texts)
+        if not self.cuts:
+            return self._whole([data[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)])
+        cuts = find_cuts(data, offsets)
+        ids, at = self.chunks.gather(data, cuts)
+        ends = at[np.searchsorted(cuts, offsets)].tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        raw = data.tobytes()
+        if any(a in raw for a in self.added):
+            parts = [raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+            special = [i for i, part in enumerate(parts) if any(a in part for a in self.added)]
+            for i, x in zip(special, self._whole([parts[i] for i in special]), strict=True):
+                out[i] = x
         return out
 
-    def _learn_pieces(self, wanted: set[str]) -> None:
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        new = list(wanted.difference(self.pieces))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = self._bytes(e.ids)
-
-    def _learn_chunks(self, wanted: set[str]) -> None:
-        new = wanted.difference(self.chunks)
-        again = new.intersection(self.older)
-        self.chunks.update({c: self.older[c] for c in again})
-        new -= again
-        # A word with a mark behind it is cut between the two.
-        marked = [c for c in new if c[-1] in ".," and c[:-1].isalpha()]
-        new.difference_update(marked)
-        new.update({c[:-1] for c in marked}.difference(self.chunks))
-        self._learn_pieces({".", ","})
-        new = list(new)
-        for i in range(0, len(new), CHUNKS_A_CALL):
-            self._encode_chunks(new[i : i + CHUNKS_A_CALL])
-        self.chunks.update({c: self.chunks[c[:-1]] + self.pieces[c[-1]] for c in marked})
-
-    def _encode_chunks(self, new: list[str]) -> None:
-        ids = np.array(self.library.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids)
-        begins = np.flatnonzero(self.blank_first[ids])
-        if len(begins) != len(new):
-            raise RuntimeError("the tokenizer doesn't cut before blanks")
-        raw = ids.astype(self.kind).tobytes()
-        at = (begins * self.width).tolist() + [len(raw)]
-        self.chunks.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[np.ndarray | None] = [None] * len(new)
+        together = [i for i, c in enumerate(new) if c[0] == 32 and len(c) > 1 and _FIRM[c[1]] and c.count(b" ") == 1]
+        for begin in range(0, len(together), CHUNKS_A_CALL):
+            some = together[begin : begin + CHUNKS_A_CALL]
+            (ids,) = self._whole([b"".join([new[i] for i in some])])
+            first = np.flatnonzero(self.blank_first[ids]).tolist()
+            if len(first) == len(some):
+                for i, a, b in zip(some, first, [*first[1:], len(ids)], strict=True):
+                    found[i] = ids[a:b]
+        alone = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(alone, self._whole([new[i] for i in alone]), strict=True):
+            found[i] = x
+        return np.concatenate(found), np.array(list(map(len, found)), np.int64)
 
 
 def encoder(path: str, width: int) -> Encoder:
@@ -171,42 +157,51 @@ def encoder(path: str, width: int) -> Encoder:
     return _encoders[path, width]
 
 
-def _texts(text: pa.Array) -> list[str]:
-    return ["" if t is None else t for t in text.to_pylist()]
-
+def _sample_pieces(path: str, width: int):
+    """Whole sample documents as serialized ids, in pieces."""
+    end = END_ID.to_bytes(width, "little")
 
-def _sample_ids(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            ids = encoder(path, width).encode(_texts(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([x[: width * SAMPLE_IDS] for x in ids], pa.binary())], names=["ids"])
+            raw = [x.tobytes() + end for x in encoder(path, width).encode(batch.column("text"))]
+            step = PIECE_IDS * width
+            yield pa.RecordBatch.from_arrays([pa.array([x[i : i + step] for x in raw for i in range(0, len(x), step)], pa.binary())], names=["piece"])
 
     return run
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int) -> bytes:
-    """A zstandard dictionary from the ids of at most SAMPLE documents; b'' if they are too few."""
-    chosen = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    ids = docs.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").limit(2 * SAMPLE).mapInArrow(_sample_ids(tokenizer_path, width), "ids binary").collect()
-    samples = [r["ids"] for r in ids if len(r["ids"]) > 8]
+    """A zstandard dictionary from a bounded sample; empty only for an empty table.
+
+    The sample: SAMPLE documents, the first by a hash of id and text, whole, cut into pieces of
+    PIECE_IDS ids, of which the first MOST_PIECES by hash count. Where they are too
+    few for the trainer, they are the dictionary themselves (plain content).
+    """
+    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    chosen = keyed.select("key").distinct().orderBy("key").limit(SAMPLE)
+    texts = keyed.join(F.broadcast(chosen), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    pieces = texts.mapInArrow(_sample_pieces(tokenizer_path, width), "piece binary").orderBy(F.xxhash64("piece"), "piece").limit(MOST_PIECES).collect()
+    samples = [bytes(r["piece"]) for r in pieces]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sorted(samples)).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(sorted(set(samples)))[:DICTIONARY_BYTES]
 
 
 def _compress(tokenizer_path: str, width: int, dictionary, cuts):
-    """(doc_id, text) to (part, doc_id, n, frame); part: how many cuts are not above doc_id."""
+    """(doc_id, text) to (part, doc_id, n, frame); part: how many cuts are not above doc_id, 0 for a null."""
     end = END_ID.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary.value), write_content_size=True, write_checksum=True)
+        coder = encoder(tokenizer_path, width)
         for batch in slices(batches, max_bytes=SLICE_BYTES):
-            ids = encoder(tokenizer_path, width).encode(_texts(batch.column("text")))
-            n = [len(x) // width + 1 for x in ids]
-            frames = [packer.compress(x + end) for x in ids]
-            part = np.searchsorted(cuts.value, batch.column("doc_id").to_numpy(zero_copy_only=False), "right")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["part", "doc_id", "n", "frame"])
+            ids = coder.encode(batch.column("text"))
+            n = [len(x) + 1 for x in ids]
+            frames = [packer.compress(x.tobytes() + end) for x in ids]
+            names = batch.column("doc_id")
+            part = np.where(names.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(cuts.value, pc.fill_null(names, 0).to_numpy(zero_copy_only=False), "right"))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), names, pa.array(n, pa.int64()), pa.array(frames, pa.binary())], names=["part", "doc_id", "n", "frame"])
 
     return run
 
@@ -228,17 +223,18 @@ class _File:
         self.final, self.own = f"{root}/{self.name}", f"{root}/_{self.name}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.own, compression=None)
         self.out.write(HEADER.pack(MAGIC, width, dictionary_hash))
-        self.at, self.part, self.index, self.ids = HEADER.size, part, [], 0
+        self.at, self.part, self.index, self.ids, self.nameless = HEADER.size, part, [], 0, 0
 
-    def add(self, doc_id: int, n: int, frame: bytes) -> None:
+    def add(self, doc_id: int | None, n: int, frame: bytes) -> None:
         self.out.write(frame)
-        self.index.append((doc_id, self.at, n))
+        self.nameless += doc_id is None
+        self.index.append((doc_id or 0, self.at, n))
         self.at += len(frame)
         self.ids += n
 
     def close(self) -> tuple[int, str, int, int]:
         self.out.write(np.array(self.index, INDEX).tobytes())
-        self.out.write(FOOTER.pack(self.at, len(self.index), MAGIC))
+        self.out.write(FOOTER.pack(self.at, len(self.index), self.nameless, MAGIC))
         self.out.close()
         # A repeated task writes the same bytes; not every file system replaces on a move.
         if self.fs.get_file_info(self.final).type == pafs.FileType.File:
@@ -270,10 +266,10 @@ def _write(folder: str, width: int, dictionary_hash: int):
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, vocabulary: int = 50_257) -> tuple[str, DataFrame]:
     """Encode the whole texts of (doc_id, text), append END_ID to each, write the files.
 
-    Files hold consecutive ranges of doc_id in ascending order; rows with equal
-    doc_id stand together, shorter ones first. A null text is empty. Rows with a null doc_id have
-    no place in the order and raise an error. Returns the folder and the manifest
-    (part, file, docs, ids), one row a file. An empty table has an empty manifest.
+    Files hold consecutive ranges of doc_id in ascending order, rows without one
+    first; rows with equal doc_id stand together, shorter ones first. A null text is
+    empty. Other columns are ignored. Returns the folder and the manifest (part, file,
+    docs, ids), one row a file. An empty table has an empty manifest.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -284,11 +280,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary.zstd") as out:
         out.write(dictionary)
-    stats = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    if stats["n"] != stats["named"]:
-        raise ValueError("doc_id must not be null")
+    stats = docs.agg(F.count("doc_id").alias("named"), F.sum(F.octet_length("text")).alias("bytes")).first()
     parts = max(spark.sparkContext.defaultParallelism, (stats["bytes"] or 0) // FILE_BYTES + 1)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if stats["n"] else []
+    cuts = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if stats["named"] else []
     # Rows are dealt by range without a second look at the texts: only ids were read for the cuts.
     share = spark.sparkContext.broadcast
     frames = docs.mapInArrow(_compress(tokenizer_path, width, share(dictionary), share(np.array(cuts, np.int64))), "part long, doc_id long, n long, frame binary")
@@ -306,7 +300,7 @@ class TokenFile:
             dictionary = read_dictionary(folder)
         self.source = fs.open_input_file(f"{root}/{name}")
         magic, width, digest = HEADER.unpack(self.source.read_at(HEADER.size, 0))
-        self.index_at, n, closing = FOOTER.unpack(self.source.read_at(FOOTER.size, self.source.size() - FOOTER.size))
+        self.index_at, n, self.nameless, closing = FOOTER.unpack(self.source.read_at(FOOTER.size, self.source.size() - FOOTER.size))
         if magic != MAGIC or closing != MAGIC:
             raise ValueError(f"{name}: not a complete token file")
         if digest != xxhash.xxh64_intdigest(dictionary):
@@ -315,16 +309,28 @@ class TokenFile:
         self.kind = "<u2" if width == 2 else "<u4"
         self.unpacker = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
 
+    def _frame(self, i: int) -> tuple[int, int]:
+        return int(self.index["offset"][i]), int(self.index["offset"][i + 1]) if i + 1 < len(self.index) else self.index_at
+
+    def _ids(self, frame: bytes) -> np.ndarray:
+        return np.frombuffer(self.unpacker.decompress(frame), self.kind).astype("<u4")
+
     def ids(self, i: int) -> np.ndarray:
-        """The ids of the i-th document of the file."""
-        begin = int(self.index["offset"][i])
-        end = int(self.index["offset"][i + 1]) if i + 1 < len(self.index) else self.index_at
-        return np.frombuffer(self.unpacker.decompress(self.source.read_at(end - begin, begin)), self.kind).astype("<u4")
+        """The ids of the i-th document of the file, read alone."""
+        begin, end = self._frame(i)
+        return self._ids(self.source.read_at(end - begin, begin))
+
+    def some(self, a: int, b: int) -> list[np.ndarray]:
+        """The ids of the documents a to b - 1, read in one go."""
+        begin, end = self._frame(a)[0], self._frame(b - 1)[1]
+        data = self.source.read_at(end - begin, begin)
+        return [self._ids(data[x - begin : y - begin]) for x, y in map(self._frame, range(a, b))]
 
     def find(self, doc_id: int) -> list[np.ndarray]:
         """The ids of each document with this id."""
-        a, b = np.searchsorted(self.index["doc_id"], doc_id, "left"), np.searchsorted(self.index["doc_id"], doc_id, "right")
-        return [self.ids(i) for i in range(a, b)]
+        named = self.index["doc_id"][self.nameless :]
+        a, b = np.searchsorted(named, doc_id, "left"), np.searchsorted(named, doc_id, "right")
+        return [self.ids(self.nameless + i) for i in range(a, b)]
 
 
 def read_dictionary(folder: str) -> bytes:
@@ -344,12 +350,7 @@ def read_digests(folder: str, manifest: DataFrame) -> DataFrame:
 
 
 def _read(folder: str, manifest: DataFrame, column: str, make, name: str) -> DataFrame:
-    # One row a file; files grow in number with the corpus, slowly: 64 MB of text each.
-    files = sorted(tuple(r) for r in manifest.select("part", "file", "ids").collect())
-    spark, before, rows = manifest.sparkSession, 0, []
-    for _, file, ids in files:
-        rows.append((file, before))
-        before += ids
+    """One row a file, each with the ids of all files before it, is dealt to a task of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = None
@@ -361,10 +362,12 @@ def _read(folder: str, manifest: DataFrame, column: str, make, name: str) -> Dat
                 starts = start + np.cumsum(index["n"]).astype(np.int64) - index["n"].astype(np.int64)
                 for a in range(0, len(index), 500):
                     b = min(len(index), a + 500)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(index["doc_id"][a:b]), pa.array(starts[a:b]), pa.array(index["n"][a:b].astype(np.int64)), make([source.ids(i) for i in range(a, b)])], names=["doc_id", "start", "n_tokens", name]
-                    )
-
-    kind = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType())])
-    listed = spark.createDataFrame(rows, kind).repartition(max(1, len(rows)))
-    return listed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+                    ids = pa.array(index["doc_id"][a:b], mask=np.arange(a, b) < source.nameless)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(starts[a:b]), pa.array(index["n"][a:b].astype(np.int64)), make(source.some(a, b))], names=["doc_id", "start", "n_tokens", name])
+
+    # The manifest has one narrow row for FILE_BYTES of text, so its running sum is one task's work at any size.
+    before = "coalesce(sum(ids) over (order by part rows between unbounded preceding and 1 preceding), 0)"
+    listed = manifest.select("part", "file", F.expr(before).alias("start"))
+    files = max(1, manifest.count())
+    listed = listed.select(F.expr("cast(row_number() over (order by part) - 1 as int)").alias("nth"), "file", "start").repartitionById(files, F.col("nth"))
+    return listed.select("file", "start").mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
