@@ -1,170 +1,105 @@
-"""SentencePiece encoding and decoding by a finite automaton of pieces.
-
-An Aho-Corasick automaton of the pieces is compiled from a model file. The
-normaliser (blanks to SPACE, one in front) is string replacement, and byte fallback
-(a character outside the vocabulary is read as its UTF-8 bytes) a lookup. No transducers
-are composed and no weights relaxed.
-
-Merge-based models need one more factor: their encoding is the only sequence of
-pieces in which every two neighbours are themselves the encoding of their
-concatenation. The pair automaton has a state for the last piece; an arc to a
-piece that may not follow is refused. Its arcs are made when first met, by
-merging the pair, and remembered. So the path found is exactly the
-library's encoding, and as only one path to each position of an input is allowed,
-the search keeps one state a position and stops at the first allowed arc.
-
-No piece crosses the cut before a word's blanks, so inputs are searched pre-token by
-pre-token. New pre-tokens of some texts are taken in sorted order and share the
-search of their common prefixes; encodings are remembered by each worker, up to
-``MOST_WORDS``.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
+
+Four machines are compiled from a model file, as tables of arcs:
+
+* the normaliser, characters to characters: blanks become SPACE, one is put in
+  front of a text, runs are squeezed if the model says so;
+* the pieces, characters to piece ids (:class:`PieceMachine`): a state for each beginning of
+  a piece, failure arcs between them, and the pieces that end at each, with their weights;
+* byte fallback: an arc for each character that isn't a piece, which writes its UTF-8
+  bytes' ids (the unknown id, if the model has no bytes);
+* the pair acceptor over ids, whose weight is 0 or infinite (:class:`PairMachine`):
+  merge-based models allow one sequence only, others allow all.
+
+An input is composed with the four lazily, from left to right, and the path of least
+weight in the tropical semiring (weights add along a path, the least counts among paths)
+is read from back pointers. The composition needs no more than one state a position:
+in a merge-based model only one path to each position is finite, and in others the
+acceptor has a single state. Weights are minus the scores of a unigram model; a
+merge-based model's pieces weigh nothing, its acceptor decides alone.
+
+Inputs are composed chunk by chunk, cut where no piece holds both neighbours. New
+chunks are taken in sorted order, so that common prefixes are composed once. Each worker
+remembers at most MOST_CHUNKS encoded chunks. Memory grows with the longest chunk beside that.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.pieces import SPACE, Pieces, load_pieces, normalise
+from talkmill.llm.chunks import Remembered
+from talkmill.llm.pieces import INFINITE, MARK, SPACE, START, SYMBOLS, Normaliser, PairMachine, PieceMachine, Pieces, in_order, load_pieces, marked
 from talkmill.llm.shared import slices
 
-MOST_WORDS = 200_000
-MOST_PAIRS = 1_000_000
-SLICE_BYTES = 3_000_000
-#: Above any symbol number; pairs are kept under one number.
-_SYMBOLS = 1 << 22
-PRE_TOKEN = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+MOST_CHUNKS = 500_000
+SLICE_BYTES = 6_000_000
 
 _coders: dict[str, Transducer] = {}
 
 
 class Transducer:
-    """Compiled normaliser, pieces, byte fallback and pair automaton of one model."""
+    """The compiled machines of one model, and their composition with inputs."""
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self._compile()
-        self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _compile(self) -> None:
-        """The piece transducer: a state for each beginning of a piece.
-
-        ``step[state]`` maps a character to the next state (the longest end of the
-        text read so far that begins a piece), and ``arcs[state]`` lists the pieces
-        that end here, (id, length), longest first.
+        self.normaliser, self.machine, self.pairs = Normaliser(pieces), PieceMachine(pieces), PairMachine(pieces)
+        self.fallback_weight = -pieces.unknown_score()
+        self.chunks = Remembered(self._learn, "<u4", MOST_CHUNKS)
+        decoded = self._decoded()
+        self.size_of = np.array([len(x) for x in decoded], np.int64)
+        self.begin_of = np.cumsum(self.size_of) - self.size_of
+        self.bytes_of = np.frombuffer(b"".join(decoded), np.uint8)
+
+    def shortest_paths(self, texts: list[str]) -> Iterator[tuple[int, list[int]]]:
+        """(place, symbols of the path of least weight) of normalised texts; characters outside the vocabulary are -ord - 1.
+
+        Texts are composed in sorted order; what a text has in common with the one before isn't composed again.
         """
-        step: list[dict[str, int]] = [{}]
-        own: list[tuple[int, int] | None] = [None]
-        for piece, symbol in self.pieces.ids.items():
-            state = 0
-            for char in piece:
-                following = step[state].get(char)
-                if following is None:
-                    following = step[state][char] = len(step)
-                    step.append({})
-                    own.append(None)
-                state = following
-            own[state] = (symbol, len(piece))
-        fail, arcs = [0] * len(step), [()] * len(step)
-        queue = list(step[0].values())
-        for state in queue:
-            arcs[state] = ((own[state],) if own[state] else ()) + arcs[fail[state]]
-            for char, following in step[state].items():
-                back = fail[state]
-                while back and char not in step[back]:
-                    back = fail[back]
-                fail[following] = step[back].get(char, 0)
-                queue.append(following)
-        self.step, self.fail, self.arcs = step, fail, arcs
-
-    def _next(self, state: int, char: str) -> int:
-        """A transition that isn't in the table yet."""
-        back = state
-        while back and char not in self.step[back]:
-            back = self.fail[back]
-        following = self.step[state][char] = self.step[back].get(char, 0)
-        return following
-
-    def merges(self, text: str) -> list[str]:
-        """The merge order's own segmentation: best score first, leftmost among equals."""
-        parts, scores = list(text), self.pieces.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _may_follow(self, left: int, right: int) -> bool:
-        """Whether the pair automaton has a finite arc between two symbols."""
-        a, b = self._text(left), self._text(right)
-        if len(self.pairs) > MOST_PAIRS:
-            self.pairs.clear()
-        known = self.pairs[left * _SYMBOLS + right] = self.merges(a + b) == [a, b]
-        return known
-
-    def _text(self, symbol: int) -> str:
-        return self.pieces.names[symbol] if symbol >= 0 else chr(-symbol - 1)
-
-    def shortest_paths(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, symbols) of the only finite path of each word; symbols outside the vocabulary are -ord - 1.
-
-        Words come back sorted; the search of a prefix that a word has in common with the one before isn't repeated.
-        """
-        step, all_arcs, pairs = self.step, self.arcs, self.pairs
-        states, last, start = [0], [0], [0]  # by position: piece state, last symbol of its path, where that begins
-        previous = ""
-        for word in sorted(words):
-            same, n = 0, min(len(previous), len(word))
-            while same < n and previous[same] == word[same]:
-                same += 1
-            del states[same + 1 :], last[same + 1 :], start[same + 1 :]
+        step, failure, ending = self.machine.step, self.machine.failure, self.machine.ending
+        allowed, known, fallback = self.pairs.weight, self.pairs.known, self.fallback_weight
+        # By position: the piece machine's state; weight, last symbol of the best path and where that begins.
+        states, weight, last, start = [0], [0.0], [START], [0]
+        for place, text, same in in_order(texts):
+            del states[same + 1 :], weight[same + 1 :], last[same + 1 :], start[same + 1 :]
             state = states[same]
-            for i in range(same, len(word)):
-                char = word[i]
-                following = step[state].get(char)
-                state = self._next(state, char) if following is None else following
-                for symbol, length in all_arcs[state]:
-                    j = i + 1 - length
-                    if j:
-                        finite = pairs.get(last[j] * _SYMBOLS + symbol)
-                        if finite or finite is None and self._may_follow(last[j], symbol):
-                            break
-                    elif length == 1 or self._alone(symbol):
-                        break
-                else:
-                    symbol, j = -ord(char) - 1, i
+            for i in range(same, len(text)):
+                char = text[i]
+                while state and char not in step[state]:
+                    state = failure[state]
+                state = step[state].get(char, 0)
+                least, symbol, begin = INFINITE, START, i
+                arcs = ending[state]
+                for piece, length, own in arcs:
+                    at = i + 1 - length
+                    total = weight[at] + own
+                    if total < least:
+                        pair = known.get(last[at] * SYMBOLS + piece)
+                        total += allowed(last[at], piece) if pair is None else pair
+                        if total < least:
+                            least, symbol, begin = total, piece, at
+                if not arcs or arcs[-1][1] > 1:  # not a piece by itself: byte fallback
+                    total = weight[i] + fallback + allowed(last[i], -ord(char) - 1)
+                    if total < least:
+                        least, symbol, begin = total, -ord(char) - 1, i
                 states.append(state)
+                weight.append(least)
                 last.append(symbol)
-                start.append(j)
-            previous = word
-            path, at = [], len(word)
+                start.append(begin)
+            path, at = [], len(text)
             while at:
                 path.append(last[at])
                 at = start[at]
-            path.reverse()
-            yield word, path
-
-    def _alone(self, symbol: int) -> bool:
-        """Whether a piece is the encoding of its own text."""
-        known = self.pairs.get(symbol)
-        if known is None:
-            text = self._text(symbol)
-            known = self.pairs[symbol] = self.merges(text) == [text]
-        return known
-
-    def _ids(self, path: list[int]) -> bytes:
+            yield place, path[::-1]
+
+    def _ids(self, path: list[int]) -> list[int]:
+        """What the machines write along a path."""
         out: list[int] = []
         for symbol in path:
             if symbol >= 0:
@@ -173,38 +108,50 @@ class Transducer:
                 out += [self.pieces.byte_ids[b] for b in chr(-symbol - 1).encode()]
             elif not out or out[-1] != self.pieces.unknown:
                 out.append(self.pieces.unknown)
-        return array("I", out).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, each as little-endian unsigned 32-bit integers."""
-        split = [PRE_TOKEN.findall(normalise(t, self.pieces)) for t in texts]
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        known = self.words
-        new = set().union(*split).difference(known)
-        for w, path in self.shortest_paths(new):
-            known[w] = self._ids(path)
-        return [b"".join([known[w] for w in words]) for words in split]
+        return out
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found: list[list[int]] = [[]] * len(new)
+        for place, path in self.shortest_paths(list(map(self.normaliser.chunk, new))):
+            found[place] = path if min(path, default=0) >= 0 else self._ids(path)
+        return np.array(list(chain.from_iterable(found)), "<u4"), np.array(list(map(len, found)), np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of whole texts in a row, where each text's begin (and the last ends), and whether decoding gives it back."""
+        data, offsets = marked(texts)
+        cuts = self.pieces.cuts(data, offsets)
+        ids, at = self.chunks.gather(data, cuts)
+        first = at[np.searchsorted(cuts, offsets)]
+        return ids, first, self._given_back(data, offsets, ids, first)
+
+    def _given_back(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether the ids of each marked text decode to it."""
+        size = self.size_of[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        source = np.repeat(self.begin_of[ids] - ends[:-1], size)
+        source += np.arange(len(source))
+        decoded, at = self.bytes_of[source], ends[first]
+        wanted = np.where(data == MARK[0], 0x20, data).astype(np.uint8)
+        if not self.pieces.dummy_prefix:
+            wanted, offsets = wanted[data != MARK[0]], offsets - np.searchsorted(np.flatnonzero(data == MARK[0]), offsets)
+        if len(decoded) == len(wanted) and np.array_equal(at, offsets) and np.array_equal(decoded, wanted):
+            return np.ones(len(offsets) - 1, bool)
+        return np.array([np.array_equal(decoded[a:b], wanted[c:d]) for a, b, c, d in zip(at, at[1:], offsets, offsets[1:], strict=False)], bool)
 
     def decode(self, ids: np.ndarray) -> str:
         """The inverse: bytes joined, SPACE to blank, the blank in front removed."""
-        if not len(ids):
-            return ""
-        table = self._decoded()
-        raw = b"".join([table[i] for i in ids.tolist()])
+        raw = b"".join(self.bytes_of[self.begin_of[i] : self.begin_of[i] + self.size_of[i]].tobytes() for i in ids)
         text = raw.decode("utf-8", "replace")
         return text[1:] if self.pieces.dummy_prefix and text.startswith(" ") else text
 
     def _decoded(self) -> list[bytes]:
-        if not hasattr(self, "_table"):
-            table = [b""] * len(self.pieces.names)
-            for p, i in self.pieces.ids.items():
-                table[i] = p.replace(SPACE, " ").encode()
-            for b, i in self.pieces.byte_ids.items():
-                table[i] = bytes([b])
-            table[self.pieces.unknown] = " ⁇ ".encode()
-            self._table = table
-        return self._table
+        table = [b""] * len(self.pieces.names)
+        for p, i in self.pieces.ids.items():
+            table[i] = p.replace(SPACE, " ").encode()
+        for b, i in self.pieces.byte_ids.items():
+            table[i] = bytes([b])
+        table[self.pieces.unknown] = " ⁇ ".encode()
+        return table
 
 
 def coder(path: str) -> Transducer:
@@ -220,19 +167,19 @@ def encode(docs: DataFrame, model_path: str, digest: bool = False) -> DataFrame:
     Returns doc_id, n_tokens, ids (or, with ``digest``, ids_crc32 of the ids as
     little-endian 32-bit integers) and lossless: whether decoding gives the text
     back. A text with the character SPACE in it decodes to a blank in its place
-    and is not lossless. Null and empty texts have no ids and are lossless.
+    and is not lossless. Null and empty texts have no ids and are lossless. A null doc_id stays null.
     Repeated rows are encoded alike. Other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = coder(model_path)
         for batch in slices(batches, max_bytes=SLICE_BYTES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = fst.encode(texts)
-            lossless = [fst.decode(np.frombuffer(x, "<u4")) == t for x, t in zip(ids, texts, strict=True)]
-            values = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), values, pa.array(lossless)], names=["doc_id", "n_tokens", name, "lossless"])
-        fst.words.clear()  # an idle worker holds no texts' words
+            ids, first, lossless = fst.encode(batch.column("text"))
+            if digest:
+                values = pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(first, first[1:], strict=False)], pa.int64())
+            else:
+                values = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.view("<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(first)), values, pa.array(lossless)], names=["doc_id", "n_tokens", name, "lossless"])
 
     name = "ids_crc32" if digest else "ids"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -1,122 +1,161 @@
 """Token counts by dynamic programming over a trie of distinct pre-tokens.
 
-A text is normalised and cut before every run of blanks that starts a word; no
-piece crosses such a cut, so a text's best segmentation is that of its
-pre-tokens. The distinct new pre-tokens of a batch are inserted into a trie in
-sorted order, so that only the path to the latest one has to be held. The Viterbi
-forward score of a prefix, the best sum of unigram scores over its
-segmentations, is computed once, when its node is made, from the nodes above it;
-the number of tokens on that path is kept beside it. The count at the terminal
-node is stored for each pre-token. Texts then add up stored counts.
-
-The pieces' unigram scores are ``-ln(rank + RANK_SHIFT)``, Zipf's law over the
-vocabulary's order, since the file's own scores are merge ranks. A character
-that no piece covers costs one token for each of its UTF-8 bytes.
-
-No shuffle; each Python worker remembers at most about ``MOST_WORDS`` pre-tokens
-and starts anew beyond that.
+A text is cut into pre-tokens wherever no piece of the vocabulary holds both neighbours
+(before a word's blanks, between most letters and marks), so its segmentation is that of
+its pre-tokens. The distinct pre-tokens are inserted, in sorted order,
+into a trie that a worker keeps for all its batches. A node stands for a prefix;
+when it is made, its forward score, the best sum of the pieces' unigram scores
+over the prefix's segmentations, is worked out from the nodes above it, once for all pre-tokens
+that share it, and the number of tokens on that path and its last piece are kept beside it.
+A pre-token's count is that of its terminal node, and a text adds up stored counts.
+
+In a merge-based model, whose scores are merge ranks, only neighbours that
+are the encoding of their concatenation may follow each other (:class:`PairMachine`); other segmentations score
+minus infinity. So counts are those of the tokenizer itself, which unigram scores alone would miss.
+
+No shuffle. A worker's trie starts anew beyond MOST_NODES nodes, and it remembers the
+counts of at most MOST_CHUNKS pre-tokens. Of pre-tokens longer than LONGEST characters only
+the latest scores are held, so that memory doesn't grow with them.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterable, Iterator
+from array import array
+from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.pieces import SPACE, Pieces, load_pieces, normalise
+from talkmill.llm.chunks import Remembered
+from talkmill.llm.pieces import INFINITE, START, SYMBOLS, Normaliser, PairMachine, PieceMachine, Pieces, in_order, load_pieces, marked
 from talkmill.llm.shared import slices
 
-RANK_SHIFT = 10.0
-MOST_WORDS = 300_000
-SLICE_BYTES = 3_000_000
-PRE_TOKEN = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: A byte of a character outside the vocabulary costs as much as a piece of this rank.
-BYTE_RANK = 1_000_000
+MOST_NODES, MOST_CHUNKS = 800_000, 500_000
+LONGEST = 200
+SLICE_BYTES = 6_000_000
+_CHARACTERS = 1 << 21
 
 _tries: dict[str, Trie] = {}
 
 
-def zipf_scores(pieces: Pieces) -> dict[str, float]:
-    ranked = sorted(pieces.ids, key=lambda p: pieces.ids[p])
-    return {p: -math.log(r + RANK_SHIFT) for r, p in enumerate(ranked)}
-
-
 class Trie:
-    """Forward scores and token counts along the path of the latest pre-token; counts of all."""
-
-    def __init__(self, scores: dict[str, float], most_words: int = MOST_WORDS) -> None:
-        # Every end of a piece, with the piece's score or minus infinity: read backwards, it tells where to stop.
-        self.ends: dict[str, float] = {}
-        for p in scores:
-            for n in range(1, len(p)):
-                self.ends.setdefault(p[n:], -math.inf)
-        self.ends |= scores
-        self.byte_score = -math.log(BYTE_RANK)
-        self.most = most_words
-        self.terminal: dict[str, int] = {}
-
-    def insert(self, words: Iterable[str]) -> None:
-        """Make the nodes of new prefixes and store the terminal counts."""
-        ends, terminal = self.ends, self.terminal
-        forward, tokens, previous = [0.0], [0], ""
-        for word in sorted(words):
-            same, n = 0, min(len(previous), len(word))
-            while same < n and previous[same] == word[same]:
-                same += 1
-            del forward[same + 1 :], tokens[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                width = len(word[i - 1].encode())
-                best, count = forward[i - 1] + width * self.byte_score, tokens[i - 1] + width
-                j = i - 1
-                while j >= 0:
-                    score = ends.get(word[j:i])
-                    if score is None:
-                        break
-                    score += forward[j]
-                    # Equal scores: the fewer tokens.
-                    if score > best or score == best and tokens[j] + 1 < count:
-                        best, count = score, tokens[j] + 1
-                    j -= 1
-                forward.append(best)
-                tokens.append(count)
-            terminal[word] = tokens[-1]
-            previous = word
-
-    def count(self, texts: list[str]) -> list[tuple[int, int]]:
-        """Tokens and pre-tokens of normalised texts."""
-        if len(self.terminal) > self.most:
-            self.terminal.clear()
-        split = [PRE_TOKEN.findall(t) for t in texts]
-        self.insert(set().union(*split).difference(self.terminal))
-        terminal = self.terminal
-        return [(sum([terminal[w] for w in words]), len(words)) for words in split]
-
-
-def trie_for(path: str) -> tuple[Trie, Pieces]:
+    """Nodes of all prefixes seen: children, forward score, tokens on the best path, its last piece, state of the endings."""
+
+    def __init__(self, pieces: Pieces, most_nodes: int = MOST_NODES, most_chunks: int = MOST_CHUNKS) -> None:
+        self.pieces, self.normaliser = pieces, Normaliser(pieces)
+        self.machine, self.pairs = PieceMachine(pieces), PairMachine(pieces)
+        self.scores = [pieces.scores.get(name, 0.0) for name in pieces.names]
+        self.unknown_score = min(pieces.scores.values(), default=0.0) - 10.0
+        self.most = most_nodes
+        self.counts = Remembered(self._learn, "<i8", most_chunks)
+        self._start()
+
+    def _start(self) -> None:
+        self.children: dict[int, int] = {}
+        self.score, self.tokens, self.last, self.state = array("d", [0.0]), array("i", [0]), array("i", [START]), array("i", [0])
+
+    def insert(self, words: list[str]) -> Iterator[tuple[int, int]]:
+        """Make the nodes that normalised pre-tokens lack; (place, count of the terminal node) of each."""
+        path = [0]
+        for place, word, same in in_order(words):
+            del path[same + 1 :]
+            if len(word) > LONGEST:
+                del path[1:]
+                yield place, self._along(word)
+                continue
+            if len(self.score) > self.most:
+                self._start()
+                path = [0]
+            children, state = self.children, self.state
+            for char in word[len(path) - 1 :]:
+                key = path[-1] * _CHARACTERS + ord(char)
+                node = children.get(key)
+                if node is None:
+                    at = self.machine.next(state[path[-1]], char)
+                    score, tokens, last = self._best(at, char, path, self.score, self.tokens, self.last)
+                    node = children[key] = len(state)
+                    self.score.append(score)
+                    self.tokens.append(tokens)
+                    self.last.append(last)
+                    state.append(at)
+                path.append(node)
+            yield place, self.tokens[path[-1]]
+
+    def _best(self, state: int, char: str, path, score, tokens, last) -> tuple[float, int, int]:
+        """(score, tokens, last piece) of a prefix that ends in ``char``; ``path[-n]``: where the prefix n characters shorter is kept.
+
+        Equal scores: the fewer tokens, then the longer last piece.
+        """
+        best, count, piece = -INFINITE, 0, START
+        known, merging = self.pairs.known, self.pieces.merging
+        arcs = self.machine.ending[state]
+        for symbol, length, _ in arcs:
+            at = path[-length]
+            total = score[at] + self.scores[symbol]
+            if merging or total > best or total == best and tokens[at] + 1 < count:
+                pair = known.get(last[at] * SYMBOLS + symbol)
+                if (self.pairs.weight(last[at], symbol) if pair is None else pair) == 0.0:
+                    if merging:
+                        return total, tokens[at] + 1, symbol  # no other segmentation is finite
+                    best, count, piece = total, tokens[at] + 1, symbol
+        if not arcs or arcs[-1][1] > 1:  # the character isn't a piece
+            at, symbol = path[-1], -ord(char) - 1
+            total = score[at] + self.unknown_score
+            # Without byte pieces, neighbouring unknown characters are one token.
+            more = len(char.encode()) if self.pieces.byte_ids else int(last[at] >= 0)
+            if total > best and self.pairs.weight(last[at], symbol) == 0.0:
+                best, count, piece = total, tokens[at] + more, symbol
+        return best, count, piece
+
+    def _along(self, word: str) -> int:
+        """The count of a long pre-token; nothing of it is kept but the latest scores."""
+        reach = max(map(len, self.pieces.ids), default=1) + 1
+        score, tokens, last, state = deque([0.0], reach), deque([0], reach), deque([START], reach), 0
+        back = range(-reach, 0)  # the n-th last entries themselves
+        for char in word:
+            state = self.machine.next(state, char)
+            best = self._best(state, char, back, score, tokens, last)
+            for column, value in zip((score, tokens, last), best, strict=True):
+                column.append(value)
+        return tokens[-1]
+
+    def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = np.zeros(len(new), np.int64)
+        for place, count in self.insert(list(map(self.normaliser.chunk, new))):
+            found[place] = count
+        return found, np.ones(len(new), np.int64)
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pre-tokens and tokens of each text."""
+        data, offsets = marked(texts)
+        cuts = self.pieces.cuts(data, offsets)
+        tokens, _ = self.counts.gather(data, cuts)
+        first = np.searchsorted(cuts, offsets)
+        return np.diff(first), np.diff(np.concatenate(([0], np.cumsum(tokens)))[first])
+
+
+def trie_for(path: str) -> Trie:
     """One trie a Python worker."""
     if path not in _tries:
-        pieces = load_pieces(path)
-        _tries[path] = Trie(zipf_scores(pieces)), pieces
+        _tries[path] = Trie(load_pieces(path))
     return _tries[path]
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """Tokens of every whole text of (doc_id, text): doc_id, n_pretokens, n_tokens.
 
-    Null and empty texts have none. Repeated rows are counted alike. Other
+    Null and empty texts have none. A null doc_id stays null. Repeated rows are counted alike. Other
     columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, pieces = trie_for(model_path)
+        trie = trie_for(model_path)
         for batch in slices(batches, max_bytes=SLICE_BYTES):
-            counts = trie.count([normalise(t or "", pieces) for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c[1] for c in counts], pa.int64()), pa.array([c[0] for c in counts], pa.int64())], names=["doc_id", "n_pretokens", "n_tokens"])
-        trie.terminal.clear()  # an idle worker holds no texts' words
+            words, tokens = trie.count(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(tokens)], names=["doc_id", "n_pretokens", "n_tokens"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

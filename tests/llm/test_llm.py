@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from talkmill.llm import components, lm, near_dup, pu_quality, sharding, spm_fst, token_counts, token_files, topk, url_filter
 from talkmill.llm.bytewords import ALNUM, NOT_SPACE, find_words
 from talkmill.llm.decontam import Benchmark, contamination, drop_contaminated
-from talkmill.llm.pieces import load_pieces, normalise
+from talkmill.llm.pieces import Normaliser, Pieces, load_pieces
 from talkmill.llm.registry import tokenizer_file
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -26,6 +26,9 @@ ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Null, empty, blank, one word, odd blanks, not ASCII, long words, special strings.
 AWKWARD = [None, "", " \t\n", "one", "One two", "a  b\tc\nd\x0be", "日本語 テキスト é x", "x" * 5000, "<|endoftext|> a <s>", "▁ a▁b", "it's 3 o'clock!!  \n\n ok", "the the the the", "\x00\x01 z"]
 
+#: Beyond one slice of a batch, of many words and of one, with a benchmark-like repetition.
+LONG = [" ".join(f"Word{i % 977} and, é{i}" for i in range(90_000)), "ab1" * 70_000]
+
 
 def docs(spark, texts, first=0):
     return spark.createDataFrame([(first + i, t, "extra", 1) for i, t in enumerate(texts)], "doc_id long, text string, sig string, block int")
@@ -146,25 +149,76 @@ def test_sharding_weights_and_bad_keys(spark):
 MODEL = tokenizer_file("piece_bpe_32k.model")
 
 
+def small_pieces(merging):
+    """Ten pieces and the bytes of one character, by hand."""
+    names = ["<unk>", "<0xC3>", "<0xA9>", "a", "b", "c", "ab", "bc", "abc", "▁", "▁a", "ca", "▁ab"]
+    out = Pieces(names=names, byte_ids={0xC3: 1, 0xA9: 2}, merging=merging)
+    for i, name in enumerate(names[3:], 3):
+        out.ids[name], out.scores[name] = i, -float(i) if merging else [-2.0, -2.5, -2.0, -3.0, -2.2, -7.0, -1.0, -3.5, -3.1, -3.9][i - 3]
+    return out
+
+
+def all_paths(pieces, text):
+    if not text:
+        yield 0.0, []
+    for p, i in pieces.ids.items():
+        if text.startswith(p):
+            for weight, rest in all_paths(pieces, text[len(p) :]):
+                yield weight - pieces.scores[p], [i, *rest]
+    if text and text[0] not in pieces.ids:
+        for weight, rest in all_paths(pieces, text[1:]):
+            yield weight - pieces.unknown_score(), [*[pieces.byte_ids[b] for b in text[0].encode()], *rest]
+
+
+def test_shortest_paths_by_hand():
+    rng = random.Random(3)
+    texts = ["", "a", "abc", "é", "▁abca", "▁▁abébc"] + ["".join(rng.choices("abc▁é", weights=[3, 3, 3, 1, 1], k=rng.randrange(9))) for _ in range(150)]
+    unigram, merging = spm_fst.Transducer(small_pieces(False)), spm_fst.Transducer(small_pieces(True))
+    for place, path in unigram.shortest_paths(texts):
+        weight, _ = min(all_paths(unigram.pieces, texts[place]), key=lambda x: x[0])
+        assert sum(-unigram.pieces.scores[unigram.pieces.names[s]] if s >= 0 else -unigram.pieces.unknown_score() for s in path) == pytest.approx(weight)
+        assert "".join(map(unigram.pieces.text, path)) == texts[place]
+    for place, path in merging.shortest_paths(texts):
+        assert list(map(merging.pieces.text, path)) == merging.pairs.merges(texts[place])
+    assert unigram._ids(dict(unigram.shortest_paths(["aé"]))[0]) == [3, 1, 2]
+    trie = token_counts.Trie(small_pieces(False))
+    for place, tokens in trie.insert(texts):
+        best = min(w for w, _ in all_paths(trie.pieces, texts[place]))
+        assert tokens == min(len(p) for w, p in all_paths(trie.pieces, texts[place]) if w == pytest.approx(best))
+
+
+def test_the_normaliser_is_a_transducer():
+    pieces = small_pieces(True)
+    plain, begin = Normaliser(pieces), Normaliser.BEGIN
+    assert [plain.compose(t, begin) for t in ("", "a b", " a", "▁a  ")] == ["", "▁a▁b", "▁▁a", "▁▁a▁▁"]
+    pieces.squeeze = True
+    assert [Normaliser(pieces).compose(t, begin) for t in ("  ", " a  b ", "a")] == ["", "▁a▁b", "▁a"]
+
+
 def test_token_counts_against_the_library(spark):
-    from tokenizers import Tokenizer, models
+    import sentencepiece
 
-    pieces = load_pieces(MODEL)
-    scores = token_counts.zipf_scores(pieces)
-    vocabulary = [("<unk>", -1e9), *[(f"<0x{b:02X}>", -math.log(token_counts.BYTE_RANK)) for b in range(256)], *scores.items()]
-    library = Tokenizer(models.Unigram(vocabulary, 0, True))
-    rows = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, AWKWARD), MODEL).collect()}
-    for i, t in enumerate(AWKWARD):
-        assert rows[i] == (len(library.encode(normalise(t, pieces)).ids) if t else 0), t
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = AWKWARD + LONG
+    rows = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, texts), MODEL).collect()}
+    assert rows == {i: len(library.encode(t or "")) for i, t in enumerate(texts)}
     assert token_counts.count_tokens(docs(spark, AWKWARD).limit(0), MODEL).count() == 0
+    same = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in token_counts.count_tokens(same.na.fill(-1), MODEL).collect()) == [(-1, 0, 0), (-1, 2, 2), (1, 2, 2), (1, 2, 2)]
+    assert token_counts.count_tokens(same, MODEL).where("doc_id is null").count() == 2
 
 
-def test_counts_start_anew_when_full():
+def test_the_trie_is_shared_and_bounded():
     pieces = load_pieces(MODEL)
-    small, large = token_counts.Trie(token_counts.zipf_scores(pieces), 2), token_counts.Trie(token_counts.zipf_scores(pieces))
-    for text in ["▁hello▁world", "▁other▁words▁are▁here▁now", "▁hello▁again"] * 3:
-        assert small.count([text]) == large.count([text])
-    assert len(small.terminal) < len(large.terminal)
+    trie, small = token_counts.Trie(pieces), token_counts.Trie(pieces, most_nodes=4, most_chunks=2)
+    texts = [pa.array([t]) for t in ["hello world", "hello word", "other words are here now", "hello again"] * 3]
+    first = [tuple(map(list, trie.count(t))) for t in texts]
+    nodes = len(trie.score)
+    assert first == [tuple(map(list, small.count(t))) for t in texts]
+    list(trie.insert(["▁hello", "▁hell", "▁wor"]))
+    assert len(trie.score) == nodes  # prefixes of earlier batches
+    list(trie.insert(["▁hello" + "x" * 500]))
+    assert len(trie.score) == nodes and len(small.score) < nodes
 
 
 def test_sentencepiece_equals_the_library(spark):
@@ -172,15 +226,20 @@ def test_sentencepiece_equals_the_library(spark):
 
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rng = random.Random(2)
-    texts = AWKWARD + ["".join(rng.choices("abcdeth  nsé\n1▁", k=rng.randrange(60))) for _ in range(150)]
+    texts = AWKWARD + LONG + ["".join(rng.choices("abcdeth  nsé\n1▁", k=rng.randrange(60))) for _ in range(150)]
     rows = {r["doc_id"]: r for r in spm_fst.encode(docs(spark, texts), MODEL).collect()}
     for i, t in enumerate(texts):
         assert rows[i]["ids"] == library.encode(t or ""), t
         assert rows[i]["lossless"] == ("▁" not in (t or "")), t
+        assert rows[i]["n_tokens"] == len(rows[i]["ids"])
     back = {r["doc_id"]: r["text"] for r in spm_fst.decode(spm_fst.encode(docs(spark, texts), MODEL), MODEL).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") or "▁" in (t or "") for i, t in enumerate(texts))
     digest = {r["doc_id"]: r["ids_crc32"] for r in spm_fst.encode(docs(spark, texts), MODEL, digest=True).collect()}
     assert all(digest[i] == zlib.crc32(np.array(rows[i]["ids"], "<u4").tobytes()) for i in digest)
+    same = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_tokens"], r["lossless"]) for r in spm_fst.encode(same, MODEL).collect())
+    assert got == {(None, 1, True): 1, (1, 1, True): 2, (2, 0, True): 1}
+    assert spm_fst.encode(same.limit(0), MODEL).count() == 0
 
 
 def brute_hits(text, items, window=10):
@@ -258,15 +317,41 @@ def test_token_files_round_trip(spark, monkeypatch, tmp_path):
         token_files.TokenFile(folder, name, b"other")
 
 
+@pytest.mark.parametrize("texts", [["x"], AWKWARD, [f"some words, {i}" for i in range(300)]])
+def test_there_is_always_a_dictionary(spark, tmp_path, texts):
+    path = tokenizer_file("byte_bpe_50k.json")
+    folder, manifest = token_files.write_token_files(docs(spark, texts), path, f"file://{tmp_path}/tokens")
+    assert token_files.read_dictionary(folder)
+    assert token_files.read_digests(folder, manifest).count() == len(texts)
+
+
+def test_token_ids_equal_the_library_on_odd_texts():
+    encoder = token_files.encoder(tokenizer_file("byte_bpe_50k.json"), 2)
+    rng = random.Random(8)
+    parts = ["a", "B", "é", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "1", "²", "!", "\u3000", "\u00a0", "\u2009", "\x85", "日", "가", "<|endoftext|>", "\x1c", "\r", "_", "ß.", "'ll", "ñ,", "🙂", "ـ", "Ⅷ"]
+    texts = [None, "", *LONG] + ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)]
+    want = encoder.library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [e.ids for e in want]
+
+
+def test_a_call_that_cannot_be_told_apart_is_repeated_alone():
+    encoder = token_files.Encoder(tokenizer_file("byte_bpe_50k.json"), 2)
+    encoder.blank_first[:] = False
+    assert encoder.encode(pa.array(["one two three"]))[0].tolist() == encoder.library.encode("one two three").ids
+
+
 def test_token_files_awkward_tables(spark):
     path = tokenizer_file("byte_bpe_50k.json")
     folder, manifest = token_files.write_token_files(docs(spark, ["x"]).limit(0), path)
     assert manifest.count() == 0 and token_files.read_digests(folder, manifest).count() == 0
-    same = spark.createDataFrame([(4, "b c"), (4, "a"), (4, "a")], "doc_id long, text string")
+    same = spark.createDataFrame([(4, "b c"), (4, "a"), (4, "a"), (None, "b c"), (None, None), (-3, "a")], "doc_id long, text string")
     folder, manifest = token_files.write_token_files(same, path)
-    assert sorted((r["start"], r["n_tokens"]) for r in token_files.read_digests(folder, manifest).collect()) == [(0, 2), (2, 2), (4, 3)]
-    with pytest.raises(ValueError, match="null"):
-        token_files.write_token_files(spark.createDataFrame([(None, "a")], "doc_id long, text string"), path)
+    got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in token_files.read_digests(folder, manifest).collect())
+    assert got == [(0, 1, None), (1, 3, None), (4, 2, -3), (6, 2, 4), (8, 2, 4), (10, 3, 4)]
+    file = token_files.TokenFile(folder, manifest.orderBy("part").first()["file"])
+    assert file.find(0) == []
+    nameless = same.where("doc_id is null")
+    assert token_files.read_digests(*token_files.write_token_files(nameless, path)).count() == 2
 
 
 def brute_top(rows, k, every=20):
