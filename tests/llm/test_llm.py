@@ -355,28 +355,43 @@ def test_token_files_awkward_tables(spark):
 
 
 def brute_top(rows, k, every=20):
-    q = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v)]
+    whole = lambda x: math.floor(64 * float(x)) if abs(x) < 1e300 else 64 * int(x)
+    q = [(i, [whole(x) for x in v]) for i, v in rows if v is not None and i is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in dict((i, v) for i, v in q if i % every == 0).items():
+    for i, v in {i: min(w for j, w in q if j == i) for i, _ in q if i % every == 0}.items():
         scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in q if j != i)[:k]
         out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(512, 8192), (3, 17)])
-def test_top_k_equals_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "QUERIES_A_BLOCK", blocks[0])
-    monkeypatch.setattr(topk, "CANDIDATES_A_BLOCK", blocks[1])
+@pytest.mark.parametrize("sizes", [(512, 8192, 32_000_000, 2048), (3, 17, 3000, 5), (7, 50, 900, 0)])
+def test_top_k_equals_brute_force(spark, monkeypatch, sizes):
+    for name, size in zip(("QUERIES_A_CELL", "CANDIDATES_A_CELL", "QUERY_BYTES", "PILOT"), sizes, strict=True):
+        monkeypatch.setattr(topk, name, size)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.3, 40))]) for i in range(160)]
     rows += [(200 + i, rows[5][1]) for i in range(60)]  # ties
     rows += [(400, None), (420, [None, 1.0]), (440, [float("nan")]), (460, [float("inf"), 1.0]), (480, []), (500, [1.0, -2.0]), (None, [1.0])]
+    rows += [(520, [0.5, 0.5]), (520, [0.25, 9.0]), (521, [0.5]), (521, [0.5])]  # repeated ids and rows
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
     got = sorted(tuple(r) for r in topk.top_k(df, 7).collect())
     assert got == brute_top(rows, 7)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(i, [float(i), 1.0, -0.5]) for i in range(25)]
+    rows += [(31, [2e9, 3.0]), (32, [float(2**21), 1.0]), (40, [float(2**21), 2.0**23 + 0.25]), (60, [2.0**30, -1.0]), (61, [-1e10]), (63, [123456.25, 7e7]), (64, [-1e300, 1.0])]
+    df = lambda some: spark.createDataFrame(some, "vec_id long, embedding array<double>")
+    want = brute_top(rows, 20)
+    beyond = {q for q, _, _, s in want if abs(s) >= 2**63}
+    assert beyond < {q for q, *_ in want} and beyond
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.top_k(df(rows), 20).collect()
+    few = [r for r in rows if r[0] not in beyond]
+    assert sorted(tuple(r) for r in topk.top_k(df(few), 20).collect()) == brute_top(few, 20)
+
+
 def test_lm_counts_and_probabilities(spark):
     rng = random.Random(4)
     vocabulary = ["the", "of", "Cat", "dog,", "runs", "é", "x1"]
