@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.operators.ordering import exact_quantiles
+
 
 def domain_table(df: DataFrame, name: str, values: list) -> DataFrame:
     """A fixed domain as a table with its order."""
@@ -21,6 +25,16 @@ def value_counts(df: DataFrame, column: str, domain: list[str] | None = None, mi
     return counts.join(F.broadcast(total)).select("value", "n", (F.col("n") / F.nullif("total", F.lit(0))).alias("share"))
 
 
+def distributions(tables: dict[str, DataFrame], column: str, domain: list[str]) -> DataFrame:
+    """(column, n_{name}, share_{name}): how several versions spread over a fixed domain; shares of the values that are in it."""
+    long = reduce(DataFrame.union, [df.select(F.lit(name).alias("_v"), F.col(column).alias(column)) for name, df in tables.items()])
+    counts = long.where(F.col(column).isin(domain)).groupBy(column).agg(*[F.count_if(F.col("_v") == n).alias(f"n_{n}") for n in tables])
+    out = domain_table(long, column, domain).join(F.broadcast(counts), column, "left").na.fill(0, [f"n_{n}" for n in tables])
+    totals = counts.agg(*[F.sum(f"n_{n}").alias(f"_t_{n}") for n in tables])
+    out = out.crossJoin(F.broadcast(totals)).orderBy("ord")
+    return out.select(column, *[f"n_{n}" for n in tables], *[(F.col(f"n_{n}") / F.nullif(f"_t_{n}", F.lit(0))).alias(f"share_{n}") for n in tables])
+
+
 def crosstab(df: DataFrame, row: str, column: str, columns: list[str], margins: bool = False) -> DataFrame:
     """Counts of row by column over a fixed column domain; with ``margins`` a row and a column 'ALL'."""
     counts = [F.count_if(F.col(column) == c).cast("long").alias(c) for c in columns]
@@ -53,12 +67,13 @@ def smallest_mode(df: DataFrame, keys: list[str], column: str, name: str) -> Dat
 
 def quantiles(df: DataFrame, keys: list[str], column: str, shares: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one column each."""
-    return df.groupBy(*keys).agg(*[F.expr(f"percentile({column}, {q})").alias(f"q{round(q * 100)}") for q in shares])
+    return exact_quantiles(df, keys, column, {f"q{round(q * 100)}": q for q in shares})
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column)
-    return df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.median(x).alias("median"), F.max(x).alias("max"))
+    out = df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return out.crossJoin(F.broadcast(exact_quantiles(df, [], column, {"median": 0.5}))).select("n", "mean", "std", "min", "median", "max")
 
 
 def transitions(df: DataFrame, old: str, new: str) -> DataFrame:

@@ -50,6 +50,28 @@ def classify_by_prefix(name: Column, rules: dict[str, str], other: str = "other"
     return out
 
 
+def strip_columns(df: DataFrame, forbidden: list[str]) -> DataFrame:
+    """The table without columns that must not be published; those it doesn't have are no error."""
+    return df.drop(*[c for c in forbidden if c in df.columns])
+
+
+def publish(tables: dict[str, DataFrame], allowed: dict[str, list[str]], folder: str) -> list[dict]:
+    """Write the tables on a whitelist (name -> columns to strip) as Parquet below ``folder``.
+
+    Returns the inventory of all tables: state 'published' or 'held back', and the reason.
+    """
+    out = []
+    for line in inventory(tables):
+        name = line["table"]
+        if name not in allowed:
+            out.append({**line, "state": "held back", "reason": "not on the whitelist"})
+            continue
+        strip_columns(tables[name], allowed[name]).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        gone = [c for c in allowed[name] if c in tables[name].columns]
+        out.append({**line, "state": "published", "reason": f"without {', '.join(gone)}" if gone else ""})
+    return out
+
+
 def inventory(tables: dict[str, DataFrame]) -> list[dict]:
     """Name, rows, columns and first eight column names of tables to publish."""
     return [{"table": n, "rows": df.count(), "columns": len(df.columns), "first_columns": df.columns[:8]} for n, df in tables.items()]

@@ -18,7 +18,7 @@ def lookup_with_default(rows: DataFrame, table: DataFrame, key: str, default: st
     """Join a lookup table; keys it doesn't have get its ``default`` row."""
     values = [c for c in table.columns if c != key]
     fallback = table.where(F.col(key) == default).select(F.lit(1).alias("_one"), *[F.col(c).alias(f"_{c}") for c in values])
-    out = rows.withColumn("_one", F.lit(1)).join(table, key, "left").join(fallback, "_one", "left")
+    out = rows.withColumn("_one", F.lit(1)).join(table, key, "left").join(F.broadcast(fallback), "_one", "left")
     return out.withColumns({c: F.coalesce(c, f"_{c}") for c in values}).drop("_one", *[f"_{c}" for c in values])
 
 
@@ -64,3 +64,20 @@ def overlay(base: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
 def in_order(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of the listed ids in the list's order; ``ids``: (key, pos)."""
     return rows.join(ids, key).orderBy("pos")
+
+
+def reattach(answers: DataFrame, requests: DataFrame, key: str = "custom_id") -> DataFrame:
+    """Every request with its answer's columns; requests without an answer stay, answers of unknown requests go."""
+    extra = [c for c in answers.columns if c == key or c not in requests.columns]
+    return checked_left_join(requests, answers.select(*extra), [key])
+
+
+def assert_same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The counts of :func:`same_ids`; the job fails where the two id sets differ."""
+    out = same_ids(a, b, key)
+    equal = (F.col("n_only_a") == 0) & (F.col("n_only_b") == 0)
+    return out.withColumn("n_both", F.when(equal, F.col("n_both")).otherwise(F.raise_error(F.lit("the id sets differ")).cast("long")))
+
+
+def columns_ending(df: DataFrame, suffix: str) -> list[str]:
+    return [c for c in df.columns if c.endswith(suffix)]

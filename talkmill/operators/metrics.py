@@ -6,11 +6,13 @@ which every metric is arithmetic over the label domain.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.functions.nulls import differs, ratio, same
-from talkmill.operators.aggregate import domain_table
 from talkmill.operators.ordering import average_rank_table
 
 PARSE_FAIL = "PARSE_FAIL"
@@ -39,9 +41,12 @@ def class_scores(table: DataFrame, keys: list[str], domain: list[str], low_suppo
     each = F.explode(F.array(F.struct(F.col("gold").alias("label"), F.col("freq").alias("s"), F.lit(0).alias("p"), same(F.col("gold"), F.col("pred")).cast("long").alias("h")), F.struct(F.col("pred").alias("label"), F.lit(0).cast("long").alias("s"), F.lit(1).alias("p"), F.lit(0).cast("long").alias("h"))))
     long = table.select(*keys, "freq", each.alias("e")).select(*keys, "freq", "e.*")
     sums = long.groupBy(*keys, "label").agg(F.sum("s").alias("support"), F.sum(F.col("freq") * F.col("p")).alias("predicted"), F.sum(F.col("freq") * F.col("h")).alias("hits"))
-    labels = domain_table(table, "label", domain).select("label")
-    grid = table.select(*keys).distinct().crossJoin(F.broadcast(labels)) if keys else labels
-    out = grid.join(sums, [*keys, "label"], "left").na.fill(0, ["support", "predicted", "hits"])
+    # A key's classes are as many as the domain's, so one row can hold them all.
+    known = F.collect_list(F.when(F.col("label").isin(domain), F.struct("label", F.struct("support", "predicted", "hits"))))
+    found = sums.groupBy(*keys).agg(F.map_from_entries(known).alias("_m"))
+    out = found.select(*keys, "_m", F.explode(F.array(*[F.lit(x) for x in domain])).alias("label"))
+    out = out.withColumn("_c", F.try_element_at("_m", F.col("label")))
+    out = out.select(*keys, "label", *[F.coalesce(F.col(f"_c.{c}"), F.lit(0)).alias(c) for c in ("support", "predicted", "hits")])
     p, r = F.coalesce(ratio(F.col("hits"), F.col("predicted")), F.lit(0.0)), F.coalesce(ratio(F.col("hits"), F.col("support")), F.lit(0.0))
     out = out.withColumns({"precision": p, "recall": r})
     f1 = F.coalesce(ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0))
@@ -57,12 +62,30 @@ def macro_scores(scores: DataFrame, keys: list[str], observed_only: bool = False
 
 
 def one_vs_rest(df: DataFrame, keys: list[str], label: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
-    """Precision, recall and F1 of one label against all others."""
+    """Precision, recall and F1 of one label against all others, and (rest_...) of all others against it."""
     g, p = same(F.col(gold), F.lit(label)), same(F.col(pred), F.lit(label))
     out = df.groupBy(*keys).agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count_if(~g & ~p).alias("tn"))
     zero = F.lit(0.0)
     out = out.withColumns({"precision": F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fp")), zero), "recall": F.coalesce(ratio(F.col("tp"), F.col("tp") + F.col("fn")), zero)})
-    return out.withColumn("f1", F.coalesce(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), zero))
+    rest = {"rest_precision": ("tn", "fn"), "rest_recall": ("tn", "fp")}
+    out = out.withColumns({name: F.coalesce(ratio(F.col(a), F.col(a) + F.col(b)), zero) for name, (a, b) in rest.items()})
+    f1 = lambda hits: F.coalesce(ratio(2 * F.col(hits), 2 * F.col(hits) + F.col("fp") + F.col("fn")), zero)
+    return out.withColumns({"f1": f1("tp"), "rest_f1": f1("tn")})
+
+
+def out_of_taxonomy(table: DataFrame, keys: list[str], domain: list[str], missing: str = PARSE_FAIL) -> DataFrame:
+    """(keys, n_missing, n_foreign, n): predictions that aren't there, or that no class of the domain is named like."""
+    foreign = (F.col("pred") != missing) & ~F.col("pred").isin(domain)
+    return table.groupBy(*keys).agg(F.sum(F.when(F.col("pred") == missing, F.col("freq")).otherwise(0)).alias("n_missing"), F.sum(F.when(foreign, F.col("freq")).otherwise(0)).alias("n_foreign"), F.sum("freq").alias("n"))
+
+
+def compare_metrics(before: DataFrame, after: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """metric_before, metric_after, metric_delta and changed of the keys that both tables have."""
+    side = lambda df, name: df.select(*keys, *[F.col(m).alias(f"{m}_{name}") for m in metrics])
+    out = side(before, "before").join(side(after, "after"), keys)
+    out = out.withColumns({f"{m}_delta": F.col(f"{m}_after") - F.col(f"{m}_before") for m in metrics})
+    moved = [~F.col(f"{m}_before").eqNullSafe(F.col(f"{m}_after")) for m in metrics]
+    return out.withColumn("changed", reduce(or_, moved))
 
 
 def absorption(df: DataFrame, keys: list[str], gold_label: str, into: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -132,6 +155,15 @@ def trigger_quality(df: DataFrame, fired: dict[str, Column], mismatch: Column) -
     return out.select("trigger_name", "n_triggered", (F.col("n_triggered") / F.col("n")).alias("rate"), F.coalesce(ratio(F.col("hits"), F.col("n_triggered")), zero).alias("precision"), F.coalesce(ratio(F.col("hits"), F.col("n_mismatch")), zero).alias("recall"))
 
 
+def trigger_layers(df: DataFrame, fired: dict[str, Column], layer: str, excluded: str, covered: str, layers: list[str]) -> DataFrame:
+    """Where triggers fire: share_{layer} of the fired rows, exclusion_rate of one layer and coverage of another; one pass."""
+    each = F.explode(F.create_map(*[x for name, c in fired.items() for x in (F.lit(name), F.coalesce(c, F.lit(False)))])).alias("trigger_name", "fired")
+    rows = df.select(F.col(layer).alias("_l"), each)
+    out = rows.groupBy("trigger_name").agg(F.count_if("fired").alias("n_triggered"), *[F.count_if(F.col("fired") & (F.col("_l") == x)).alias(f"_f_{x}") for x in layers], *[F.count_if(F.col("_l") == x).alias(f"_n_{x}") for x in layers])
+    shares = [F.coalesce(ratio(F.col(f"_f_{x}"), F.col("n_triggered")), F.lit(0.0)).alias(f"share_{x}") for x in layers]
+    return out.select("trigger_name", "n_triggered", *shares, (1 - ratio(F.col(f"_f_{excluded}"), F.col(f"_n_{excluded}"))).alias("exclusion_rate"), ratio(F.col(f"_f_{covered}"), F.col(f"_n_{covered}")).alias("coverage"))
+
+
 def threshold_sweep(df: DataFrame, score: str, positive: Column, thresholds: list[float]) -> DataFrame:
     """Precision, recall and F1 of ``score >= threshold``; one scan, no copy of rows per threshold."""
     rows = df.select(F.col(score).alias("_s"), F.coalesce(positive, F.lit(False)).alias("_p"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import entropy
+from talkmill.operators.ordering import exact_quantiles
 from talkmill.operators.sampling import stratified_folds
 
 
@@ -68,14 +69,30 @@ def tfidf_entropy(df: DataFrame, key: str, text: str, label: str, words: int = 3
 
 def frozen_levels(train: DataFrame, df: DataFrame, score: str, shares: dict[str, float], lowest: str) -> DataFrame:
     """Levels by the training rows' quantiles, applied unchanged to others."""
-    cuts = train.agg(*[F.expr(f"percentile({score}, {q})").alias(name) for name, q in shares.items()]).first()
-    out = None
-    for name in shares:
-        hit = F.col(score) >= F.lit(cuts[name])
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return df.withColumn("gate_level", out.otherwise(lowest))
+    cuts = exact_quantiles(train, [], score, {f"_{name}": q for name, q in shares.items()})
+    out = F.coalesce(*[F.when(F.col(score) >= F.col(f"_{name}"), name) for name in shares], F.lit(lowest))
+    return df.crossJoin(F.broadcast(cuts)).withColumn("gate_level", out).select(*df.columns, "gate_level")
 
 
 def majority(df: DataFrame, label: str) -> DataFrame:
     """The dummy's answer: the most frequent label, ties to the smallest."""
     return df.groupBy(label).count().orderBy(F.desc("count"), label).limit(1)
+
+
+def stratified_guess(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """The dummy that draws each answer with the labels' shares, by a hash of the key: adds ``guess``."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_c"))
+    order = Window.orderBy(label)  # one row a class
+    upto = F.sum("_c").over(order) / F.sum("_c").over(Window.partitionBy())
+    shares = counts.select(F.struct(upto.alias("upto"), F.col(label).alias("label")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("_shares"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    hit = F.get(F.filter("_shares", lambda s: draw < s["upto"]), F.lit(0))["label"]
+    return df.crossJoin(F.broadcast(shares)).withColumn("guess", hit).drop("_shares")
+
+
+def coefficients(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(feature, coefficient) of a scaled logistic regression, largest in size first."""
+    rows = balanced_weights(assembled(df, columns), label)
+    model = scaled_logistic(label, rows=rows.count()).fit(rows)
+    found = [(c, float(v)) for c, v in zip(columns, model.stages[-1].coefficients.toArray(), strict=True)]
+    return df.sparkSession.createDataFrame(found, "feature string, coefficient double").orderBy(F.desc(F.abs("coefficient")))

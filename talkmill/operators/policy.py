@@ -13,14 +13,13 @@ def fuse_labels(base: DataFrame, gate: DataFrame, refined: DataFrame, key: str,
     """(key, label, source) of three passes.
 
     ``base``: label; ``gate``: has_focus, gate_label; ``refined``: refined_label. A true gate
-    gives the focus label, a false one the refined (else the gate's) label, none
-    the base label.
+    gives the focus label (source 'gate'), a false one the refined, else the gate's label ('refined'); rows
+    without either keep the base label ('base').
     """
     rows = base.select(key, F.col("label").alias("_base")).join(gate.select(key, "has_focus", "gate_label"), key, "left").join(refined.select(key, "refined_label"), key, "left")
     yes, no = F.col("has_focus"), F.col("has_focus") == F.lit(False)
-    label = F.when(yes, focus).when(no, F.coalesce("refined_label", "gate_label", "_base")).otherwise(F.col("_base"))
-    source = F.when(yes, "gate").when(no & F.col("refined_label").isNotNull(), "refined").when(no & F.col("gate_label").isNotNull(), "gate_label").otherwise("base")
-    return rows.select(key, label.alias("label"), source.alias("source"))
+    label = F.when(yes, focus).when(no, F.coalesce("refined_label", "gate_label")).otherwise(F.col("_base"))
+    return rows.select(key, label.alias("label"), F.when(yes, "gate").when(no, "refined").otherwise("base").alias("source"))
 
 
 def fallback_label(columns: dict[str, str]) -> tuple[Column, Column]:
@@ -35,7 +34,7 @@ def relabel_targets(labels: DataFrame, gate: DataFrame, key: str, wanted: list[s
     return labels.where(F.col("label").isin(wanted)).join(no, key, "left_semi")
 
 
-def layer_flags(gold: Column, early: Column, late: Column, tokens: Column, short_cut: float) -> dict[str, Column]:
+def layer_flags(gold: Column, early: Column, late: Column, tokens: Column, short_cut: Column | float) -> dict[str, Column]:
     """unlock, shift, short, is_infopoor and layer of a call."""
     unlock = differs(early, gold) & same(late, gold)
     shift = differs(early, late)
@@ -50,7 +49,7 @@ def triggers(trajectory: list[str], early: str, late: str, uncertain: Column, sh
     shift = differs(F.col(early), F.col(late))
     moves = distinct_across(trajectory) >= 2
     entropy = F.coalesce(uncertain, F.lit(False))
-    return {"shift": shift, "trajectory": moves, "entropy": entropy, "combo": shift | entropy, "shift_not_short": shift & ~short, "trajectory_not_short": moves & ~short}
+    return {"shift": shift, "trajectory": moves, "entropy": entropy, "combo": moves & entropy, "shift_not_short": shift & ~short, "trajectory_not_short": moves & ~short}
 
 
 def hybrid(fired: Column, gate: Column, base: Column) -> Column:
@@ -61,15 +60,27 @@ def override(probability: Column, cut: float, focus: str, base: Column) -> Colum
     return F.when(F.coalesce(probability > cut, F.lit(False)), F.lit(focus)).otherwise(base)
 
 
+def _supported(strong: Column, neutral: Column, kept: Column, focus: str) -> Column:
+    """The strong label; if it is the focus and a neutral label contradicts it, the latter, unless ``kept``."""
+    contradicted = same(strong, F.lit(focus)) & F.coalesce(neutral != focus, F.lit(False))
+    return F.when(contradicted & ~kept, neutral).otherwise(strong)
+
+
+def verdict_gate(strong: Column, neutral: Column, verdict: Column, focus: str) -> Column:
+    """A verifier's REVERT gives way to the neutral label; KEEP, no verdict or no neutral label don't."""
+    return _supported(strong, neutral, ~same(verdict, F.lit("REVERT")), focus)
+
+
 def score_gate(strong: Column, neutral: Column, score: Column, cut: int, focus: str, strong_first: bool = True) -> Column:
-    """Keep the first model's focus label only if the score supports it; else the second's label.
+    """Keep a focus label that two models disagree on only if a score supports it.
 
-    Neutral first: the focus label is added where the score supports it. A null score supports nothing.
+    Strong first: without a score, or without a neutral label, the focus label stays. Neutral
+    first: without a neutral label the strong one counts, without a score the neutral one.
     """
-    supports = F.coalesce(score >= cut, F.lit(False))
     if strong_first:
-        return F.when(same(strong, F.lit(focus)) & ~supports, neutral).otherwise(strong)
-    return F.when(same(strong, F.lit(focus)) & supports, F.lit(focus)).otherwise(neutral)
+        return _supported(strong, neutral, F.coalesce(score >= cut, F.lit(True)), focus)
+    supported = same(strong, F.lit(focus)) & F.coalesce(score >= cut, F.lit(False))
+    return F.when(neutral.isNull(), strong).when(supported, F.lit(focus)).otherwise(neutral)
 
 
 def reclassify(base: Column, second: Column, focus: str) -> Column:

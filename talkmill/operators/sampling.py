@@ -61,6 +61,27 @@ def proportional_allocation(df: DataFrame, group: str, total: int, floor: int =
     return out.withColumn("alloc", F.when(largest, F.col("alloc") + F.lit(total) - F.sum("alloc").over(everything)).otherwise(F.col("alloc")))
 
 
+def minority_allocation(df: DataFrame, group: str, total: int, minority: str, least: int) -> DataFrame:
+    """(group, size, alloc): the minority gets its share of ``total`` or ``least``, whichever is more; the others share the rest.
+
+    Shares are rounded half to even, the difference goes to the largest of the others.
+    A minority smaller than what it should give is an error.
+    """
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("size"))
+    everything = Window.partitionBy()  # one row a stratum
+    small = F.col(group) == minority
+    share = lambda n, of: F.bround(n * F.col("size") / of, 0).cast("long")
+    table = sizes.withColumns({"_all": F.sum("size").over(everything), "_rest": F.sum(F.when(~small, F.col("size"))).over(everything)})
+    taken = F.greatest(share(F.lit(total), F.col("_all")), F.lit(least))
+    taken = F.when(taken > F.col("size"), F.raise_error(F.lit("the minority is smaller than its allocation")).cast("long")).otherwise(taken)
+    table = table.withColumn("_own", F.when(small, taken))
+    table = table.withColumn("_left", F.lit(total) - F.coalesce(F.max("_own").over(everything), F.lit(0)))
+    table = table.withColumn("alloc", F.coalesce("_own", share(F.col("_left"), F.col("_rest"))))
+    largest = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(small, F.desc("size"), group)) == 1
+    rest = F.sum(F.when(~small, F.col("alloc"))).over(everything)
+    return table.withColumn("alloc", F.when(largest & ~small, F.col("alloc") + F.col("_left") - rest).otherwise(F.col("alloc"))).select(group, "size", "alloc")
+
+
 def proportional_sample(df: DataFrame, group: str, key: str, total: int, seed: int = 42, floor: int = 0) -> DataFrame:
     table = proportional_allocation(df, group, total, floor).select(group, "alloc")
     w = Window.partitionBy(group).orderBy(hash_order(key, seed), key)

@@ -70,9 +70,9 @@ def _beta(a: float, b: float, x: float) -> float:
 
 
 def mcnemar_cells(df: DataFrame, keys: list[str], gold: str, a: str, b: str) -> DataFrame:
-    """n11, n10 (only a right), n01 (only b right), n00, and the continuity-corrected statistic."""
+    """n11, n10 (only a right), n01 (only b right), n00, and the continuity-corrected statistic, of rows with both predictions."""
     ok_a, ok_b = same(F.col(a), F.col(gold)), same(F.col(b), F.col(gold))
-    out = df.groupBy(*keys).agg(F.count_if(ok_a & ok_b).alias("n11"), F.count_if(ok_a & ~ok_b).alias("n10"), F.count_if(~ok_a & ok_b).alias("n01"), F.count_if(~ok_a & ~ok_b).alias("n00"))
+    out = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(F.count_if(ok_a & ok_b).alias("n11"), F.count_if(ok_a & ~ok_b).alias("n10"), F.count_if(~ok_a & ok_b).alias("n01"), F.count_if(~ok_a & ~ok_b).alias("n00"))
     gap = F.abs(F.col("n10") - F.col("n01")) - 1
     return out.withColumn("chi2_cc", ratio(gap * gap, (F.col("n10") + F.col("n01")).cast("double")))
 
@@ -126,17 +126,72 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, first: Column) -> D
     return out.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"))
 
 
-def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds average ranks, computed on distinct values and joined back."""
-    ranks = average_rank_table(df, [], value).select(value, F.col("rank").alias(name))
-    return df.join(ranks, value, "left")
+def normal_two_sided(z: float) -> float:
+    return math.erfc(max(z, 0.0) / math.sqrt(2))
+
+
+def mann_whitney_test(u: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the two-sided p-value to rows of :func:`mann_whitney`."""
+    return _with_p(u, [*keys, "n1", "n2", "u", "z"], {"p_value": lambda r: normal_two_sided(r["z"])})
+
+
+def _pearson(x: str, y: str) -> Column:
+    """Null where a side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, Pearson and Spearman of two columns, over rows that have both."""
+    """n, Pearson and Spearman of two columns, over rows that have both.
+
+    Both come from counts of equal (x, y) pairs; ranks are those of the distinct values.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    ranked = average_ranks(average_ranks(rows, "x", "rx"), "y", "ry")
-    return ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    pairs = rows.groupBy("x", "y").agg(F.count("*").alias("t"))
+    for c in "xy":
+        pairs = pairs.join(average_rank_table(rows, [], c).select(c, F.col("rank").alias(f"r{c}")), c)
+    n = rows.agg(F.count("*").alias("n"), _pearson("x", "y").alias("pearson"))
+    middle = lambda c: F.col(c) - (F.col("n") + 1) / 2.0  # noqa: E731  ranks about their mean
+    total = lambda a, b: F.sum(F.col("t") * middle(a) * middle(b))
+    out = pairs.crossJoin(F.broadcast(n)).groupBy("n", "pearson").agg(total("rx", "ry").alias("xy"), total("rx", "rx").alias("xx"), total("ry", "ry").alias("yy"))
+    return out.select("n", "pearson", (F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("spearman"))
+
+
+def correlation_p(r: float | None, n: int) -> float | None:
+    """Two-sided p of a correlation against none, by Student's t."""
+    if r is None or math.isnan(r) or n < 3:
+        return None
+    return 0.0 if abs(r) >= 1 else t_tail(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+def correlation_tests(found: DataFrame) -> DataFrame:
+    """n, pearson, spearman with their p-values."""
+    return _with_p(found, ["n", "pearson", "spearman"], {f"{c}_p": lambda r, c=c: correlation_p(r[c], int(r["n"])) for c in ("pearson", "spearman")})
+
+
+def point_biserial(df: DataFrame, keys: list[str], event: Column, value: str) -> DataFrame:
+    """n, r and p of a yes/no event against a number, over rows that have both."""
+    rows = df.withColumn("_e", event.cast("double")).where(F.col("_e").isNotNull() & F.col(value).isNotNull())
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), _pearson("_e", value).alias("r"))
+    return _with_p(found, [*keys, "n", "r"], {"p_value": lambda row: correlation_p(row["r"], int(row["n"]))})
+
+
+def _with_p(df: DataFrame, columns: list[str], tests: dict) -> DataFrame:
+    """Rows of a few statistics with columns worked out in Python."""
+    kind = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns) + "".join(f", {name} double" for name in tests)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [{k: None if pd.isna(v) else v for k, v in r.items()} for r in pdf.to_dict("records")]
+            yield pdf.assign(**{name: pd.Series([None if None in r.values() else test(r) for r in rows], index=pdf.index, dtype="float64") for name, test in tests.items()})
+
+    return df.select(*columns).mapInPandas(run, kind)
+
+
+def auc_gate(aucs: DataFrame, name: str, auc: str, threshold: float = 0.6) -> DataFrame:
+    """(best_name, best_auc, passed): the best of a few scores against a threshold; none passes if there is no AUC."""
+    best = F.max(F.struct(F.col(auc).alias("a"), F.col(name).alias("n")))
+    out = aucs.where(F.col(auc).isNotNull()).agg(best.alias("b"))
+    return out.select(F.col("b.n").alias("best_name"), F.col("b.a").alias("best_auc"), F.coalesce(F.col("b.a") >= threshold, F.lit(False)).alias("passed"))
 
 
 def bootstrap_difference(cells: DataFrame, keys: list[str], draws: int = 10_000, seed: int = 42, level: float = 0.95) -> DataFrame:

@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.operators.ordering import exact_quantiles
+
 SIZES = (1, 2, 3, 5)
 VERSIONS = ("customer_only", "all")
 
@@ -73,7 +75,7 @@ def z_population(rows: DataFrame, keys: list[str], value: str, group: str, stats
     known = stats.where(F.col(group) != "ALL").select(group, F.col("mean").alias("_pm"), F.col("std").alias("_ps"))
     total = stats.where(F.col(group) == "ALL").select(F.lit(1).alias("_one"), F.col("mean").alias("_am"), F.col("std").alias("_as"))
     out = with_group_stats(rows, keys, value).withColumn("_one", F.lit(1))
-    out = out.join(known, group, "left").join(total, "_one", "left")
+    out = out.join(F.broadcast(known), group, "left").join(F.broadcast(total), "_one", "left")
     mean, std = F.coalesce("_pm", "_am"), F.nullif(F.coalesce("_ps", "_as"), F.lit(0.0))
     within = (F.col("_n") >= least) & (F.col("_v") >= 2) & (F.col("_s") > 0)
     z = F.when(within, (x - F.col("_m")) / F.nullif("_s", F.lit(0.0)))
@@ -87,7 +89,8 @@ def z_population(rows: DataFrame, keys: list[str], value: str, group: str, stats
 
 def quantile_cuts(rows: DataFrame, value: str, shares: list[float]) -> list[float]:
     """Exact linear quantiles over the whole table; a handful of numbers on the driver."""
-    return rows.agg(F.expr(f"percentile({value}, array({', '.join(map(str, shares))}))")).first()[0] or []
+    found = exact_quantiles(rows, [], value, {f"q{i}": q for i, q in enumerate(shares)}).first()
+    return [x for x in found if x is not None]
 
 
 def bucket(value: Column, cuts: list[float], names: list[str], tied: str | None = None) -> Column:

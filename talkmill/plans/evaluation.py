@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkmill.operators import aggregate as agg
 from talkmill.operators import joins, ml, policy, sampling, stats
 from talkmill.operators import metrics as M
+from talkmill.operators.ordering import exact_quantiles
 from talkmill.plans.catalog import query
 from talkmill.plans.common import LAB, PRED, SCORES, WIDE, hash_order
 from talkmill.shipping import ship
@@ -67,11 +68,12 @@ def macro_f1_observed(spark, d):
 @query(
     f"""WITH {PRED}, b AS (SELECT condition, n, gold = 'complaint' AS g, coalesce(pred = 'complaint', false) AS p FROM pred),
 c AS (SELECT condition, n, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE NOT g AND p) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn, count(*) FILTER (WHERE NOT g AND NOT p) AS tn FROM b GROUP BY ALL)
-SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c"""
+SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+round(coalesce(tn / nullif(tn + fn, 0), 0), 6) AS rest_precision, round(coalesce(tn / nullif(tn + fp, 0), 0), 6) AS rest_recall, round(coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0), 6) AS rest_f1 FROM c"""
 )
 def binary_focus(spark, d):
     out = M.one_vs_rest(predictions(spark, d), ["condition", "n"], FOCUS)
-    return out.select("condition", "n", "tp", "fp", "fn", "tn", *R6("precision", "recall", "f1"))
+    return out.select("condition", "n", "tp", "fp", "fn", "tn", *R6("precision", "recall", "f1", "rest_precision", "rest_recall", "rest_f1"))
 
 
 @query(
@@ -133,11 +135,15 @@ def kappa_quadratic(spark, d):
     return _kappa(spark, d, True)
 
 
-@query(f"WITH {WIDE} SELECT count(*) AS n, count(*) FILTER (WHERE a3 = c3) AS n_same, round(count(*) FILTER (WHERE a3 = c3) / count(*), 6) AS agreement FROM wide WHERE a3 IS NOT NULL AND c3 IS NOT NULL")
+@query(
+    f"""WITH {WIDE}, t AS (SELECT a3, c3 FROM wide WHERE a3 IS NOT NULL AND c3 IS NOT NULL), o AS (SELECT count(*) AS n, count(*) FILTER (WHERE a3 = c3) AS n_same FROM t),
+e AS (SELECT sum(x.n * y.n)::DOUBLE AS e FROM (SELECT a3, count(*) AS n FROM t GROUP BY 1) x JOIN (SELECT c3, count(*) AS n FROM t GROUP BY 1) y ON x.a3 = y.c3)
+SELECT n, n_same, round(n_same / n, 6) AS agreement, round((n_same / n - e / (n * n)) / (1 - e / (n * n)), 6) AS kappa FROM o, e"""
+)
 def self_consistency(spark, d):
     pairs = joins.paired(predictions(spark, d).where("n = 3 and pred is not null"), ["call_id"], "condition", "A", "C", "pred")
-    out = pairs.agg(F.count("*").alias("n"), F.count_if(F.expr("pred_a = pred_b")).alias("n_same"))
-    return out.withColumn("agreement", F.round(F.col("n_same") / F.col("n"), 6))
+    out = M.kappa(M.confusion(pairs, [], "pred_a", "pred_b"), [], LABELS)
+    return out.select(F.col("n_rated").alias("n"), F.round(F.col("agreement") * F.col("n_rated")).cast("long").alias("n_same"), *R6("agreement", "kappa"))
 
 
 @query(
@@ -169,7 +175,7 @@ def pearson_spearman(spark, d):
     return stats.correlations(acoustic(spark, d), "x", "k").select("n", *R6("pearson", "spearman"))
 
 
-_CELLS = f"{WIDE}, c AS (SELECT segment, count(*) FILTER (WHERE x AND y) AS n11, count(*) FILTER (WHERE x AND NOT y) AS n10, count(*) FILTER (WHERE NOT x AND y) AS n01, count(*) FILTER (WHERE NOT x AND NOT y) AS n00 FROM (SELECT segment, coalesce(c5 = gold, false) AS x, coalesce(d5 = gold, false) AS y FROM wide) GROUP BY segment)"
+_CELLS = f"{WIDE}, c AS (SELECT segment, count(*) FILTER (WHERE x AND y) AS n11, count(*) FILTER (WHERE x AND NOT y) AS n10, count(*) FILTER (WHERE NOT x AND y) AS n01, count(*) FILTER (WHERE NOT x AND NOT y) AS n00 FROM (SELECT segment, coalesce(c5 = gold, false) AS x, coalesce(d5 = gold, false) AS y FROM wide WHERE c5 IS NOT NULL AND d5 IS NOT NULL) GROUP BY segment)"
 
 
 @query(f"WITH {_CELLS} SELECT *, round((abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) / nullif(n10 + n01, 0)::DOUBLE, 6) AS chi2_cc FROM c")
@@ -209,9 +215,9 @@ def two_by_two_test(spark, d):
 
 def _layers(spark, d):
     rows = wide_predictions(spark, d).where("a2 is not null")
-    cut = rows.agg(F.expr("percentile(tokens, 0.2)")).first()[0]
-    flags = policy.layer_flags(F.col("gold"), F.col("a2"), F.col("a5"), F.col("tokens"), cut or 0.0)
-    return rows.withColumns(flags)
+    cut = exact_quantiles(rows, [], "tokens", {"cut": 0.2})
+    flags = policy.layer_flags(F.col("gold"), F.col("a2"), F.col("a5"), F.col("tokens"), F.col("cut"))
+    return rows.crossJoin(F.broadcast(cut)).withColumns(flags).drop("cut")
 
 
 @query(f"WITH {WIDE}, {LAYERS} SELECT call_id, unlock, shift, short, is_infopoor, layer FROM lay")
@@ -221,7 +227,7 @@ def layers(spark, d):
 
 @query(
     f"""WITH {WIDE}, {LAYERS}, m AS (SELECT *, len(list_distinct(list_filter([a1, a2, a3, a5], lambda v: v IS NOT NULL))) >= 2 AS moves, proba > 0.8 AS sure FROM lay),
-e AS (SELECT gold <> a2 AS mm, unnest(['shift', 'trajectory', 'entropy', 'combo', 'shift_not_short', 'trajectory_not_short']) AS trigger_name, unnest([shift, moves, sure, shift OR sure, shift AND NOT short, moves AND NOT short]) AS fired FROM m)
+e AS (SELECT gold <> a2 AS mm, unnest(['shift', 'trajectory', 'entropy', 'combo', 'shift_not_short', 'trajectory_not_short']) AS trigger_name, unnest([shift, moves, sure, moves AND sure, shift AND NOT short, moves AND NOT short]) AS fired FROM m)
 SELECT trigger_name, count(*) FILTER (WHERE fired) AS n_triggered, round(count(*) FILTER (WHERE fired) / count(*), 6) AS rate, round(coalesce(count(*) FILTER (WHERE fired AND mm) / nullif(count(*) FILTER (WHERE fired), 0), 0), 6) AS precision,
 round(coalesce(count(*) FILTER (WHERE fired AND mm) / nullif(count(*) FILTER (WHERE mm), 0), 0), 6) AS recall FROM e GROUP BY trigger_name"""
 )
@@ -249,11 +255,13 @@ def hybrid_policy(spark, d):
     )
 
 
-@query(f"WITH {WIDE} SELECT call_id, CASE WHEN coalesce(d5 = 'complaint', false) AND NOT coalesce(tokens >= 20, false) THEN c5 ELSE d5 END AS strong_first, CASE WHEN coalesce(d5 = 'complaint', false) AND tokens >= 20 THEN 'complaint' ELSE c5 END AS neutral_first, CASE WHEN coalesce(a5 = 'complaint', false) THEN coalesce(b5, a5) ELSE a5 END AS two_stage FROM wide")
+@query(f"WITH {WIDE} SELECT call_id, CASE WHEN d5 IS DISTINCT FROM 'complaint' THEN d5 WHEN c5 = 'complaint' OR c5 IS NULL OR score IS NULL OR score >= 20 THEN 'complaint' ELSE c5 END AS strong_first, CASE WHEN c5 IS NULL THEN d5 WHEN c5 = 'complaint' THEN c5 WHEN d5 = 'complaint' AND score >= 20 THEN 'complaint' ELSE c5 END AS neutral_first, CASE WHEN d5 IS DISTINCT FROM 'complaint' THEN d5 WHEN c5 = 'complaint' OR c5 IS NULL THEN 'complaint' WHEN verdict = 'REVERT' THEN c5 ELSE 'complaint' END AS verified, CASE WHEN coalesce(a5 = 'complaint', false) THEN coalesce(b5, a5) ELSE a5 END AS two_stage FROM (SELECT *, CASE WHEN call_id % 5 > 0 THEN tokens END AS score, CASE call_id % 3 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'REVERT' END AS verdict FROM wide)")
 def score_gates(spark, d):
     c = F.col
+    score = F.when(c("call_id") % 5 > 0, c("tokens"))
+    verdict = F.when(c("call_id") % 3 == 0, "KEEP").when(c("call_id") % 3 == 1, "REVERT")
     return wide_predictions(spark, d).select(
-        "call_id", policy.score_gate(c("d5"), c("c5"), c("tokens"), 20, FOCUS).alias("strong_first"), policy.score_gate(c("d5"), c("c5"), c("tokens"), 20, FOCUS, False).alias("neutral_first"), policy.reclassify(c("a5"), c("b5"), FOCUS).alias("two_stage")
+        "call_id", policy.score_gate(c("d5"), c("c5"), score, 20, FOCUS).alias("strong_first"), policy.score_gate(c("d5"), c("c5"), score, 20, FOCUS, False).alias("neutral_first"), policy.verdict_gate(c("d5"), c("c5"), verdict, FOCUS).alias("verified"), policy.reclassify(c("a5"), c("b5"), FOCUS).alias("two_stage")
     )
 
 
@@ -294,6 +302,87 @@ def fold_variation(spark, d):
     return folds.groupBy("segment").agg(F.round(F.stddev_samp("a") / F.avg("a"), 6).alias("cv"))
 
 
+@query()
+def mann_whitney_test(spark, d):
+    ship(spark)
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return stats.mann_whitney_test(stats.mann_whitney(rows, [], "n_chars", F.col("toxic") == 1), [])
+
+
+@query()
+def correlation_tests(spark, d):
+    ship(spark)
+    return stats.correlation_tests(stats.correlations(acoustic(spark, d), "x", "k"))
+
+
+@query()
+def point_biserial(spark, d):
+    ship(spark)
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
+    return stats.point_biserial(rows, ["lang"], F.col("toxic") == 1, "n_chars")
+
+
+_AUC = "(SELECT (sum(rk * quality) - sum(quality) * (sum(quality) + 1) / 2.0) / nullif(sum(quality) * sum(1 - quality), 0) FROM (SELECT quality, rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS rk FROM t))"
+
+
+@query(
+    f"""WITH t AS (SELECT l.quality, d.n_chars, d.doc_id % 97 AS spread FROM labels l JOIN documents d USING (doc_id)), a AS (SELECT 'n_chars' AS name, {_AUC.format('n_chars')} AS auc UNION ALL SELECT 'spread', {_AUC.format('spread')})
+SELECT max_by(name, (auc, name)) AS best_name, round(max(auc), 6) AS best_auc, max(auc) >= 0.6 AS passed FROM a"""
+)
+def auc_gate(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("spread", F.col("doc_id") % 97)
+    each = [M.auc(rows, [], c, F.col("quality") == 1).select(F.lit(c).alias("name"), "auc") for c in ("n_chars", "spread")]
+    out = stats.auc_gate(each[0].union(each[1]), "name", "auc")
+    return out.select("best_name", F.round("best_auc", 6).alias("best_auc"), "passed")
+
+
+@query(f"WITH {PRED}, c AS (SELECT condition, n, CASE WHEN pred = 'service_use' THEN 'weather' ELSE pred END AS pred FROM pred) SELECT condition, n::INTEGER AS window_n, count(*) FILTER (WHERE pred IS NULL) AS n_missing, count(*) FILTER (WHERE pred = 'weather') AS n_foreign, count(*) AS n FROM c GROUP BY condition, n")
+def out_of_taxonomy(spark, d):
+    rows = predictions(spark, d).withColumn("pred", F.when(F.col("pred") == "service_use", "weather").otherwise(F.col("pred"))).withColumnRenamed("n", "window_n")
+    return M.out_of_taxonomy(M.confusion(rows, ["condition", "window_n"]), ["condition", "window_n"], LABELS)
+
+
+@query(
+    f"""WITH {PRED}, {_T}, {SCORES}, m AS (SELECT left(k, 1) AS c, right(k, 1) AS n, avg(f1) AS macro_f1, avg(recall) AS macro_recall FROM f GROUP BY k)
+SELECT x.n, round(x.macro_f1, 6) AS macro_f1_before, round(y.macro_f1, 6) AS macro_f1_after, round(y.macro_f1 - x.macro_f1, 6) AS macro_f1_delta, round(x.macro_recall, 6) AS macro_recall_before, round(y.macro_recall, 6) AS macro_recall_after, round(y.macro_recall - x.macro_recall, 6) AS macro_recall_delta,
+round(x.macro_f1, 9) <> round(y.macro_f1, 9) OR round(x.macro_recall, 9) <> round(y.macro_recall, 9) AS changed FROM m x JOIN m y ON x.n = y.n AND x.c = 'B' AND y.c = 'D'"""
+)
+def metric_comparison(spark, d):
+    scores = M.macro_scores(_scores(spark, d), ["k"]).select(F.left("k", F.lit(1)).alias("c"), F.right("k", F.lit(1)).alias("n"), *[F.round(m, 9).alias(m) for m in ("macro_f1", "macro_recall")])
+    out = M.compare_metrics(scores.where("c = 'B'"), scores.where("c = 'D'"), ["n"], ["macro_f1", "macro_recall"])
+    return out.select("n", *R6(*[f"{m}_{side}" for m in ("macro_f1", "macro_recall") for side in ("before", "after", "delta")]), "changed")
+
+
+@query(
+    f"""WITH {WIDE}, {LAYERS}, m AS (SELECT *, len(list_distinct(list_filter([a1, a2, a3, a5], lambda v: v IS NOT NULL))) >= 2 AS moves, proba > 0.8 AS sure FROM lay),
+e AS (SELECT layer, unnest(['shift', 'trajectory', 'entropy', 'combo', 'shift_not_short', 'trajectory_not_short']) AS trigger_name, unnest([shift, moves, sure, moves AND sure, shift AND NOT short, moves AND NOT short]) AS fired FROM m)
+SELECT trigger_name, count(*) FILTER (WHERE fired) AS n_triggered, """
+    + ", ".join(f"round(coalesce(count(*) FILTER (WHERE fired AND layer = '{x}') / nullif(count(*) FILTER (WHERE fired), 0), 0), 6) AS share_{x}" for x in ("sufficient", "infopoor", "already_correct"))
+    + """, round(1 - count(*) FILTER (WHERE fired AND layer = 'already_correct') / nullif(count(*) FILTER (WHERE layer = 'already_correct'), 0), 6) AS exclusion_rate,
+round(count(*) FILTER (WHERE fired AND layer = 'sufficient') / nullif(count(*) FILTER (WHERE layer = 'sufficient'), 0), 6) AS coverage FROM e GROUP BY trigger_name"""
+)
+def trigger_layers(spark, d):
+    names = ["sufficient", "infopoor", "already_correct"]
+    fired = policy.triggers(["a1", "a2", "a3", "a5"], "a2", "a5", F.col("proba") > 0.8, F.col("short"))
+    out = M.trigger_layers(_layers(spark, d), fired, "layer", "already_correct", "sufficient", names)
+    return out.select("trigger_name", "n_triggered", *R6(*[f"share_{x}" for x in names], "exclusion_rate", "coverage"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderstatus AS label, sum(count(*)) OVER (ORDER BY o_orderstatus) / sum(count(*)) OVER () AS upto FROM orders GROUP BY 1), w AS (SELECT list({'upto': upto, 'label': label} ORDER BY upto) AS s FROM s),
+g AS (SELECT o_orderstatus, list_filter(w.s, lambda x: ('0x' || md5('42|' || o_orderkey)[1:8])::BIGINT / 4294967296.0::DOUBLE < x.upto)[1].label AS guess FROM orders, w) SELECT o_orderstatus, guess, count(*) AS n FROM g GROUP BY ALL"""
+)
+def stratified_dummy(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return ml.stratified_guess(rows, "o_orderstatus", "o_orderkey").groupBy("o_orderstatus", "guess").agg(F.count("*").alias("n"))
+
+
+@query()
+def logistic_coefficients(spark, d):
+    rows = wide_predictions(spark, d).select("call_id", F.col("tokens").cast("double").alias("tokens"), "proba", (F.col("gold") == FOCUS).cast("double").alias("y"))
+    return ml.coefficients(rows, ["tokens", "proba"], "y").select("feature", F.round("coefficient", 4).alias("coefficient"))
+
+
 # Samples and splits.
 
 
@@ -342,6 +431,15 @@ def proportional_alloc(spark, d):
     return sampling.proportional_allocation(table(spark, d, "documents"), "lang", 100, floor=5)
 
 
+@query(
+    """WITH s AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), m AS (SELECT greatest(round_even(40 * size / (SELECT sum(size) FROM s), 0)::BIGINT, 12) AS own FROM s WHERE lang = 'fr'),
+a AS (SELECT lang, size, round_even((40 - own) * size / (sum(size) OVER ()), 0)::BIGINT AS alloc, row_number() OVER (ORDER BY size DESC, lang) AS i, 40 - own AS rest FROM s, m WHERE lang <> 'fr')
+SELECT lang, size, CASE WHEN i = 1 THEN alloc + rest - (sum(alloc) OVER ())::BIGINT ELSE alloc END AS alloc FROM a UNION ALL SELECT s.lang, s.size, m.own FROM s, m WHERE s.lang = 'fr'"""
+)
+def minority_alloc(spark, d):
+    return sampling.minority_allocation(table(spark, d, "documents"), "lang", 40, "fr", 12)
+
+
 @query(f"SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {hash_order('o_orderkey')}) - 1) % 5)::INTEGER AS fold FROM orders")
 def kfold_assign(spark, d):
     return sampling.stratified_folds(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey").select("o_orderkey", "fold")

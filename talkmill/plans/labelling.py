@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
-from talkmill.operators import batching, governance, policy, requests
+from talkmill.operators import aggregate as agg
+from talkmill.operators import batching, governance, joins, policy, requests
 from talkmill.operators import metrics as M
 from talkmill.plans.catalog import query
 from talkmill.plans.common import LAB, WIDE
@@ -24,8 +25,8 @@ def _passes(spark, d):
 
 
 @query(
-    f"""WITH {_FUSE} SELECT w.call_id, CASE WHEN has_focus THEN 'complaint' WHEN has_focus = false THEN coalesce(refined_label, gate_label, gold) ELSE gold END AS label,
-CASE WHEN has_focus THEN 'gate' WHEN has_focus = false AND refined_label IS NOT NULL THEN 'refined' WHEN has_focus = false AND gate_label IS NOT NULL THEN 'gate_label' ELSE 'base' END AS source
+    f"""WITH {_FUSE} SELECT w.call_id, CASE WHEN has_focus THEN 'complaint' WHEN has_focus = false THEN coalesce(refined_label, gate_label) ELSE gold END AS label,
+CASE WHEN has_focus THEN 'gate' WHEN has_focus = false THEN 'refined' ELSE 'base' END AS source
 FROM wide w LEFT JOIN g USING (call_id) LEFT JOIN r USING (call_id)"""
 )
 def label_fusion(spark, d):
@@ -52,7 +53,7 @@ def quality_split(spark, d):
 
 _CHUNK_SQL = """WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
 f AS (SELECT i, doc_id, n_chars AS total, 0 AS chunk FROM o WHERE i = 1 UNION ALL
-SELECT o.i, o.doc_id, CASE WHEN f.total > 0 AND f.total + o.n_chars > 20000 THEN o.n_chars ELSE f.total + o.n_chars END, CASE WHEN f.total > 0 AND f.total + o.n_chars > 20000 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN o ON o.i = f.i + 1)"""
+SELECT o.i, o.doc_id, CASE WHEN f.total + o.n_chars > 20000 THEN o.n_chars ELSE f.total + o.n_chars END, CASE WHEN f.total + o.n_chars > 20000 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN o ON o.i = f.i + 1)"""
 
 
 def _chunks(spark, d):
@@ -112,11 +113,13 @@ def request_equality(spark, d):
     return requests.byte_equal(t, other, "doc_id", "text")
 
 
-@query("SELECT conv_id, turn, 'EN: ' || role AS text FROM conversations")
+@query("SELECT conv_id, turn, 'EN: ' || text AS text, 'share of silence: ' || CASE turn % 3 WHEN 0 THEN 'usual' WHEN 1 THEN 'above usual' ELSE 'far above usual' END AS note FROM conversations")
 def bilingual_switch(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    cache = c.select("role").distinct().withColumn("translation", F.concat(F.lit("EN: "), "role"))
-    return requests.translated(c, cache, "role", "text").select("conv_id", "turn", "text")
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    cache = c.select("text").distinct().withColumn("translation", F.concat(F.lit("EN: "), "text"))
+    level = F.when(F.col("turn") % 3 == 0, None).when(F.col("turn") % 3 == 1, "high").otherwise("very_high")
+    note = T.describe_levels({"s_top_db30": level}, T.level_phrases("en")).alias("note")
+    return requests.translated(c, cache, "text", "text2").select("conv_id", "turn", F.col("text2").alias("text"), note)
 
 
 @query(f"WITH {WIDE} SELECT c AS column_name, count(*) FILTER (WHERE v IS NULL) AS n_missing, round(avg((v IS NULL)::INTEGER), 6) AS share_missing FROM (SELECT unnest(['a1', 'd5']) AS c, unnest([a1, d5]) AS v FROM wide) GROUP BY c")
@@ -159,21 +162,25 @@ def voice_effect(spark, d):
     return wide_predictions(spark, d).select("call_id", (both & (kind == "improved")).alias("saved"), (both & (kind == "worsened")).alias("ruined"))
 
 
-@query("SELECT md5('{\"custom_id\":\"' || conv_id || '::A::N' || turn || '\",\"method\":\"POST\",\"url\":\"/v1/chat\",\"body\":{\"model\":\"m\",\"temperature\":0,\"messages\":[{\"role\":\"user\",\"content\":\"' || role || '\"}]}}') AS line_md5, conv_id, turn FROM conversations")
+#: A JSON string of ``text`` as DuckDB writes it.
+_JSON_TEXT = "to_json(text)::VARCHAR"
+
+
+@query(f"SELECT md5('{{\"custom_id\":\"' || conv_id || '::A::N' || turn || '\",\"method\":\"POST\",\"url\":\"/v1/chat\",\"body\":{{\"model\":\"m\",\"temperature\":0,\"messages\":[{{\"role\":\"user\",\"content\":' || {_JSON_TEXT} || '}}]}}}}') AS line_md5, conv_id, turn FROM conversations")
 def request_lines(spark, d):
-    rows = table(spark, d, "conversations").withColumns({"custom_id": requests.custom_id(F.col("conv_id").cast("string"), F.lit("A"), F.concat(F.lit("N"), F.col("turn").cast("string"))), "prompt": F.col("role")})
+    rows = table(spark, d, "conversations").withColumns({"custom_id": requests.custom_id(F.col("conv_id").cast("string"), F.lit("A"), F.concat(F.lit("N"), F.col("turn").cast("string"))), "prompt": F.col("text")})
     lines = sinks.request_lines(rows, "m", "/v1/chat")
     back = F.get_json_object("value", "$.custom_id")
     return lines.select(F.md5(F.col("value").cast("binary")).alias("line_md5"), F.split_part(back, F.lit("::"), F.lit(1)).cast("long").alias("conv_id"), F.regexp_extract(back, r"N(\d+)$", 1).cast("long").alias("turn"))
 
 
-@query("SELECT md5('{\"messages\":[' || string_agg('{\"role\":\"' || role || '\",\"content\":\"turn ' || turn || '\"}', ',' ORDER BY turn) || '],\"audios\":[]}') AS line_md5 FROM conversations GROUP BY conv_id")
+@query(f"SELECT md5('{{\"messages\":[' || string_agg('{{\"role\":\"' || role || '\",\"content\":' || {_JSON_TEXT} || '}}', ',' ORDER BY turn) || '],\"audios\":[' || coalesce(string_agg('\"' || conv_id || '_' || turn || '.wav\"', ',' ORDER BY turn) FILTER (WHERE role = 'user'), '') || ']}}') AS line_md5 FROM conversations GROUP BY conv_id")
 def chat_lines(spark, d):
-    rows = table(spark, d, "conversations").withColumn("content", F.concat(F.lit("turn "), F.col("turn").cast("string")))
-    return sinks.chat_lines(rows, ["conv_id"], "turn", "role", "content").select(F.md5(F.col("value").cast("binary")).alias("line_md5"))
+    rows = table(spark, d, "conversations").withColumn("wav", F.when(F.col("role") == "user", F.concat(F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".wav"))))
+    return sinks.chat_lines(rows, ["conv_id"], "turn", "role", "text", "wav").select(F.md5(F.col("value").cast("binary")).alias("line_md5"))
 
 
-@query(f"SELECT o_orderkey, {LAB}[('0x' || md5('order ' || o_orderkey)[1:8])::BIGINT % 7 + 1] AS label FROM orders WHERE o_orderkey % 10 = 0")
+@query(f"SELECT o_orderkey, {LAB}[('0x' || md5('order ' || o_orderkey)[1:8])::BIGINT % 7 + 1] AS label FROM orders")
 def provider_labels(spark, d):
     ship(spark)
     asked = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("custom_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("prompt"))
@@ -186,3 +193,45 @@ def best_threshold(spark, d):
     swept = M.threshold_sweep(wide_predictions(spark, d), "proba", F.col("gold") == FOCUS, [0.2, 0.4, 0.6, 0.8])
     best = F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("b")
     return swept.agg(best).select("b.threshold", F.round("b.f1", 6).alias("f1"))
+
+
+@query(
+    f"""WITH {_FUSE}, f AS (SELECT w.call_id, gold AS v2, CASE WHEN has_focus THEN 'complaint' WHEN has_focus = false THEN gate_label ELSE gold END AS v4, CASE WHEN has_focus THEN 'complaint' WHEN has_focus = false THEN coalesce(refined_label, gate_label) ELSE gold END AS v5 FROM wide w LEFT JOIN g USING (call_id) LEFT JOIN r USING (call_id)),
+c AS (SELECT unnest({LAB}) AS label) SELECT label, (SELECT count(*) FROM f WHERE v2 = label) AS n_v2, (SELECT count(*) FROM f WHERE v4 = label) AS n_v4, (SELECT count(*) FROM f WHERE v5 = label) AS n_v5,
+round((SELECT count(*) FROM f WHERE v2 = label) * 100 / (SELECT count(v2) FROM f), 2) AS share_v2, round((SELECT count(*) FROM f WHERE v4 = label) * 100 / (SELECT count(v4) FROM f), 2) AS share_v4, round((SELECT count(*) FROM f WHERE v5 = label) * 100 / (SELECT count(v5) FROM f), 2) AS share_v5 FROM c"""
+)
+def version_distribution(spark, d):
+    base, gate, refined = _passes(spark, d)
+    v4 = policy.fuse_labels(base, gate, refined.where("false"), "call_id", FOCUS)
+    v5 = policy.fuse_labels(base, gate, refined, "call_id", FOCUS)
+    sets = {"v2": base, "v4": v4, "v5": v5}
+    return agg.distributions({n: df.select("label") for n, df in sets.items()}, "label", LABELS).select("label", *[f"n_{n}" for n in sets], *[F.round(F.col(f"share_{n}") * 100, 2).alias(f"share_{n}") for n in sets])
+
+
+@query("SELECT conv_id, md5(CASE turn % 3 WHEN 0 THEN 'Q1 ' || text WHEN 1 THEN CASE WHEN role = 'user' THEN 'mind the tone. ' ELSE '' END || 'Q2 ' || text ELSE 'Q3 ' || CASE WHEN role = 'user' THEN 'short. ' ELSE '' END || text END) AS prompt_md5, turn FROM conversations")
+def prompt_versions(spark, d):
+    c = table(spark, d, "conversations")
+    version = F.concat(F.lit("v"), (F.col("turn") % 3).cast("string"))
+    prompt = requests.versioned({"v0": "Q1 {call}", "v1": "{guide}Q2 {call}", "v2": "Q3 {guide}{call}"}, version, {"v1": "mind the tone. ", "v2": "short. "}, F.col("role") == "user", call=F.col("text"))
+    return c.select("conv_id", F.md5(prompt.cast("binary")).alias("prompt_md5"), "turn")
+
+
+@query("SELECT doc_id, 2::INTEGER AS n_changed, (CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END)::INTEGER AS n_structural FROM documents")
+def variant_structure(spark, d):
+    t = table(spark, d, "documents").select("doc_id")
+    head = F.when(F.col("doc_id") % 3 == 0, "task").otherwise("said")
+    make = lambda word: t.withColumn("text", F.concat_ws("\n", F.lit("rules"), F.concat(head, F.lit(f": {word} "), F.col("doc_id").cast("string")), F.lit("end")))
+    return requests.structure_diff(make("one"), make("two"), "doc_id", "text", ["said"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (3, 4) THEN NULL ELSE 'r' || o_orderkey END AS response, 'order ' || o_orderkey AS prompt FROM orders")
+def reattach_metadata(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("custom_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("prompt"))
+    got = o.where("o_orderkey % 10 not in (3, 4)").select("custom_id", F.concat(F.lit("r"), "custom_id").alias("response"))
+    return joins.reattach(got, o).select("o_orderkey", "response", "prompt")
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def publish_strip(spark, d):
+    c = table(spark, d, "customer")
+    return governance.strip_columns(c.select(*joins.columns_ending(c, "key"), "c_name", "c_address", "c_mktsegment") if "c_address" in c.columns else c, ["c_address", "c_phone", "c_acctbal", "c_comment", "c_nationkey"]).select("c_custkey", "c_name", "c_mktsegment")

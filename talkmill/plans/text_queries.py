@@ -10,29 +10,48 @@ from talkmill.plans.catalog import query
 from talkmill.plans.common import LAB
 from talkmill.sources.adapters import FOCUS, LABELS, table
 
-#: A transcript line with every kind of mark, around the role name.
-MARKED = ["((um)) ", " o/ uh (wrng)/(", ") (noise) 0/ ok"]
+#: Marks of every kind, whole and damaged, around what was said.
+MARKED = ["((um)) x", " o/n/ I/ t/ go/ uh (wrng)/(", ") (won/(one) won)/(two) (a)/b) (noise) 0/  N/ end "]
 
 
 def _marked():
-    return F.concat(F.lit(MARKED[0]), "role", F.lit(MARKED[1]), "role", F.lit(MARKED[2]), F.lit(" N/ end"))
+    return F.concat(F.lit(MARKED[0]), "text", F.lit(MARKED[1]), "role", F.lit(MARKED[2]), "text")
 
 
-_MARKED_SQL = "'((um)) ' || role || ' o/ uh (wrng)/(' || role || ') (noise) 0/ ok' || ' N/ end'"
+_MARKED_SQL = f"'{MARKED[0]}' || text || '{MARKED[1]}' || role || '{MARKED[2]}' || text"
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
-@query("SELECT conv_id, turn, role || ' uh ' || role || ' 0 ok end' AS cleaned FROM conversations")
+def _without_tags(text: str) -> str:
+    """Twice, as a tag may stand right behind another."""
+    once = "regexp_replace({}, '(^|[^A-Za-z])[onblipfhONBLIPFH]/', '\\1 ', 'g')"
+    return once.format(once.format(text))
+
+
+def _cleaned(text: str) -> str:
+    said = "regexp_replace(" + _without_tags(f"regexp_replace({text}, '\\(\\(.*?\\)\\)+', ' ', 'g')") + ", '\\([^()/]*\\)?/\\(?([^()]*)\\)', '\\1', 'g')"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({said}, '\\([^()]*\\)', ' ', 'g'), '[()/]', ' ', 'g'), '{_SPACES}', ' ', 'g'), ' ')"
+
+
+@query(f"WITH m AS (SELECT conv_id, turn, {_MARKED_SQL} AS t FROM conversations) SELECT conv_id, turn, {_cleaned('t')} AS cleaned, round(length({_cleaned('t')}) / nullif(length(t), 0), 6) AS length_ratio FROM m")
 def clean_text(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.clean_text(_marked()).alias("cleaned"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", _marked().alias("t")).withColumn("cleaned", T.clean_text(F.col("t")))
+    return rows.select("conv_id", "turn", "cleaned", F.round(T.length_ratio(F.col("cleaned"), F.col("t")), 6).alias("length_ratio"))
+
+
+def _tags_sql(letters: str) -> str:
+    """Tags directly behind another tag's slash are found by doubling the slashes."""
+    return f"len(regexp_extract_all(replace(t, '/', '//'), '(?:^|[^A-Za-z])[{letters}{letters.upper()}]/'))::INTEGER"
 
 
 @query(
     f"""WITH m AS (SELECT conv_id, turn, {_MARKED_SQL} AS t FROM conversations)
-SELECT conv_id, turn, len(regexp_extract_all(t, '(^|[^A-Za-z])[oO]/'))::INTEGER AS n_o, len(regexp_extract_all(t, '(^|[^A-Za-z])[nN]/'))::INTEGER AS n_n, len(regexp_extract_all(t, '\\([^()/]*\\)/\\([^()/]*\\)'))::INTEGER AS n_corrections, regexp_matches(t, '\\(\\(') AS unintelligible FROM m"""
+SELECT conv_id, turn, {_tags_sql('o')} AS n_o, {_tags_sql('n')} AS n_n, {_tags_sql('onblipfh')} AS n_tags, len(regexp_extract_all(t, '\\([^()/]*\\)?/\\(?[^()]*\\)'))::INTEGER AS n_corrections, regexp_matches(t, '\\(\\(') AS unintelligible FROM m"""
 )
 def tag_counts(spark, d):
-    t = _marked()
-    return table(spark, d, "conversations").select("conv_id", "turn", T.tag_count(t, "o").alias("n_o"), T.tag_count(t, "n").alias("n_n"), T.correction_count(t).alias("n_corrections"), t.rlike(r"\(\(").alias("unintelligible"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", _marked().alias("t"))
+    t = F.col("t")
+    return rows.select("conv_id", "turn", T.tag_count(t, "o").alias("n_o"), T.tag_count(t, "n").alias("n_n"), T.tag_total(t).alias("n_tags"), T.correction_count(t).alias("n_corrections"), t.rlike(r"\(\(").alias("unintelligible"))
 
 
 @query("SELECT conv_id, turn, len(regexp_extract_all(text, '[aeiou]'))::INTEGER AS n_syllables, round(len(regexp_extract_all(text, '[aeiou]')) / nullif(length(text) / 15.0, 0), 6) AS rate, length(text) <= 2 AS too_short FROM conversations")
@@ -56,34 +75,69 @@ def label_normalize(spark, d):
 _K = "(props::JSON->>'$.k')::INTEGER"
 
 
+def _label(k):
+    """A label by number, null for a null: element_at takes a null place for the last one here."""
+    return F.when(k.isNotNull(), F.element_at(F.array(*[F.lit(x) for x in LABELS]), k % 7 + 1))
+
+
+_ANSWERS = [
+    ('{"has_complaint": true, "label": "', '"}'),
+    ('{"has_complaint": false, "label": "', '", "why": {"x": [1, 2]}}'),
+    ('{"has_complaint": false, "label": "1. ', '"}'),
+    ('{"has_complaint": "yes", "label": "', '"}'),
+    ('{"has_complaint": false, "label": "', '"} and {more}'),
+    ('{"has_complaint": null, "label": "', '"}'),
+    ('{"label": "', '"}'),
+    ("has_complaint: no, label: ", ""),
+]
+_SAID_SQL = "'Answer:' || chr(10) || CASE i " + " ".join(f"WHEN {i} THEN '{a}' || label || '{b}'" for i, (a, b) in enumerate(_ANSWERS)) + " END || chr(10) || 'thanks'"
+
+
 @query(
-    f"""SELECT event_id, CASE {_K} % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS flag, CASE {_K} % 4 WHEN 0 THEN 'complaint' WHEN 1 THEN {LAB}[{_K} % 7 + 1] END AS label FROM events"""
+    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), l AS (SELECT event_id, k // 7 % 8 AS i, {LAB}[k % 7 + 1] AS label FROM k), s AS (SELECT event_id, regexp_extract({_SAID_SQL}, '(?s)\\{{.*\\}}') AS j FROM l),
+p AS (SELECT event_id, coalesce(j <> '' AND CASE WHEN json_valid(j) THEN json_type(j, '$.has_complaint') = 'BOOLEAN' END, false) AS ok, j FROM s),
+v AS (SELECT event_id, CASE WHEN ok THEN json_extract_string(j, '$.has_complaint') = 'true' END AS flag, CASE WHEN ok THEN json_extract_string(j, '$.label') END AS name FROM p)
+SELECT event_id, flag, CASE WHEN flag THEN 'complaint' WHEN list_contains({LAB}, name) THEN name END AS label FROM v"""
 )
 def json_verdict_parse(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
-    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), k % 7 + 1)
-    body = F.when(k % 4 == 0, F.concat(F.lit('{"has_complaint": true, "label": "'), label, F.lit('"}')))
-    body = body.when(k % 4 == 1, F.concat(F.lit('{"has_complaint": false, "label": "1. '), label, F.lit('"}')))
-    body = body.when(k % 4 == 2, F.lit('{"has_complaint": false, "label": "weather"}')).otherwise(F.lit('{"has_complaint": "yes", "label": "complaint"}'))
-    v = T.parse_verdict(F.concat(F.lit("Answer:\n"), body, F.lit("\nthanks")), "has_complaint", "label", LABELS, FOCUS)
-    return table(spark, d, "events").select("event_id", v.alias("v")).select("event_id", "v.flag", "v.label")
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    label = _label(F.col("k"))
+    bodies = F.array(*[F.concat(F.lit(a), label, F.lit(b)) for a, b in _ANSWERS])
+    said = rows.select("event_id", F.concat(F.lit("Answer:\n"), F.element_at(bodies, F.floor(F.col("k") / 7).cast("int") % 8 + 1), F.lit("\nthanks")).alias("said"))
+    v = T.parse_verdict(F.col("said"), "has_complaint", "label", LABELS, FOCUS)
+    return said.select("event_id", v.alias("v")).select("event_id", "v.flag", "v.label")
+
+
+_TAGGED = "CASE k % 5 WHEN 0 THEN 'so <c>' || label || '</c> or <c>x</c><f>' || k || ' </f>' WHEN 1 THEN '<c>' || chr(10) || '2. ' || label || chr(10) || '</c>' WHEN 2 THEN '<c>weather</c>' WHEN 3 THEN CASE WHEN k % 2 = 0 THEN ' ' END ELSE label END"
+_STRIP = r"'^\s+|\s+$', '', 'g'"
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN {_K} % 4 IN (0, 1) THEN {LAB}[{_K} % 7 + 1] END AS label, CASE {_K} % 4 WHEN 2 THEN 'out of domain' WHEN 3 THEN CASE WHEN {_K} % 8 = 3 THEN 'no response' ELSE 'tag missing' END END AS error FROM events"""
+    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), l AS (SELECT event_id, k, {LAB}[k % 7 + 1] AS label FROM k), t AS (SELECT event_id, {_TAGGED} AS t FROM l),
+x AS (SELECT event_id, t, regexp_matches(t, '(?s)<c>.*?</c>') AS has, regexp_replace(regexp_replace(regexp_extract(t, '(?s)<c>(.*?)</c>', 1), '^\\s*\\d+[.)]\\s*', ''), {_STRIP}) AS label, regexp_replace(regexp_extract(t, '(?s)<f>(.*?)</f>', 1), {_STRIP}) AS f FROM t)
+SELECT event_id, CASE WHEN list_contains({LAB}, label) THEN label END AS label, CASE WHEN t IS NULL THEN 'no response' WHEN NOT has THEN 'tag missing' WHEN NOT list_contains({LAB}, label) THEN 'out of domain' END AS error, CASE WHEN list_contains({LAB}, label) AND contains(t, '<f>') THEN f END AS f FROM x"""
 )
 def tag_parse(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
-    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), k % 7 + 1)
-    text = F.when(k % 4 == 0, F.concat(F.lit("so <c>"), label, F.lit("</c> or <c>x</c>"))).when(k % 4 == 1, F.concat(F.lit("<c>\n2. "), label, F.lit("\n</c>"))).when(k % 4 == 2, F.lit("<c>weather</c>")).when(k % 8 == 3, F.lit(" ")).otherwise(label)
-    return table(spark, d, "events").select("event_id", T.parse_tagged(text, "c", LABELS).alias("v")).select("event_id", "v.label", "v.error")
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k, label = F.col("k"), _label(F.col("k"))
+    text = F.when(k % 5 == 0, F.concat(F.lit("so <c>"), label, F.lit("</c> or <c>x</c><f>"), k.cast("string"), F.lit(" </f>"))).when(k % 5 == 1, F.concat(F.lit("<c>\n2. "), label, F.lit("\n</c>"))).when(k % 5 == 2, F.lit("<c>weather</c>")).when(k % 5 == 4, label).when(k % 2 == 0, F.lit(" "))
+    return rows.select("event_id", text.alias("t")).select("event_id", T.parse_tagged(F.col("t"), "c", LABELS, "f").alias("v")).select("event_id", "v.*")
+
+
+_SCORED = "CASE k % 9 WHEN 7 THEN ' ' WHEN 8 THEN '<kind>3</kind> only' ELSE '<kind> ' || (k % 9) || ' </kind> and <fit>' || (k % 4 + 2) || '</fit>' END"
 
 
-@query(f"SELECT event_id, CASE WHEN {_K} % 7 BETWEEN 1 AND 5 THEN {_K} % 7 END AS kind, CASE WHEN {_K} % 7 BETWEEN 1 AND 5 THEN 5 END AS fit, CASE WHEN {_K} % 7 NOT BETWEEN 1 AND 5 THEN 'missing: kind' END AS error FROM events")
+@query(
+    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), t AS (SELECT event_id, {_SCORED} AS t FROM k), x AS (SELECT event_id, t, regexp_extract(t, '<kind>\\s*(-?\\d+)\\s*</kind>', 1) AS a, regexp_extract(t, '<fit>\\s*(-?\\d+)\\s*</fit>', 1) AS b FROM t),
+y AS (SELECT *, coalesce(try_cast(a AS INTEGER) BETWEEN 1 AND 5 AND try_cast(b AS INTEGER) BETWEEN 1 AND 5, false) AS ok FROM x)
+SELECT event_id, CASE WHEN ok THEN a::INTEGER END AS kind, CASE WHEN ok THEN b::INTEGER END AS fit,
+CASE WHEN NOT regexp_matches(t, '\\S') THEN 'empty' WHEN a = '' OR b = '' THEN 'missing: ' || concat_ws(',', CASE WHEN a = '' THEN 'kind' END, CASE WHEN b = '' THEN 'fit' END) WHEN NOT ok THEN 'out of range: kind=' || a || ', fit=' || b END AS error FROM y"""
+)
 def two_score_parse(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
-    text = F.concat(F.lit("<kind> "), (k % 7).cast("string"), F.lit(" </kind> and <fit>5</fit>"))
-    return table(spark, d, "events").select("event_id", T.parse_scores(text, ["kind", "fit"]).alias("v")).select("event_id", "v.*")
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k = F.col("k")
+    text = F.when(k % 9 == 7, " ").when(k % 9 == 8, "<kind>3</kind> only").otherwise(F.concat(F.lit("<kind> "), (k % 9).cast("string"), F.lit(" </kind> and <fit>"), (k % 4 + 2).cast("string"), F.lit("</fit>")))
+    return rows.select("event_id", text.alias("t")).select("event_id", T.parse_scores(F.col("t"), ["kind", "fit"]).alias("v")).select("event_id", "v.*")
 
 
 _WORDS = ["token", "license", "the ", "http"]
@@ -129,17 +183,35 @@ def probability_entropy(spark, d):
 
 
 @query(
-    f"""SELECT event_id, {_K} % 5 AS digit, {LAB}[{_K} % 7 + 1] AS anywhere, CASE WHEN {_K} % 2 = 0 THEN 'service_use' ELSE {LAB}[{_K} % 7 + 1] END AS tail, CASE WHEN {_K} % 3 = 0 THEN 'KEEP' ELSE 'REVERT' END AS verdict FROM events WHERE {_K} % 7 < 5"""
+    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), t AS (SELECT event_id, 'rated 7 or ' || (k % 5) || ' of 9' AS digit, {LAB}[k % 7 + 1] || repeat(' ', 120) || CASE WHEN k % 2 = 0 THEN 'service_use' ELSE '' END AS said,
+CASE k % 4 WHEN 0 THEN 'answer: ' || {LAB}[k % 7 + 1] || ', not refund_request' WHEN 1 THEN 'refund_request? <c> ' || {LAB}[k % 7 + 1] || ' </c>' WHEN 2 THEN 'refund_request <' || {LAB}[k % 7 + 1] || '>' ELSE 'it is ' || {LAB}[k % 7 + 1] END AS told,
+CASE WHEN k % 3 = 0 THEN 'Keep' ELSE 'revert' END AS verdict FROM k),
+m AS (SELECT *, regexp_extract(told, 'answer\\s*[:：]\\s*(\\w+)', 1) AS strict, regexp_extract(told, '(?s)<c>\\s*(.+?)\\s*</c>', 1) AS tagged FROM t)
+SELECT event_id, try_cast(regexp_extract(digit, '[0-4]') AS INTEGER) AS digit, list_filter({LAB}, lambda x: contains(said, x))[1] AS anywhere,
+coalesce(list_filter({LAB}, lambda x: contains(right(said, 100), x))[1], list_filter({LAB}, lambda x: contains(said, x))[1]) AS tail,
+coalesce(CASE WHEN list_contains({LAB}, strict) THEN strict END, CASE WHEN list_contains({LAB}, tagged) THEN tagged END, list_filter({LAB}, lambda x: contains(told, '<' || x || '>'))[1], list_filter({LAB}, lambda x: contains(told, x))[1]) AS told, upper(verdict) AS verdict FROM m"""
 )
 def fallback_parsers(spark, d):
-    k = F.get_json_object("props", "$.k").cast("int")
-    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), k % 7 + 1)
+    rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    k = F.col("k")
+    label = _label(k)
     digit = F.concat(F.lit("rated 7 or "), (k % 5).cast("string"), F.lit(" of 9"))
-    said = F.concat(label, F.lit(" " * 60), F.when(k % 2 == 0, F.lit("service_use")).otherwise(F.lit("")))
+    said = F.concat(label, F.lit(" " * 120), F.when(k % 2 == 0, F.lit("service_use")).otherwise(F.lit("")))
+    told = F.when(k % 4 == 0, F.concat(F.lit("answer: "), label, F.lit(", not refund_request"))).when(k % 4 == 1, F.concat(F.lit("refund_request? <c> "), label, F.lit(" </c>"))).when(k % 4 == 2, F.concat(F.lit("refund_request <"), label, F.lit(">"))).otherwise(F.concat(F.lit("it is "), label))
     verdict = F.concat(F.lit("So I would "), F.when(k % 3 == 0, "Keep").otherwise("revert"), F.lit(" it."))
-    return table(spark, d, "events").select("event_id", T.first_digit(digit).alias("digit"), T.contained_label(said, LABELS).alias("anywhere"), T.tail_label(said, LABELS).alias("tail"), T.keep_or_revert(verdict))
+    rows = rows.select("event_id", digit.alias("d"), said.alias("s"), told.alias("t"), verdict.alias("v"))
+    return rows.select("event_id", T.first_digit(F.col("d")).alias("digit"), T.contained_label(F.col("s"), LABELS).alias("anywhere"), T.tail_label(F.col("s"), LABELS).alias("tail"), T.answer_label(F.col("t"), LABELS).alias("told"), T.keep_or_revert(F.col("v")))
 
 
-@query(r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\f\r]'), lambda w: ceil(length(w) / 4.0)::INTEGER)), 0)::INTEGER AS n_tokens FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\f\r]'), lambda w: ceil(length(w) / 4.0)::INTEGER)), 0)::INTEGER AS n_tokens FROM documents")
 def token_length(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(T.approximate_tokens(F.col("text")), F.lit(0)).alias("n_tokens"))
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE contains(text, 'http') AND NOT (contains(text, 'token') OR contains(text, 'license'))) AS n_only_http, round(count(*) FILTER (WHERE contains(text, 'http') AND NOT (contains(text, 'token') OR contains(text, 'license'))) * 100 / count(*), 2) AS only_http, round(count(*) FILTER (WHERE contains(text, 'token') OR contains(text, 'license')) * 100 / count(*), 2) AS named FROM documents GROUP BY lang")
+def keyword_boundary(spark, d):
+    has = lambda w: F.coalesce(F.contains("text", F.lit(w)), F.lit(False))
+    named = has("token") | has("license")
+    share = lambda n: F.round(n * 100 / F.count("*"), 2)
+    only = F.count_if(has("http") & ~named)
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), only.alias("n_only_http"), share(only).alias("only_http"), share(F.count_if(named)).alias("named"))

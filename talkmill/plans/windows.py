@@ -188,3 +188,28 @@ def arousal(spark, d):
 def unit_artifact(spark, d):
     z = W.z_within(acoustic(spark, d), ["call_id", "gender"], "x", ["gender"]).where("norm_source = 'within_window'")
     return W.unit_artifact_share(z).select(F.round("unit_share", 6).alias("unit_share"))
+
+
+@query(
+    f"""WITH {ACOUSTIC}, s AS (SELECT *, count(*) OVER w AS n, stddev_pop(x) OVER w AS sd FROM ac WINDOW w AS (PARTITION BY call_id, gender)),
+t AS (SELECT gender, CASE WHEN n >= 2 AND sd > 0 THEN 'within_window' ELSE 'global_fallback' END AS norm_source FROM s) SELECT gender, norm_source, count(*) AS n FROM t GROUP BY ALL"""
+)
+def norm_source_counts(spark, d):
+    z = W.z_within(acoustic(spark, d), ["call_id", "gender"], "x", ["gender"])
+    return z.groupBy("gender", "norm_source").agg(F.count("*").alias("n"))
+
+
+_SUBJECTS = ["pitch", "pitch movement", "loudness", "loudness movement", "speech rate", "share of silence"]
+
+
+def _phrase_sql(i: int) -> str:
+    degrees = ["very slow", "slow", "usual", "quick", "very quick"] if i == 4 else ["far below usual", "below usual", "usual", "above usual", "far above usual"]
+    return f"'{_SUBJECTS[i]}: ' || {degrees}[CASE WHEN dialog_idx % {i + 2} = 0 THEN 3 ELSE (dialog_idx + {i}) % 5 + 1 END]"
+
+
+@query(f"WITH {ACOUSTIC} SELECT dialog_idx, " + " || ', ' || ".join(_phrase_sql(i) for i in range(6)) + " AS described FROM ac")
+def six_metric_description(spark, d):
+    at = F.col("dialog_idx")
+    names = F.array(*[F.lit(x) for x in T.LEVELS])
+    levels = {m: F.when(at % (i + 2) != 0, F.element_at(names, ((at + i) % 5 + 1).cast("int"))) for i, m in enumerate(T.METRICS)}
+    return acoustic(spark, d).select("dialog_idx", T.describe_levels(levels, T.level_phrases("en")).alias("described"))

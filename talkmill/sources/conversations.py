@@ -73,11 +73,21 @@ WAVE_SCHEMA = "path string, wav_duration double, sample_rate int, n_channels int
 
 
 def decode_wave(data: bytes) -> tuple[np.ndarray, int, int]:
-    """(mono samples in -1 to 1, rate, channels) of 16-bit or 8-bit PCM."""
+    """(mono samples in -1 to 1, rate, channels) of PCM with one to four bytes a sample; other widths raise."""
     with wave.open(io.BytesIO(data)) as source:
         rate, channels, width = source.getframerate(), source.getnchannels(), source.getsampwidth()
         raw = source.readframes(source.getnframes())
-    x = np.frombuffer(raw, "<i2").astype(np.float64) / 32768 if width == 2 else (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    raw = raw[: len(raw) // (width * channels) * width * channels]
+    if width == 1:  # the only unsigned kind
+        x = (np.frombuffer(raw, np.uint8).astype(np.float64) - 128) / 128
+    elif width in (2, 4):
+        x = np.frombuffer(raw, f"<i{width}").astype(np.float64) / 2.0 ** (8 * width - 1)
+    elif width == 3:
+        wide = np.zeros((len(raw) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = wide.view("<i4")[:, 0].astype(np.float64) / 2.0**31
+    else:
+        raise ValueError(f"{width} bytes a sample")
     return x.reshape(-1, channels).mean(axis=1), rate, channels
 
 

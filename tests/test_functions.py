@@ -21,10 +21,16 @@ def one(spark, value, expression):
         ("to/from", "to from"),
         ("T/ stays", "T stays"),
         ("(won)/(one) day", "one day"),
-        ("won)/(one) day", "one day"),
+        ("won)/(one) day", "won day"),
         ("(won)/(one day", "one day"),
         ("(won/(one) day", "one day"),
+        ("(won)/one) day", "one day"),
+        ("(won/one) day", "one day"),
+        ("i/ yes f/ no p/ H/", "yes no"),
+        ("((a)) b ((c)))) d", "b d"),
+        ("0/ (one)/(1) end)", "0 1 end"),
         ("(noise) word", "word"),
+        ("a\u00a0 b\x1cc", "a b c"),
         ("0/ left", "0 left"),
         ("a    b", "a b"),
         ("", ""),
@@ -39,6 +45,10 @@ def test_counts(spark):
     assert one(spark, "o/ x n/ go/ N/", T.tag_count(F.col("t"), "o")) == 1
     assert one(spark, "안녕 hi 요", T.syllables(F.col("t"))) == 3
     assert one(spark, "(a)/(b) (c)/(d)", T.correction_count(F.col("t"))) == 2
+    assert one(spark, "(a/(b) (c)/d) e)/(f) (g)/(h", T.correction_count(F.col("t"))) == 2
+    assert one(spark, "o/ i/ F/ t/ xo/", T.tag_total(F.col("t"))) == 3
+    assert one(spark, "(a)/(b)", T.length_ratio(T.clean_text(F.col("t")), F.col("t"))) == 1 / 7
+    assert one(spark, "", T.length_ratio(F.col("t"), F.col("t"))) is None
 
 
 DOMAIN = ["complaint", "refund"]
@@ -46,7 +56,7 @@ DOMAIN = ["complaint", "refund"]
 
 @pytest.mark.parametrize(
     ("raw", "label", "error"),
-    [("<c>refund</c>", "refund", None), ("x <c>\n3. refund\n</c> <c>complaint</c>", "refund", None), ("<c>tea</c>", None, "out of domain"), ("refund", None, "tag missing"), ("  ", None, "no response"), (None, None, "no response")],
+    [("<c>refund</c>", "refund", None), ("x <c>\n3. refund\n</c> <c>complaint</c>", "refund", None), ("<c>tea</c>", None, "out of domain"), ("refund", None, "tag missing"), ("  ", None, "tag missing"), (None, None, "no response")],
 )
 def test_parse_tagged(spark, raw, label, error):
     assert tuple(one(spark, raw, T.parse_tagged(F.col("t"), "c", DOMAIN))) == (label, error)
@@ -56,7 +66,14 @@ def test_parse_tagged(spark, raw, label, error):
     ("raw", "flag", "label"),
     [
         ('so {"f": true, "l": "refund"} ok', True, "complaint"),
-        ('{"f": false, "l": "2) refund"}', False, "refund"),
+        ('{"f": false, "l": "refund"}', False, "refund"),
+        ('{"f": false, "l": "2) refund"}', False, None),
+        ('{"f": false, "l": 3}', False, None),
+        ('{"f": true}', True, "complaint"),
+        ('{"f": false, "l": "refund"} or {this}', None, None),
+        ('{"f": false, "l": "refund"}, {"f": true}', None, None),
+        ('{"l": "refund"}', None, None),
+        ('{"f": null, "l": "refund"}', None, None),
         ('{"f": false, "l": "tea"}', False, None),
         ('{"f": "true", "l": "refund"}', None, None),
         ('{"f": 1, "l": "refund"}', None, None),
@@ -70,13 +87,19 @@ def test_parse_verdict(spark, raw, flag, label):
 
 
 def test_other_parsers(spark):
-    assert tuple(one(spark, "<a>3</a><b>6</b>", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "missing: b")
+    assert tuple(one(spark, "<a>3</a><b>6</b>", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "out of range: a=3, b=6")
+    assert tuple(one(spark, "<a>3</a> b", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "missing: b")
+    assert tuple(one(spark, " ", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "empty")
+    assert tuple(one(spark, None, T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "empty")
+    assert tuple(one(spark, "<c>refund</c><x> yes </x>", T.parse_tagged(F.col("t"), "c", DOMAIN, "x"))) == ("refund", None, "yes")
+    for said, label in [("answer: refund, no complaint", "refund"), ("complaint <c>refund</c>", "refund"), ("complaint <refund>", "refund"), ("a refund", "refund"), ("answer: tea", None)]:
+        assert one(spark, said, T.answer_label(F.col("t"), DOMAIN)) == label
     assert tuple(one(spark, "<a>3</a><b> 5 </b>", T.parse_scores(F.col("t"), ["a", "b"]))) == (3, 5, None)
     assert tuple(one(spark, " 1. refund ", T.parse_plain(F.col("t"), DOMAIN))) == ("refund", None)
     assert tuple(one(spark, " ", T.parse_plain(F.col("t"), DOMAIN))) == (None, "empty")
     assert one(spark, "score 7, then 3", T.first_digit(F.col("t"))) == 3
     assert one(spark, "I say Revert.", T.keep_or_revert(F.col("t"))) == "REVERT"
-    assert one(spark, "refund " + "x" * 60 + " complaint", T.tail_label(F.col("t"), ["refund", "complaint"])) == "complaint"
+    assert one(spark, "refund " + "x" * 160 + " complaint", T.tail_label(F.col("t"), ["refund", "complaint"])) == "complaint"
 
 
 def test_null_policies(spark):
@@ -85,3 +108,11 @@ def test_null_policies(spark):
     assert [r[0] for r in rows.select(nulls.differs(x, y)).collect()] == [True, True, False]
     assert [r[0] for r in rows.select(nulls.differs(x, y, False)).collect()] == [True, False, False]
     assert [r[0] for r in rows.select(nulls.not_in(y, ["b"])).collect()] == [False, True, True]
+
+
+def test_level_phrases(spark):
+    en, ko = T.level_phrases("en"), T.level_phrases("ko")
+    assert T.template_problems(en, ko) == [] and list(en) == T.METRICS
+    assert T.template_problems(en, {m: {k: v for k, v in p.items() if k != "mid"} for m, p in list(ko.items())[:2]}) != []
+    said = one(spark, "no such level", T.describe_levels({"f0_mean": F.col("t"), "r_gold": F.lit(None).cast("string")}, en))
+    assert said == "pitch: usual, speech rate: usual"

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from talkmill.operators import aggregate as agg
-from talkmill.operators import batching, governance, joins, ordering, policy, sampling
+from talkmill.operators import batching, governance, joins, ordering, policy, requests, sampling, stats
 from talkmill.operators import metrics as M
 from talkmill.operators import windows as W
 
@@ -100,11 +100,67 @@ def test_states_and_admission(spark):
 
 
 def test_score_gates_and_nulls(spark):
-    df = spark.createDataFrame([("f", "o", 5), ("f", "o", None), ("o", "f", 5), (None, "o", 1)], "s string, n string, x int")
+    df = spark.createDataFrame([("f", "o", 5), ("f", "o", 1), ("f", "o", None), ("f", None, 1), ("f", "f", 1), ("o", "f", 5), ("o", "p", 5), (None, "o", 1)], "s string, n string, x int")
     c = F.col
-    strong = [r[0] for r in df.select(policy.score_gate(c("s"), c("n"), c("x"), 3, "f")).collect()]
-    neutral = [r[0] for r in df.select(policy.score_gate(c("s"), c("n"), c("x"), 3, "f", False)).collect()]
-    assert strong == ["f", "o", "o", None] and neutral == ["f", "o", "f", "o"]
+    run = lambda e: [r[0] for r in df.select(e).collect()]
+    assert run(policy.score_gate(c("s"), c("n"), c("x"), 3, "f")) == ["f", "o", "f", "f", "f", "o", "o", None]
+    assert run(policy.score_gate(c("s"), c("n"), c("x"), 3, "f", False)) == ["f", "o", "o", "f", "f", "f", "p", "o"]
+    verdict = F.when(c("x") == 1, "REVERT").when(c("x") == 5, "KEEP")
+    assert run(policy.verdict_gate(c("s"), c("n"), verdict, "f")) == ["f", "o", "f", "f", "f", "o", "o", None]
+
+
+def test_mcnemar_leaves_out_rows_without_a_prediction(spark):
+    df = spark.createDataFrame([("a", "a", "a"), ("a", "a", None), ("a", None, "a"), ("a", "b", "a"), (None, "a", "b")], "gold string, p string, q string")
+    row = stats.mcnemar_cells(df, [], "gold", "p", "q").first()
+    assert (row["n11"], row["n10"], row["n01"], row["n00"]) == (1, 0, 1, 1)
+
+
+def test_fusion_has_three_sources(spark):
+    base = spark.createDataFrame([(i, "b") for i in range(5)], "k int, label string")
+    gate = spark.createDataFrame([(0, True, "g"), (1, False, "g"), (2, False, None), (3, None, "g")], "k int, has_focus boolean, gate_label string")
+    refined = spark.createDataFrame([(1, "r"), (2, None), (3, "r"), (4, "r")], "k int, refined_label string")
+    got = {r["k"]: (r["label"], r["source"]) for r in policy.fuse_labels(base, gate, refined, "k", "f").collect()}
+    assert got == {0: ("f", "gate"), 1: ("r", "refined"), 2: (None, "refined"), 3: ("b", "base"), 4: ("b", "base")}
+
+
+def test_greedy_chunks(spark):
+    sizes = [0, 0, 12, 5, 5, 0, 1, None, 10, 25, 3]
+    df = spark.createDataFrame([(i, s, g) for g in "ab" for i, s in enumerate(sizes)], "i int, s long, g string")
+    got = {(r["g"], r["i"]): r["chunk"] for r in requests.greedy_chunks(df, "i", "s", 10, "g").collect()}
+    want, chunk, held, total = [], 0, 0, 0
+    for size in sizes:
+        if held and total + (size or 0) > 10:
+            chunk, held, total = chunk + 1, 0, 0
+        held, total = held + 1, total + (size or 0)
+        want.append(chunk)
+    assert want[2] == 1 and got == {(g, i): c for g in "ab" for i, c in enumerate(want)}
+    assert requests.greedy_chunks(df.limit(0), "i", "s", 10).count() == 0
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=30))
+def test_exact_quantiles_equal_percentile(spark, rows):
+    df = spark.createDataFrame(rows, "g string, x int")
+    shares = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 0.77, "e": 1.0}
+    plain = [F.expr(f"percentile(x, {q})").alias(n) for n, q in shares.items()]
+    assert tuple(ordering.exact_quantiles(df, [], "x", shares).first()) == pytest.approx(tuple(df.agg(*plain).first()))
+    want = {tuple(r) for r in df.where("x is not null").groupBy("g").agg(*plain).collect()}
+    assert {tuple(r) for r in ordering.exact_quantiles(df, ["g"], "x", shares).collect()} == want
+
+
+def test_ids_answers_and_publishing(spark, tmp_path):
+    requests_ = spark.createDataFrame([("a", 1), ("b", 2)], "custom_id string, n int")
+    answers = spark.createDataFrame([("a", "yes", 9), ("z", "no", 9)], "custom_id string, response string, n int")
+    assert sorted(tuple(r) for r in joins.reattach(answers, requests_).collect()) == [("a", 1, "yes"), ("b", 2, None)]
+    assert joins.assert_same_ids(requests_, requests_, "custom_id").first()["n_both"] == 2
+    with pytest.raises(Exception, match="differ"):
+        joins.assert_same_ids(requests_, answers, "custom_id").collect()
+    lines = governance.publish({"r": requests_, "x": answers}, {"r": ["n", "gone"]}, str(tmp_path))
+    assert [(x["table"], x["state"], x["reason"]) for x in lines] == [("r", "published", "without n"), ("x", "held back", "not on the whitelist")]
+    assert spark.read.parquet(f"{tmp_path}/r.parquet").columns == ["custom_id"]
+    a = spark.createDataFrame([(1, "r\nsaid: x\nend")], "k int, t string")
+    b = spark.createDataFrame([(1, "r2\nsaid: y\nend")], "k int, t string")
+    assert tuple(requests.structure_diff(a, b, "k", "t", ["said"]).first()) == (1, 4, 2)
 
 
 @settings(max_examples=8, deadline=None)

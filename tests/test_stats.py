@@ -70,7 +70,7 @@ def test_greedy_chunks(spark, budget):
     got = [r["chunk"] for r in requests.greedy_chunks(df, "i", "s", budget).orderBy("i").collect()]
     want, chunk, total = [], 0, 0
     for s in sizes:
-        if total > 0 and total + s > budget:
+        if want and total + s > budget:  # a chunk always holds the item before
             chunk, total = chunk + 1, s
         else:
             total += s
@@ -90,3 +90,21 @@ def test_allocation_sums_to_total(spark):
     assert sum(got.values()) == 33 and got["a"] == max(got.values())
 
 
+
+
+def test_p_values_equal_published_ones(spark):
+    """Values of textbook tables and of closed forms."""
+    assert stats.normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-9)
+    assert stats.correlation_p(0.0, 10) == pytest.approx(1.0)
+    assert stats.correlation_p(0.632, 10) == pytest.approx(0.05, abs=2e-4)  # critical value, 8 degrees of freedom
+    assert stats.correlation_p(0.5, 4) == pytest.approx(0.5)  # two degrees of freedom: 1 - |r|
+    assert stats.correlation_p(1.0, 9) == 0.0 and stats.correlation_p(None, 9) is None and stats.correlation_p(0.3, 2) is None
+    rows = [("g", i % 2 == 0, float(i)) for i in range(10)] + [("one", True, 1.0), ("one", True, 2.0), ("one", None, 3.0)]
+    found = {r["g"]: r for r in stats.point_biserial(spark.createDataFrame(rows, "g string, e boolean, x double"), ["g"], F.col("e"), "x").collect()}
+    assert found["g"]["r"] == pytest.approx(-1 / 33**0.5) and found["one"]["r"] is None and found["one"]["p_value"] is None
+    assert found["g"]["p_value"] == pytest.approx(stats.t_tail(found["g"]["r"] * (8 / (1 - 1 / 33)) ** 0.5, 8))
+    pairs = spark.createDataFrame([(float(i), float(i * i)) for i in range(6)], "x double, y double")
+    row = stats.correlation_tests(stats.correlations(pairs, "x", "y")).first()
+    assert row["spearman"] == pytest.approx(1.0) and row["spearman_p"] == pytest.approx(0.0, abs=1e-6)
+    u = stats.mann_whitney(spark.createDataFrame([(float(i), i < 10) for i in range(20)], "x double, f boolean"), [], "x", F.col("f"))
+    assert stats.mann_whitney_test(u, []).first()["p_value"] == pytest.approx(0.000182672, rel=1e-4)
