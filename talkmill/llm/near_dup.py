@@ -18,7 +18,7 @@
 Two linked sets share ``SHARED_LISTS`` lists at least (fewer if they are tiny), so
 documents and pairs with fewer are out. A pair at the threshold 0.8 has fewer with
 probability under 1e-10 (runs of two among 48 draws), and one with fewer than
-``MIN_OVERLAP`` shared values in its union sketch under 1e-9. For sets that fit
+``MIN_OVERLAP`` shared values in its union sketch 1.1e-9 (binomial tail). For sets that fit
 into the sketch whole neither can happen.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.bytewords import NOT_SPACE, U64, find_words, mix, shingle_sets
 from talkmill.llm.components import connected_components
-from talkmill.llm.shared import materialise, slices
+from talkmill.llm.shared import join_hot, materialise, slices
 
 K = 48
 MIN_OVERLAP = 20
@@ -256,12 +256,13 @@ class NearDup:
         """Links of (pivot, doc, component) between a pivot's members, those of its main component aside."""
         sizes = members.groupBy("pivot", "component").count()
         main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        rows = members.join(whole.toDF("doc", "hashes"), "doc").join(main, "pivot").withColumn("aside", F.expr("component <> main"))
+        # A pivot's members may be a large part of all rows.
+        rows = join_hot(members, materialise(main, "mains"), "pivot", "doc").join(whole.toDF("doc", "hashes"), "doc").withColumn("aside", F.expr("component <> main"))
         rows = materialise(rows.select("pivot", "doc", "component", "aside", "hashes"), "members")
         mass = F.octet_length("hashes") + 64
         blocks = lambda x: F.ceil(F.sum(x) / F.lit(BLOCK_BYTES)).cast("int")
         deal = rows.groupBy("pivot").agg(blocks(mass).alias("rights"), blocks(F.when(F.col("aside"), mass).otherwise(0)).alias("lefts")).where("lefts > 0")
-        rows = rows.join(deal, "pivot")
+        rows = join_hot(rows, materialise(deal, "deal"), "pivot", "doc")
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.where("aside").withColumn("l", own("lefts")).withColumn("r", every("rights"))

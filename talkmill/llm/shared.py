@@ -58,6 +58,22 @@ def nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
+#: Rows of a narrow table that are broadcast at most, and the shares a key's rows are dealt to beyond.
+MOST_BROADCAST_ROWS, SALTS = 300_000, 32
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join where many rows of ``big`` have the same key; ``small``: one narrow row a key, cheap to count.
+
+    A counted, small table is broadcast. A larger one is copied SALTS times, and the
+    rows of a key are dealt over the copies by a hash of ``by``.
+    """
+    if small.count() <= MOST_BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of this module through the file system it lives on."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
