@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.shared import materialise
+from talkmill.llm.shared import join_hot, materialise
 
 ORDER = 4
 #: Width of a calibration bin, in millionths of a nat per character, and the outermost bins.
@@ -105,7 +105,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataF
         F.sum(F.expr("cast(not held and given <=> 'allow' as long)")).alias("a"), F.sum(F.expr("cast(not held and given <=> 'block' as long)")).alias("b")
     )
     models = materialise(_models(materialise(counted, "grams")), "ratios")
-    asked = _grams(rows.where("given is null or held"), ["row"]).join(models, "gram")
+    # Grams such as a scheme's are in every url.
+    asked = join_hot(_grams(rows.where("given is null or held"), ["row"]), models, "gram", "row")
     place = f"cast(greatest(-{FARTHEST}, least({FARTHEST}, floor(sum(llr) / (count(*) * {BIN}.0)))) as int)"
     bins = materialise(asked.groupBy("row").agg(F.expr(place).alias("bin")), "bins")
     at = _threshold(rows.where("held and given is not null").join(bins, "row").groupBy("bin").agg(F.sum(F.expr("cast(given = 'allow' as long)")).alias("a"), F.sum(F.expr("cast(given = 'block' as long)")).alias("b")))
