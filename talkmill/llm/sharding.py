@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.llm.shared import MOST_BROADCAST_ROWS, materialise
+
 PRIME = 2147483647
 #: Rows of one shard that are numbered by one task.
 ROWS_A_BUCKET = 20_000
@@ -68,9 +70,11 @@ def rendezvous_shards(docs: DataFrame, weights: Sequence[float], next_weight: fl
     rows = rows.select(
         "doc_id", (F.col("octets") + 16).alias("size"), "text_crc32", F.lit("key").alias("law"), best(F.slice("v", 1, n)).cast("int").alias("shard"), best(F.col("v")).cast("int").alias("grown_shard"), (F.col("k1") % buckets).alias("bucket")
     )
+    # Hashed once: the narrow rows are written, counted and numbered from there.
+    rows = materialise(rows, "shards")
     # Rows of a shard are numbered bucket by bucket; buckets are small and even.
     counts = rows.groupBy("shard", "bucket").count()
     before = "coalesce(sum(count) over (partition by shard order by bucket rows between unbounded preceding and 1 preceding), 0)"
     offsets = counts.select("shard", "bucket", F.expr(before).alias("offset"))
     rows = rows.withColumn("nth", F.expr("row_number() over (partition by shard, bucket order by doc_id, text_crc32, size)"))
-    return rows.join(offsets, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"), "grown_shard")
+    return rows.join(F.broadcast(offsets) if buckets * n <= MOST_BROADCAST_ROWS else offsets, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"), "grown_shard")
