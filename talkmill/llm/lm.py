@@ -21,12 +21,12 @@ Keys are 64-bit hashes.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,6 @@ from talkmill.llm.shared import fold_of, materialise, slices
 FOLDS, TEST_FOLD, DEV_FOLD = 7, 2, 3
 BLOCK_TOKENS = 1 << 19
 KEYS_A_RANGE = 1_500_000
-#: A block's row for one range has so many keys at least, on average.
-LEAST_KEYS_A_ROW = 256
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 BUCKETS, BINS = 16, 40
 CELLS = BUCKETS * (BINS + 1) * (BINS + 1)
@@ -52,6 +50,8 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+#: Blocks are numbered by partition and, inside, in order.
+BLOCKS_A_PARTITION = 1 << 32
 BLOCK_SCHEMA = "block long, dev boolean, ids binary, folds binary, lengths binary, words binary, tokens binary, n_words long, n_tokens long"
 
 
@@ -71,34 +71,38 @@ class _Pile:
             self.parts.append((ids, folds, lengths, hashes))
             self.held += len(hashes)
 
-    def block(self) -> pa.RecordBatch:
+    def block(self, number: int) -> pa.RecordBatch:
         ids, folds, lengths, hashes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.clear()
         words, tokens = np.unique(hashes, return_inverse=True)
-        values = [uuid.uuid4().int >> 65, self.dev, _pack(ids), _pack(folds), _pack(lengths), words.tobytes(), _pack(tokens.astype("<u4")), len(words), len(tokens)]
+        values = [number, self.dev, _pack(ids), _pack(folds), _pack(lengths), words.tobytes(), _pack(tokens.astype("<u4")), len(words), len(tokens)]
         kinds = [pa.int64(), pa.bool_(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["block", "dev", "ids", "folds", "lengths", "words", "tokens", "n_words", "n_tokens"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, fold, text) to one row a block; documents of DEV_FOLD have blocks of their own."""
-    piles = _Pile(False), _Pile(True)
+    """(doc_id, fold, partition, text) to one row a block; documents of DEV_FOLD have blocks of their own."""
+    piles, number = (_Pile(False), _Pile(True)), 0
     for batch in slices(batches):
+        number = number or batch.column("partition")[0].as_py() * BLOCKS_A_PARTITION
         words = find_words(batch.column("text"), NOT_SPACE)
         per = words.per_text
         h = np.full(len(words.start) + len(per), END, U64)
         h[np.arange(len(words.start)) + np.repeat(np.arange(len(per)), per)] = words.hashes()
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8")
+        named = batch.column("doc_id")
+        ids = np.column_stack((pc.fill_null(named, 0).to_numpy(zero_copy_only=False), named.is_null().to_numpy(zero_copy_only=False))).astype("<i8")
         folds = batch.column("fold").to_numpy(zero_copy_only=False).astype("<i4")
         lengths = (per + 1).astype("<i8")
         for pile in piles:
             own = (folds == DEV_FOLD) == pile.dev
             pile.add(ids[own], folds[own], lengths[own], h[np.repeat(own, lengths)])
             if pile.held >= BLOCK_TOKENS:
-                yield pile.block()
+                yield pile.block(number)
+                number += 1
     for pile in piles:
         if pile.held:
-            yield pile.block()
+            yield pile.block(number)
+            number += 1
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -112,7 +116,7 @@ class Block:
     """Tokens of a block's documents, and its distinct words and bigrams in hash order."""
 
     def __init__(self, row: dict) -> None:
-        self.ids, self.folds, self.lengths = _unpack(row["ids"], "<i8"), _unpack(row["folds"], "<i4"), _unpack(row["lengths"], "<i8")
+        self.ids, self.folds, self.lengths = _unpack(row["ids"], "<i8").reshape(-1, 2), _unpack(row["folds"], "<i4"), _unpack(row["lengths"], "<i8")
         self.words, self.tokens = np.frombuffer(row["words"], U64), _unpack(row["tokens"], "<u4").astype(np.int64)
         n = len(self.words)
         self.start = np.cumsum(self.lengths) - self.lengths
@@ -252,7 +256,7 @@ def _score(word_ranges: int, n: int, v: int, docs: int, weights: np.ndarray):
             chance = mix3[:, 0] * p[block.pair] / np.maximum(of_context, 1) + mix3[:, 1] * of_word / max(n, 1) + mix3[:, 2] / (v + 1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(block.ids),
+                    pa.array(block.ids[:, 0], mask=block.ids[:, 1] > 0),
                     pa.array(block.folds == TEST_FOLD),
                     pa.array(block.lengths),
                     pa.array(sums((of_word > 0).astype(np.int64))),
@@ -274,17 +278,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     has), train_tokens, base_score (add-one unigram log10), score (log10 of the
     model's probability of the text). The fold is crc32(doc_id as text) mod 7.
 
-    Null and empty texts have only the end token. doc_id must not be null: such
-    rows raise an error. Repeated rows are learned from as often as they occur. Without training
+    Null and empty texts have only the end token. A null doc_id stays null; its fold is
+    that of the empty text. Repeated rows are learned from as often as they occur. Without training
     documents every token has probability 1 / (V + 1) = 1. An empty table gives an empty
     result. Other columns are ignored.
     """
-    rows = docs.select(F.expr("coalesce(cast(doc_id as long), cast(raise_error('doc_id must not be null') as long))").alias("doc_id"), fold_of("doc_id", FOLDS).alias("fold"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold_of("doc_id", FOLDS).alias("fold"), F.spark_partition_id().cast("long").alias("partition"), F.col("text").cast("string").alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks, BLOCK_SCHEMA), "blocks")
-    sizes = blocks.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    sizes = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     in_train = docs.select(fold_of("doc_id", FOLDS).alias("fold")).agg(F.sum(F.expr(f"cast(fold <> {TEST_FOLD} as long)")), F.sum(F.expr(f"cast(fold = {DEV_FOLD} as long)"))).first()
     n_docs, n_dev_docs = in_train[0] or 0, in_train[1] or 0
-    word_ranges, pair_ranges = (_ranges(keys, sizes[0]) for keys in sizes[1:])
+    word_ranges, pair_ranges = map(_ranges, sizes)
     asked = blocks.mapInArrow(_ask(word_ranges, pair_ranges), "range long, block long, is_dev boolean, keys binary, train binary, dev binary")
     answers = asked.groupBy("range").applyInPandas(_answer, "block long, is_dev boolean, range long, train binary, dev binary, n long, v long, n_rest long, v_rest long")
     answers = materialise(answers, "answers")
@@ -298,7 +302,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
     return joined(blocks, answers, "train").mapInArrow(_score(word_ranges, n, v, n_docs, weights), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _ranges(keys: int, blocks: int) -> int:
-    """A power of two: enough ranges for their tasks' memory, but no crumbs of rows."""
-    wanted = min(keys / KEYS_A_RANGE, keys / max(1, blocks) / LEAST_KEYS_A_ROW)
-    return 1 << max(0, int(np.ceil(np.log2(max(1, wanted)))))
+def _ranges(keys: int) -> int:
+    """A power of two: enough ranges for a task to hold one, whatever the size of the corpus."""
+    return 1 << max(0, int(np.ceil(np.log2(max(1, keys / KEYS_A_RANGE)))))
