@@ -9,14 +9,15 @@ texts are searched side by side with NumPy; long texts are cut into stretches of
 window ends, so that no text is slower per word than another.
 
 Nothing is shuffled. The benchmark is sent to executors in blocks of at most
-``BLOCK_BYTES`` of text, measured before anything is collected.
+``BLOCK_BYTES`` of text, measured before anything is collected; each takes a pass of
+its own, which carries on what the passes before it found.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.bytewords import ALNUM, U64, Words, find_words, mix
-from talkmill.llm.shared import slices
+from talkmill.llm.shared import materialise, slices
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
@@ -107,40 +108,68 @@ class Benchmark:
         return words.per_text, found, words, np.cumsum(hit[:-1]) > 0
 
 
-def compile_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
-    """Broadcasts of compiled benchmark blocks, each of a checked size.
+def benchmark_blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Benchmark rows with texts, and the number of blocks, of at most BLOCK_BYTES each, that they are read in."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(16)), F.lit(0))).first()[0]
+    return rows, max(1, -(-total // (BLOCK_BYTES // 2)))  # hashing deals evenly up to a factor of two
+
+
+def compiled(rows: DataFrame, blocks: int, i: int, window: int):
+    """A broadcast of one compiled block.
 
     Rows without words have no window and are left out. Windows of a null id count, the id does not.
     """
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.lit(16)), F.lit(0))).first()[0]
-    n = -(-total // (BLOCK_BYTES // 2))  # hashing deals evenly up to a factor of two
+    block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else rows
+    return rows.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in block.collect()], window))
+
+
+def _runs(hit: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Each text's hit words as runs (begin, end) within it."""
     out = []
-    for i in range(n):
-        block = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
-        if block:
-            out.append(spark.sparkContext.broadcast(Benchmark(block, window)))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        edges = np.diff(np.concatenate(([0], hit[a:b].astype(np.int8), [0])))
+        out.append(np.column_stack((np.flatnonzero(edges == 1), np.flatnonzero(edges == -1))).astype("<i8").tobytes())
     return out
 
 
-def _covered(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate(([0], np.cumsum(hit)))[first])
+def _mark(runs: pa.Array, first: np.ndarray, hit: np.ndarray) -> None:
+    """Add the runs of an earlier pass to the hit words."""
+    for a, raw in zip(first[:-1].tolist(), runs.to_pylist(), strict=True):
+        for begin, end in np.frombuffer(raw or b"", "<i8").reshape(-1, 2).tolist():
+            hit[a + begin : a + end] = True
+
 
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, object]:
+    """The documents after all passes but the last, with what was found in ``_runs`` and ``_items``; and the last block.
 
-def _judge(blocks: list) -> Callable:
-    def judge(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-        if not blocks:
-            words = find_words(texts, ALNUM)
-            return words.per_text, np.zeros(len(texts), np.int64), [set() for _ in range(len(texts))]
-        n_words, found, words, hit = blocks[0].value.scan(texts)
-        for more in blocks[1:]:
-            _, items, _, also = more.value.scan(texts)
-            hit |= also
-            found = [x | y for x, y in zip(found, items, strict=True)]
-        return n_words, _covered(hit, words.first), found
+    A benchmark of several blocks takes a pass over the documents for each, so that no worker ever holds two.
+    """
+    rows, blocks = benchmark_blocks(benchmark)
+    kept = docs.withColumns({"_runs": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+    for i in range(blocks - 1):
+        block = compiled(rows, blocks, i, window)
 
-    return judge
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                found, words, hit = _scan(block.value, batch)
+                columns = [batch.column(c) for c in batch.schema.names[:-2]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(_runs(hit, words.first), pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.string()))], names=batch.schema.names)
+
+        kept = materialise(kept.mapInArrow(run, kept.schema), "searched")
+        block.destroy()
+    return kept, compiled(rows, blocks, blocks - 1, window)
+
+
+def _scan(block: Benchmark, batch: pa.RecordBatch) -> tuple[list[set[str]], Words, np.ndarray]:
+    """Items found in each text, the words, and which of them are hit, earlier passes included."""
+    _, found, words, hit = block.scan(batch.column("text"))
+    _mark(batch.column("_runs"), words.first, hit)
+    return [x | set(y or ()) for x, y in zip(found, batch.column("_items").to_pylist(), strict=True)], words, hit
+
+
+def _covered(hit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(hit)))[first])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -158,29 +187,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     are judged alike. An item with a null id is searched for like others, but is left out of
     n_items and items_sha256. Empty tables give no hits.
     """
-    judge = _judge(compile_blocks(benchmark, window))
+    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    kept, block = _passes(kept, benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            n_words, n_hit, found = judge(batch.column("text"))
+            found, words, hit = _scan(block.value, batch)
+            n_hit = _covered(hit, words.first)
             shas = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(shas), pa.array(n_hit > 0)],
+                [batch.column("doc_id"), pa.array(words.per_text, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(shas), pa.array(n_hit > 0)],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
-    judge = _judge(compile_blocks(benchmark, window))
+    """The rows of ``docs``, all columns, in which no benchmark window occurs. Nulls, empty and repeated rows as above."""
+    kept, block = _passes(docs, benchmark, window)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            _, n_hit, _ = judge(batch.column("text"))
-            yield batch.filter(pa.array(n_hit == 0))
+            _, words, hit = _scan(block.value, batch)
+            yield batch.select(names).filter(pa.array(_covered(hit, words.first) == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept.mapInArrow(run, docs.schema)
