@@ -283,9 +283,12 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [items[3][1] + " " + items[17][1], "nothing"]
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
-    assert len(decontam.compile_blocks(bench)) > 1
+    texts += ["x " + " ".join(t for _, t in items[2:9]) + " y", None, items[4][1] * 2]
+    assert decontam.benchmark_blocks(bench)[1] > 3
     got = {r["doc_id"]: tuple(r)[1:] for r in contamination(docs(spark, texts), bench).collect()}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+    kept = drop_contaminated(docs(spark, texts), bench)
+    assert kept.columns == docs(spark, texts).columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, v in got.items() if not v[4])
 
 
 def test_shift_tables_skip():
@@ -414,14 +417,18 @@ def test_lm_counts_and_probabilities(spark):
     held = [r for i, r in rows.items() if r["held_out"] and i >= len(AWKWARD)]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     assert lm.score_texts(docs(spark, texts).limit(0)).count() == 0
-    with pytest.raises(Exception, match="doc_id must not be null"):
-        lm.score_texts(spark.createDataFrame([(None, "a")], "doc_id long, text string")).collect()
+    odd = spark.createDataFrame([(None, "a b"), (None, None), (3, "a b"), (3, "a b")], "doc_id long, text string")
+    got = sorted((repr(r["doc_id"]), r["n_tokens"], r["train_tokens"]) for r in lm.score_texts(odd).collect())
+    trained = sum(n for i, n in (("", 3), ("", 1), ("3", 3), ("3", 3)) if zlib.crc32(i.encode()) % 7 != 2)
+    assert got == [("3", 3, trained), ("3", 3, trained), ("None", 1, trained), ("None", 3, trained)]
+    twice = [sorted(tuple(r) for r in lm.score_texts(docs(spark, texts).coalesce(2)).collect()) for _ in range(2)]
+    assert twice[0] == twice[1]
 
 
 def test_lm_against_direct_interpolation(spark, monkeypatch):
     """With the learned weights, scores equal a plain evaluation, in blocks of any size."""
     monkeypatch.setattr(lm, "KEYS_A_RANGE", 10)
-    monkeypatch.setattr(lm, "LEAST_KEYS_A_ROW", 1)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 200)
     seen = {}
     learned = lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda *a, **k: seen.setdefault("w", learned(*a, **k)))
@@ -469,6 +476,50 @@ def test_quality_learns_from_positives_only(spark):
     assert kept == {i for i, r in rows.items() if r["predicted"] == 1}
 
 
+def direct_risk(f_p, f_u, prior):
+    """Straight from the definition, loss by loss."""
+    loss = lambda f, y: math.log1p(math.exp(-y * f))
+    mean = lambda xs: sum(xs) / len(xs)
+    inner = mean([loss(f, -1) for f in f_u]) - prior * mean([loss(f, -1) for f in f_p])
+    return prior * mean([loss(f, 1) for f in f_p]) + max(0.0, inner), inner
+
+
+@pytest.mark.parametrize(("shift", "prior"), [(0.0, 0.4), (1.0, 0.3), (-3.0, 0.9), (-1.0, 0.95)])
+def test_risk_and_direction_by_brute_force(shift, prior):
+    rng = np.random.default_rng(5)
+    f_p, f_u = rng.normal(1, 1, 7), rng.normal(shift, 1, 11)
+    value, g_p, g_u = pu_quality.risk(f_p, f_u, prior)
+    want, inner = direct_risk(f_p, f_u, prior)
+    assert value == pytest.approx(want)
+    follow = (lambda a, b: direct_risk(a, b, prior)[0]) if inner >= 0 else (lambda a, b: -direct_risk(a, b, prior)[1])
+    step = 1e-6
+    for x, g, other in ((f_p, g_p, lambda y: follow(y, f_u)), (f_u, g_u, lambda y: follow(f_p, y))):
+        slope = [(other(x + step * (np.arange(len(x)) == i)) - other(x - step * (np.arange(len(x)) == i))) / (2 * step) for i in range(len(x))]
+        assert g == pytest.approx(np.array(slope), abs=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled(prior):
+    rng = np.random.default_rng(2)
+    good, bad = lambda n: rng.normal(2, 1, (n, 3)), lambda n: rng.normal(-2, 1, (n, 3))
+    n = 2000
+    unlabelled = np.concatenate((good(int(n * prior)), bad(n - int(n * prior))))
+    assert pu_quality.estimate_prior(good(800), rng.permutation(unlabelled)) == pytest.approx(prior, abs=0.06)
+
+
+def test_quality_of_odd_rows(spark):
+    texts = AWKWARD + LONG + ["good words here"] * 5
+    labels = spark.createDataFrame([(i, q) for i in range(len(texts)) for q in (1, i % 2)] + [(None, 1), (3, None), (10**9, 1)], "doc_id long, quality int")
+    rows = docs(spark, texts).union(docs(spark, texts[:4])).union(spark.createDataFrame([(None, "good words here", "x", 1)], "doc_id long, text string, sig string, block int"))
+    got = pu_quality.score_quality(rows.withColumn("score", F.lit("clash")), labels).collect()
+    assert len(got) == len(texts) + 5
+    by_id = collections.defaultdict(set)
+    for r in got:
+        by_id[r["doc_id"]].add(r["score"])
+    assert all(len(s) == 1 and 0 <= min(s) <= 1 for s in by_id.values())
+    assert by_id[None] == by_id[len(texts) - 1] and by_id[0] == by_id[1]
+
+
 def test_quality_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in pu_quality.score_quality(docs(spark, AWKWARD), labels).collect()} == {0.5}
