@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.bytewords import NOT_SPACE, U64, find_words, mix, shingle_sets
 from talkmill.llm.components import connected_components
-from talkmill.llm.shared import join_hot, materialise, slices
+from talkmill.llm.shared import hot_keys, join_hot, join_split, materialise, slices
 
 K = 48
 MIN_OVERLAP = 20
@@ -219,8 +219,11 @@ class NearDup:
     def _meet_leaders(self, lists: DataFrame) -> DataFrame:
         me = F.struct("doc", "n")
         picks = [F.min_by(me, F.xxhash64("doc", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
-        leaders = lists.groupBy("v").agg(*picks).select("v", F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)])).alias("leaders"))
-        met = lists.join(leaders, "v").select("doc", "n", F.explode("leaders").alias("other"))
+        leaders = lists.groupBy("v").agg(F.count("*").alias("members"), *picks).select("v", "members", F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)])).alias("leaders"))
+        # A list may hold a large part of all documents.
+        leaders = materialise(leaders, "leaders")
+        hot = hot_keys(leaders.select(F.col("v").alias("key"), F.col("members").alias("n")), lists.count())
+        met = join_split(lists, leaders.drop("members"), "v", "doc", hot).select("doc", "n", F.explode("leaders").alias("other"))
         met = met.select("doc", "n", F.col("other.doc").alias("doc2"), F.col("other.n").alias("n2"))
         return self._pairs(met.where("doc <> doc2").where(self._near_in_size("n", "n2")))
 
@@ -229,11 +232,13 @@ class NearDup:
         lists = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         lists = materialise(lists, "lists")
         mixed = lists.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
-        lists = materialise(self._busy(materialise(lists.join(mixed, "v"), "lists")), "lists")
+        mixed_rows = materialise(self._busy(materialise(lists.join(mixed, "v"), "lists")), "lists")
         # Lists get a pivot: the doc in as many lists as can be, so that lists of one group have the same.
-        lists = lists.join(lists.groupBy("doc").agg(F.count("*").alias("seen")), "doc")
+        lists = mixed_rows.join(mixed_rows.groupBy("doc").agg(F.count("*").alias("seen")), "doc")
         about = lists.groupBy("v").agg(F.count("*").alias("members"), F.max_by("doc", F.struct("seen", "doc")).alias("pivot"))
-        lists = materialise(lists.drop("seen").join(about, "v"), "lists")
+        about = materialise(about, "about")
+        hot = hot_keys(about.select(F.col("v").alias("key"), F.col("members").alias("n")), mixed_rows.count())
+        lists = materialise(join_split(lists.drop("seen"), about, "v", "doc", hot), "lists")
         long = lists.where(f"members > {LONG}")
         in_long = long.groupBy("doc").agg(F.count("*").alias("longs"))
         short = lists.where(f"members <= {LONG}").join(in_long, "doc", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
@@ -290,14 +295,18 @@ class NearDup:
         return met.select(*keys).groupBy("a", "b", "least").count().where("count >= least").select("a", "b")
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
-        sketches = self.classes.select("doc_id", "sketch")
-        a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sketch_a"))
-        b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sketch_b"))
-        likely = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_estimate(self.threshold), "a long, b long"), "likely")
-        whole = materialise(self._whole(likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))), "sets")
-        a = whole.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a"))
-        b = whole.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b"))
-        return likely.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
+        """Pairs of (a, b) that are linked. A leader of a large group may be in a large part of all pairs."""
+        pairs = materialise(pairs, "met")
+        ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+        hot = hot_keys(ends.groupBy("key").agg(F.count("*").alias("n")), 2 * pairs.count())
+
+        def with_both(rows: DataFrame, table: DataFrame, value: str) -> DataFrame:
+            a, b = (table.select(F.col("doc_id").alias(end), F.col(value).alias(f"{value}_{end}")) for end in "ab")
+            return join_split(join_split(rows, a, "a", "b", hot), b, "b", "a", hot).select("a", "b", f"{value}_a", f"{value}_b")
+
+        likely = materialise(with_both(pairs, self.classes, "sketch").mapInArrow(_estimate(self.threshold), "a long, b long"), "likely")
+        whole = materialise(self._whole(likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))).withColumnRenamed("hashes", "set"), "sets")
+        return with_both(likely, whole, "set").mapInArrow(_verify(self.percent), "a long, b long")
 
 
 def near_dup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

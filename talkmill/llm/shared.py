@@ -74,6 +74,29 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
 
 
+#: Rows of a key that one task joins; keys of more rows are split.
+HOT_ROWS = 1_000
+
+
+def hot_keys(counts: DataFrame, total: int) -> DataFrame:
+    """(key, shares) of the keys of (key, n) to split, n of ``total`` rows each: MOST_BROADCAST_ROWS keys at most."""
+    each = max(HOT_ROWS, total // MOST_BROADCAST_ROWS + 1)
+    return materialise(counts.where(F.col("n") > each).select("key", F.ceil(F.col("n") / each).cast("int").alias("shares")), "hot")
+
+
+def join_split(big: DataFrame, small: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
+    """Inner join where some keys have many rows of ``big``; ``small``: one row a key, of any size and number.
+
+    The rows of a key in ``hot`` (see :func:`hot_keys`) are dealt over its shares by a hash
+    of ``by``; only those keys' rows of ``small`` are copied.
+    """
+    hot = F.broadcast(hot.withColumnRenamed("key", key))
+    shares = F.coalesce("shares", F.lit(1))
+    copied = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
+    dealt = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), shares).cast("int")).drop("shares")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of this module through the file system it lives on."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
