@@ -6,6 +6,7 @@ import io
 import re
 import wave
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,21 +45,37 @@ def read_call_json(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     return flatten_calls(raw.where(~bad)), raw.where(bad).select("path", F.coalesce("_corrupt_record", F.lit("no dialogs")).alias("problem"))
 
 
-def read_call_zips(spark: SparkSession, path: str) -> DataFrame:
-    """The same rows from archives; one task an archive, members one at a time."""
+def read_call_zips(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same two tables from archives; one task an archive, members one at a time.
+
+    An archive is one row of bytes, so it must be smaller than 2 GB; unpack larger ones and read
+    the folder. A broken archive or member is quarantined under its name.
+    """
     pattern = re.compile(CODES)
 
+    def member(name: str, value: str | None, problem: str | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([value], pa.string()), pa.array([problem], pa.string())], names=["path", "value", "problem"])
+
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                    for name in archive.namelist():
-                        if pattern.search(name):
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([archive.read(name).decode("utf-8", "replace")])], names=["path", "value"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    parsed = files.mapInArrow(members, "path string, value string").select("path", F.from_json("value", CALL).alias("r"))
-    return flatten_calls(parsed.select("path", F.col("r.dataSet").alias("dataSet")).where("dataSet.dialogs is not null"))
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
+                except zipfile.BadZipFile as problem:
+                    yield member(file, None, f"BadZipFile: {problem}")
+                    continue
+                with archive:
+                    for name in filter(pattern.search, archive.namelist()):
+                        try:
+                            yield member(name, archive.read(name).decode("utf-8", "replace"), None)
+                        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as problem:
+                            yield member(name, None, f"{type(problem).__name__}: {problem}")
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    parsed = files.mapInArrow(members, "path string, value string, problem string").withColumn("r", F.from_json("value", CALL, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    bad = F.col("problem").isNotNull() | F.col("r._corrupt_record").isNotNull() | F.col("r.dataSet.dialogs").isNull()
+    why = F.coalesce("problem", "r._corrupt_record", F.lit("no dialogs")).alias("problem")
+    return flatten_calls(parsed.where(~bad).select("path", F.col("r.dataSet").alias("dataSet"))), parsed.where(bad).select("path", why)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, preview: int | None = None) -> DataFrame:
@@ -69,7 +86,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return df.limit(preview) if preview is not None else df
 
 
-WAVE_SCHEMA = "path string, wav_duration double, sample_rate int, n_channels int, f0_mean double, f0_std double, f0_voiced_ratio double, e_mean_amp double, e_std_amp double, e_mean_db double, e_std_db double, s_top_db30 double, error string"
+WAVE_SCHEMA = "path string, wav_duration double, sample_rate int, n_channels int, f0_mean double, f0_std double, f0_voiced_ratio double, e_mean_amp double, e_std_amp double, e_mean_db double, e_std_db double, s_top_db20 double, s_top_db30 double, error string"
+
+
+# Samples a frame and between centred frames, least amplitude, range of decibels.
+FRAME, HOP, FAINTEST, LOWEST_DB = 2048, 512, 1e-5, 80
 
 
 def decode_wave(data: bytes) -> tuple[np.ndarray, int, int]:
@@ -109,17 +130,24 @@ def pitch(x: np.ndarray, rate: int, low: float = 75, high: float = 500, voiced:
     return np.where((strength > voiced) & (r[:, 0] > 1e-8), rate / lag, 0.0)
 
 
+def silence(db: np.ndarray, n: int, top_db: float) -> float | None:
+    """Share of n samples outside frames louder than ``top_db`` below the loudest; a frame stands for HOP samples."""
+    edges = np.minimum(np.arange(len(db) + 1) * HOP, n)
+    return float(1 - np.diff(edges)[db > -top_db].sum() / n) if n else None
+
+
 def acoustic_features(data: bytes) -> dict:
     """Duration, pitch, energy and silence of a WAV file; ``error`` says why there are none."""
     try:
         x, rate, channels = decode_wave(data)
         f0 = pitch(x, rate)
         spoken = f0[f0 > 0]
-        rms = np.sqrt((frames(x, int(0.032 * rate), int(0.008 * rate)) ** 2).mean(axis=1))
-        db = 20 * np.log10(np.maximum(rms, 1e-10) / max(rms.max(), 1e-10))
+        rms = np.sqrt((frames(np.pad(x, FRAME // 2), FRAME, HOP) ** 2).mean(axis=1))
+        full = 20 * np.log10(np.maximum(rms, FAINTEST) / max(rms.max(), FAINTEST))
+        db = np.maximum(full, -LOWEST_DB)
         out = {
             "wav_duration": len(x) / rate, "sample_rate": rate, "n_channels": channels, "f0_mean": float(spoken.mean()) if len(spoken) else None, "f0_std": float(spoken.std()) if len(spoken) else None, "f0_voiced_ratio": float((f0 > 0).mean()),
-            "e_mean_amp": float(rms.mean()), "e_std_amp": float(rms.std()), "e_mean_db": float(db.mean()), "e_std_db": float(db.std()), "s_top_db30": float((db < -30).mean()), "error": None,
+            "e_mean_amp": float(rms.mean()), "e_std_amp": float(rms.std()), "e_mean_db": float(db.mean()), "e_std_db": float(db.std()), "s_top_db20": silence(full, len(x), 20), "s_top_db30": silence(full, len(x), 30), "error": None,
         }
     except Exception as problem:  # one bad file must not stop the rest; the row says what happened
         out = {"error": f"{type(problem).__name__}: {problem}"}

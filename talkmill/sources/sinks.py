@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import os
+import shutil
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,8 +57,8 @@ def write_lines(lines: DataFrame, path: str) -> None:
 def copy_files(spark: SparkSession, wanted: DataFrame, target: str) -> DataFrame:
     """Copy files of (source, name) to a shared folder; a manifest says how each fared.
 
-    Returns source, name, n_bytes, error ('missing', 'unreadable: ...' or null). The
-    copy is verified by size and put in place by a rename, so a repeated task does no harm.
+    Returns source, name, n_bytes, error ('missing', 'unreadable: ...' or null). Both
+    paths must be mounted on all executors. A file is copied by the megabyte; the copy is verified by size and put in place by a rename, so a repeated task does no harm.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,14 +67,16 @@ def copy_files(spark: SparkSession, wanted: DataFrame, target: str) -> DataFrame
             rows = []
             for source, name in zip(pdf["source"], pdf["name"], strict=True):
                 try:
-                    with open(source, "rb") as f:
-                        data = f.read()
                     final = os.path.join(target, name)
                     own = f"{final}.{os.getpid()}.part"
-                    with open(own, "wb") as f:
-                        f.write(data)
-                    os.replace(own, final)
-                    rows.append((source, name, os.path.getsize(final), None if os.path.getsize(final) == len(data) else "unreadable: short copy"))
+                    with open(source, "rb") as f, open(own, "wb") as g:
+                        shutil.copyfileobj(f, g, 1 << 20)
+                    whole = os.path.getsize(own) == os.path.getsize(source)
+                    if whole:
+                        os.replace(own, final)
+                    else:
+                        os.remove(own)
+                    rows.append((source, name, os.path.getsize(final) if whole else 0, None if whole else "unreadable: short copy"))
                 except FileNotFoundError:
                     rows.append((source, name, 0, "missing"))
                 except OSError as problem:

@@ -10,7 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from talkmill.sources import conversations, provider, sinks
+from talkmill.sources import batch, conversations, provider, sinks
 from talkmill.streaming import labelling
 
 
@@ -34,7 +34,14 @@ def test_json_folder_and_zip_agree(spark, tmp_path):
     good, bad = conversations.read_call_json(spark, str(tmp_path / "json"))
     rows = sorted(map(tuple, good.collect()), key=repr)
     assert len(rows) == 6 and bad.count() == 1
-    assert rows == sorted(map(tuple, conversations.read_call_zips(spark, str(tmp_path / "zip")).collect()), key=repr)
+    from_zip, broken = conversations.read_call_zips(spark, str(tmp_path / "zip"))
+    assert rows == sorted(map(tuple, from_zip.collect()), key=repr) and broken.count() == 0
+    with zipfile.ZipFile(tmp_path / "zip" / "more.zip", "w") as z:
+        z.writestr("x/J9/S9/S9.json", '{"dataSet": {')
+        z.writestr("x/J9/S8/S8.json", "{}")
+    (tmp_path / "zip" / "no.zip").write_bytes(b"not an archive")
+    from_zip, broken = conversations.read_call_zips(spark, str(tmp_path / "zip"))
+    assert from_zip.count() == 6 and sorted(r["path"].split("/")[-1] for r in broken.collect()) == ["S8.json", "S9.json", "no.zip"]
     by_index = {r["dialog_idx"]: r for r in good.where("s_code = 'S1'").collect()}
     assert by_index[0]["call_id"] == "J1_S1" and by_index[1]["speaker_gender"] == "f" and by_index[2]["speaker_type"] is None
 
@@ -68,6 +75,67 @@ def test_waves(spark, tmp_path):
     assert rows["b.wav"]["error"] and rows["b.wav"]["f0_mean"] is None
 
 
+def test_silence_is_measured_in_samples(tmp_path):
+    quiet = io.BytesIO()
+    with wave.open(quiet, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        with wave.open(io.BytesIO(tone(seconds=4))) as t:
+            w.writeframes(t.readframes(32000) + bytes(2 * 32000))
+    got = conversations.acoustic_features(quiet.getvalue())
+    # Frames of 2,048 samples that touch the tone count as sound.
+    assert 0.46 < got["s_top_db30"] <= got["s_top_db20"] < 0.5 and got["wav_duration"] == 8
+    assert conversations.silence(conversations.np.array([0.0, -50.0]), 1000, 30) == pytest.approx(0.488)
+
+
+class FolderService:
+    """Batches of a folder: each answers some requests, refuses some and loses the rest."""
+
+    def __init__(self, folder):
+        self.folder, self.turns = folder, {}
+
+    def submit(self, requests):
+        batch = f"b{len(self.turns)}"
+        self.turns[batch] = 0
+        ids = [json.loads(line)["custom_id"] for line in open(requests)]
+        answer = lambda i: {"custom_id": i, "response": {"status_code": 200, "body": {"choices": [{"message": {"content": f"re {i}"}}]}}, "error": None}
+        (self.folder / f"{batch}.out").write_text("\n".join([json.dumps(answer(i)) for i in ids[:-2]] + ["not json"]))
+        (self.folder / f"{batch}.err").write_text(json.dumps({"custom_id": ids[-2], "error": {"message": "too long"}}))
+        return batch
+
+    def status(self, batch):
+        self.turns[batch] += 1
+        return "completed" if self.turns[batch] > 2 else "in_progress"
+
+    def output_file(self, batch):
+        return str(self.folder / f"{batch}.out")
+
+    def error_file(self, batch):
+        return str(self.folder / f"{batch}.err")
+
+
+def test_batch_answers_errors_and_losses(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps({"custom_id": f"c{i}"}) for i in range(5)))
+    service, waits = FolderService(tmp_path), []
+    ours = [service.submit(str(tmp_path / "r.jsonl"))]
+    assert batch.poll(service, ours, 7, sleep=waits.append) == {"b0": "completed"} and waits == [7, 7]
+    assert batch.poll(FolderService(tmp_path), [], 7, sleep=waits.append) == {}
+    requests = spark.createDataFrame([(f"c{i}", i) for i in range(5)], "custom_id string, n int")
+    got = {r["custom_id"]: (r["n"], r["response"], r["error"]) for r in batch.answered(requests, batch.collect_answers(spark, service, ours)).collect()}
+    assert got == {"c0": (0, "re c0", None), "c1": (1, "re c1", None), "c2": (2, "re c2", None), "c3": (3, None, "too long"), "c4": (4, None, "silently lost")}
+    none = batch.answered(requests, batch.collect_answers(spark, service, []))
+    assert none.where("error = 'silently lost'").count() == 5
+
+
+def test_listing_and_report(spark):
+    df = spark.createDataFrame([("a.wav", 1), ("b.wav", None)], "file string, n int")
+    assert [r["file"] for r in sinks.exists_in(spark.createDataFrame([("a.wav",), ("z.wav",)], "path string"), df, "file").collect()] == ["a.wav"]
+    assert sinks.markdown_table(df.orderBy("file")) == "| file | n |\n| --- | --- |\n| a.wav | 1 |\n| b.wav |  |"
+    with pytest.raises(ValueError, match="more than 1"):
+        sinks.markdown_table(df, most=1)
+
+
 def test_lines_and_copies(spark, tmp_path):
     df = spark.createDataFrame([("c::A::N1", "hello")], "custom_id string, prompt string")
     line = json.loads(sinks.request_lines(df, "m", "/v1").first()[0])
