@@ -556,3 +556,20 @@ def test_empty_documents_pass_the_pipeline(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_keys_of_many_rows_are_split(spark, monkeypatch):
+    from talkmill.llm import shared
+    from talkmill.llm.components import connected_components
+
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    big = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 1), (2, 2), (3, 1), (9, 1)], "k long, x long")
+    small = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "k long, y string")
+    hot = shared.hot_keys(big.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("n")), big.count())
+    assert [tuple(r) for r in hot.collect()] == [(1, 14)]
+    split = sorted(map(tuple, shared.join_split(big, small, "k", "x", hot).collect()))
+    assert split == sorted(map(tuple, big.join(small, "k").collect()))
+    # Two stars, joined by a chain of hubs, and a pair of its own.
+    edges = [(100, i) for i in range(1, 30)] + [(200, 200 + i) for i in range(1, 20)] + [(100, 150), (150, 200), (500, 501)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(found) == 29 + 19 + 3 + 2 and found.pop(500) == 500 and found.pop(501) == 500 and set(found.values()) == {1}
