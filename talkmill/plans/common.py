@@ -45,3 +45,24 @@ f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (
 
 def hash_order(key: str, seed: int = 42) -> str:
     return f"md5('{seed}|' || {key}::VARCHAR)"
+
+
+def normal_tail(z: str) -> str:
+    """SQL: two-sided tail of the standard normal, by a series without cancellation; 0 beyond 10."""
+    x = f"(greatest({z}, 1e-100) / sqrt(2.0::DOUBLE))"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} > 10 THEN 0.0::DOUBLE ELSE 1 - list_sum(list_transform(range(0, 400), lambda i: exp((2 * i + 1) * ln({x}) - {x} * {x} - lgamma(i + 1.5)))) END"
+
+
+def choose(n: str, k: str) -> str:
+    """SQL: logarithm of a binomial coefficient."""
+    return f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+
+
+def correlation_tail(r: str, n: str, steps: int = 20_000) -> str:
+    """SQL: two-sided p of a correlation of n rows: the integral of cos^(n - 3) from asin |r| on, by Simpson's rule."""
+    low = f"asin(least(abs({r}), 1))"
+    step = f"((pi() / 2 - {low}) / {steps})"
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    total = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * pow(greatest(cos({low} + i * {step}), 0), {n} - 3)))"
+    scale = f"exp(lgamma(({n} - 1) / 2.0) - lgamma(({n} - 2) / 2.0) - lgamma(0.5))"
+    return f"CASE WHEN {r} IS NULL OR isnan({r}) OR {n} < 3 THEN NULL WHEN abs({r}) >= 1 THEN 0.0::DOUBLE ELSE 2 * {scale} * {total} * {step} / 3 END"

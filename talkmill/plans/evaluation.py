@@ -9,7 +9,7 @@ from talkmill.operators import joins, ml, policy, sampling, stats
 from talkmill.operators import metrics as M
 from talkmill.operators.ordering import exact_quantiles
 from talkmill.plans.catalog import query
-from talkmill.plans.common import LAB, PRED, SCORES, WIDE, hash_order
+from talkmill.plans.common import LAB, PRED, SCORES, WIDE, choose, correlation_tail, hash_order, normal_tail
 from talkmill.shipping import ship
 from talkmill.sources.adapters import FOCUS, LABELS, acoustic, predictions, table, wide_predictions
 
@@ -155,22 +155,23 @@ def auc_rank(spark, d):
     return M.auc(rows, ["lang"], "n_chars", F.col("quality") == 1).select("lang", "n_pos", "n_neg", *R6("auc"))
 
 
-_MW = """WITH t AS (SELECT l.toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM t),
+_MW_EXACT = """WITH t AS (SELECT l.toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id)), r AS (SELECT *, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM t),
 k AS (SELECT sum((c * c * c - c)::DOUBLE) AS ties FROM (SELECT count(*) AS c FROM t GROUP BY n_chars)),
 s AS (SELECT sum(toxic)::DOUBLE AS n1, sum(1 - toxic)::DOUBLE AS n2, sum(rk * toxic) AS r1 FROM r)
-SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(r1 - n1 * (n1 + 1) / 2, 6) AS u, round((abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM s, k"""
+SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, r1 - n1 * (n1 + 1) / 2 AS u, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM s, k"""
 
 
-@query(_MW)
+@query(f"SELECT n1, n2, round(u, 6) AS u, round(z, 6) AS z FROM ({_MW_EXACT})")
 def mann_whitney_u(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
     return stats.mann_whitney(rows, [], "n_chars", F.col("toxic") == 1).select("n1", "n2", *R6("u", "z"))
 
 
-@query(
-    """WITH t AS (SELECT value AS x, (props::JSON->>'$.k')::DOUBLE AS y FROM events), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM t)
-SELECT count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r"""
-)
+_CORR_EXACT = """WITH t AS (SELECT value AS x, (props::JSON->>'$.k')::DOUBLE AS y FROM events), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM t)
+SELECT count(*) AS n, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM r"""
+
+
+@query(f"SELECT n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman FROM ({_CORR_EXACT})")
 def pearson_spearman(spark, d):
     return stats.correlations(acoustic(spark, d), "x", "k").select("n", *R6("pearson", "spearman"))
 
@@ -184,10 +185,17 @@ def mcnemar_cells(spark, d):
     return out.select("segment", "n11", "n10", "n01", "n00", *R6("chi2_cc"))
 
 
-@query()
+_EXACT = f"least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(n10, n01) + 1), lambda i: exp({choose('(n10 + n01)', 'i')} - (n10 + n01) * ln(2.0::DOUBLE)))))"
+
+
+@query(
+    f"""WITH {_CELLS}, s AS (SELECT segment, n10, n01, least(n10, n01) < 25 AS exact, CASE WHEN n10 + n01 = 0 THEN NULL WHEN least(n10, n01) < 25 THEN least(n10, n01)::DOUBLE ELSE (abs(n10 - n01) - 1)::DOUBLE * (abs(n10 - n01) - 1) / (n10 + n01) END AS stat FROM c)
+SELECT segment, n10, n01, round(stat, 6) AS statistic, round(CASE WHEN exact THEN {_EXACT} ELSE {normal_tail("sqrt(stat)")} END, 6) AS p_value, exact FROM s"""
+)
 def mcnemar_test(spark, d):
     ship(spark)
-    return stats.mcnemar(stats.mcnemar_cells(wide_predictions(spark, d), ["segment"], "gold", "c5", "d5"), ["segment"])
+    out = stats.mcnemar(stats.mcnemar_cells(wide_predictions(spark, d), ["segment"], "gold", "c5", "d5"), ["segment"])
+    return out.select("segment", "n10", "n01", *R6("statistic", "p_value"), "exact")
 
 
 @query()
@@ -198,19 +206,31 @@ def bootstrap_ci(spark, d):
 
 _YATES = """WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS a, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS c, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS d FROM labels),
 x AS (SELECT *, (a + b + c + d)::DOUBLE AS n, greatest(abs(a * d - b * c) - (a + b + c + d) / 2, 0)::DOUBLE AS gap FROM c)
-SELECT a, b, c, d, round(n * gap * gap / nullif((a + b)::DOUBLE * (c + d) * (a + c) * (b + d), 0), 6) AS chi2_yates, round(least(a + b, c + d)::DOUBLE * least(a + c, b + d) / n, 6) AS min_expected FROM x"""
+SELECT a, b, c, d, n * gap * gap / nullif((a + b)::DOUBLE * (c + d) * (a + c) * (b + d), 0) AS chi2_yates, least(a + b, c + d)::DOUBLE * least(a + c, b + d) / n AS min_expected FROM x"""
 
 
-@query(_YATES)
+@query(f"SELECT a, b, c, d, round(chi2_yates, 6) AS chi2_yates, round(min_expected, 6) AS min_expected FROM ({_YATES})")
 def yates_chi2(spark, d):
     cells = stats.two_by_two(table(spark, d, "labels"), [], F.col("quality") == 1, F.col("toxic") == 1)
     return cells.select("a", "b", "c", "d", *R6("chi2_yates", "min_expected"))
 
 
-@query()
+def _table_weight(i: str) -> str:
+    """SQL: logarithm of the chance of the table whose first cell is i."""
+    return f"({choose('(a + b)', i)} + {choose('(c + d)', f'(a + c - {i})')} - {choose('(a + b + c + d)', '(a + c)')})"
+
+
+_FISHER = f"list_sum(list_transform(range(greatest(0, a - d), least(a + b, a + c) + 1), lambda i: CASE WHEN {_table_weight('i')} <= {_table_weight('a')} + 1e-9 THEN exp({_table_weight('i')}) ELSE 0 END))"
+
+
+@query(
+    f"""WITH y AS ({_YATES})
+SELECT a, b, c, d, round(CASE WHEN min_expected < 5 THEN {_FISHER} ELSE {normal_tail("sqrt(chi2_yates)")} END, 6) AS p_value, CASE WHEN min_expected < 5 THEN 'fisher' ELSE 'chi2' END AS test FROM y"""
+)
 def two_by_two_test(spark, d):
     ship(spark)
-    return stats.two_by_two_test(stats.two_by_two(table(spark, d, "labels"), [], F.col("quality") == 1, F.col("toxic") == 1))
+    out = stats.two_by_two_test(stats.two_by_two(table(spark, d, "labels"), [], F.col("quality") == 1, F.col("toxic") == 1))
+    return out.select("a", "b", "c", "d", *R6("p_value"), "test")
 
 
 def _layers(spark, d):
@@ -302,24 +322,27 @@ def fold_variation(spark, d):
     return folds.groupBy("segment").agg(F.round(F.stddev_samp("a") / F.avg("a"), 6).alias("cv"))
 
 
-@query()
+@query(f"WITH u AS ({_MW_EXACT}) SELECT n1, n2, round(u, 6) AS u, round(z, 6) AS z, round({normal_tail('greatest(z, 0)')}, 6) AS p_value FROM u")
 def mann_whitney_test(spark, d):
     ship(spark)
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return stats.mann_whitney_test(stats.mann_whitney(rows, [], "n_chars", F.col("toxic") == 1), [])
+    return stats.mann_whitney_test(stats.mann_whitney(rows, [], "n_chars", F.col("toxic") == 1), []).select("n1", "n2", *R6("u", "z", "p_value"))
 
 
-@query()
+@query(f"WITH f AS ({_CORR_EXACT}) SELECT n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round({correlation_tail('pearson', 'n')}, 6) AS pearson_p, round({correlation_tail('spearman', 'n')}, 6) AS spearman_p FROM f")
 def correlation_tests(spark, d):
     ship(spark)
-    return stats.correlation_tests(stats.correlations(acoustic(spark, d), "x", "k"))
+    return stats.correlation_tests(stats.correlations(acoustic(spark, d), "x", "k")).select("n", *R6("pearson", "spearman", "pearson_p", "spearman_p"))
 
 
-@query()
+@query(
+    f"""WITH f AS (SELECT lang, count(*) AS n, corr((l.toxic = 1)::DOUBLE, d.n_chars) AS r FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL AND d.n_chars IS NOT NULL GROUP BY lang)
+SELECT lang, n, round(CASE WHEN isnan(r) THEN NULL ELSE r END, 6) AS r, round({correlation_tail('r', 'n')}, 6) AS p_value FROM f"""
+)
 def point_biserial(spark, d):
     ship(spark)
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id")
-    return stats.point_biserial(rows, ["lang"], F.col("toxic") == 1, "n_chars")
+    return stats.point_biserial(rows, ["lang"], F.col("toxic") == 1, "n_chars").select("lang", "n", *R6("r", "p_value"))
 
 
 _AUC = "(SELECT (sum(rk * quality) - sum(quality) * (sum(quality) + 1) / 2.0) / nullif(sum(quality) * sum(1 - quality), 0) FROM (SELECT quality, rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0 AS rk FROM t))"
