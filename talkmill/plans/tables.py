@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from talkmill.operators import aggregate as agg
 from talkmill.operators import joins
 from talkmill.plans.catalog import query
-from talkmill.sources.adapters import predictions, table, wide_predictions
 from talkmill.plans.common import PRED, WIDE
+from talkmill.shipping import ship
+from talkmill.sources import workbooks
+from talkmill.sources.adapters import predictions, table, wide_predictions
 
 STATUS = ["F", "O", "P"]
 
@@ -223,3 +226,25 @@ def intersect_ids(spark, d):
 def filtered_aggregate(spark, d):
     rows = table(spark, d, "lineitem").where(F.col("l_quantity").between(5, 40) & (F.col("l_returnflag") != "N"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_net"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH n AS (SELECT r_name || '.xlsx' AS path, n_nationkey, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) + 1 AS row FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT path, 'nations' AS sheet, row, n_nationkey::VARCHAR || '|' || n_name AS line FROM n
+UNION ALL SELECT DISTINCT path, 'nations', 1, 'n_nationkey|n_name' FROM n UNION ALL SELECT DISTINCT path, 'size', 1, 'rows' FROM n
+UNION ALL SELECT path, 'size', 2, count(*)::VARCHAR FROM n GROUP BY path"""
+)
+def workbook_rows(spark, d):
+    """A workbook a region, of two sheets, read again."""
+    ship(spark)
+    columns = ["n_nationkey", "n_name"]
+
+    def make(pdf):
+        rows = pdf.sort_values("n_nationkey")[columns].values.tolist()
+        book = workbooks.workbook([(workbooks.Sheet("nations"), columns, rows), (workbooks.Sheet("size", hidden=True), ["rows"], [[len(rows)]])])
+        return pd.DataFrame({"path": [f"{pdf['r_name'].iloc[0]}.xlsx"], "content": [book]})
+
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    books = rows.select("r_name", *columns).groupBy("r_name").applyInPandas(make, "path string, content binary")
+    found, _ = workbooks.parse_workbooks(books)
+    return found.select("path", "sheet", "row", F.array_join("cells", "|", "").alias("line"))
