@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the caller
 writes as Parquet and reads again as the next stage's docs. All but the last return the
-columns of ``documents`` and only drop rows.
+columns of ``documents`` and only drop rows, whatever other columns there are and
+however they are named. Empty tables give empty results; texts are read whole at any length.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from talkmill.llm.spm_fst import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier rejects."""
+    """Drop documents that the quality classifier rejects.
+
+    A null text is judged as the empty one; equal texts fare alike, whatever their ids. A row with a null
+    doc_id is judged but not learned from. A score equal to the cut is kept. Without positives all rows stay.
+    """
     prepare(spark)
     return drop_bad(docs, read_table(spark, sf_dir, "labels"))
 
@@ -28,24 +33,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one row, the first of the smallest doc_id, of each near-duplicate group.
 
     Rows are told apart by a key of their own, so repeated rows and rows with a null
-    doc_id are linked by their text like others; a null doc_id comes last.
+    doc_id are linked by their text like others; a null doc_id comes last. Null, empty and blank texts
+    link with nothing, so all of them stay. Of rows with the same least doc_id in a group any one stays.
     """
     prepare(spark)
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = near_dup(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
-    groups = materialise(groups.join(rows.select("_row", "doc_id"), "_row"), "groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("m._row")
-    return rows.join(groups.join(first, "_row", "left_anti").select("_row"), "_row", "left_anti").select(docs.columns)
+    key = "_row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    rows = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    groups = near_dup(rows.select(F.col(key).alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias(key), "component_id")
+    groups = materialise(groups.join(rows.select(key, "doc_id"), key), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("m")).select(f"m.{key}")
+    return rows.join(groups.join(first, key, "left_anti").select(key), key, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which ten consecutive words of a benchmark item occur."""
+    """Drop documents in which ten consecutive words of a benchmark item occur.
+
+    Items of fewer words count whole; items with a null id count, without words they don't. Null, empty and
+    blank texts hold no words and stay; repeated rows fare alike.
+    """
     prepare(spark)
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding them again."""
+    """Token ids of every document, checked by decoding them again.
+
+    One row for each row of ``docs``, repeated ones too: doc_id (null stays null), n_tokens, ids, lossless.
+    Null and empty texts have no ids.
+    """
     prepare(spark)
     return encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
