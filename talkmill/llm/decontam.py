@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.bytewords import ALNUM, U64, Words, find_words, mix
-from talkmill.llm.shared import materialise, slices
+from talkmill.llm.shared import free_name, materialise, slices
 
 WINDOW = 10
 BLOCK_BYTES = 32_000_000
@@ -141,12 +141,13 @@ def _mark(runs: pa.Array, first: np.ndarray, hit: np.ndarray) -> None:
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, object]:
-    """The documents after all passes but the last, with what was found in ``_runs`` and ``_items``; and the last block.
+    """The documents after all passes but the last, with the runs and items found in two last columns; and the last block.
 
     A benchmark of several blocks takes a pass over the documents for each, so that no worker ever holds two.
     """
     rows, blocks = benchmark_blocks(benchmark)
-    kept = docs.withColumns({"_runs": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+    runs, items = free_name(docs, "_runs"), free_name(docs, "_items")
+    kept = docs.withColumns({runs: F.lit(None).cast("binary"), items: F.lit(None).cast("array<string>")})
     for i in range(blocks - 1):
         block = compiled(rows, blocks, i, window)
 
@@ -164,8 +165,8 @@ def _passes(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFra
 def _scan(block: Benchmark, batch: pa.RecordBatch) -> tuple[list[set[str]], Words, np.ndarray]:
     """Items found in each text, the words, and which of them are hit, earlier passes included."""
     _, found, words, hit = block.scan(batch.column("text"))
-    _mark(batch.column("_runs"), words.first, hit)
-    return [x | set(y or ()) for x, y in zip(found, batch.column("_items").to_pylist(), strict=True)], words, hit
+    _mark(batch.column(batch.num_columns - 2), words.first, hit)
+    return [x | set(y or ()) for x, y in zip(found, batch.column(batch.num_columns - 1).to_pylist(), strict=True)], words, hit
 
 
 def _covered(hit: np.ndarray, first: np.ndarray) -> np.ndarray:

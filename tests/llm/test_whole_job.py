@@ -47,3 +47,31 @@ def test_one_row_of_each_group_stays(spark):
 def test_thresholds_that_would_lose_links_are_refused(percent):
     with pytest.raises(ValueError, match="80"):
         near_dup(None, 5, percent)
+
+
+def test_stages_take_any_rows_and_columns(spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    benchmark = spark.createDataFrame([("x", " ".join(f"b{i}" for i in range(12)))], "item_id string, text string")
+    long = " ".join(f"w{i % 997} and" for i in range(60_000))
+    texts = [None, "", " \t", "one", long, long, "said " + " ".join(f"b{i}" for i in range(12)), " ".join(f"c{i}" for i in range(50))]
+    rows = [(i % 9 if i % 5 else None, t, i, f"r{i}", "k", 1.5, [i]) for i, t in enumerate(texts * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _ROW long, _row_ string, kept string, component_id double, _items array<int>")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage_rows = {
+            "quality classifier": lambda: corpus_pipeline.drop_bad(docs, labels),
+            "MinHash near-dedup": lambda: corpus_pipeline.near_duplicates(spark, docs, ""),
+            "benchmark decontamination": lambda: corpus_pipeline.drop_contaminated(docs, benchmark),
+        }[name]()
+        assert stage_rows.columns == docs.columns
+        got = sorted(r["_ROW"] for r in stage_rows.collect())
+        assert [(r["_ROW"], r["_row_"]) for r in stage_rows.orderBy("_ROW").collect()] == [(i, f"r{i}") for i in got]
+        if name == "MinHash near-dedup":
+            linked = {t: [i for i, u in enumerate(texts * 2) if u == t] for t in texts[3:]}
+            assert len(got) == 6 + len(linked) and all(sum(i in got for i in ids) == 1 for ids in linked.values())
+        elif name == "benchmark decontamination":
+            assert got == [i for i in range(16) if i % 8 != 6]
+        else:
+            assert len({t for i, t in enumerate(texts * 2) if i in got} & {t for i, t in enumerate(texts * 2) if i not in got}) == 0
+    encoded = corpus_pipeline.tokenize(spark, docs, "").collect()
+    assert len(encoded) == 16 and sum(r["doc_id"] is None for r in encoded) == sum(r[0] is None for r in rows)
+    assert sorted(r["n_tokens"] for r in encoded)[:4] == [0, 0, 0, 0] and all(r["lossless"] for r in encoded)
