@@ -15,7 +15,7 @@ from talkmill.llm.decontam import drop_contaminated
 from talkmill.llm.near_dup import near_dup
 from talkmill.llm.pu_quality import drop_bad
 from talkmill.llm.registry import tokenizer_file
-from talkmill.llm.shared import materialise, prepare, read_table
+from talkmill.llm.shared import free_name, materialise, prepare, read_table
 from talkmill.llm.spm_fst import encode
 
 
@@ -37,9 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     link with nothing, so all of them stay. Of rows with the same least doc_id in a group any one stays.
     """
     prepare(spark)
-    key = "_row"
-    while key in map(str.lower, docs.columns):
-        key += "_"
+    key = free_name(docs, "_row")
     rows = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
     groups = near_dup(rows.select(F.col(key).alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias(key), "component_id")
     groups = materialise(groups.join(rows.select(key, "doc_id"), key), "groups")
