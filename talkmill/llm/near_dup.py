@@ -194,11 +194,15 @@ class NearDup:
         return linked.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
 
     def _lists(self) -> DataFrame:
-        """Inverted lists with two members at least, of sets that are in enough of them: (v, doc, n)."""
+        """Inverted lists that had two members at least, of sets that are in enough of them: (v, doc, n).
+
+        A list may hold a large part of all documents: ``hot`` are the keys that all joins on v split.
+        """
         postings = self.classes.select("doc_id", "n_shingles", "sketch").mapInArrow(_postings, "v long, doc long, n long")
-        several = postings.groupBy("v").count().where("count > 1")
-        lists = self._busy(materialise(postings.join(several, "v", "left_semi"), "lists"))
-        return materialise(lists.join(lists.groupBy("v").count().where("count > 1"), "v", "left_semi"), "lists")
+        several = materialise(postings.groupBy(F.col("v").alias("key")).agg(F.count("*").alias("n")).where("n > 1"), "several")
+        self.hot = hot_keys(several, several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        lists = join_split(postings, several.select(F.col("key").alias("v")), "v", "doc", self.hot)
+        return materialise(self._busy(materialise(lists, "lists")), "lists")
 
     def _least_lists(self, n: str) -> str:
         """Lists that a set of n shingles shares with any set it is linked to.
@@ -219,11 +223,8 @@ class NearDup:
     def _meet_leaders(self, lists: DataFrame) -> DataFrame:
         me = F.struct("doc", "n")
         picks = [F.min_by(me, F.xxhash64("doc", F.lit(j))).alias(f"l{j}") for j in range(LEADERS)]
-        leaders = lists.groupBy("v").agg(F.count("*").alias("members"), *picks).select("v", "members", F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)])).alias("leaders"))
-        # A list may hold a large part of all documents.
-        leaders = materialise(leaders, "leaders")
-        hot = hot_keys(leaders.select(F.col("v").alias("key"), F.col("members").alias("n")), lists.count())
-        met = join_split(lists, leaders.drop("members"), "v", "doc", hot).select("doc", "n", F.explode("leaders").alias("other"))
+        leaders = lists.groupBy("v").agg(*picks).select("v", F.array_distinct(F.array(*[f"l{j}" for j in range(LEADERS)])).alias("leaders"))
+        met = join_split(lists, leaders, "v", "doc", self.hot).select("doc", "n", F.explode("leaders").alias("other"))
         met = met.select("doc", "n", F.col("other.doc").alias("doc2"), F.col("other.n").alias("n2"))
         return self._pairs(met.where("doc <> doc2").where(self._near_in_size("n", "n2")))
 
@@ -232,13 +233,11 @@ class NearDup:
         lists = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         lists = materialise(lists, "lists")
         mixed = lists.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
-        mixed_rows = materialise(self._busy(materialise(lists.join(mixed, "v"), "lists")), "lists")
+        mixed_rows = materialise(self._busy(materialise(join_split(lists, mixed, "v", "doc", self.hot), "lists")), "lists")
         # Lists get a pivot: the doc in as many lists as can be, so that lists of one group have the same.
         lists = mixed_rows.join(mixed_rows.groupBy("doc").agg(F.count("*").alias("seen")), "doc")
         about = lists.groupBy("v").agg(F.count("*").alias("members"), F.max_by("doc", F.struct("seen", "doc")).alias("pivot"))
-        about = materialise(about, "about")
-        hot = hot_keys(about.select(F.col("v").alias("key"), F.col("members").alias("n")), mixed_rows.count())
-        lists = materialise(join_split(lists.drop("seen"), about, "v", "doc", hot), "lists")
+        lists = materialise(join_split(lists.drop("seen"), about, "v", "doc", self.hot), "lists")
         long = lists.where(f"members > {LONG}")
         in_long = long.groupBy("doc").agg(F.count("*").alias("longs"))
         short = lists.where(f"members <= {LONG}").join(in_long, "doc", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
