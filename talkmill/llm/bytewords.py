@@ -6,6 +6,7 @@ byte by byte: no byte of a multi-byte character is below 0x80.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -27,20 +29,6 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    """Powers 0..n of the base or of its inverse modulo 2**64."""
-    have = _powers[kind]
-    if len(have) <= n:
-        step = _BASE if kind == "up" else _INVERSE
-        filled = np.full(max(n + 1, 1 << 20), step, U64)
-        filled[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(filled)
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit over the 64 bits."""
     x = np.asarray(x, U64).copy()
@@ -65,14 +53,27 @@ class Words:
     def per_text(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        if not len(self.start):
-            return np.zeros(0, U64)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * _power("up", n)[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _power("down", n)[self.start])
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes; ``lane``: which of several independent ones.
+
+        Eight bytes at a time go through the whole mixer, so no pattern of bytes cancels out.
+        """
+        at, left = self.start, self.end - self.start
+        out = mix(left.astype(U64) * U64(2 * lane + 1) + U64(0x9E3779B97F4A7C15))
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = self.data
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))  # those that begin at each byte
+        long = np.flatnonzero(left > LONG_WORD)
+        todo = np.flatnonzero(left <= LONG_WORD)
+        while len(todo):
+            at_, left_ = at[todo], left[todo]
+            out[todo] = mix(out[todo] * U64(0xD6E8FEB86659FD93) + (eights[at_] & _MASKS[np.minimum(left_, 8)]))
+            at, left = at + 8, left - 8
+            todo = todo[left_ > 8]
+        for i in long.tolist():
+            digest = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, salt=b"%d" % lane).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
 
     def bytes_of(self, i: int, j: int) -> bytes:
         """Words i to j - 1, joined by single blanks."""

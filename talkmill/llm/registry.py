@@ -13,13 +13,16 @@ from talkmill.llm.decontam import contamination
 from talkmill.llm.lm import score_texts
 from talkmill.llm.near_dup import near_dup
 from talkmill.llm.pu_quality import score_quality
+from talkmill.llm.resample import resample
 from talkmill.llm.shared import prepare, read_table
 from talkmill.llm.sharding import rendezvous_shards
 from talkmill.llm.spm_fst import encode
+from talkmill.llm.substring_dedup import remove_repeats
 from talkmill.llm.token_counts import count_tokens
 from talkmill.llm.token_files import read_digests, write_token_files
 from talkmill.llm.topk import top_k
 from talkmill.llm.url_filter import filter_urls
+from talkmill.llm.vector_codes import vector_codes
 
 SHARDS = [1.0] * 40
 
@@ -78,6 +81,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return remove_repeats(read_table(spark, sf_dir, "documents"), window=13)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
 _ALL = (
     op1_minhash_near_dedup,
     op2_url_filter,
@@ -89,6 +107,9 @@ _ALL = (
     op8_exact_top_k,
     op9_lm_scoring,
     op10_quality_classifier,
+    op11_substring_dedup,
+    op12_importance_resampling,
+    op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
@@ -97,4 +118,7 @@ ORACLES: dict[str, str] = {
     "op3_rendezvous_sharding": sql.SHARDING,
     "op6_decontamination": sql.DECONTAM,
     "op8_exact_top_k": sql.TOP_K,
+    "op11_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op12_importance_resampling": sql.RESAMPLE,
+    "op13_vector_codes": sql.VECTOR_CODES,
 }

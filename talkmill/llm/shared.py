@@ -103,6 +103,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            drop_path(table.sparkSession, folder)
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete every intermediate table; call when no result is read any more."""
     drop_path(spark, f"{shared_folder(spark)}/talkmill")

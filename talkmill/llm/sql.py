@@ -110,3 +110,64 @@ t AS (SELECT coalesce(max_by(bin, (gain, -abs(bin), bin)), 0) AS bin FROM (SELEC
 SELECT page_id, host, path, rule, coalesce(given, CASE WHEN s.bin >= t.bin THEN 'allow' ELSE 'block' END) AS verdict
 FROM y LEFT JOIN s USING (r) CROSS JOIN t
 """
+
+SUBSTRING_DEDUP = r"""
+WITH
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+o AS (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+m AS (SELECT g, min(doc_id) AS first FROM o GROUP BY g),
+c AS (SELECT DISTINCT r, k FROM o JOIN m USING (g), unnest(range(o.i, o.i + 13)) AS u(k) WHERE m.first < o.doc_id),
+x AS (SELECT r, k, w[k] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(k)),
+s AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS kept FROM x ANTI JOIN c USING (r, k) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (r)
+"""
+
+RESAMPLE = rf"""
+WITH
+t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n::BIGINT], list_transform(range(0, 8), lambda z: 0::BIGINT)),
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS crc),
+w AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+v AS (SELECT {_ITEM_WORDS} AS w FROM benchmark),
+d AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM w),
+b AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM v),
+x AS (SELECT g, hex(encode(g)) AS x, octet_length(encode(g)) AS n FROM (SELECT g FROM d UNION SELECT g FROM b)),
+k AS (SELECT g, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, n), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT)),
+        lambda a, z: xor(a >> 8, t.crc[xor(a & 255, z) + 1])), 4294967295) % 10000 AS bucket FROM x, t),
+s AS (SELECT bucket, count(*) AS n FROM d JOIN k USING (g) GROUP BY bucket),
+q AS (SELECT bucket, count(*) AS n FROM b JOIN k USING (g) GROUP BY bucket),
+a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM q)::DOUBLE AS t),
+e AS (SELECT bucket, floor(1000 * ln((coalesce(q.n, 0) + 1) * (a.s + 10000) / ((s.n + 1) * (a.t + 10000))))::BIGINT AS gain FROM s LEFT JOIN q USING (bucket), a),
+f AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM d JOIN k USING (g) JOIN e USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT::DOUBLE AS h FROM w LEFT JOIN f USING (r)),
+z AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::BIGINT AS score FROM h),
+y AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE words >= 20) OVER () AS many FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= many * 25 // 100 THEN place END AS rank FROM y
+"""
+
+
+def _rounds() -> str:
+    out = []
+    for i in range(7):
+        out.append(
+            f"a{i} AS MATERIALIZED (SELECT r, p, x.v, min((list_sum(list_transform(range(1, len(x.v) + 1), lambda j: (x.v[j] - c.v[j]) * (x.v[j] - c.v[j])))::BIGINT, c.e)) AS m FROM x JOIN c{i} c USING (p) GROUP BY r, p, x.v)"
+        )
+        if i < 6:
+            out.append(f"s{i} AS (SELECT p, m[2] AS e, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{i}, unnest(range(1, len(v) + 1)) AS u(j) GROUP BY p, m[2], j)")
+            out.append(f"m{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY p, e)")
+            out.append(f"c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.p = c.p AND m.e = c.e)")
+    return ",\n".join(out)
+
+
+VECTOR_CODES = rf"""
+WITH
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, p, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS v FROM v, unnest(range(0, 8)) AS u(p)),
+c0 AS MATERIALIZED (SELECT p, e, x.v FROM x JOIN (SELECT r, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS e FROM v ORDER BY vec_id LIMIT 16) USING (r)),
+{_rounds()},
+g AS (SELECT r, string_agg(right('0' || lower(hex(m[2])), 2), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM a6 GROUP BY r),
+h AS (SELECT sha256(string_agg(n::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, j, v[j] AS n FROM c6, unnest(range(1, len(v) + 1)) AS u(j)))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN g USING (r), h
+"""
