@@ -16,9 +16,25 @@ SYLLABLE = "[가-힣]"
 
 LEADING_NUMBER = r"^\s*\d+[.)]\s*"
 
-#: A correction, (said)/(meant): it opens with a parenthesis and ends with one; the two in the middle may be missing.
-_SAID, _MEANT = "[^()/]*", "[^()]*"
-CORRECTION = rf"\({_SAID}[)]?/[(]?({_MEANT})\)"
+#: A part that could not be heard stands in two parentheses or more on a line; a remark in one.
+UNHEARD, REMARK = r"(?d)\(\(.*?\)\)+", r"\([^()]*\)"
+#: Whatever is left of marks, and white space as Python has it.
+STRAY, BLANKS = r"[()/]", r"(?U)[\s\x1c-\x1f]+"
+
+
+def correction(first_closed: bool, second_opened: bool) -> str:
+    """The pattern of one form of a correction: what was said, a slash, what was meant, each in parentheses.
+
+    Transcribers forget the first closing parenthesis, the second opening one, or both. What was said has
+    neither parenthesis nor slash, what was meant (the group) no parenthesis.
+    """
+    said = r"\([^/()]*" + (r"\)" if first_closed else "")
+    meant = (r"\(" if second_opened else "") + r"([^()]*)\)"
+    return said + "/" + meant
+
+
+#: The whole form first, then the damaged ones.
+CORRECTIONS = [correction(closed, opened) for closed in (True, False) for opened in (True, False)]
 
 
 def _tag(letters: str) -> str:
@@ -28,12 +44,12 @@ def _tag(letters: str) -> str:
 def clean_text(text: Column, tags: str = TAGS) -> Column:
     """Six ordered steps: unintelligible parts, tags, corrections, remarks, strays, blanks."""
     steps = [
-        (r"(?d)\(\(.*?\)\)+", " "),
+        (UNHEARD, " "),
         (_tag(tags), " "),
-        (CORRECTION, "$1"),
-        (r"\([^()]*\)", " "),
-        (r"[()/]", " "),
-        (r"(?U)[\s\x1c-\x1f]+", " "),
+        ("|".join(CORRECTIONS), "".join(f"${i}" for i in range(1, len(CORRECTIONS) + 1))),
+        (REMARK, " "),
+        (STRAY, " "),
+        (BLANKS, " "),
     ]
     for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
@@ -50,7 +66,7 @@ def tag_total(text: Column, tags: str = TAGS) -> Column:
 
 
 def correction_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(CORRECTION))
+    return F.regexp_count(text, F.lit("|".join(CORRECTIONS)))
 
 
 def length_ratio(cleaned: Column, raw: Column) -> Column:
@@ -115,15 +131,15 @@ def parse_verdict(answer: Column, flag: str, label: str, domain: list[str], forc
     """struct(flag, label) of the JSON object in an answer: all from the first to the last brace.
 
     Text that isn't one object, or a flag that isn't a boolean, fails the whole answer; a true
-    flag forces a label; labels are compared as they stand, others than the domain's are null.
+    flag forces a label; labels are compared as they stand, others than the domain's are null. Of a key
+    given twice the last counts; NaN and infinities may stand where numbers do.
     """
     raw = F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)\{.*\}", 0)
     # In a list, so that anything behind the object is seen.
-    found = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    part = lambda path, kind: F.try_variant_get(found, path, kind)
-    kind = lambda name: F.schema_of_variant(part(f"$[0].{name}", "variant"))
-    sound = F.coalesce((raw != "") & part("$[1]", "variant").isNull() & (kind(flag) == "BOOLEAN"), F.lit(False))
-    value, name = part(f"$[0].{flag}", "boolean"), F.when(kind(label) == "STRING", part(f"$[0].{label}", "string"))
+    found = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), f"array<struct<`{flag}`:variant,`{label}`:variant>>", {"allowNonNumericNumbers": "true"})
+    of = lambda name, kind, sql: F.when(F.schema_of_variant(F.get(found, F.lit(0))[name]) == kind, F.try_variant_get(F.get(found, F.lit(0))[name], "$", sql))
+    value, name = of(flag, "BOOLEAN", "boolean"), of(label, "STRING", "string")
+    sound = F.coalesce((raw != "") & (F.size(found) == 1) & value.isNotNull(), F.lit(False))
     return F.struct(F.when(sound, value).alias("flag"), F.when(sound & value, F.lit(forced)).when(sound & name.isin(domain), name).alias("label"))
 
 
@@ -133,7 +149,7 @@ def parse_scores(answer: Column, tags: list[str], low: int = 1, high: int = 5) -
     Errors: 'empty', 'missing: ' and the tags that aren't there, 'out of range: ' and all scores.
     """
     text = F.coalesce(answer, F.lit(""))
-    found = {t: F.regexp_extract(text, rf"<{t}>\s*(-?\d+)\s*</{t}>", 1) for t in tags}
+    found = {t: F.regexp_extract(text, rf"<{t}>\s*(\d+)\s*</{t}>", 1) for t in tags}
     missing = F.array_join(F.array_compact(F.array(*[F.when(found[t] == "", F.lit(t)) for t in tags])), ",")
     value = {t: found[t].try_cast("int") for t in tags}
     fits = reduce(and_, [F.coalesce(value[t].between(low, high), F.lit(False)) for t in tags])

@@ -28,8 +28,15 @@ def _without_tags(text: str) -> str:
     return once.format(once.format(text))
 
 
+def _corrected(text: str, keep: str) -> str:
+    """Form by form: whole pairs, then those with the first not closed, the second not opened, or both. A mark stands before each meant part."""
+    for form in ("\\([^()/]*\\)/\\(([^()]*)\\)", "\\([^()/]*/\\(([^()]*)\\)", "\\([^()/]*\\)/([^()]*)\\)", "\\([^()/]*/([^()]*)\\)"):
+        text = f"regexp_replace({text}, '{form}', '{keep}', 'g')"
+    return text
+
+
 def _cleaned(text: str) -> str:
-    said = "regexp_replace(" + _without_tags(f"regexp_replace({text}, '\\(\\(.*?\\)\\)+', ' ', 'g')") + ", '\\([^()/]*\\)?/\\(?([^()]*)\\)', '\\1', 'g')"
+    said = _corrected(_without_tags(f"regexp_replace({text}, '\\(\\(.*?\\)\\)+', ' ', 'g')"), "\\1")
     return f"trim(regexp_replace(regexp_replace(regexp_replace({said}, '\\([^()]*\\)', ' ', 'g'), '[()/]', ' ', 'g'), '{_SPACES}', ' ', 'g'), ' ')"
 
 
@@ -46,7 +53,7 @@ def _tags_sql(letters: str) -> str:
 
 @query(
     f"""WITH m AS (SELECT conv_id, turn, {_MARKED_SQL} AS t FROM conversations)
-SELECT conv_id, turn, {_tags_sql('o')} AS n_o, {_tags_sql('n')} AS n_n, {_tags_sql('onblipfh')} AS n_tags, len(regexp_extract_all(t, '\\([^()/]*\\)?/\\(?[^()]*\\)'))::INTEGER AS n_corrections, regexp_matches(t, '\\(\\(') AS unintelligible FROM m"""
+SELECT conv_id, turn, {_tags_sql('o')} AS n_o, {_tags_sql('n')} AS n_n, {_tags_sql('onblipfh')} AS n_tags, len(regexp_extract_all({_corrected('t', chr(7))}, '{chr(7)}'))::INTEGER AS n_corrections, regexp_matches(t, '\\(\\(') AS unintelligible FROM m"""
 )
 def tag_counts(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", _marked().alias("t"))
@@ -89,12 +96,14 @@ _ANSWERS = [
     ('{"has_complaint": null, "label": "', '"}'),
     ('{"label": "', '"}'),
     ("has_complaint: no, label: ", ""),
+    ('{"has_complaint": null, "has_complaint": false, "label": "', '"}'),
+    ('{"has_complaint": true, "sure": NaN, "label": "', '"}'),
 ]
 _SAID_SQL = "'Answer:' || chr(10) || CASE i " + " ".join(f"WHEN {i} THEN '{a}' || label || '{b}'" for i, (a, b) in enumerate(_ANSWERS)) + " END || chr(10) || 'thanks'"
 
 
 @query(
-    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), l AS (SELECT event_id, k // 7 % 8 AS i, {LAB}[k % 7 + 1] AS label FROM k), s AS (SELECT event_id, regexp_extract({_SAID_SQL}, '(?s)\\{{.*\\}}') AS j FROM l),
+    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), l AS (SELECT event_id, k // 7 % 10 AS i, {LAB}[k % 7 + 1] AS label FROM k), s AS (SELECT event_id, replace(replace(regexp_extract({_SAID_SQL}, '(?s)\\{{.*\\}}'), 'null, "has_complaint": ', ''), ': NaN', ': 0') AS j FROM l),
 p AS (SELECT event_id, coalesce(j <> '' AND CASE WHEN json_valid(j) THEN json_type(j, '$.has_complaint') = 'BOOLEAN' END, false) AS ok, j FROM s),
 v AS (SELECT event_id, CASE WHEN ok THEN json_extract_string(j, '$.has_complaint') = 'true' END AS flag, CASE WHEN ok THEN json_extract_string(j, '$.label') END AS name FROM p)
 SELECT event_id, flag, CASE WHEN flag THEN 'complaint' WHEN list_contains({LAB}, name) THEN name END AS label FROM v"""
@@ -103,7 +112,7 @@ def json_verdict_parse(spark, d):
     rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     label = _label(F.col("k"))
     bodies = F.array(*[F.concat(F.lit(a), label, F.lit(b)) for a, b in _ANSWERS])
-    said = rows.select("event_id", F.concat(F.lit("Answer:\n"), F.element_at(bodies, F.floor(F.col("k") / 7).cast("int") % 8 + 1), F.lit("\nthanks")).alias("said"))
+    said = rows.select("event_id", F.concat(F.lit("Answer:\n"), F.element_at(bodies, F.floor(F.col("k") / 7).cast("int") % 10 + 1), F.lit("\nthanks")).alias("said"))
     v = T.parse_verdict(F.col("said"), "has_complaint", "label", LABELS, FOCUS)
     return said.select("event_id", v.alias("v")).select("event_id", "v.flag", "v.label")
 
@@ -124,11 +133,11 @@ def tag_parse(spark, d):
     return rows.select("event_id", text.alias("t")).select("event_id", T.parse_tagged(F.col("t"), "c", LABELS, "f").alias("v")).select("event_id", "v.*")
 
 
-_SCORED = "CASE k % 9 WHEN 7 THEN ' ' WHEN 8 THEN '<kind>3</kind> only' ELSE '<kind> ' || (k % 9) || ' </kind> and <fit>' || (k % 4 + 2) || '</fit>' END"
+_SCORED = "CASE WHEN k % 9 = 7 THEN ' ' WHEN k % 9 = 8 THEN '<kind>3</kind> only' WHEN k % 18 = 5 THEN '<kind>-1</kind> and <fit>2</fit>' ELSE '<kind> ' || (k % 9) || ' </kind> and <fit>' || (k % 4 + 2) || '</fit>' END"
 
 
 @query(
-    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), t AS (SELECT event_id, {_SCORED} AS t FROM k), x AS (SELECT event_id, t, regexp_extract(t, '<kind>\\s*(-?\\d+)\\s*</kind>', 1) AS a, regexp_extract(t, '<fit>\\s*(-?\\d+)\\s*</fit>', 1) AS b FROM t),
+    f"""WITH k AS (SELECT event_id, {_K} AS k FROM events), t AS (SELECT event_id, {_SCORED} AS t FROM k), x AS (SELECT event_id, t, regexp_extract(t, '<kind>\\s*(\\d+)\\s*</kind>', 1) AS a, regexp_extract(t, '<fit>\\s*(\\d+)\\s*</fit>', 1) AS b FROM t),
 y AS (SELECT *, coalesce(try_cast(a AS INTEGER) BETWEEN 1 AND 5 AND try_cast(b AS INTEGER) BETWEEN 1 AND 5, false) AS ok FROM x)
 SELECT event_id, CASE WHEN ok THEN a::INTEGER END AS kind, CASE WHEN ok THEN b::INTEGER END AS fit,
 CASE WHEN NOT regexp_matches(t, '\\S') THEN 'empty' WHEN a = '' OR b = '' THEN 'missing: ' || concat_ws(',', CASE WHEN a = '' THEN 'kind' END, CASE WHEN b = '' THEN 'fit' END) WHEN NOT ok THEN 'out of range: kind=' || a || ', fit=' || b END AS error FROM y"""
@@ -136,7 +145,7 @@ CASE WHEN NOT regexp_matches(t, '\\S') THEN 'empty' WHEN a = '' OR b = '' THEN '
 def two_score_parse(spark, d):
     rows = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
     k = F.col("k")
-    text = F.when(k % 9 == 7, " ").when(k % 9 == 8, "<kind>3</kind> only").otherwise(F.concat(F.lit("<kind> "), (k % 9).cast("string"), F.lit(" </kind> and <fit>"), (k % 4 + 2).cast("string"), F.lit("</fit>")))
+    text = F.when(k % 9 == 7, " ").when(k % 9 == 8, "<kind>3</kind> only").when(k % 18 == 5, "<kind>-1</kind> and <fit>2</fit>").otherwise(F.concat(F.lit("<kind> "), (k % 9).cast("string"), F.lit(" </kind> and <fit>"), (k % 4 + 2).cast("string"), F.lit("</fit>")))
     return rows.select("event_id", text.alias("t")).select("event_id", T.parse_scores(F.col("t"), ["kind", "fit"]).alias("v")).select("event_id", "v.*")
 
 

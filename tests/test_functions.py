@@ -86,8 +86,40 @@ def test_parse_verdict(spark, raw, flag, label):
     assert (got["flag"], got["label"]) == (flag, label)
 
 
+@pytest.mark.parametrize(
+    ("said", "n", "cleaned"),
+    [
+        ("so (won)/(one) end", 1, "so one end"),
+        ("so (won/(one) end", 1, "so one end"),
+        ("so (won)/one) end", 1, "so one end"),
+        ("so (won/one) end", 1, "so one end"),
+        ("(a)/(b)/(c)", 1, "b"),
+        ("()/() x", 1, "x"),
+        ("(a)/(b x", 0, "b x"),
+        ("won)/(one) x", 0, "won x"),
+        ("(a)/(dd/c) (d/e)", 2, "dd c e"),
+    ],
+)
+def test_forms_of_corrections(spark, said, n, cleaned):
+    assert one(spark, said, T.correction_count(F.col("t"))) == n
+    assert one(spark, said, T.clean_text(F.col("t"))) == cleaned
+
+
+def test_verdicts_with_repeated_keys_and_numbers_that_are_none(spark):
+    for raw, want in [
+        ('{"f": false, "l": "tea", "l": "refund"}', (False, "refund")),
+        ('{"f": true, "f": false, "l": "refund"}', (False, "refund")),
+        ('{"f": "no", "f": true, "x": NaN}', (True, "complaint")),
+        ('{"f": false, "x": -Infinity, "l": "refund"}', (False, "refund")),
+        ('{"f": true, "f": 1}', (None, None)),
+    ]:
+        got = one(spark, raw, T.parse_verdict(F.col("t"), "f", "l", DOMAIN, "complaint"))
+        assert (got["flag"], got["label"]) == want, raw
+
+
 def test_other_parsers(spark):
     assert tuple(one(spark, "<a>3</a><b>6</b>", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "out of range: a=3, b=6")
+    assert tuple(one(spark, "<a>3</a><b>-1</b>", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "missing: b")
     assert tuple(one(spark, "<a>3</a> b", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "missing: b")
     assert tuple(one(spark, " ", T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "empty")
     assert tuple(one(spark, None, T.parse_scores(F.col("t"), ["a", "b"]))) == (None, None, "empty")
