@@ -284,16 +284,55 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     texts = [items[3][1] + " " + items[17][1], "nothing"]
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
     texts += ["x " + " ".join(t for _, t in items[2:9]) + " y", None, items[4][1] * 2]
-    assert decontam.benchmark_blocks(bench)[1] > 3
+    assert decontam.benchmark_blocks(bench, 10)[1] > 3
     got = {r["doc_id"]: tuple(r)[1:] for r in contamination(docs(spark, texts), bench).collect()}
     assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
     kept = drop_contaminated(docs(spark, texts), bench)
     assert kept.columns == docs(spark, texts).columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, v in got.items() if not v[4])
 
 
+def test_items_of_any_size_are_cut_and_dealt(spark, monkeypatch):
+    from talkmill.llm import decontam
+
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(40)]
+    long = rng.choices(vocabulary, k=700)
+    items = [("long", " ".join(long)), ("copy", " ".join(long)), (None, " ".join(long[:60]))] + [("short", "tiny item")] * 30 + [(f"i{k}", " ".join(rng.choices(vocabulary, k=15))) for k in range(20)]
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 23)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 9000)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    pieces, blocks = decontam.benchmark_blocks(bench, 10)
+    sizes = {r["block"]: r["s"] for r in pieces.groupBy("block").agg(F.sum("size").alias("s")).collect()}
+    assert blocks > 3 and max(sizes.values()) <= 9000
+    texts = [" ".join(long[a : a + n]) + " " + " ".join(rng.choices(vocabulary, k=9)) for a, n in [(0, 700), (17, 30), (10, 9), (330, 12), (690, 10)]]
+    texts += ["x tiny item y", "", None, items[-1][1] + " z", LONG[0][:4_000] + " " + " ".join(long[5:40])]
+    ids = [0, 1, 2, None, None, 5, 5, 7, 8, 9]
+    table = spark.createDataFrame(list(zip(ids, texts, ["k"] * 10, strict=True)), "doc_id long, text string, _row string")
+    got = [tuple(r) for r in contamination(table, bench).collect()]
+    named = [(i, t) for i, t in items if i is not None]
+    want = []
+    for i, t in zip(ids, texts, strict=True):
+        n, hits, *rest = brute_hits(t, items)
+        want.append((i, n, hits, *brute_hits(t, named)[2:4], bool(hits)))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    kept = drop_contaminated(table, bench)
+    assert kept.columns == table.columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted((w[0] for w in want if not w[5]), key=repr)
+
+
+def test_a_block_takes_few_bytes_a_window():
+    import pickle
+
+    rng = random.Random(2)
+    rows = [(str(i), " ".join(rng.choices([f"word{k}" for k in range(5000)], k=500))) for i in range(200)]
+    block = Benchmark(rows, 10)
+    assert len(pickle.dumps(block)) < 64 * sum(len(m.begins) for m in block.machines)
+
+
 def test_shift_tables_skip():
     machine = Benchmark([("a", " ".join(f"p{i}" for i in range(10)))], 10).machines[0]
-    assert machine.shift.max() == 9 and machine.shift.min() == 0
+    assert machine.shift.max() == 9
+    assert machine.shift.min() == 0
 
 
 def test_token_files_round_trip(spark, monkeypatch, tmp_path):
