@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.operators.packing import greedy_chunks  # noqa: F401  a part of planning requests
+
 
 def utterance_block(df: DataFrame, keys: list[str], order: str, speaker: str, text: str, note: str | None = None, empty: str = "(no text)", name: str = "block") -> DataFrame:
     """Numbered lines of a window in order, with an optional note below each."""
@@ -49,41 +49,6 @@ def request_grid(windows: DataFrame, conditions: dict[str, tuple[str, bool]], ca
     return out.withColumn("custom_id", custom_id(F.col(call).cast("string"), F.col("condition"), F.concat(F.lit("N"), F.col("window_n").cast("string"))))
 
 
-def _fold_chunks(budget: int):
-    """Chunk numbers of rows (_g, _o, _s) in order: two numbers are carried along."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, chunk, held, total = None, -1, 0, 0
-        for batch in batches:
-            chunks = []
-            for g, size in zip(batch.column("_g").to_pylist(), batch.column("_s").to_pylist(), strict=True):
-                if g != group or chunk < 0:
-                    group, chunk, held, total = g, 0, 0, 0
-                elif held and total + (size or 0) > budget:
-                    chunk, held, total = chunk + 1, 0, 0
-                held, total = held + 1, total + (size or 0)
-                chunks.append(chunk)
-            yield pa.RecordBatch.from_arrays([batch.column("_g"), batch.column("_o"), pa.array(chunks, pa.int32())], names=["_g", "_o", "chunk"])
-
-    return run
-
-
-def greedy_chunks(df: DataFrame, order: str, size: str, budget: int, group: str | None = None) -> DataFrame:
-    """Adds ``chunk``: items in order, a new chunk where the next would take one that isn't empty beyond the budget.
-
-    A chunk may equal the budget; a larger single item stands alone. The fold is
-    sequential by nature, so one task reads a group's (order, size) rows, sorted by
-    Spark, which spills; it holds two numbers. Give a ``group`` (a day, a condition) where there are many
-    items. A null size counts as 0.
-    """
-    key = F.col(group) if group else F.lit(0)
-    items = df.select(key.alias("_g"), F.col(order).alias("_o"), F.col(size).cast("long").alias("_s"))
-    items = (items.repartition("_g") if group else items.repartition(1)).sortWithinPartitions("_g", "_o")
-    kinds = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in ("_g", "_o"))
-    placed = items.mapInArrow(_fold_chunks(budget), f"{kinds}, chunk int").withColumnRenamed("_o", order)
-    return df.withColumn("_g", key).join(placed, ["_g", order]).select(*df.columns, "chunk")
-
-
 def versioned(templates: dict[str, str], version: Column, guides: dict[str, str], shows_notes: Column, **values: Column) -> Column:
     """The template of each row's version with its values and its guide; no guide where no notes are shown. An unknown version is an error."""
     out = F.raise_error(F.concat(F.lit("unknown version: "), F.coalesce(version, F.lit("null")))).cast("string")

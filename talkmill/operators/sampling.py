@@ -1,7 +1,7 @@
 """Seeded samples and splits. Order is that of md5(seed|id): the same rows on any engine.
 
-Global top-n samples use orderBy + limit (each task keeps n rows); samples per
-stratum use a window, or thresholds found on the stratum's counts.
+Small global samples use orderBy + limit (each task keeps n rows), larger ones compare rows with the n-th hash, found by
+radix selection; samples per stratum use a window, or thresholds found on the stratum's counts.
 """
 
 from __future__ import annotations
@@ -9,24 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.operators.ordering import number_by_hash
+from talkmill.operators.ordering import first_in_order, number_by_hash
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
 
 
+#: Rows of a sample that one task may hold.
+SMALL_SAMPLE = 10_000
+
+
+def _among_first(df: DataFrame, key: str, n: int, seed: int) -> tuple[DataFrame, Column]:
+    """``df`` beside the n-th row of the hash order, and whether a row is not behind it; keys are unique."""
+    cut = first_in_order(df, hash_order(key, seed), key, n)
+    own = F.struct(hash_order(key, seed).alias("last"), F.col(key).alias("tie"))
+    among = F.col("_cut.all") | F.coalesce(own <= F.struct("_cut.last", "_cut.tie"), F.lit(False))
+    return df.crossJoin(F.broadcast(cut.select(F.struct("*").alias("_cut")))), among
+
+
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(hash_order(key, seed), key).limit(n)
+    """The first n rows in hash order; keys are unique. Samples beyond SMALL_SAMPLE come in no order."""
+    if n <= SMALL_SAMPLE:
+        return df.orderBy(hash_order(key, seed), key).limit(n)
+    rows, among = _among_first(df, key, n, seed)
+    return rows.where(among).drop("_cut")
 
 
 def split_fixed(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Adds ``part``: 'first' for n rows, 'rest' for the others; disjoint and complete.
+    """Adds ``part``: 'first' for n rows, 'rest' for the others; disjoint and complete. Keys are unique.
 
-    The n-th hash is found first; rows are then compared with it, so nothing is sorted whole.
+    The n-th row is found first; rows are then compared with it, so nothing is sorted whole.
     """
-    cut = df.select(hash_order(key, seed).alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(hash_order(key, seed) <= F.col("cut"), "first").otherwise("rest")).drop("cut")
+    rows, among = _among_first(df, key, n, seed)
+    return rows.withColumn("part", F.when(among, "first").otherwise("rest")).drop("_cut")
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:

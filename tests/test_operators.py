@@ -173,3 +173,41 @@ def test_accuracy_is_the_confusion_diagonal(spark, rows):
     assert got["accuracy"] == (pytest.approx(sum(g == p for g, p in valid) / len(valid)) if valid else None)
     diagonal = M.confusion(df, []).where("gold = pred").agg(F.sum("freq")).first()[0] or 0
     assert diagonal == sum(g == p for g, p in valid)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "close", "few", "huge", "whole"])
+def test_radix_selection_equals_percentile(spark, kind):
+    rng = random.Random(kind)
+    value = {
+        "mixed": lambda: rng.choice([0.0, -0.0, rng.gauss(0, 1e-9), rng.gauss(0, 1), -rng.expovariate(1e-6), 5.0]),
+        "close": lambda: 1000 + rng.random() * 1e-6,
+        "few": lambda: float(rng.randrange(3)),
+        "huge": lambda: rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 308),
+        "whole": lambda: float(rng.randrange(-500, 500)),
+    }[kind]
+    rows = [(rng.choice(["a", "b", None]), value() if rng.random() > 0.1 else None) for _ in range(700)] + [("empty", None), ("one", 3.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"low": 0.0, "q": 0.25, "half": 0.5, "p99": 0.99, "top": 1.0}
+    want = {r["g"]: tuple(r)[1:] for r in df.where("v is not null").groupBy("g").agg(*[F.expr(f"percentile(v, {q})").alias(n) for n, q in shares.items()]).collect()}
+    got = {r["g"]: tuple(r)[1:] for r in ordering.exact_quantiles(df, ["g"], "v", shares).collect()}
+    assert got.keys() == want.keys()
+    for g, values in want.items():
+        assert got[g] == pytest.approx(values, rel=1e-12, abs=0), g
+    whole = ordering.exact_quantiles(df, [], "v", shares).collect()
+    assert tuple(whole[0]) == pytest.approx(tuple(df.agg(*[F.expr(f"percentile(v, {q})") for q in shares.values()]).first()), rel=1e-12, abs=0)
+    ranks = {(r["g"], r["v"]): r["rank"] for r in ordering.average_rank_table(df, ["g"], "v").collect()}
+    for g in ("a", "b", None):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert all(ranks[g, v] == own.index(v) + (own.count(v) + 1) / 2 for v in set(own))
+
+
+def test_large_samples_are_the_first_in_hash_order(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "i")
+    want = [r["i"] for r in df.orderBy(sampling.hash_order("i"), "i").collect()]
+    monkeypatch.setattr(sampling, "SMALL_SAMPLE", 10)
+    for n in (11, 700, 2999, 3000, 4000):
+        assert sorted(r["i"] for r in sampling.sample_n(df, "i", n).collect()) == sorted(want[:n])
+    for n in (0, 1, 2900, 5000):
+        parts = {r["i"]: r["part"] for r in sampling.split_fixed(df, "i", n).collect()}
+        assert parts == {i: "first" if k < n else "rest" for k, i in enumerate(want)}
+    assert sampling.sample_n(df.limit(0), "i", 20).count() == 0
