@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.bytewords import NOT_SPACE, U64, find_words, mix
+from talkmill.llm.exchange import pack_sorted, unpack_sorted
 from talkmill.llm.shared import fold_of, materialise, slices
 
 FOLDS, TEST_FOLD, DEV_FOLD = 7, 2, 3
@@ -140,11 +141,12 @@ class Block:
         return np.bincount(numbers[train], minlength=n), np.bincount(numbers[dev], minlength=n)
 
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each of ``ranges`` (a power of two) equal parts of the hash range begins."""
+def _spans(keys: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(part, begin, end) of those of ``ranges`` (a power of two) equal parts of the hash range in which sorted keys lie."""
     bits = int(ranges).bit_length() - 1
-    starts = (np.arange(ranges, dtype=U64) << U64(64 - bits)) if bits else np.zeros(1, U64)
-    return np.append(np.searchsorted(keys, starts), len(keys))
+    part = (keys >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    begins = np.flatnonzero(np.diff(part, prepend=-1))
+    return list(zip(part[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)], strict=True))
 
 
 def _ask(word_ranges: int, pair_ranges: int):
@@ -153,14 +155,13 @@ def _ask(word_ranges: int, pair_ranges: int):
             block = Block(row)
             for kind, keys, numbers, ranges in ((0, block.words, block.tokens, word_ranges), (1, block.pairs, block.pair, pair_ranges)):
                 train, dev = block.counts(numbers, len(keys))
-                cuts = _cuts(keys, ranges)
-                spans = [(p, cuts[p], cuts[p + 1]) for p in range(ranges) if cuts[p] < cuts[p + 1]]
+                spans = _spans(keys, ranges)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([kind * word_ranges + p for p, _, _ in spans], pa.int64()),
                         pa.array([row["block"]] * len(spans), pa.int64()),
                         pa.array([row["dev"]] * len(spans), pa.bool_()),
-                        pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                        pa.array([pack_sorted(keys[a:b]) for _, a, b in spans], pa.binary()),
                         pa.array([_pack(train[a:b].astype("<u4")) for _, a, b in spans], pa.binary()),
                         pa.array([_pack(dev[a:b].astype("<u4")) for _, a, b in spans], pa.binary()),
                     ],
@@ -172,7 +173,7 @@ def _ask(word_ranges: int, pair_ranges: int):
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """Add up a range's counts and give every block those of its own keys, in its order."""
-    keys = [np.frombuffer(k, U64) for k in rows["keys"]]
+    keys = [unpack_sorted(k) for k in rows["keys"]]
     known, place = np.unique(np.concatenate(keys), return_inverse=True)
     train, dev = (np.bincount(place, np.concatenate([_unpack(x, "<u4") for x in rows[c]]), len(known)).astype("<u8") for c in ("train", "dev"))
     cuts = np.cumsum([0, *map(len, keys)])

@@ -7,11 +7,8 @@
    so that a common shingle alone brings nothing together.
 3. In each list every set first meets a few leaders (the smallest under several
    hash orders), which costs linear work however long a list is. Then lists that
-   still hold several components compare members of different components. No
-   pair inside a component is made, nor one that shares too few lists. In long
-   lists (many copies with edits of their own) those outside the main component
-   are compared with all members by matrix products over blocks of bounded size,
-   which return verified links only.
+   still hold several components are grouped by a pivot, and the documents outside a group's main
+   component meet all its members, in blocks of bounded size. No pair inside a component is kept.
 4. Pairs are filtered by the overlap in the sketch of their union and then
    verified on whole sets.
 
@@ -41,8 +38,8 @@ K = 48
 MIN_OVERLAP = 20
 SHARED_LISTS = 4
 LEADERS = 4
-#: Lists with more members are compared in blocks of so many bytes of sets.
-LONG, BLOCK_BYTES = 32, 2_000_000
+#: Bytes of the sets that a block holds on either side, and those that a document counts for besides its set.
+BLOCK_BYTES, ROW_BYTES = 2_000_000, 1024
 MOST_BITS = 1 << 24
 
 
@@ -116,16 +113,46 @@ def _shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
+def _union_sketch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of full sketches (rows of K values): how many of the K smallest of both together are in both."""
+    out = np.zeros(len(x), np.int64)
+    for a in range(0, len(x), 20_000):
+        both = np.sort(np.concatenate((x[a : a + 20_000], y[a : a + 20_000]), axis=1), axis=1)
+        twice = both[:, 1:] == both[:, :-1]
+        nth = np.cumsum(np.concatenate((np.ones((len(both), 1), np.int64), ~twice), axis=1), axis=1)  # number of each value among the distinct ones
+        out[a : a + 20_000] = (twice & (nth[:, 1:] <= K)).sum(axis=1)
+    return out
+
+
+def _likely(xs: list[np.ndarray], ys: list[np.ndarray], percent: int, wanted: np.ndarray) -> np.ndarray:
+    """Which of the ``wanted`` pairs may be linked, by their sketches alone; sets that fit into one whole are decided."""
+    small = np.array([len(x) < K for x in xs])[:, None] & np.array([len(y) < K for y in ys])[None, :]
+    sketches = [[s[:K] for s in side] for side in (xs, ys)]
+    shared = _shared(*sketches)
+    n, m = (np.array([len(s) for s in side], np.float64) for side in (xs, ys))
+    fits = wanted & np.where(small, 100.0 * shared >= percent * (n[:, None] + m[None, :] - shared), shared >= MIN_OVERLAP)
+    # A set that is whole in its sketch against one that isn't: what they share there is all that counts.
+    i, j = np.nonzero(fits & (n >= K)[:, None] & (m >= K)[None, :])
+    if len(i):
+        rows = [np.stack([s if len(s) == K else np.zeros(K, U64) for s in side]) for side in sketches]
+        bad = _union_sketch(rows[0][i], rows[1][j]) < MIN_OVERLAP
+        fits[i[bad], j[bad]] = False
+    return fits
+
+
 def _compare(percent: int):
-    """Links between two blocks of sets, across components."""
+    """Links between two blocks of sets, across components: sketches first, whole sets for what they leave."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         xs, ys = ([np.frombuffer(h, U64) for h in side] for side in (left["hashes"], right["hashes2"]))
+        wanted = left["component"].to_numpy()[:, None] != right["component2"].to_numpy()[None, :]
+        fits = _likely(xs, ys, percent, wanted) if len(xs) and len(ys) else wanted
+        rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
+        xs, ys = [xs[i] for i in rows], [ys[j] for j in columns]
         shared = _shared(xs, ys)
         n, m = np.array([len(x) for x in xs], np.float64), np.array([len(y) for y in ys], np.float64)
-        union = n[:, None] + m[None, :] - shared
-        i, j = np.nonzero((100.0 * shared >= percent * union) & (left["component"].to_numpy()[:, None] != right["component2"].to_numpy()[None, :]))
-        return pd.DataFrame({"a": left["doc"].to_numpy()[i], "b": right["doc2"].to_numpy()[j]})
+        i, j = np.nonzero((100.0 * shared >= percent * (n[:, None] + m[None, :] - shared)) & fits[np.ix_(rows, columns)])
+        return pd.DataFrame({"a": left["doc"].to_numpy()[rows[i]], "b": right["doc2"].to_numpy()[columns[j]]})
 
     return run
 
@@ -186,7 +213,7 @@ class NearDup:
         tried = materialise(self._meet_leaders(lists), "pairs")
         edges = materialise(self._linked(tried), "links")
         found = connected_components(edges)
-        more = self._meet_others(lists, found, tried)
+        more = self._meet_others(lists, found)
         found = connected_components(edges.union(more))
         names = self.classes.select("sig", F.col("doc_id").alias("node")).join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
         linked = some.select("doc_id", "n_shingles", "sig").join(names, "sig").select("doc_id", "n_shingles", "component_id")
@@ -228,51 +255,42 @@ class NearDup:
         met = met.select("doc", "n", F.col("other.doc").alias("doc2"), F.col("other.n").alias("n2"))
         return self._pairs(met.where("doc <> doc2").where(self._near_in_size("n", "n2")))
 
-    def _meet_others(self, lists: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-        """Links across components, of lists that hold more than one, not tried before."""
+    def _meet_others(self, lists: DataFrame, found: DataFrame) -> DataFrame:
+        """Links across components, of lists that hold more than one."""
         lists = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         lists = materialise(lists, "lists")
         mixed = lists.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
         mixed_rows = materialise(self._busy(materialise(join_split(lists, mixed, "v", "doc", self.hot), "lists")), "lists")
         # Lists get a pivot: the doc in as many lists as can be, so that lists of one group have the same.
         lists = mixed_rows.join(mixed_rows.groupBy("doc").agg(F.count("*").alias("seen")), "doc")
-        about = lists.groupBy("v").agg(F.count("*").alias("members"), F.max_by("doc", F.struct("seen", "doc")).alias("pivot"))
-        lists = materialise(join_split(lists.drop("seen"), about, "v", "doc", self.hot), "lists")
-        long = lists.where(f"members > {LONG}")
-        in_long = long.groupBy("doc").agg(F.count("*").alias("longs"))
-        short = lists.where(f"members <= {LONG}").join(in_long, "doc", "left").withColumn("longs", F.coalesce("longs", F.lit(0)))
-        met = self._cross(short).join(tried, ["a", "b"], "left_anti")
-        # A pair without a short list in common shares enough long ones.
-        far = materialise(self._busy(long).select("pivot", "doc", "component").distinct(), "members")
-        return self._linked(met).union(self._blocks(self._whole(far.select(F.col("doc").alias("doc_id"))), far))
-
-    def _cross(self, lists: DataFrame) -> DataFrame:
-        """Pairs of (v, doc, n, longs, component) across components, of enough lists.
-
-        ``longs``: how many longer lists the doc is in, which may count too.
-        """
-        lists = lists.select("v", "doc", "n", "longs", "component")
-        other = lists.select("v", *[F.col(c).alias(f"{c}2") for c in lists.columns[1:]])
-        met = lists.join(other, "v").where("component < component2").where(self._near_in_size("n", "n2"))
-        return self._pairs(met, f"{self._least_lists('least(n, n2)')} - least(longs, longs2)")
+        about = lists.groupBy("v").agg(F.max_by("doc", F.struct("seen", "doc")).alias("pivot"))
+        members = materialise(join_split(lists.drop("seen"), about, "v", "doc", self.hot).select("pivot", "doc", "component").distinct(), "members")
+        return self._blocks(self._whole(members.select(F.col("doc").alias("doc_id"))), members)
 
     def _blocks(self, whole: DataFrame, members: DataFrame) -> DataFrame:
-        """Links of (pivot, doc, component) between a pivot's members, those of its main component aside."""
+        """Links of (pivot, doc, component) between a pivot's members, those of its main component aside.
+
+        A large group is dealt into blocks, each side of which meets all of the other; small ones share a block.
+        """
         sizes = members.groupBy("pivot", "component").count()
         main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
         # A pivot's members may be a large part of all rows.
         rows = join_hot(members, materialise(main, "mains"), "pivot", "doc").join(whole.toDF("doc", "hashes"), "doc").withColumn("aside", F.expr("component <> main"))
         rows = materialise(rows.select("pivot", "doc", "component", "aside", "hashes"), "members")
-        mass = F.octet_length("hashes") + 64
+        mass = F.octet_length("hashes") + ROW_BYTES
         blocks = lambda x: F.ceil(F.sum(x) / F.lit(BLOCK_BYTES)).cast("int")
-        deal = rows.groupBy("pivot").agg(blocks(mass).alias("rights"), blocks(F.when(F.col("aside"), mass).otherwise(0)).alias("lefts")).where("lefts > 0")
-        rows = join_hot(rows, materialise(deal, "deal"), "pivot", "doc")
+        deal = rows.groupBy("pivot").agg(blocks(mass).alias("rights"), blocks(F.when(F.col("aside"), mass).otherwise(0)).alias("lefts"), F.sum(mass).alias("mass")).where("lefts > 0")
+        deal = materialise(deal.withColumn("small", F.expr("rights = 1")), "deal")
+        shared = max(1, -(-(deal.where("small").agg(F.sum("mass")).first()[0] or 0) // BLOCK_BYTES))
+        deal = deal.select("pivot", "lefts", "rights", "small", F.when(F.col("small"), F.pmod(F.xxhash64("pivot"), F.lit(shared))).otherwise(F.col("pivot")).alias("p"))
+        rows = join_hot(rows, deal, "pivot", "doc")
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.where("aside").withColumn("l", own("lefts")).withColumn("r", every("rights"))
         right = rows.withColumn("r", own("rights")).withColumn("l", every("lefts"))
-        keep = ["pivot", "l", "r", "doc", "component", "hashes"]
-        return left.select(keep).groupBy("pivot", "l", "r").cogroup(right.select(keep).toDF(*[f"{c}2" for c in keep]).groupBy("pivot2", "l2", "r2")).applyInPandas(_compare(self.percent), "a long, b long")
+        keep = ["small", "p", "l", "r", "doc", "component", "hashes"]
+        right = right.select(keep).toDF(*[f"{c}2" for c in keep])
+        return left.select(keep).groupBy("small", "p", "l", "r").cogroup(right.groupBy("small2", "p2", "l2", "r2")).applyInPandas(_compare(self.percent), "a long, b long")
 
     def _whole(self, ids: DataFrame) -> DataFrame:
         """(doc_id, hashes): the whole sets of some documents.
@@ -288,10 +306,9 @@ class NearDup:
         docs = docs.where("(shiftrightunsigned(mask, cast(bit % 64 as int)) & 1) = 1").select("doc_id", "text")
         return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.width, True), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
-    def _pairs(self, met: DataFrame, least: str = "1") -> DataFrame:
-        """Distinct pairs that met in enough lists."""
-        keys = [F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"), F.expr(least).alias("least")]
-        return met.select(*keys).groupBy("a", "b", "least").count().where("count >= least").select("a", "b")
+    def _pairs(self, met: DataFrame) -> DataFrame:
+        """Distinct pairs that met."""
+        return met.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """Pairs of (a, b) that are linked. A leader of a large group may be in a large part of all pairs."""
