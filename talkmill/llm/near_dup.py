@@ -124,31 +124,43 @@ def _union_sketch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _likely(xs: list[np.ndarray], ys: list[np.ndarray], percent: int, wanted: np.ndarray) -> np.ndarray:
-    """Which of the ``wanted`` pairs may be linked, by their sketches alone; sets that fit into one whole are decided."""
-    small = np.array([len(x) < K for x in xs])[:, None] & np.array([len(y) < K for y in ys])[None, :]
-    sketches = [[s[:K] for s in side] for side in (xs, ys)]
-    shared = _shared(*sketches)
-    n, m = (np.array([len(s) for s in side], np.float64) for side in (xs, ys))
-    fits = wanted & np.where(small, 100.0 * shared >= percent * (n[:, None] + m[None, :] - shared), shared >= MIN_OVERLAP)
+def _likely(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which pairs of two blocks may be linked, by their sketches alone; sets that fit into one whole are decided. Pairs inside a component are not wanted."""
+    xs, ys = ([np.frombuffer(h, U64)[:K] for h in side] for side in (left["hashes"], right["hashes2"]))
+    n, m = left["n"].to_numpy(np.float64), right["n2"].to_numpy(np.float64)
+    fits = left["component"].to_numpy()[:, None] != right["component2"].to_numpy()[None, :]
+    fits &= 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    shared = _shared(xs, ys)
+    whole = (n < K)[:, None] & (m < K)[None, :]
     # A set that is whole in its sketch against one that isn't: what they share there is all that counts.
+    fits &= np.where(whole, 100.0 * shared >= percent * (n[:, None] + m[None, :] - shared), shared >= MIN_OVERLAP)
     i, j = np.nonzero(fits & (n >= K)[:, None] & (m >= K)[None, :])
     if len(i):
-        rows = [np.stack([s if len(s) == K else np.zeros(K, U64) for s in side]) for side in sketches]
-        bad = _union_sketch(rows[0][i], rows[1][j]) < MIN_OVERLAP
+        full = lambda side: np.stack([s if len(s) == K else np.zeros(K, U64) for s in side])
+        bad = _union_sketch(full(xs)[i], full(ys)[j]) < MIN_OVERLAP
         fits[i[bad], j[bad]] = False
     return fits
 
 
+def _promising(percent: int):
+    """Members of two blocks that may be linked to some of the other."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        fits = _likely(left, right, percent) if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
+        rows = left[["pivot", "doc", "component"]][fits.any(axis=1)]
+        columns = right[["pivot2", "doc2", "component2"]][fits.any(axis=0)]
+        return pd.concat((rows, columns.set_axis(rows.columns, axis=1)))
+
+    return run
+
+
 def _compare(percent: int):
-    """Links between two blocks of sets, across components: sketches first, whole sets for what they leave."""
+    """Links between two blocks of whole sets, across components."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        xs, ys = ([np.frombuffer(h, U64) for h in side] for side in (left["hashes"], right["hashes2"]))
-        wanted = left["component"].to_numpy()[:, None] != right["component2"].to_numpy()[None, :]
-        fits = _likely(xs, ys, percent, wanted) if len(xs) and len(ys) else wanted
+        fits = _likely(left, right, percent) if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
         rows, columns = np.flatnonzero(fits.any(axis=1)), np.flatnonzero(fits.any(axis=0))
-        xs, ys = [xs[i] for i in rows], [ys[j] for j in columns]
+        xs, ys = [np.frombuffer(left["hashes"].iloc[i], U64) for i in rows], [np.frombuffer(right["hashes2"].iloc[j], U64) for j in columns]
         shared = _shared(xs, ys)
         n, m = np.array([len(x) for x in xs], np.float64), np.array([len(y) for y in ys], np.float64)
         i, j = np.nonzero((100.0 * shared >= percent * (n[:, None] + m[None, :] - shared)) & fits[np.ix_(rows, columns)])
@@ -265,18 +277,22 @@ class NearDup:
         lists = mixed_rows.join(mixed_rows.groupBy("doc").agg(F.count("*").alias("seen")), "doc")
         about = lists.groupBy("v").agg(F.max_by("doc", F.struct("seen", "doc")).alias("pivot"))
         members = materialise(join_split(lists.drop("seen"), about, "v", "doc", self.hot).select("pivot", "doc", "component").distinct(), "members")
-        return self._blocks(self._whole(members.select(F.col("doc").alias("doc_id"))), members)
+        sketches = self.classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("sketch").alias("hashes"))
+        members = self._blocks(sketches, members, _promising(self.percent), "pivot long, doc long, component long")
+        members = materialise(members.distinct(), "members")
+        whole = self._whole(members.select(F.col("doc").alias("doc_id"))).select(F.col("doc_id").alias("doc"), (F.octet_length("hashes") / 8).cast("long").alias("n"), "hashes")
+        return self._blocks(whole, members, _compare(self.percent), "a long, b long")
 
-    def _blocks(self, whole: DataFrame, members: DataFrame) -> DataFrame:
-        """Links of (pivot, doc, component) between a pivot's members, those of its main component aside.
+    def _blocks(self, sets: DataFrame, members: DataFrame, compare, kind: str) -> DataFrame:
+        """What ``compare`` finds among each pivot's members (pivot, doc, component), those outside its main component against all.
 
-        A large group is dealt into blocks, each side of which meets all of the other; small ones share a block.
+        ``sets``: (doc, n, hashes). A large group is dealt into blocks, each side of which meets all of the other; small ones share a block.
         """
         sizes = members.groupBy("pivot", "component").count()
         main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
         # A pivot's members may be a large part of all rows.
-        rows = join_hot(members, materialise(main, "mains"), "pivot", "doc").join(whole.toDF("doc", "hashes"), "doc").withColumn("aside", F.expr("component <> main"))
-        rows = materialise(rows.select("pivot", "doc", "component", "aside", "hashes"), "members")
+        rows = join_hot(members, materialise(main, "mains"), "pivot", "doc").join(sets, "doc").withColumn("aside", F.expr("component <> main"))
+        rows = materialise(rows.select("pivot", "doc", "component", "aside", "n", "hashes"), "members")
         mass = F.octet_length("hashes") + ROW_BYTES
         blocks = lambda x: F.ceil(F.sum(x) / F.lit(BLOCK_BYTES)).cast("int")
         deal = rows.groupBy("pivot").agg(blocks(mass).alias("rights"), blocks(F.when(F.col("aside"), mass).otherwise(0)).alias("lefts"), F.sum(mass).alias("mass")).where("lefts > 0")
@@ -288,9 +304,9 @@ class NearDup:
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.where("aside").withColumn("l", own("lefts")).withColumn("r", every("rights"))
         right = rows.withColumn("r", own("rights")).withColumn("l", every("lefts"))
-        keep = ["small", "p", "l", "r", "doc", "component", "hashes"]
+        keep = ["small", "p", "l", "r", "pivot", "doc", "component", "n", "hashes"]
         right = right.select(keep).toDF(*[f"{c}2" for c in keep])
-        return left.select(keep).groupBy("small", "p", "l", "r").cogroup(right.groupBy("small2", "p2", "l2", "r2")).applyInPandas(_compare(self.percent), "a long, b long")
+        return left.select(keep).groupBy("small", "p", "l", "r").cogroup(right.groupBy("small2", "p2", "l2", "r2")).applyInPandas(compare, kind)
 
     def _whole(self, ids: DataFrame) -> DataFrame:
         """(doc_id, hashes): the whole sets of some documents.
