@@ -48,24 +48,27 @@ def poll(service: BatchService, batches: list[str], wait: float = 60.0, most: in
     return states
 
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    raw = spark.read.text(paths) if paths else spark.createDataFrame([], "value string")
-    return raw.select(F.from_json("value", OUTPUT).alias("r")).where("r.custom_id is not null")
+def _lines(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFrame:
+    """Parsed lines of a few files, each with the number of its batch."""
+    raw = spark.createDataFrame([], "value string, nth int")
+    for nth, path in paths:
+        raw = raw.union(spark.read.text(path).withColumn("nth", F.lit(nth)))
+    return raw.select("nth", F.from_json("value", OUTPUT).alias("r")).where("r.custom_id is not null")
 
 
 def collect_answers(spark: SparkSession, service: BatchService, batches: list[str]) -> DataFrame:
-    """(custom_id, response, error) of both files of all batches; lines that aren't JSON are left to be found lost.
+    """(custom_id, response, error) of both files of all batches, oldest first; lines that aren't JSON are left to be found lost.
 
-    A request that failed in one batch and was answered in another counts as answered;
-    several answers of one request: the smallest text.
+    A request that failed in one batch and was answered in another counts as answered; of several answers or
+    errors that of the newest batch counts, and of one batch's the smallest text.
     """
-    paths = {kind: [p for b in batches if (p := getattr(service, kind)(b))] for kind in ("output_file", "error_file")}
+    paths = {kind: [(nth, p) for nth, b in enumerate(batches) if (p := getattr(service, kind)(b))] for kind in ("output_file", "error_file")}
     content = F.get("r.response.body.choices", F.lit(0))["message"]["content"]
     ok = F.coalesce(F.col("r.response.status_code"), F.lit(200)) == 200
-    good = _lines(spark, paths["output_file"]).select("r.custom_id", F.when(ok, content).alias("response"), F.coalesce("r.error.message", F.when(~ok, F.concat(F.lit("status "), "r.response.status_code"))).alias("error"))
+    good = _lines(spark, paths["output_file"]).select("nth", "r.custom_id", F.when(ok, content).alias("response"), F.coalesce("r.error.message", F.when(~ok, F.concat(F.lit("status "), "r.response.status_code"))).alias("error"))
     status = F.coalesce(F.concat(F.lit("status "), "r.response.status_code"), F.lit("listed in the error file"))
-    bad = _lines(spark, paths["error_file"]).select("r.custom_id", F.lit(None).cast("string").alias("response"), F.coalesce("r.error.message", status).alias("error"))
-    both = good.unionByName(bad).groupBy("custom_id").agg(F.min("response").alias("response"), F.min("error").alias("error"))
+    bad = _lines(spark, paths["error_file"]).select("nth", "r.custom_id", F.lit(None).cast("string").alias("response"), F.coalesce("r.error.message", status).alias("error"))
+    both = good.unionByName(bad).groupBy("custom_id").agg(*[F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("nth")).alias("nth"), c)))[c].alias(c) for c in ("response", "error")])
     return both.withColumn("error", F.when(F.col("response").isNull(), F.coalesce("error", F.lit("empty response"))))
 
 
