@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import io
-import re
 import wave
-import zipfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from talkmill.sources.archives import read_members
+
 SPEAKER = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "type", "gender", "age", "telephone_network")])
 DIALOG = T.StructType([T.StructField("speaker", T.StringType()), T.StructField("audioPath", T.StringType()), T.StructField("duration", T.DoubleType()), T.StructField("text", T.StringType())])
 TYPE_INFO = T.StructType([T.StructField("category", T.StringType()), T.StructField("subcategory", T.StringType()), T.StructField("speakers", T.ArrayType(SPEAKER))])
@@ -46,33 +45,11 @@ def read_call_json(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 
 
 def read_call_zips(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The same two tables from archives; one task an archive, members one at a time.
+    """The same two tables from archives of any size; a task reads a range of an archive's bytes.
 
-    An archive is one row of bytes, so it must be smaller than 2 GB; unpack larger ones and read
-    the folder. A broken archive or member is quarantined under its name.
+    A broken archive or member is quarantined under its name, as is a member too large for a text column.
     """
-    pattern = re.compile(CODES)
-
-    def member(name: str, value: str | None, problem: str | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([value], pa.string()), pa.array([problem], pa.string())], names=["path", "value", "problem"])
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
-                except zipfile.BadZipFile as problem:
-                    yield member(file, None, f"BadZipFile: {problem}")
-                    continue
-                with archive:
-                    for name in filter(pattern.search, archive.namelist()):
-                        try:
-                            yield member(name, archive.read(name).decode("utf-8", "replace"), None)
-                        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as problem:
-                            yield member(name, None, f"{type(problem).__name__}: {problem}")
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    parsed = files.mapInArrow(members, "path string, value string, problem string").withColumn("r", F.from_json("value", CALL, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    parsed = read_members(spark, path, CODES).withColumn("r", F.from_json("value", CALL, {"columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("problem").isNotNull() | F.col("r._corrupt_record").isNotNull() | F.col("r.dataSet.dialogs").isNull()
     why = F.coalesce("problem", "r._corrupt_record", F.lit("no dialogs")).alias("problem")
     return flatten_calls(parsed.where(~bad).select("path", F.col("r.dataSet").alias("dataSet"))), parsed.where(bad).select("path", why)
