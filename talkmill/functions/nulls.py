@@ -23,6 +23,11 @@ def nan_to_null(a: Column) -> Column:
     return F.when(F.isnan(a), None).otherwise(a)
 
 
+def half_even(a: Column, digits: int) -> Column:
+    """``a`` to so many decimals as figures are displayed: scaled, rounded with ties to even, scaled back, all in doubles."""
+    return F.rint(a * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """``a / b``; null where b is 0 or null."""
     return a / F.nullif(b, F.lit(0))

@@ -8,7 +8,10 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkmill.functions.nulls import ratio
+from talkmill.operators.aggregate import smallest_mode
 from talkmill.operators.ordering import exact_quantiles
+from talkmill.operators.policy import mean_of_present
 
 SIZES = (1, 2, 3, 5)
 VERSIONS = ("customer_only", "all")
@@ -106,3 +109,19 @@ def bucket(value: Column, cuts: list[float], names: list[str], tied: str | None
 def unit_artifact_share(rows: DataFrame, z: str = "z") -> DataFrame:
     """Share of z-scores that are +1 or -1 to six digits: pairs, not measurements."""
     return rows.agg(F.avg((F.abs(F.round(z, 6)) == 1).cast("int")).alias("unit_share"))
+
+
+def arousal_by_call(df: DataFrame, call: str, gender: str, metrics: list[str], population: DataFrame | None = None) -> DataFrame:
+    """(call, n_rows, gender, z_{metric}, arousal): a call's plain means, standardised within its gender.
+
+    A call's gender is its most frequent one, ties to the smallest, nulls not counted. Mean and standard deviation of each gender are those of
+    the rows of ``population``, else of ``df``. A call without gender, values or spread has a null z; arousal is the mean of those z that
+    aren't null.
+    """
+    source = df if population is None else population
+    base = source.where(F.col(gender).isNotNull()).groupBy(gender).agg(*[f(m).alias(n + m) for m in metrics for n, f in (("_m_", F.avg), ("_s_", F.stddev_pop))])
+    means = df.groupBy(call).agg(F.count("*").alias("n_rows"), *[F.avg(m).alias("_c_" + m) for m in metrics])
+    rows = means.join(smallest_mode(df, [call], gender, gender), call, "left").join(base, gender, "left")
+    z = {m: ratio(F.col("_c_" + m) - F.col("_m_" + m), F.col("_s_" + m)) for m in metrics}
+    rows = rows.select(call, "n_rows", gender, *[c.alias(f"z_{m}") for m, c in z.items()])
+    return rows.withColumn("arousal", mean_of_present(*[F.col(f"z_{m}") for m in metrics]))

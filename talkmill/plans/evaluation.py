@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkmill.functions.nulls import half_even
 from talkmill.operators import aggregate as agg
-from talkmill.operators import joins, ml, policy, sampling, stats
+from talkmill.operators import boosting, joins, ml, policy, sampling, stats
 from talkmill.operators import metrics as M
 from talkmill.operators.ordering import exact_quantiles
 from talkmill.plans.catalog import query
@@ -35,6 +36,16 @@ def mismatch_subset(spark, d):
     return one(False).union(one(True))
 
 
+@query(
+    f"""WITH {PRED}, m AS (SELECT gold FROM pred WHERE condition = 'A' AND n = 1 AND pred <> gold), c AS (SELECT unnest({LAB}) AS value)
+SELECT value, (SELECT count(*) FROM m WHERE gold = value) AS n, round_even((SELECT count(*) FROM m WHERE gold = value) / (SELECT nullif(count(*), 0) FROM m) * 100 * 100, 0) / 100 AS share_pct FROM c"""
+)
+def mismatch_labels(spark, d):
+    """Gold labels of the mismatched calls, with shares as they are displayed."""
+    rows = M.mismatches(predictions(spark, d).where("condition = 'A' AND n = 1"), "gold", "pred", False)
+    return agg.value_counts(rows, "gold", LABELS).select("value", "n", half_even(F.col("share") * 100, 2).alias("share_pct"))
+
+
 @query(f"WITH {PRED} SELECT condition, n, gold, " + ", ".join(f"count(*) FILTER (WHERE coalesce(pred, 'PARSE_FAIL') = '{x}') AS {x}" for x in [*LABELS, "PARSE_FAIL"]) + " FROM pred GROUP BY condition, n, gold")
 def confusion_matrix(spark, d):
     return M.confusion_matrix(M.confusion(predictions(spark, d), ["condition", "n"]), ["condition", "n"], [*LABELS, M.PARSE_FAIL])
@@ -484,6 +495,14 @@ def label_distribution(spark, d):
 # Models.
 
 
+@query()
+def multiclass_trees(spark, d):
+    ship(spark)
+    e = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).alias(f"e{i}") for i in range(64)])
+    model = boosting.fit_boosted(e, [f"e{i}" for i in range(64)], "label", rounds=10, depth=3)
+    return model.transform(e).select("vec_id", "label", "prediction", F.round(F.array_max("probabilities"), 4).alias("proba"))
+
+
 @query()
 def lr_gate(spark, d):
     e = table(spark, d, "embeddings").withColumn("y", (F.col("label") == 3).cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
+from talkmill.functions.nulls import half_even
 from talkmill.operators import aggregate as agg
 from talkmill.operators import batching, governance, joins, policy, requests
 from talkmill.operators import metrics as M
@@ -198,14 +199,14 @@ def best_threshold(spark, d):
 @query(
     f"""WITH {_FUSE}, f AS (SELECT w.call_id, gold AS v2, CASE WHEN has_focus THEN 'complaint' WHEN has_focus = false THEN gate_label ELSE gold END AS v4, CASE WHEN has_focus THEN 'complaint' WHEN has_focus = false THEN coalesce(refined_label, gate_label) ELSE gold END AS v5 FROM wide w LEFT JOIN g USING (call_id) LEFT JOIN r USING (call_id)),
 c AS (SELECT unnest({LAB}) AS label) SELECT label, (SELECT count(*) FROM f WHERE v2 = label) AS n_v2, (SELECT count(*) FROM f WHERE v4 = label) AS n_v4, (SELECT count(*) FROM f WHERE v5 = label) AS n_v5,
-round((SELECT count(*) FROM f WHERE v2 = label) * 100 / (SELECT count(v2) FROM f), 2) AS share_v2, round((SELECT count(*) FROM f WHERE v4 = label) * 100 / (SELECT count(v4) FROM f), 2) AS share_v4, round((SELECT count(*) FROM f WHERE v5 = label) * 100 / (SELECT count(v5) FROM f), 2) AS share_v5 FROM c"""
+round_even((SELECT count(*) FROM f WHERE v2 = label) / (SELECT count(v2) FROM f) * 100 * 100, 0) / 100 AS share_v2, round_even((SELECT count(*) FROM f WHERE v4 = label) / (SELECT count(v4) FROM f) * 100 * 100, 0) / 100 AS share_v4, round_even((SELECT count(*) FROM f WHERE v5 = label) / (SELECT count(v5) FROM f) * 100 * 100, 0) / 100 AS share_v5 FROM c"""
 )
 def version_distribution(spark, d):
     base, gate, refined = _passes(spark, d)
     v4 = policy.fuse_labels(base, gate, refined.where("false"), "call_id", FOCUS)
     v5 = policy.fuse_labels(base, gate, refined, "call_id", FOCUS)
     sets = {"v2": base, "v4": v4, "v5": v5}
-    return agg.distributions({n: df.select("label") for n, df in sets.items()}, "label", LABELS).select("label", *[f"n_{n}" for n in sets], *[F.round(F.col(f"share_{n}") * 100, 2).alias(f"share_{n}") for n in sets])
+    return agg.distributions({n: df.select("label") for n, df in sets.items()}, "label", LABELS).select("label", *[f"n_{n}" for n in sets], *[half_even(F.col(f"share_{n}") * 100, 2).alias(f"share_{n}") for n in sets])
 
 
 @query("SELECT conv_id, md5(CASE turn % 3 WHEN 0 THEN 'Q1 ' || text WHEN 1 THEN CASE WHEN role = 'user' THEN 'mind the tone. ' ELSE '' END || 'Q2 ' || text ELSE 'Q3 ' || CASE WHEN role = 'user' THEN 'short. ' ELSE '' END || text END) AS prompt_md5, turn FROM conversations")

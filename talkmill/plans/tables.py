@@ -36,9 +36,10 @@ def semi_join(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_mktsegment").join(ids, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def anti_join(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    ids = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").join(ids, "c_custkey", "left_anti")
 
 
 @query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations e WHERE e.conv_id = c.conv_id AND e.turn = c.turn AND e.role = 'user')")

@@ -184,6 +184,18 @@ def arousal(spark, d):
     return rows.select("dialog_idx", F.round("v", 6).alias("arousal"), F.when(F.col("v") > 0.5, "high").otherwise("rest").alias("arousal_group"))
 
 
+@query(
+    f"""WITH {ACOUSTIC}, v AS (SELECT call_id, gender, x, CASE WHEN k % 5 > 0 THEN k END AS k FROM ac), b AS (SELECT gender, avg(x) AS mx, stddev_pop(x) AS sx, avg(k) AS mk, stddev_pop(k) AS sk FROM v GROUP BY gender),
+o AS (SELECT call_id, gender, row_number() OVER (PARTITION BY call_id ORDER BY count(*) DESC, gender) AS nth FROM v GROUP BY call_id, gender),
+c AS (SELECT call_id, count(*) AS n_rows, avg(x) AS cx, avg(k) AS ck FROM v GROUP BY call_id),
+z AS (SELECT c.call_id, n_rows, gender, (cx - mx) / nullif(sx, 0) AS zx, (ck - mk) / nullif(sk, 0) AS zk FROM c JOIN o ON o.call_id = c.call_id AND nth = 1 JOIN b USING (gender))
+SELECT call_id, n_rows, gender, round(zx, 6) AS z_x, round(zk, 6) AS z_k, round(CASE WHEN zk IS NULL THEN zx WHEN zx IS NULL THEN zk ELSE (zx + zk) / 2 END, 6) AS arousal FROM z"""
+)
+def arousal_by_call(spark, d):
+    rows = acoustic(spark, d).withColumn("k", F.when(F.col("k") % 5 > 0, F.col("k")))
+    return W.arousal_by_call(rows, "call_id", "gender", ["x", "k"]).select("call_id", "n_rows", "gender", *[F.round(c, 6).alias(c) for c in ("z_x", "z_k", "arousal")])
+
+
 @query(f"WITH {ACOUSTIC}, s AS (SELECT *, count(*) OVER w AS n, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd FROM ac WINDOW w AS (PARTITION BY call_id, gender)) SELECT round(avg((abs(round((x - m) / sd, 6)) = 1)::INTEGER), 6) AS unit_share FROM s WHERE n >= 2 AND sd > 0")
 def unit_artifact(spark, d):
     z = W.z_within(acoustic(spark, d), ["call_id", "gender"], "x", ["gender"]).where("norm_source = 'within_window'")

@@ -148,3 +148,13 @@ def test_level_phrases(spark):
     assert T.template_problems(en, {m: {k: v for k, v in p.items() if k != "mid"} for m, p in list(ko.items())[:2]}) != []
     said = one(spark, "no such level", T.describe_levels({"f0_mean": F.col("t"), "r_gold": F.lit(None).cast("string")}, en))
     assert said == "pitch: usual, speech rate: usual"
+
+
+def test_displayed_figures_round_ties_to_even(spark):
+    import numpy as np
+
+    values = [0.125, 0.375, 2.675, -0.125, 0.5, 1.5, 2.5, 33.335, 1e-9, 0.0, None, *[i / 800 * 100 for i in range(801)]]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", nulls.half_even(F.col("v"), 2).alias("r"), nulls.half_even(F.col("v"), 0).alias("whole")).collect()
+    for r in rows:
+        assert (r["r"], r["whole"]) == ((None, None) if r["v"] is None else (np.round(r["v"], 2), np.round(r["v"])))
+    assert [r["r"] for r in rows[:2]] == [0.12, 0.38]

@@ -211,3 +211,15 @@ def test_large_samples_are_the_first_in_hash_order(spark, monkeypatch):
         parts = {r["i"]: r["part"] for r in sampling.split_fixed(df, "i", n).collect()}
         assert parts == {i: "first" if k < n else "rest" for k, i in enumerate(want)}
     assert sampling.sample_n(df.limit(0), "i", 20).count() == 0
+
+
+def test_arousal_by_call_takes_the_most_frequent_gender(spark):
+    rows = [("a", "f", 1.0, 10.0), ("a", "m", 3.0, 20.0), ("b", "m", 5.0, None), ("b", "m", 7.0, None), ("b", "f", 3.0, 40.0), ("c", None, 2.0, 1.0), ("d", "x", 4.0, 4.0), ("e", None, None, None), ("e", "m", None, None)]
+    df = spark.createDataFrame(rows, "call string, g string, p double, q double")
+    got = {r["call"]: r for r in W.arousal_by_call(df, "call", "g", ["p", "q"]).collect()}
+    assert [got[c]["g"] for c in "abcde"] == ["f", "m", None, "x", "m"] and [got[c]["n_rows"] for c in "abcde"] == [2, 3, 1, 1, 2]
+    assert got["a"]["z_p"] == 0.0 and got["a"]["z_q"] == (15 - 25) / 15 and got["a"]["arousal"] == got["a"]["z_q"] / 2
+    assert got["b"]["z_p"] == 0.0 and got["b"]["z_q"] is None and got["b"]["arousal"] == 0.0  # one m has a q: no spread
+    assert all(got[c]["arousal"] is None for c in "cde")
+    other = W.arousal_by_call(df, "call", "g", ["p"], df.where("call = 'b'")).where("call = 'd'").first()
+    assert other["z_p"] is None and W.arousal_by_call(df.where("false"), "call", "g", ["p", "q"]).count() == 0
