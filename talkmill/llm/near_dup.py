@@ -40,6 +40,8 @@ SHARED_LISTS = 4
 LEADERS = 4
 #: Bytes of the sets that a block holds on either side, and those that a document counts for besides its set.
 BLOCK_BYTES, ROW_BYTES = 2_000_000, 1024
+#: Pairs of two blocks whose union sketches are taken at a time: blocks may hold millions of pairs.
+PAIRS_AT_ONCE = 1 << 14
 MOST_BITS = 1 << 24
 
 
@@ -136,9 +138,11 @@ def _likely(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray
     fits &= np.where(whole, 100.0 * shared >= percent * (n[:, None] + m[None, :] - shared), shared >= MIN_OVERLAP)
     i, j = np.nonzero(fits & (n >= K)[:, None] & (m >= K)[None, :])
     if len(i):
-        full = lambda side: np.stack([s if len(s) == K else np.zeros(K, U64) for s in side])
-        bad = _union_sketch(full(xs)[i], full(ys)[j]) < MIN_OVERLAP
-        fits[i[bad], j[bad]] = False
+        left_full, right_full = (np.stack([s if len(s) == K else np.zeros(K, U64) for s in side]) for side in (xs, ys))
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            some = slice(at, at + PAIRS_AT_ONCE)
+            bad = _union_sketch(left_full[i[some]], right_full[j[some]]) < MIN_OVERLAP
+            fits[i[some][bad], j[some][bad]] = False
     return fits
 
 

@@ -7,9 +7,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -620,3 +622,18 @@ def test_keys_of_many_rows_are_split(spark, monkeypatch):
     edges = [(100, i) for i in range(1, 30)] + [(200, 200 + i) for i in range(1, 20)] + [(100, 150), (150, 200), (500, 501)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(found) == 29 + 19 + 3 + 2 and found.pop(500) == 500 and found.pop(501) == 500 and set(found.values()) == {1}
+
+
+def test_blocks_compare_in_bounded_memory():
+    """Blocks as large as they get, in which every pair has most of its sketch in common."""
+    draw = np.random.default_rng(4)
+    rows = near_dup.BLOCK_BYTES // (near_dup.ROW_BYTES + 8 * near_dup.K)
+    common = draw.integers(0, 1 << 63, 40).astype(np.uint64)
+    sets = [np.sort(np.concatenate((common, draw.integers(0, 1 << 63, near_dup.K - 40).astype(np.uint64)))).tobytes() for _ in range(2 * rows)]
+    left = pd.DataFrame({"hashes": sets[:rows], "n": 100, "component": np.arange(rows)})
+    right = pd.DataFrame({"hashes2": sets[rows:], "n2": 100, "component2": np.arange(rows) + rows})
+    tracemalloc.start()
+    fits = near_dup._likely(left, right, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fits.all() and peak < 200_000_000, peak
