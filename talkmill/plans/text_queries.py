@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as T
+from talkmill.functions.tables import register_table_functions
 from talkmill.operators import governance
 from talkmill.plans.catalog import query
 from talkmill.plans.common import LAB
@@ -149,6 +150,37 @@ def two_score_parse(spark, d):
     return rows.select("event_id", text.alias("t")).select("event_id", T.parse_scores(F.col("t"), ["kind", "fit"]).alias("v")).select("event_id", "v.*")
 
 
+@query(
+    f"""WITH k AS (SELECT user_id, event_id, {_K} AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1), t AS (SELECT user_id, event_id, k, {_SCORED} AS t FROM k),
+x AS (SELECT *, regexp_extract(t, '<kind>\\s*(\\d+)\\s*</kind>', 1) AS a, regexp_extract(t, '<fit>\\s*(\\d+)\\s*</fit>', 1) AS b FROM t),
+y AS (SELECT *, coalesce(try_cast(a AS INTEGER) BETWEEN 1 AND 5 AND try_cast(b AS INTEGER) BETWEEN 1 AND 5, false) AS ok FROM x)
+SELECT user_id, event_id, CASE WHEN ok THEN a::INTEGER END AS kind, CASE WHEN ok THEN b::INTEGER END AS fit, CASE WHEN NOT regexp_matches(t, '\\S') THEN 'empty'
+WHEN a = '' OR b = '' THEN 'missing: ' || concat_ws(',', CASE WHEN a = '' THEN 'kind' END, CASE WHEN b = '' THEN 'fit' END) WHEN NOT ok THEN 'out of range: kind=' || a || ', fit=' || b END AS error FROM y"""
+)
+def newest_scores_from_sql(spark, d):
+    register_table_functions(spark)
+    k = F.get_json_object("props", "$.k").cast("int")
+    text = F.when(k % 9 == 7, " ").when(k % 9 == 8, "<kind>3</kind> only").when(k % 18 == 5, "<kind>-1</kind> and <fit>2</fit>").otherwise(F.concat(F.lit("<kind> "), (k % 9).cast("string"), F.lit(" </kind> and <fit>"), (k % 4 + 2).cast("string"), F.lit("</fit>")))
+    answers = table(spark, d, "events").select("user_id", "event_id", text.alias("response"))
+    return spark.sql(
+        "SELECT user_id, event_id, kind, fit, error FROM parse_answers(TABLE({answers}), kind => 'scores', tags => array('kind', 'fit'), request => 'user_id', batch => 'event_id')", answers=answers
+    )
+
+
+@query(
+    """SELECT 'J_' || conv_id AS call_id, 'J' AS j_code, conv_id::VARCHAR AS s_code, 'talk' AS category, role AS speaker_type, i AS dialog_idx, CASE i WHEN 0 THEN turn / 2.0::DOUBLE END AS duration, CASE i WHEN 0 THEN text ELSE role END AS text
+FROM conversations, (VALUES (0), (1)) v(i)"""
+)
+def utterances_from_sql(spark, d):
+    register_table_functions(spark)
+    speakers = F.array(F.struct(F.lit("s").alias("id"), F.lit("first of equal ids").alias("type")), F.struct(F.lit("s").alias("id"), F.col("role").alias("type")))
+    said = F.struct(F.lit("s").alias("speaker"), (F.col("turn") / 2).alias("duration"), F.col("text").alias("text"))
+    named = F.struct(F.lit("s").alias("speaker"), F.lit(None).cast("double").alias("duration"), F.col("role").alias("text"))
+    data = F.struct(F.struct(F.lit("talk").alias("category"), speakers.alias("speakers")).alias("typeInfo"), F.array(said, named).alias("dialogs"))
+    records = table(spark, d, "conversations").select(F.format_string("calls/J/%1$s/%1$s.json", F.col("conv_id").cast("string")).alias("path"), F.to_json(F.struct(data.alias("dataSet"))).alias("value"))
+    return spark.sql("SELECT call_id, j_code, s_code, category, speaker_type, dialog_idx, duration, text FROM call_utterances(TABLE({records}))", records=records)
+
+
 _WORDS = ["token", "license", "the ", "http"]
 
 
