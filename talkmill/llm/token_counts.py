@@ -13,15 +13,16 @@ In a merge-based model, whose scores are merge ranks, only neighbours that
 are the encoding of their concatenation may follow each other (:class:`PairMachine`); other segmentations score
 minus infinity. So counts are those of the tokenizer itself, which unigram scores alone would miss.
 
-No shuffle. A worker's trie starts anew beyond MOST_NODES nodes, and it remembers the
-counts of at most MOST_CHUNKS pre-tokens. Of pre-tokens longer than LONGEST characters only
-the latest scores are held, so that memory doesn't grow with them.
+No shuffle, and no pre-token is too long. A worker's trie has at most MOST_NODES nodes. Beyond them, new
+prefixes are kept only on the path of the pre-token at hand, as deep as the next one shares it, so sorted
+order still has each shared prefix of a batch scored once; before the next batch, nodes that no pre-token has passed since
+the last such time give way. The path takes memory in proportion to two neighbours' common prefix,
+not to their length. The counts of at most MOST_CHUNKS pre-tokens are remembered.
 """
 
 from __future__ import annotations
 
 from array import array
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ from talkmill.llm.pieces import INFINITE, START, SYMBOLS, Normaliser, PairMachin
 from talkmill.llm.shared import slices
 
 MOST_NODES, MOST_CHUNKS = 800_000, 500_000
-LONGEST = 200
+#: Entries of a path that are dropped together once no later pre-token needs them.
+DROPPED = 4096
 SLICE_BYTES = 6_000_000
 _CHARACTERS = 1 << 21
 
@@ -50,42 +52,65 @@ class Trie:
         self.scores = [pieces.scores.get(name, 0.0) for name in pieces.names]
         self.unknown_score = min(pieces.scores.values(), default=0.0) - 10.0
         self.most = most_nodes
+        self.reach = max(map(len, pieces.ids), default=1) + 1
         self.counts = Remembered(self._learn, "<i8", most_chunks)
-        self._start()
-
-    def _start(self) -> None:
         self.children: dict[int, int] = {}
         self.score, self.tokens, self.last, self.state = array("d", [0.0]), array("i", [0]), array("i", [START]), array("i", [0])
+        #: When each node was passed last, in times that room was made.
+        self.passed, self.now = array("i", [0]), 0
+
+    def _make_room(self) -> None:
+        """In a full trie, nodes that no pre-token has passed since the last time give way; a node passed has all above it passed."""
+        if len(self.state) < self.most:
+            return
+        kept = np.array(self.passed) == self.now
+        kept[0] = True
+        place = np.cumsum(kept) - 1
+        for name in ("score", "tokens", "last", "state", "passed"):
+            column = getattr(self, name)
+            setattr(self, name, array(column.typecode, np.array(column)[kept].tobytes()))
+        keys, nodes = (np.fromiter(x, np.int64, len(self.children)) for x in (self.children.keys(), self.children.values()))
+        keys, nodes = keys[kept[nodes]], nodes[kept[nodes]]
+        above, char = np.divmod(keys, _CHARACTERS)
+        self.children = dict(zip((place[above] * _CHARACTERS + char).tolist(), place[nodes].tolist(), strict=True))
+        self.now += 1
 
     def insert(self, words: list[str]) -> Iterator[tuple[int, int]]:
         """Make the nodes that normalised pre-tokens lack; (place, count of the terminal node) of each."""
-        path = [0]
-        for place, word, same in in_order(words):
-            del path[same + 1 :]
-            if len(word) > LONGEST:
-                del path[1:]
-                yield place, self._along(word)
-                continue
-            if len(self.score) > self.most:
-                self._start()
-                path = [0]
-            children, state = self.children, self.state
-            for char in word[len(path) - 1 :]:
-                key = path[-1] * _CHARACTERS + ord(char)
-                node = children.get(key)
-                if node is None:
-                    at = self.machine.next(state[path[-1]], char)
-                    score, tokens, last = self._best(at, char, path, self.score, self.tokens, self.last)
-                    node = children[key] = len(state)
-                    self.score.append(score)
-                    self.tokens.append(tokens)
-                    self.last.append(last)
-                    state.append(at)
+        self._make_room()
+        ordered = list(in_order(words))
+        children = self.children
+        # The path of the word at hand, a node without a place in the trie being -1.
+        path, score, tokens, last, state = columns = array("i", [0]), array("d", [0.0]), array("i", [0]), array("i", [START]), array("i", [0])
+        for (place, word, same), (_, _, shared) in zip(ordered, [*ordered[1:], (0, "", 0)], strict=True):
+            for column in columns:
+                del column[same + 1 :]
+            node = path[-1]
+            for char in word[same:]:
+                key = node * _CHARACTERS + ord(char)
+                node = -1 if node < 0 else children.get(key, -1)
+                if node < 0:
+                    at = self.machine.next(state[-1], char)
+                    values = self._best(at, char, score, tokens, last)
+                    if key >= 0 and len(self.state) < self.most:
+                        node = children[key] = len(self.state)
+                        for column, value in zip((self.score, self.tokens, self.last, self.state, self.passed), (*values, at, self.now), strict=True):
+                            column.append(value)
+                else:
+                    values, at = (self.score[node], self.tokens[node], self.last[node]), self.state[node]
+                    self.passed[node] = self.now
                 path.append(node)
-            yield place, self.tokens[path[-1]]
-
-    def _best(self, state: int, char: str, path, score, tokens, last) -> tuple[float, int, int]:
-        """(score, tokens, last piece) of a prefix that ends in ``char``; ``path[-n]``: where the prefix n characters shorter is kept.
+                score.append(values[0])
+                tokens.append(values[1])
+                last.append(values[2])
+                state.append(at)
+                if len(path) > shared + 1 + self.reach + DROPPED:
+                    for column in columns:
+                        del column[shared + 1 : -self.reach]
+            yield place, tokens[-1]
+
+    def _best(self, state: int, char: str, score: array, tokens: array, last: array) -> tuple[float, int, int]:
+        """(score, tokens, last piece) of a prefix that ends in ``char``; the n-th last entries: those of the prefix n characters shorter.
 
         Equal scores: the fewer tokens, then the longer last piece.
         """
@@ -93,35 +118,22 @@ class Trie:
         known, merging = self.pairs.known, self.pieces.merging
         arcs = self.machine.ending[state]
         for symbol, length, _ in arcs:
-            at = path[-length]
-            total = score[at] + self.scores[symbol]
-            if merging or total > best or total == best and tokens[at] + 1 < count:
-                pair = known.get(last[at] * SYMBOLS + symbol)
-                if (self.pairs.weight(last[at], symbol) if pair is None else pair) == 0.0:
+            total = score[-length] + self.scores[symbol]
+            if merging or total > best or total == best and tokens[-length] + 1 < count:
+                pair = known.get(last[-length] * SYMBOLS + symbol)
+                if (self.pairs.weight(last[-length], symbol) if pair is None else pair) == 0.0:
                     if merging:
-                        return total, tokens[at] + 1, symbol  # no other segmentation is finite
-                    best, count, piece = total, tokens[at] + 1, symbol
+                        return total, tokens[-length] + 1, symbol  # no other segmentation is finite
+                    best, count, piece = total, tokens[-length] + 1, symbol
         if not arcs or arcs[-1][1] > 1:  # the character isn't a piece
-            at, symbol = path[-1], -ord(char) - 1
-            total = score[at] + self.unknown_score
+            symbol = -ord(char) - 1
+            total = score[-1] + self.unknown_score
             # Without byte pieces, neighbouring unknown characters are one token.
-            more = len(char.encode()) if self.pieces.byte_ids else int(last[at] >= 0)
-            if total > best and self.pairs.weight(last[at], symbol) == 0.0:
-                best, count, piece = total, tokens[at] + more, symbol
+            more = len(char.encode()) if self.pieces.byte_ids else int(last[-1] >= 0)
+            if total > best and self.pairs.weight(last[-1], symbol) == 0.0:
+                best, count, piece = total, tokens[-1] + more, symbol
         return best, count, piece
 
-    def _along(self, word: str) -> int:
-        """The count of a long pre-token; nothing of it is kept but the latest scores."""
-        reach = max(map(len, self.pieces.ids), default=1) + 1
-        score, tokens, last, state = deque([0.0], reach), deque([0], reach), deque([START], reach), 0
-        back = range(-reach, 0)  # the n-th last entries themselves
-        for char in word:
-            state = self.machine.next(state, char)
-            best = self._best(state, char, back, score, tokens, last)
-            for column, value in zip((score, tokens, last), best, strict=True):
-                column.append(value)
-        return tokens[-1]
-
     def _learn(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = np.zeros(len(new), np.int64)
         for place, count in self.insert(list(map(self.normaliser.chunk, new))):

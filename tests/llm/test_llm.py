@@ -227,8 +227,48 @@ def test_the_trie_is_shared_and_bounded():
     assert first == [tuple(map(list, small.count(t))) for t in texts]
     list(trie.insert(["▁hello", "▁hell", "▁wor"]))
     assert len(trie.score) == nodes  # prefixes of earlier batches
-    list(trie.insert(["▁hello" + "x" * 500]))
-    assert len(trie.score) == nodes and len(small.score) < nodes
+    assert len(small.score) <= 4
+
+
+def test_long_pre_tokens_share_prefixes_in_a_full_trie(monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    pieces = load_pieces(MODEL)
+    monkeypatch.setattr(token_counts, "DROPPED", 3)
+    rng = random.Random(4)
+    front = "".join(rng.choices("abcdeé", k=900))
+    words = ["▁" + front + "".join(rng.choices("abcdeé", k=rng.randrange(300))) for _ in range(12)] + ["▁" + "ab" * n for n in range(40)] + ["▁", "▁" + front]
+    right = [len(library.encode(w[1:])) if len(w) > 1 else 1 for w in words]
+    for most in (1, 30, 1_000, token_counts.MOST_NODES):
+        trie = token_counts.Trie(pieces, most_nodes=most)
+        scored = []
+        best = trie._best
+        trie._best = lambda *a, best=best, scored=scored: scored.append(1) or best(*a)
+        found = dict(trie.insert(words))
+        assert [found[i] for i in range(len(words))] == right
+        # Each distinct prefix once, whatever is kept, and nothing again where all is kept.
+        assert len(scored) == len({w[:n] for w in words for n in range(1, len(w) + 1)}) and len(trie.score) <= most
+        again = dict(trie.insert(words[::-1]))
+        assert [again[i] for i in range(len(words))] == right[::-1]
+        assert len(scored) == len({w[:n] for w in words for n in range(1, len(w) + 1)}) or most <= 1_000
+
+
+def test_nodes_passed_lately_stay():
+    trie = token_counts.Trie(load_pieces(MODEL), most_nodes=12)
+    list(trie.insert(["▁hello", "▁word"]))  # 11 nodes and the root
+    assert len(trie.score) == 11 or len(trie.score) == 12
+    list(trie.insert(["▁zebra"]))
+    list(trie.insert(["▁hello"]))
+    for n in range(4):  # prefixes that come again outlive those that don't
+        list(trie.insert(["▁hello", "▁" + "bcdef"[n] * 9]))
+        assert len(trie.score) <= 12
+    before = len(trie.score)
+    calls = []
+    best = trie._best
+    trie._best = lambda *a: calls.append(1) or best(*a)
+    list(trie.insert(["▁hello"]))
+    assert not calls and len(trie.score) <= before
 
 
 def test_sentencepiece_equals_the_library(spark):
