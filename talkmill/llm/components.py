@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.shared import hot_keys, join_split, materialise
+from talkmill.llm.shared import hot_keys, join_split, materialise, shuffled
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             mapping = jump
         else:
             step = jump.select(F.col("node").alias("component"), F.col("component").alias("next"))
-            mapping = materialise(mapping.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "mapping")
+            mapping = materialise(mapping.join(shuffled(step), "component", "left").select("node", F.coalesce("next", "component").alias("component")), "mapping")
         to_a = jump.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         to_b = jump.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         left = materialise(_normal(join_split(join_split(left, to_a, "a", "b", hubs), to_b, "b", "a", hubs).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "edges")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.bytewords import NOT_SPACE, U64, find_words, mix, shingle_sets
 from talkmill.llm.components import connected_components
-from talkmill.llm.shared import hot_keys, join_hot, join_split, materialise, slices
+from talkmill.llm.shared import MOST_HOT_KEYS, hot_keys, join_split, materialise, shuffled, slices
 
 K = 48
 MIN_OVERLAP = 20
@@ -231,8 +231,8 @@ class NearDup:
         found = connected_components(edges)
         more = self._meet_others(lists, found)
         found = connected_components(edges.union(more))
-        names = self.classes.select("sig", F.col("doc_id").alias("node")).join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
-        linked = some.select("doc_id", "n_shingles", "sig").join(names, "sig").select("doc_id", "n_shingles", "component_id")
+        names = self.classes.select("sig", F.col("doc_id").alias("node")).join(shuffled(found), "node", "left").select("sig", F.coalesce("component", "node").alias("component_id"))
+        linked = some.select("doc_id", "n_shingles", "sig").join(shuffled(names), "sig").select("doc_id", "n_shingles", "component_id")
         alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         return linked.union(alone).withColumn("kept", F.expr("doc_id <=> component_id"))
 
@@ -258,7 +258,7 @@ class NearDup:
 
     def _busy(self, lists: DataFrame) -> DataFrame:
         enough = lists.groupBy("doc", "n").count().where(F.expr(f"count >= {self._least_lists('n')}"))
-        return lists.join(enough.select("doc"), "doc", "left_semi")
+        return lists.join(shuffled(enough.select("doc")), "doc", "left_semi")
 
     def _near_in_size(self, n: str, m: str):
         return F.expr(f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})")
@@ -273,12 +273,12 @@ class NearDup:
 
     def _meet_others(self, lists: DataFrame, found: DataFrame) -> DataFrame:
         """Links across components, of lists that hold more than one."""
-        lists = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        lists = lists.join(shuffled(found.withColumnRenamed("node", "doc")), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         lists = materialise(lists, "lists")
         mixed = lists.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
         mixed_rows = materialise(self._busy(materialise(join_split(lists, mixed, "v", "doc", self.hot), "lists")), "lists")
         # Lists get a pivot: the doc in as many lists as can be, so that lists of one group have the same.
-        lists = mixed_rows.join(mixed_rows.groupBy("doc").agg(F.count("*").alias("seen")), "doc")
+        lists = mixed_rows.join(shuffled(mixed_rows.groupBy("doc").agg(F.count("*").alias("seen"))), "doc")
         about = lists.groupBy("v").agg(F.max_by("doc", F.struct("seen", "doc")).alias("pivot"))
         members = materialise(join_split(lists.drop("seen"), about, "v", "doc", self.hot).select("pivot", "doc", "component").distinct(), "members")
         sketches = self.classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.col("sketch").alias("hashes"))
@@ -293,9 +293,11 @@ class NearDup:
         ``sets``: (doc, n, hashes). A large group is dealt into blocks, each side of which meets all of the other; small ones share a block.
         """
         sizes = members.groupBy("pivot", "component").count()
-        main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        # A pivot's members may be a large part of all rows.
-        rows = join_hot(members, materialise(main, "mains"), "pivot", "doc").join(sets, "doc").withColumn("aside", F.expr("component <> main"))
+        main = sizes.groupBy("pivot").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n"))
+        main = materialise(main, "mains")
+        # A pivot's members may be a large part of all rows, and pivots many.
+        hot = hot_keys(main.select(F.col("pivot").alias("key"), "n"), members.count())
+        rows = join_split(members, main.drop("n"), "pivot", "doc", hot).join(shuffled(sets), "doc").withColumn("aside", F.expr("component <> main"))
         rows = materialise(rows.select("pivot", "doc", "component", "aside", "n", "hashes"), "members")
         mass = F.octet_length("hashes") + ROW_BYTES
         blocks = lambda x: F.ceil(F.sum(x) / F.lit(BLOCK_BYTES)).cast("int")
@@ -303,7 +305,7 @@ class NearDup:
         deal = materialise(deal.withColumn("small", F.expr("rights = 1")), "deal")
         shared = max(1, -(-(deal.where("small").agg(F.sum("mass")).first()[0] or 0) // BLOCK_BYTES))
         deal = deal.select("pivot", "lefts", "rights", "small", F.when(F.col("small"), F.pmod(F.xxhash64("pivot"), F.lit(shared))).otherwise(F.col("pivot")).alias("p"))
-        rows = join_hot(rows, deal, "pivot", "doc")
+        rows = join_split(rows, deal, "pivot", "doc", hot)
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = rows.where("aside").withColumn("l", own("lefts")).withColumn("r", every("rights"))
@@ -319,12 +321,13 @@ class NearDup:
         that texts of other documents are hardly shuffled.
         """
         ids = materialise(ids.distinct(), "ids")
-        bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, (16 * ids.count()).bit_length()))
+        n = ids.count()
+        bits = 1 << min(MOST_BITS.bit_length() - 1, max(12, (16 * n).bit_length()))
         bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
         words = ids.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("mask"))
         docs = self.docs.withColumn("bit", bit).withColumn("word", F.expr("bit div 64")).join(F.broadcast(words), "word")
         docs = docs.where("(shiftrightunsigned(mask, cast(bit % 64 as int)) & 1) = 1").select("doc_id", "text")
-        return docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.width, True), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+        return docs.join(F.broadcast(ids) if n <= MOST_HOT_KEYS else shuffled(ids), "doc_id", "left_semi").mapInArrow(_sets(self.width, True), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
     def _pairs(self, met: DataFrame) -> DataFrame:
         """Distinct pairs that met."""

@@ -62,6 +62,15 @@ def nullable(schema: T.StructType) -> T.StructType:
 MOST_BROADCAST_ROWS, SALTS = 300_000, 32
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """``table`` as a side of a join that Spark must not broadcast.
+
+    Spark goes by a table's bytes on disk, and of stored ids 10 MB are some hundred MB in the driver.
+    Only counted tables are broadcast here.
+    """
+    return table.hint("merge")
+
+
 def join_hot(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     """Inner join where many rows of ``big`` have the same key; ``small``: one narrow row a key, cheap to count.
 
@@ -71,16 +80,16 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, by: str) -> DataFrame:
     if small.count() <= MOST_BROADCAST_ROWS:
         return big.join(F.broadcast(small), key)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(shuffled(salted), [key, "_salt"]).drop("_salt")
 
 
-#: Rows of a key that one task joins; keys of more rows are split.
-HOT_ROWS = 1_000
+#: Rows of a key that one task joins; keys of more rows are split. Keys to split, at most.
+HOT_ROWS, MOST_HOT_KEYS = 1_000, 50_000
 
 
 def hot_keys(counts: DataFrame, total: int) -> DataFrame:
-    """(key, shares) of the keys of (key, n) to split, n of ``total`` rows each: MOST_BROADCAST_ROWS keys at most."""
-    each = max(HOT_ROWS, total // MOST_BROADCAST_ROWS + 1)
+    """(key, shares) of the keys of (key, n) to split, n of ``total`` rows each: MOST_HOT_KEYS keys at most."""
+    each = max(HOT_ROWS, total // MOST_HOT_KEYS + 1)
     return materialise(counts.where(F.col("n") > each).select("key", F.ceil(F.col("n") / each).cast("int").alias("shares")), "hot")
 
 
@@ -94,7 +103,7 @@ def join_split(big: DataFrame, small: DataFrame, key: str, by: str, hot: DataFra
     shares = F.coalesce("shares", F.lit(1))
     copied = small.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1))).drop("shares")
     dealt = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), shares).cast("int")).drop("shares")
-    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+    return dealt.join(shuffled(copied), [key, "_salt"]).drop("_salt")
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
