@@ -8,6 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of the larger side that a task groups, sorts and joins.
+ROWS_A_TASK = 250_000
+
+
+def dealt(rows: int, keys: list[str], *sides: DataFrame) -> list[DataFrame]:
+    """``sides`` in the same partitions by ``keys``, as many as ``rows`` ask for; groupings and joins by ``keys`` then shuffle no more.
+
+    A task's memory so stays the same however many rows there are. For keys of few rows each: nothing is added up before the shuffle.
+    """
+    parts = max(1, -(-rows // ROWS_A_TASK))
+    return [side.repartition(parts, *keys) for side in sides]
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row a key: the first by ``order`` (which must decide ties)."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -81,14 +81,17 @@ def first_row_dimension(spark, d):
 @query("SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def checked_join(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return joins.checked_left_join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"]).select("o_orderkey", "c_mktsegment")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    o, c = joins.dealt(o.count(), ["o_custkey"], o, c)
+    return joins.checked_left_join(o, c, ["o_custkey"]).select("o_orderkey", "c_mktsegment")
 
 
 @query("SELECT l.l_orderkey, l.l_suppkey, l.n_lines, o.n_ids FROM (SELECT l_orderkey, l_suppkey, count(*) AS n_lines FROM lineitem GROUP BY l_orderkey, l_suppkey) l LEFT JOIN (SELECT l_orderkey, l_suppkey, count(DISTINCT l_partkey) AS n_ids FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey, l_suppkey) o ON o.l_orderkey = l.l_orderkey AND o.l_suppkey = l.l_suppkey")
 def left_join_composite(spark, d):
     rows, keys = table(spark, d, "lineitem"), ["l_orderkey", "l_suppkey"]
-    large = rows.where("l_quantity > 25").groupBy(*keys).agg(F.countDistinct("l_partkey").alias("n_ids"))
-    return joins.checked_left_join(rows.groupBy(*keys).agg(F.count("*").alias("n_lines")), large, keys)
+    lines, large = joins.dealt(rows.count(), keys, rows.select(*keys), rows.where("l_quantity > 25").select(*keys, "l_partkey"))
+    large = large.groupBy(*keys).agg(F.countDistinct("l_partkey").alias("n_ids"))
+    return joins.checked_left_join(lines.groupBy(*keys).agg(F.count("*").alias("n_lines")), large, keys)
 
 
 @query("SELECT count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND NOT b) AS n_only_a, count(*) FILTER (WHERE b AND NOT a) AS n_only_b FROM (SELECT i, bool_or(s = 1) AS a, bool_or(s = 2) AS b FROM (SELECT c_custkey AS i, 1 AS s FROM customer UNION ALL SELECT o_custkey, 2 FROM orders) GROUP BY i)")
