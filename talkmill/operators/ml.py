@@ -14,6 +14,10 @@ from talkmill.operators.ordering import exact_quantiles
 from talkmill.operators.sampling import stratified_folds
 
 
+#: Rows that a task of a round learns from: a model has hundreds of rounds, each of several jobs.
+ROWS_A_TASK = 50_000
+
+
 def from_array(df: DataFrame, column: str, name: str = "features") -> DataFrame:
     return df.withColumn(name, array_to_vector(F.col(column).cast("array<double>")))
 
@@ -48,8 +52,15 @@ def cross_validated(df: DataFrame, key: str, label: str, k: int = 5) -> DataFram
 
 
 def importances(df: DataFrame, columns: list[str], label: str, trees: int = 200, depth: int = 4) -> DataFrame:
-    """(feature, importance) of boosted trees, largest first."""
-    model = GBTClassifier(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=depth, seed=42).fit(assembled(df, columns))
+    """(feature, importance) of boosted trees, largest first.
+
+    Each round reads all that is learned from, so equal rows are learned from as one, weighted by their number.
+    """
+    cells = df.groupBy(*columns, label).agg(F.count("*").cast("double").alias("_weight")).persist()
+    try:
+        model = GBTClassifier(featuresCol="features", labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=depth, seed=42).fit(assembled(cells.coalesce(max(1, -(-cells.count() // ROWS_A_TASK))), columns))
+    finally:
+        cells.unpersist()
     rows = [(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"))
 
